@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import quality
+from flowlake.llm import mixing, quality, sharding, urls
 from flowlake.llm.common import table
 
 QUERIES = {}
@@ -59,3 +59,128 @@ with d as (
 ), v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select *, not base_failed and n_words - n_frequent_words >= 0.3::double * n_words as kept from v
 """
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return rows.select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
+def fill_sql(k: int) -> str:
+    """One pass of the mix over the ranked documents."""
+    fits = "not taken and rank is not null" + " and size <= gap" * bool(k)
+    return f"""
+), gap{k} as (
+  select *, want - coalesce(sum(case when taken then size end) over (partition by source), 0) as gap from pass{k}
+), upto{k} as (
+  select *, sum(case when {fits} then size else 0 end) over (partition by source order by rank nulls last, doc_id, print rows unbounded preceding) as upto
+  from gap{k}
+), pass{k + 1} as (
+  select * exclude (gap, upto, taken), taken or ({fits} and upto <= gap) as taken from upto{k}"""
+
+
+QUERIES["op2_source_mix"] = op2_source_mix
+ORACLES["op2_source_mix"] = (
+    r"""
+with d as (
+  select doc_id, source, md5(coalesce(text, '')) as print,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size
+  from documents
+), s as (
+  select source, sum(size)::bigint as source_size, [1, 2, 3][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from d group by source
+), f as (
+  select *, 3 * source_size as most, sum(source_size) over () as words, sum(weight) over () as weights,
+         sum(3 * source_size) over o as most_to, sum(weight) over o as weight_to
+  from s window o as (order by 3 * source_size / weight, source nulls last rows unbounded preceding)
+), l as (
+  select *, (words - (most_to - most))::double / (weights - (weight_to - weight))::double as level from f
+), t as (
+  select source, source_size,
+         case when source_size = 0 then 0.0::double
+              else least(most::double, (select arg_min(level, (most / weight, source is null, source)) from l where level * weight <= most) * weight) end as target
+  from l
+), e as (
+  select d.*, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as expected
+  from d join t on d.source is not distinct from t.source
+), r as (
+  select *, floor(expected) as sure, expected - floor(expected) as p,
+         ((('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, 'null') || ':' || print), 1, 13))::bigint) + 0.5::double) / 4503599627370496.0::double as u
+  from e
+), pass0 as (
+  select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as rank, target - sure * source_size as want, false as taken from r"""
+    + "".join(map(fill_sql, range(1 + mixing.FILLS)))
+    + f"""
+)
+select doc_id, size, source_size, target, (sure + taken::int)::bigint * size as taken, (sure + taken::int)::bigint as copies
+from pass{1 + mixing.FILLS}
+"""
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = urls.filter_urls(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def step_sql(k: int) -> str:
+    return f"""
+), x{k + 1} as (
+  select kind, host, sum(x)::bigint as x from (
+    select w.kind, b as host, sum(x // n) * {urls.DAMPING} // 100 as x from x{k} join ways w on w.kind = x{k}.kind and host = a group by w.kind, b
+    union all select kind, host, x * {100 - urls.DAMPING} // 100 from x0
+  ) group by kind, host"""
+
+
+QUERIES["op5_url_filter"] = op5_url_filter
+ORACLES["op5_url_filter"] = (
+    r"""
+with p as (
+  select page_id, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) as path
+  from pages
+), rules(h, p, v) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), ruled as (
+  select page_id, any_value(html) as html, any_value(p.host) as host, any_value(p.path) as path, arg_max(h || rules.p, len(h || rules.p)) as rule, arg_max(v, len(h || rules.p)) as ruled
+  from p left join rules on (p.host = h or ends_with(p.host, '.' || h)) and starts_with(p.path, rules.p) group by page_id
+), hosts as (
+  select host, count(*) filter (ruled = 'allow') * 1000000000 // count(*) as trust, count(*) filter (ruled = 'block') * 1000000000 // count(*) as distrust
+  from ruled where host <> '' group by host
+), parent as (
+  select h.host as src, arg_max(q.host, len(q.host)) as dst from hosts h join hosts q on ends_with(h.host, '.' || q.host) group by h.host
+), edges as (
+  select distinct src, dst from (
+    select host as src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?[a-z][a-z0-9+.-]*://([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst
+    from ruled union all select src, dst from parent
+  ) where src <> dst and src <> '' and dst <> ''
+), ways as (
+  select 'trust' as kind, src as a, dst as b, count(*) over (partition by src) as n from edges
+  union all select 'distrust', dst, src, count(*) over (partition by dst) from edges
+), x0 as (
+  select 'trust' as kind, host, trust as x from hosts where trust > 0 union all select 'distrust', host, distrust from hosts where distrust > 0"""
+    + "".join(map(step_sql, range(urls.STEPS)))
+    + f"""
+), scores as (
+  select host, coalesce(sum(x) filter (kind = 'trust'), 0)::bigint as trust, coalesce(sum(x) filter (kind = 'distrust'), 0)::bigint as distrust from x{urls.STEPS} group by host
+)
+select page_id, r.host, r.path, r.rule, coalesce(s.trust, 0)::bigint as trust, coalesce(s.distrust, 0)::bigint as distrust,
+       coalesce(ruled, case when coalesce(s.distrust, 0) >= {urls.FLOOR} and coalesce(s.distrust, 0) > coalesce(s.trust, 0) then 'block' else 'allow' end) as verdict
+from ruled r left join scores s on r.host = s.host
+"""
+)
+
+
+def op8_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+
+
+QUERIES["op8_shard_lookup"] = op8_shard_lookup
+ORACLES["op8_shard_lookup"] = f"""
+with d as (
+  select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 13))::bigint % {sharding.SLOTS} as slot
+  from documents
+)
+select doc_id, slot, printf('shard-%03d', {sharding.fill()}[slot + 1]) as shard from d
+"""
