@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import mixing, quality, sharding, urls
+from flowlake.llm import mixing, pii, quality, secrets, sharding, urls
 from flowlake.llm.common import table
+from flowlake.llm.spans import joined
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +185,102 @@ with d as (
 )
 select doc_id, slot, printf('shard-%03d', {sharding.fill()}[slot + 1]) as shard from d
 """
+
+
+def spans_sql(kind: str, at: int, pattern: str, group: int = 0, keep: str = "true") -> str:
+    """The spans of one kind over ``d(doc_id, t)``."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  select doc_id, '{kind}' as kind, {at} as ord_, s as start_, s + len(hit) as end_, found from (
+    select doc_id, hits[k] as hit, founds[k] as found,
+           (coalesce(list_sum(list_transform(gaps[1:k], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: len(x))), 0))::bigint as s
+    from (select *, unnest(range(1, len(hits) + 1)) as k from (
+      select doc_id, string_split_regex(t, '{quoted}') as gaps, regexp_extract_all(t, '{quoted}') as hits, regexp_extract_all(t, '{quoted}', {group}) as founds
+      from d where regexp_matches(t, '{quoted}')))
+  ) where {keep}"""
+
+
+def spans_result(base: int) -> str:
+    """Digest columns from ``found(doc_id, kind, at, start_, end_)``; the first ``base`` kinds are base spans."""
+    text = "kind || ':' || start_ || ':' || end_"
+    return f"""
+  coalesce(sha256(string_agg({text}, ',' order by start_, ord_) filter (ord_ < {base})), sha256('')) as base_sha256,
+  coalesce(string_agg({text}, ',' order by start_, ord_), '') as spans"""
+
+
+def digest_columns(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in kinds]
+    base = F.sha2(F.encode(joined(F.col("base_spans")), "UTF-8"), 256).alias("base_sha256")
+    return rows.select("doc_id", *counts, base, joined(F.col("spans")).alias("spans"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return digest_columns(rows, tuple(r.kind for r in secrets.RULES if r.base))
+
+
+QUERIES["op9_secret_scan"] = op9_secret_scan
+ORACLES["op9_secret_scan"] = (
+    "with d as (select doc_id, coalesce(text, '') as t from documents), found as ("
+    + " union all ".join(spans_sql(r.kind, at, r.pattern, r.group, f"len(found) >= {r.least}") for at, r in enumerate(secrets.RULES))
+    + """)
+select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,"""
+    + spans_result(3)
+    + " from d left join found on d.doc_id = found.doc_id group by d.doc_id"
+)
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find_personal(table(spark, sf_dir, "documents"))
+    return digest_columns(rows, tuple(kind for kind, _, _ in pii.BASE))
+
+
+LUHN = """len(regexp_replace(found, '[^0-9]', '', 'g')) between 12 and 19 and list_sum(list_transform(
+  list_reverse(string_split(regexp_replace(found, '[^0-9]', '', 'g'), '')),
+  lambda c, i: case when i % 2 = 1 then c::int when c::int >= 5 then c::int * 2 - 9 else c::int * 2 end)) % 10 = 0"""
+
+QUERIES["op10_personal_data"] = op10_personal_data
+ORACLES["op10_personal_data"] = (
+    "with d as (select doc_id, coalesce(text, '') as t from documents), base as ("
+    + spans_sql("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    + " union all "
+    + spans_sql("ip", 1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", keep="list_bool_and(list_transform(string_split(found, '.'), lambda x: x::hugeint <= 255))")
+    + " union all "
+    + spans_sql("card", 2, r"[0-9](?:[\x20-]?[0-9])+", keep=LUHN)
+    + " union all "
+    + spans_sql("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", keep="len(regexp_replace(found, '[^0-9]', '', 'g')) between 9 and 15")
+    + rf"""), sides as (
+  select base.doc_id, base.kind || ':' || lower(substr(t, start_ + 1, end_ - start_)) as entity,
+         greatest(start_ - {pii.REACH}, 0) as off, substr(t, greatest(start_ - {pii.REACH}, 0) + 1, start_ - greatest(start_ - {pii.REACH}, 0)) as part, start_ > {pii.REACH} as cl, false as cr
+  from base join d on base.doc_id = d.doc_id
+  union all
+  select base.doc_id, base.kind || ':' || lower(substr(t, start_ + 1, end_ - start_)), end_, substr(t, end_ + 1, {pii.REACH}), false, true
+  from base join d on base.doc_id = d.doc_id
+), cuts as (
+  select *, string_split_regex(part, '\p{{L}}{{4,}}') as gaps, regexp_extract_all(part, '\p{{L}}{{4,}}') as hits from sides
+), near as (
+  select doc_id, entity, lower(hit) as term, off + s as start_, off + s + len(hit) as end_ from (
+    select *, hits[k] as hit,
+           (coalesce(list_sum(list_transform(gaps[1:k], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: len(x))), 0))::bigint as s
+    from (select *, unnest(range(1, len(hits) + 1)) as k from cuts)
+  ) where not (cl and s = 0) and not (cr and s + len(hit) = {pii.REACH})
+), pairs as (
+  select entity, term, count(distinct near.doc_id) as co, count(distinct t) as texts from near join d on near.doc_id = d.doc_id group by entity, term having texts >= {pii.SUPPORT}
+), entities as (
+  select kind || ':' || lower(substr(t, start_ + 1, end_ - start_)) as entity, count(distinct base.doc_id) as ne from base join d on base.doc_id = d.doc_id group by 1
+), terms as (
+  select term, count(*) as nt from (select distinct doc_id, unnest(regexp_extract_all(lower(t), '\p{{L}}{{4,}}')) as term from d) group by term
+), told as (
+  select pairs.entity, pairs.term from pairs join entities using (entity) join terms using (term), (select count(*) as n from d)
+  where log2(n::double / ne) > 0 and log2(co::double * n / (nt::double * ne)) >= {pii.DISCLOSURE}::double * log2(n::double / ne)
+), found as (
+  select doc_id, kind, ord_, start_, end_ from base
+  union all select distinct doc_id, 'term', 4, start_, end_ from near join told on near.entity = told.entity and near.term = told.term
+)
+select d.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,"""
+    + spans_result(4)
+    + " from d left join found on d.doc_id = found.doc_id group by d.doc_id"
+)
