@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import mixing, pii, quality, secrets, sharding, urls
+from flowlake.llm import bpe, mixing, pii, quality, secrets, sharding, urls
 from flowlake.llm.common import table
 from flowlake.llm.spans import joined
 
@@ -284,3 +284,20 @@ select d.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (k
     + spans_result(4)
     + " from d left join found on d.doc_id = found.doc_id group by d.doc_id"
 )
+
+
+def word_bpe() -> str:
+    """The vocabulary file's path on this installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = bpe.decode(bpe.encode(docs, word_bpe()).drop("text"), word_bpe())
+    decoded = F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.id_digest(F.col("ids")).alias("ids_sha256"), decoded)
+
+
+QUERIES["op7_bpe"] = op7_bpe
