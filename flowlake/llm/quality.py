@@ -7,8 +7,9 @@ and by more than ``max_share`` of a host's distinct documents are removed, and a
 keeps less than ``min_left`` of its words is depleted and rejected. Base rules (length, repetition)
 reject on their own.
 
-Frequencies of lines are partial sums before any shuffle, and a line is dealt by (host, line,
-document), so that neither a hot host nor a line in every document meets in one task. Line hashes
+A text's line hashes are shuffled once, as an array, to keep one row for each distinct text of a
+host; frequencies of lines are partial sums before their shuffle, so that neither a hot host nor a
+line in every document meets in one task. Line hashes
 have 64 bits and are compared within a host only.
 
 Null texts and texts without a word have no words and no lines and fail the base rules. A null
@@ -85,29 +86,22 @@ def line_hashes(text: Column) -> Column:
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """Which lines of which text are frequent on its host: host, print, lines, words."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    kept = docs.select(F.col(host).alias("host"), fingerprint(F.col(text)).alias("print"), plain.alias("body"))
-    line = F.explode(
-        F.filter(
-            F.transform(
-                F.split("body", "\n"),
-                lambda x, i: F.struct(
-                    F.when(x.rlike(WORD), F.xxhash64(normalised(x))).alias("line"),
-                    F.regexp_count(x, F.lit(WORD)).alias("words"),
-                    i.alias("at"),
-                ),
-            ),
-            lambda s: s["line"].isNotNull(),
-        )
-    ).alias("s")
-    lines = kept.select("host", "print", line).select("host", "print", "s.*").distinct()
-    sizes = kept.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("print").alias("n")).where(F.col("n") > min_docs)
+    found = F.filter(
+        F.transform(F.split(plain, "\n"), lambda x: F.struct(F.when(x.rlike(WORD), F.xxhash64(normalised(x))).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))),
+        lambda s: s["line"].isNotNull(),
+    )
+    rows = docs.select(F.col(host).alias("host"), fingerprint(F.col(text)).alias("print"), found.alias("lines"))
+    texts = rows.groupBy("host", "print").agg(F.first("lines").alias("lines"))  # each distinct text of a host once
+    sizes = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = texts.select("host", F.explode(F.array_distinct("lines.line")).alias("line")).groupBy("host", "line")
+    counts = counts.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
     limits = sizes.withColumnRenamed("host", "of_host")
     often = (
         counts.join(limits, F.col("host").eqNullSafe(F.col("of_host")))
         .where(F.col("n") > F.lit(max_share) * F.col("n_docs"))
         .select(F.col("of_host").alias("at_host"), F.col("line").alias("often"))
     )
+    lines = texts.select("host", "print", F.inline("lines"))
     held = lines.join(often, F.col("host").eqNullSafe(F.col("at_host")) & (F.col("line") == F.col("often")))
     return held.groupBy("host", "print").agg(F.collect_set("line").alias("lines"), F.sum("words").cast("long").alias("words"))
 
