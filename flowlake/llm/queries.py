@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import bpe, mixing, pii, quality, secrets, sharding, urls
+from flowlake.llm import bpe, jaccard, mixing, pii, quality, secrets, sharding, urls
 from flowlake.llm.common import table
 from flowlake.llm.spans import joined
 
@@ -301,3 +301,29 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_bpe"] = op7_bpe
+
+
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_jaccard_components"] = op6_jaccard_components
+ORACLES["op6_jaccard_components"] = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g
+  from d
+), n as (
+  select d.doc_id, count(g) as n from d left join s on d.doc_id = s.doc_id group by d.doc_id
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as m from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 80 * (x.n + y.n - m)
+), reach as (
+  select doc_id as a, doc_id as b from d union select reach.a, links.b from reach join links on reach.b = links.a
+)
+select doc_id, n as n_shingles, (select min(b) from reach where reach.a = n.doc_id) as component_id from n
+"""
