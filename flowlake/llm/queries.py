@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import bpe, jaccard, mixing, pii, quality, secrets, sharding, urls
+from flowlake.llm import bpe, jaccard, linedup, mixing, pii, quality, secrets, sharding, urls
 from flowlake.llm.common import table
 from flowlake.llm.spans import joined
 
@@ -327,3 +327,11 @@ with recursive d as (
 )
 select doc_id, n as n_shingles, (select min(b) from reach where reach.a = n.doc_id) as component_id from n
 """
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "removed", "text")
+
+
+QUERIES["op3_line_dedup"] = op3_line_dedup
