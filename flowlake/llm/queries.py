@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import bpe, jaccard, linedup, mixing, pii, quality, secrets, sharding, urls
+from flowlake.llm import ann, bpe, jaccard, linedup, mixing, pii, quality, secrets, sharding, urls
 from flowlake.llm.common import table
 from flowlake.llm.spans import joined
 
@@ -335,3 +335,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_line_dedup"] = op3_line_dedup
+
+
+def op4_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+QUERIES["op4_hash_prefix_forest"] = op4_hash_prefix_forest
