@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import cut
+from flowlake.llm.common import cut, fingerprint
 from flowlake.llm.components import components
 from flowlake.llm.mixing import dealt, running
 
@@ -162,10 +162,11 @@ def token_groups(classes: DataFrame) -> DataFrame:
     return classes.join(group, "cid")
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
+def labelled(docs: DataFrame, doc_id: str, text: str, percent: int, shingle: int) -> DataFrame:
+    """id, print (of the text), n (of tokens), label: one row for each row of ``docs``."""
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    base = cut(plain.select("id", sketch(F.col("text"), percent, shingle, False).alias("s")).select("id", "s.*").withColumn("cid", class_id(F.col("key"))))
+    base = plain.select("id", fingerprint(F.col("text")).alias("print"), sketch(F.col("text"), percent, shingle, False).alias("s"))
+    base = cut(base.select("id", "print", "s.*").withColumn("cid", class_id(F.col("key"))))
     classes = base.where("n > 0").groupBy("key", "cid").agg(F.min("id").alias("least"), F.first("tokens").alias("tokens"))
     prefixes = classes.select("cid", F.explode("tokens").alias("token"))
     shared = cut(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("head")).where("df > 1"))
@@ -206,6 +207,19 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     labels = base.where("n > 0").groupBy("key", "cid").agg(F.min("id").alias("least")).join(joined, "cid", "left")
     roots = labels.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("least").alias("name"))
     labels = labels.join(roots, F.col("root") == F.col("of"), "left").select(F.col("key").alias("of_key"), F.coalesce("name", "least").alias("label"))
-    final = base.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(labels, F.col("key") == F.col("of_key"), "left")
-    named_by = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
-    return final.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), named_by.alias("component_id"))
+    final = base.select("id", "print", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(labels, F.col("key") == F.col("of_key"), "left")
+    return final.select("id", "print", "n", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id")).alias("label"))
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
+    rows = labelled(docs, doc_id, text, percent, shingle)
+    return rows.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of each component's smallest id; rows that share that id and text all stay."""
+    rows = labelled(docs, doc_id, text, percent, shingle).where(F.col("id").eqNullSafe(F.col("label")))
+    named = rows.select(F.col("id").alias("__id"), F.col("print").alias("__p")).distinct()
+    kept = docs.withColumn("__print", fingerprint(F.col(text)))
+    return kept.join(named, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__p")), "left_semi").drop("__print")
