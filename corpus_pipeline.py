@@ -44,9 +44,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids, with digests of the ids and of the text they decode to."""
-    rows = bpe.decode(bpe.encode(docs, word_bpe()).drop("text"), word_bpe())
+    rows = bpe.round_trip(docs, word_bpe())
     decoded = F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.id_digest(F.col("ids")).alias("ids_sha256"), decoded)
+    return rows.select("doc_id", "lang", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), decoded)
 
 
 STAGES = [

@@ -9,13 +9,12 @@ Pieces recur, so each Python worker keeps the ids of up to ``CACHED`` of them.
 
 Rows are encoded where they lie, in Arrow batches; nothing is shuffled. Each worker reads the
 vocabulary file (a tokenizers JSON file, by path) once. Null texts count as empty and give no ids.
-Repeated rows give equal ids. Other columns pass through; the result's column is replaced.
+Ids are a binary column, four bytes each. Repeated rows give equal ids. Other columns pass through; the result's column is replaced.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 import re
 import unicodedata
@@ -23,18 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 200_000
+CACHED = 300_000
 CACHED_BYTES = 64
 NONE = 1 << 62
 PLACE = (1 << 32) - 1
 #: Characters that every version of Unicode classes alike; texts with others are normalised and
 #: split by the tokenizers library, whose character tables may be older or newer than Python's.
 SETTLED = re.compile("[\x00-\u024f\u0400-\u0481\u2010-\u2027\u3041-\u3096\u4e00-\u9fa5\uac00-\ud7a3]*").fullmatch
+SPACES = r"\x09-\x0d\x20\x85\xa0"  # the settled characters that are white space
 
 
 def byte_symbols() -> list[str]:
@@ -44,27 +43,17 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(moved)) for b in range(256)]
 
 
-class Tree:
-    """The least of a row of numbers, with point updates."""
-
-    def __init__(self, leaves: list[int]):
-        self.size = size = 1 << max(len(leaves) - 1, 0).bit_length()
-        self.nodes = nodes = [NONE] * size + leaves + [NONE] * (size - len(leaves))
-        for k in range(size - 1, 0, -1):
-            nodes[k] = min(nodes[2 * k], nodes[2 * k + 1])
-
-    def least(self) -> int:
-        return self.nodes[1]
-
-    def put(self, at: int, value: int) -> None:
-        nodes, k = self.nodes, at + self.size
-        nodes[k] = value
-        while k > 1:
-            k >>= 1
-            value = min(nodes[2 * k], nodes[2 * k + 1])
-            if nodes[k] == value:
-                break
-            nodes[k] = value
+def char_class(kinds: str) -> str:
+    """What settled characters of the given categories become in lower case, as a character class."""
+    lower = {c for x in map(chr, range(0xD800)) if SETTLED(x) for c in x.lower()}
+    found = sorted(c for c in lower if unicodedata.category(c)[0] in kinds)
+    runs: list[list[str]] = []
+    for c in found:
+        if runs and ord(c) == ord(runs[-1][1]) + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{re.escape(x)}-{re.escape(y)}" for x, y in runs)
 
 
 class Vocabulary:
@@ -88,39 +77,57 @@ class Vocabulary:
         self.tokens = {i: t for t, i in (ids | self.added).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern).findall
+        settled = pattern.replace(r"\p{L}", char_class("L")).replace(r"\p{N}", char_class("N")).replace(r"\s", SPACES)
+        self.pieces = re.compile(settled).findall
         ascii_only = pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\x20\x09-\x0D")
         self.ascii_pieces = re.compile(ascii_only).findall
         self.known = Cache(self)
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         self.library = tokenizers.Tokenizer.from_file(path)
 
-    def key(self, symbols: list[int], i: int, j: int) -> int:
-        rank = self.ranks.get(symbols[i] * self.width + symbols[j])
-        return NONE if rank is None else rank << 32 | i
-
     def merge(self, piece: str) -> list[int]:
-        """The ids of one piece."""
+        """The ids of one piece.
+
+        ``nodes`` is the segment tree: leaf ``size + i`` holds rank and place of the pair that starts
+        at symbol i, an inner node the lesser of its children, node 1 the leftmost least of all.
+        """
         data = piece.encode("utf-8", "surrogatepass")
-        symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
+        inner, width, ranks, merged = self.inner, self.width, self.ranks, self.merged
+        symbols = [inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
         n = len(symbols)
+        size = 1 << (n - 1).bit_length()
+        nodes = [NONE] * (2 * size)
+        for i in range(n - 1):
+            rank = ranks.get(symbols[i] * width + symbols[i + 1])
+            if rank is not None:
+                nodes[size + i] = rank << 32 | i
+        for k in range(size - 1, 0, -1):
+            a, b = nodes[2 * k], nodes[2 * k + 1]
+            nodes[k] = a if a < b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        tree = Tree([self.key(symbols, i, i + 1) for i in range(n - 1)])
-        alive = [True] * n
-        while (root := tree.least()) != NONE:
-            i, gone = root & PLACE, after[root & PLACE]
-            symbols[i], alive[gone] = self.merged[root >> 32], False
-            after[i] = after[gone]
-            if gone < n - 1:
-                tree.put(gone, NONE)
-            if after[i] < n:
-                before[after[i]] = i
-                tree.put(i, self.key(symbols, i, after[i]))
-            else:
-                tree.put(i, NONE)
-            if before[i] >= 0:
-                tree.put(before[i], self.key(symbols, before[i], i))
-        return [s for s, keep in zip(symbols, alive) if keep]
+        while (root := nodes[1]) != NONE:
+            i = root & PLACE
+            gone = after[i]
+            symbols[i], symbols[gone] = merged[root >> 32], -1
+            then = after[i] = after[gone]
+            changed = [(gone, None), (i, None)]
+            if then < n:
+                before[then] = i
+                changed[1] = (i, ranks.get(symbols[i] * width + symbols[then]))
+            if (back := before[i]) >= 0:
+                changed.append((back, ranks.get(symbols[back] * width + symbols[i])))
+            for at, rank in changed:
+                k = size + at
+                nodes[k] = NONE if rank is None else rank << 32 | at
+                while k > 1:
+                    k >>= 1
+                    a, b = nodes[2 * k], nodes[2 * k + 1]
+                    least = a if a < b else b
+                    if nodes[k] == least:
+                        break
+                    nodes[k] = least
+        return [s for s in symbols if s >= 0]
 
     def plain(self, text: str) -> bytes:
         if text.isascii():
@@ -137,8 +144,8 @@ class Vocabulary:
         parts = self.cut.split(text)
         return b"".join(self.added[p].to_bytes(4, "little") if k % 2 else self.plain(p) for k, p in enumerate(parts))
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: bytes) -> str:
+        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class Cache(dict):
@@ -162,53 +169,49 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def lists(parts: list[bytes]) -> pa.Array:
-    """One list of ids for each part."""
-    ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
-
-
-def encoded(text: Column, path: str) -> Column:
-    """The ids of a text, an array of ints."""
+def over_rows(work, kind: str):
+    """An Arrow function that applies ``work(vocabulary, value)`` to each row of a batch."""
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = vocabulary(path)
-        for batch in batches:
-            yield lists([words.encode(t or "") for t in batch.to_pylist()])
+    def udf(value: Column, path: str) -> Column:
+        @F.arrow_udf(kind)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            words = vocabulary(path)
+            for batch in batches:
+                yield work(words, (x.as_py() for x in batch))
 
-    return encode(text)
+        return run(value)
 
+    return udf
 
-def decoded(ids: Column, path: str) -> Column:
-    """The tokens of the ids, joined by a space as the vocabulary names no other decoder."""
 
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = vocabulary(path)
-        for batch in batches:
-            yield pa.array([words.decode(x) if x else "" for x in batch.to_pylist()], pa.string())
+def both_ways(words: Vocabulary, texts: Iterator[str | None]) -> pa.Array:
+    ids, back = [], []
+    for text in texts:
+        ids.append(words.encode(text or ""))
+        back.append(words.decode(ids[-1]))
+    return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["ids", "decoded"])
 
-    return decode(ids)
 
+encoded = over_rows(lambda words, texts: pa.array([words.encode(t or "") for t in texts], pa.binary()), "binary")
+decoded = over_rows(lambda words, ids: pa.array([words.decode(x or b"") for x in ids], pa.string()), "string")
+round_trips = over_rows(both_ways, "ids binary, decoded string")
 
-def id_digest(ids: Column) -> Column:
-    """SHA-256 of the ids as little-endian unsigned 32-bit integers, lower-case hex."""
 
-    @F.arrow_udf("string")
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            flat, ends = batch.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum([0, *batch.value_lengths().fill_null(0).to_pylist()])
-            yield pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
-
-    return digest(ids)
+def n_tokens(ids: Column) -> Column:
+    return (F.octet_length(ids) / 4).cast("long")
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Every row with its token ids."""
+    """Every row with its token ids, packed as little-endian unsigned 32-bit integers."""
     return docs.withColumn(ids, encoded(F.col(text), path))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Every row with the text of its token ids."""
+    """Every row with the text of its packed ids: its tokens joined by a space."""
     return docs.withColumn(text, decoded(F.col(ids), path))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a task needs one Python worker only."""
+    rows = docs.withColumn("__both", round_trips(F.col(text), path))
+    return rows.withColumns({ids: F.col("__both.ids"), back: F.col("__both.decoded")}).drop("__both")

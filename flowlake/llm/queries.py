@@ -294,10 +294,9 @@ def word_bpe() -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = bpe.decode(bpe.encode(docs, word_bpe()).drop("text"), word_bpe())
+    rows = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
     decoded = F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.id_digest(F.col("ids")).alias("ids_sha256"), decoded)
+    return rows.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), decoded)
 
 
 QUERIES["op7_bpe"] = op7_bpe
