@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import WORD, cut, fingerprint
+from flowlake.llm.common import WORD, cut, fingerprint, let
 
 MIN_WORDS = 30
 RARE = 4
-BROADCAST_ROWS = 500_000
-BREAK = r"(?<=\n)|(?<=[.!?]\x20)"
+BROADCAST_ROWS = 100_000
+BREAK = r"(?<=[\n\x20])(?<=\n|[.!?]\x20)"
+ENDS = r"\n|[.!?]\x20"  # as many as there are breaks
+LAST = (1 << 63) - 1
 
 
 def line_pieces(text: Column) -> Column:
@@ -116,7 +118,8 @@ def aligned(earlier: Column, later: Column, words: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def align(a: pa.Array, b: pa.Array, w: pa.Array) -> pa.Array:
-        found = [common_blocks(x.as_py(), y.as_py(), z.as_py()) for x, y, z in zip(a, b, w)]
+        plain = lambda lists: (x.values.to_numpy(zero_copy_only=False).tolist() for x in lists)
+        found = [common_blocks(x, y, z) for x, y, z in zip(plain(a), plain(b), plain(w))]
         return pa.array(found, pa.list_(pa.int32()))
 
     return align(earlier, later, words)
@@ -131,35 +134,41 @@ def keyed(lines: Column, words: Column) -> Column:
     return F.when(F.size(lines) > 0, F.array_distinct(F.array_compact(F.concat(double, single))))
 
 
+def hashed(text: Column) -> Column:
+    """(h, w) of each line: its hash, 0 without a word, and its words."""
+
+    def both(x: Column) -> Column:
+        return let(F.regexp_count(x, F.lit(WORD)), lambda w: F.struct(F.when(w > 0, F.xxhash64(F.btrim(x, F.lit(" \n\r\t")))).otherwise(F.lit(0)).alias("h"), w.alias("w")))
+
+    return F.transform(line_pieces(text), both)
+
+
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """print, first, lines: for each distinct text its smallest id and the line places to delete."""
-    piece = F.transform(
-        line_pieces(F.col("text")),
-        lambda x: F.struct(F.when(x.rlike(WORD), F.xxhash64(F.trim(F.translate(x, "\n\r\t", "   ")))).otherwise(F.lit(0)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")),
-    )
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    rows = rows.select("id", fingerprint(F.col("text")).alias("print"), piece.alias("p"))
+    """print, first, gone: for each text that loses lines its smallest id and their places."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = rows.select("id", fingerprint(F.col("text")).alias("print"), hashed(F.col("text")).alias("p"))
     rows = rows.select("id", "print", F.col("p.h").alias("lines"), F.col("p.w").alias("words"))
-    texts = rows.groupBy("print").agg(F.min("id").alias("id"), F.first("lines").alias("lines"), F.first("words").alias("words"))
-    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("print").alias("print"))
-    texts = cut(texts.withColumn("place", place))
-    keys = texts.select("place", F.explode(keyed(F.col("lines"), F.col("words"))).alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("place").alias("head")).where("df > 1"))
+    texts = rows.groupBy("print").agg(
+        F.min("id").alias("id"), F.max("id").alias("top"), F.max(F.col("id").isNull()).alias("nameless"), F.first("lines").alias("lines"), F.first("words").alias("words")
+    )
+    place = {"at": F.coalesce("id", F.lit(LAST)), "cid": F.xxhash64("print"), "twice": (F.col("id") != F.col("top")) | (F.col("id").isNotNull() & F.col("nameless"))}
+    texts = cut(texts.withColumns(place).drop("top", "nameless"))
+    keys = texts.select("at", "cid", F.explode(keyed(F.col("lines"), F.col("words"))).alias("key"))
+    head = F.min(F.struct("at", "cid")).alias("head")
+    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"), head).where("df > 1"))
     small = shared.count() <= BROADCAST_ROWS
     held = cut(keys.join(F.broadcast(shared) if small else shared, "key"))
-    first = held.where("place <> head").select(F.col("head.print").alias("early"), F.col("place.print").alias("late"))
-    rare = held.where(F.col("df").between(3, RARE)).select("key", "place")
-    other = rare.select(F.col("key").alias("of"), F.col("place").alias("before"))
-    rare = rare.join(other, (F.col("key") == F.col("of")) & (F.col("before") < F.col("place")))
-    pairs = first.union(rare.select("before.print", "place.print")).distinct()
-    early = texts.select(F.col("print").alias("early"), F.col("lines").alias("a"))
-    late = texts.select(F.col("print").alias("late"), F.col("lines").alias("b"), F.col("words").alias("w"))
-    found = pairs.join(early, "early").join(late, "late").select("late", aligned(F.col("a"), F.col("b"), F.col("w")).alias("gone")).where(F.size("gone") > 0)
-    gone = found.select("late", F.explode("gone").alias("line")).groupBy("late").agg(F.collect_set("line").alias("gone"))
-    again = rows.groupBy("print").agg(F.count_distinct("id").alias("n"), F.max(F.col("id").isNull()).alias("no_id")).where("n > 1 or (n = 1 and no_id)").select(F.col("print").alias("twice"))
-    named = texts.select("print", F.col("id").alias("first"))
-    out = named.join(gone, F.col("print") == F.col("late"), "left").join(again, F.col("print") == F.col("twice"), "left")
-    return out.where("late is not null or twice is not null").select("print", "first", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    first = held.where("cid <> head.cid").select(F.col("head.cid").alias("early"), F.col("cid").alias("late"))
+    rare = held.where(F.col("df").between(3, RARE)).select("key", "at", "cid")
+    other = rare.select(F.col("key").alias("of"), F.struct("at", "cid").alias("before"))
+    rare = rare.join(other, (F.col("key") == F.col("of")) & (F.col("before") < F.struct("at", "cid")))
+    pairs = first.union(rare.select("before.cid", "cid")).distinct()
+    early = texts.select(F.col("cid").alias("early"), F.col("lines").alias("a"))
+    late = texts.select(F.col("cid").alias("late"), "print", F.col("lines").alias("b"), F.col("words").alias("w"))
+    found = pairs.join(early, "early").join(late, "late").select("print", aligned(F.col("a"), F.col("b"), F.col("w")).alias("gone"))
+    gone = found.select(F.col("print").alias("late"), F.explode("gone").alias("line")).groupBy("late").agg(F.collect_set("line").alias("gone"))
+    out = texts.select("print", "twice", F.col("id").alias("first")).join(gone, F.col("print") == F.col("late"), "left")
+    return out.where("late is not null or twice").select("print", "first", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,18 +177,23 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = cut(removals(docs, doc_id, text)).withColumnsRenamed({"print": "__p", "first": "__first", "gone": "__gone"})
     rows = docs.drop(*result).withColumn("__print", fingerprint(F.col(text)))
     rows = rows.join(found, F.col("__print") == F.col("__p"), "left")
-    places = F.sequence(F.lit(0), F.size(line_pieces(F.col(text))) - 1)
-    copy = F.col("__p").isNotNull() & ~F.col(doc_id).eqNullSafe(F.col("__first")) & (F.coalesce(F.col(text), F.lit("")) != "")
-    none = F.array().cast("array<int>")
-    rows = rows.withColumn("__out", F.when(copy, places).otherwise(F.coalesce(F.array_sort("__gone"), none)))
-    kept = F.transform(F.array_except(places, F.col("__out")), lambda k: F.get(F.col("__pieces"), k))
-    rows = rows.withColumn("__pieces", F.when(F.size("__out") > 0, line_pieces(F.col(text))))
+    body, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<int>")
+    copy = ~F.col(doc_id).cast("long").eqNullSafe(F.col("__first")) & (body != "")
+
+    def without(pieces: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(pieces) - 1)
+        out = F.when(copy, places).otherwise(F.array_sort("__gone"))
+        kept = lambda o: F.array_join(F.transform(F.array_except(places, o), lambda k: F.get(pieces, k)), "")
+        return let(out, lambda o: F.struct(o.alias("out"), kept(o).alias("kept")))
+
+    touched = F.col("__p").isNotNull() & (copy | (F.size("__gone") > 0))
+    rows = rows.withColumn("__new", F.when(touched, let(line_pieces(F.col(text)), without)))
     rows = rows.withColumns(
         {
-            "n_lines": F.size(F.split(F.coalesce(F.col(text), F.lit("")), BREAK, -1)).cast("long"),
-            "n_removed": F.size("__out").cast("long"),
-            "removed": F.col("__out"),
-            text: F.when(F.size("__out") > 0, F.array_join(kept, "")).otherwise(F.col(text)),
+            "n_lines": (F.regexp_count(body, F.lit(ENDS)) + 1).cast("long"),
+            "n_removed": F.when(F.col("__new").isNull(), 0).otherwise(F.size("__new.out")).cast("long"),
+            "removed": F.coalesce(F.col("__new.out"), none),
+            text: F.coalesce(F.col("__new.kept"), F.col(text)),
         }
     )
-    return rows.drop("__print", "__p", "__first", "__gone", "__out", "__pieces")
+    return rows.drop("__print", "__p", "__first", "__gone", "__new")

@@ -13,7 +13,7 @@ D = "Ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi. "
 
 
 def pieces(text):
-    return re.split(linedup.BREAK, text) if text else [""]
+    return re.split(r"(?<=\n)|(?<=[.!?]\x20)", text) if text else [""]
 
 
 def brute(docs):
