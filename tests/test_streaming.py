@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowlake.functions import geometry as G
-from flowlake.operators import heat, intrusion, people
+from flowlake.operators import heat, intrusion, minutes, motion, people
 from flowlake.plans import fixtures as X
 from flowlake.streaming import jobs
 
@@ -63,3 +63,27 @@ def test_ingest_and_rollup_replay(spark, tmp_path):
     jobs.stream_rollups(stream, X.cameras(spark, SF), store, hours, str(tmp_path / "c3")).awaitTermination(240)
     total = spark.read.parquet(hours).where("location_type = 'field'").agg(F.sum("entries")).first()[0]
     assert total == spark.read.parquet(store).agg(F.sum("entries")).first()[0]
+
+
+def test_queue_and_speed_streams_equal_batch(spark, tmp_path):
+    obs, stream = prepared(spark, tmp_path)
+    got = run(jobs.stream_queues(stream, 1.0, 1.0), tmp_path, "queues").collect()
+    visits = motion.queue_visits(obs, X.frames(obs), X.square(), 1.0, 1e9, 1.0, (0.8, 0.5), 0.08, (101, 101)).where("joined_at is not null").collect()
+    want = [(r.camera_id, r.track_id, r.joined_at, "queue_joined") for r in visits] + [(r.camera_id, r.track_id, r.left_at, "queue_left") for r in visits if r.left_at is not None]
+    assert sorted((r.camera_id, r.track_id, r.ts, r.event_type) for r in got) == sorted(want)
+    speeds = run(jobs.stream_speed(stream), tmp_path, "speeds").collect()
+    batch = motion.speed(obs, None).collect()
+    flat = lambda rows: sorted((r.camera_id, r.track_id, r.ts, -1.0 if r.speed_px is None else r.speed_px) for r in rows)
+    assert flat(speeds) == flat(batch)
+
+
+def test_stream_minutes_equal_batch(spark, tmp_path):
+    obs = X.observations(spark, SF)
+    frames = people.people_per_frame(obs, X.frames(obs)).select("camera_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("frame_index") * 10).alias("at"), F.col("current_people").alias("people"))
+    frames.write.parquet(str(tmp_path / "frames"))
+    stream = jobs.stream_minutes(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "frames")))
+    query = stream.writeStream.format("memory").queryName("minutes").option("checkpointLocation", str(tmp_path / "m")).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    want = minutes.camera_minutes(frames.withColumns({"entries": F.lit(0), "exits": F.lit(0)}))
+    columns = ["camera_id", "bucket_start", "sample_count", "occupancy_sum", "occupancy_max", "occupancy_last"]
+    assert sorted(map(tuple, spark.table("minutes").select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
