@@ -105,7 +105,7 @@ def queue_visits(obs: DataFrame, frames: DataFrame, polygon: Column, dwell: floa
     rows = rows.withColumn("since", F.min("ts").over(visit))
     joined = F.min(F.when(F.col("ts") - F.col("since") >= dwell - EPS, F.col("ts")))
     last = rows.groupBy("camera_id", "track_id", "visit", "since").agg(
-        joined.alias("joined_at"), F.max("left_at").alias("left_at"), F.max("reason").alias("reason"), F.max("ex").alias("ex"), F.max("ey").alias("ey"),
+        joined.alias("joined_at"), F.max("left_at").alias("left_at"), F.max("reason").alias("reason"),
         F.max(F.struct("ts", "ex", "ey")).alias("e"),
     )
     done = G.near_service(F.col("e.ex"), F.col("e.ey"), F.lit(service[0]), F.lit(service[1]), *size, radius)
