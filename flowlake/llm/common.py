@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +51,17 @@ def checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
+def cut(frame: DataFrame, release: bool = False) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and go on from there.
+
+    With ``release``, shuffle files of what came before are freed now. Spark frees them when the
+    driver collects its garbage, which an idle driver puts off while the executors' disks fill.
+    """
     checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    kept = frame.checkpoint(eager=True)
+    if release:
+        jvm = frame.sparkSession.sparkContext._jvm
+        del frame
+        gc.collect()
+        jvm.System.gc()
+    return kept

@@ -1,18 +1,19 @@
 """N-gram Jaccard join through a token-group matrix: exact components of similar documents.
 
 A document's set holds hashes of its word shingles (ASCII letters in lower case). Texts with equal
-sets are one class. Sets are ordered by hash; similar sets share one of their first
-``n - ceil(t n) + 1`` tokens (the prefix), so that classes alone with all their prefix tokens are
-done. For the others:
-
-1. Each prefix token proposes its first class to all its classes: as many pairs as token rows, never
-   all pairs. Pairs whose sets are similar link, and the components of these links begin the
-   partition.
-2. A class stays only if its share ``t`` of tokens occurs in other sets at all.
-3. The classes left are laid out by component and smallest token and cut into groups of a bounded
-   number of tokens: similar documents lie together. A group keeps the union of its tokens.
-4. The matrix of prefix tokens and groups proposes groups to a class, unless the whole group is in
-   the class's own component already. A proposed group is opened only if the union holds a share
+sets are one class. Sets are ordered by hash; similar sets, the smaller of m tokens, share at least
+``1 + m // EXTRA`` of their first ``n - ceil(t n) + 1 + n // EXTRA`` tokens (the prefix), so that
+classes with fewer prefix tokens that others have too are done. For the others:
+
+1. Each prefix token has as head the class that shares the largest part of its prefix; a class is
+   compared to the ``HEADS`` heads that most of its tokens name. Pairs that are similar link, and
+   the components of these links begin the partition.
+2. A class without a link stays only if a share ``t`` of all its tokens occurs in other sets.
+3. The classes are laid out by component and smallest token and cut into groups of a bounded number
+   of tokens: similar documents lie together. A group keeps the union of its tokens.
+4. The matrix of prefix tokens and groups proposes to a class the groups that hold a larger
+   component, by its tokens except the most frequent ones, one fewer than it must share. A proposed
+   group is opened only if the union holds a share
    ``t`` of the query's tokens, for no member can overlap more; its members are then compared, one
    link for each component of the group being enough.
 
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.llm.common import cut, fingerprint
@@ -44,7 +45,9 @@ from flowlake.llm.mixing import dealt, running
 
 SHINGLE = 5
 PERCENT = 80
-GROUP_TOKENS = 1 << 15
+EXTRA = 10
+HEADS = 2
+GROUP_TOKENS = 1 << 17
 QUERIES_PER_TASK = 256
 BROADCAST_ROWS = 500_000
 CACHED = 500_000
@@ -84,7 +87,12 @@ def token_set(text: str | None, hashes: WordHashes, shingle: int = SHINGLE) -> n
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - (n * percent + 99) // 100 + 1 if n else 0
+    return min(n, n - (n * percent + 99) // 100 + 1 + n // EXTRA)
+
+
+def needed(n: Column, percent: int) -> Column:
+    """How many prefix tokens a set shares at least with any similar one, be it the smallest."""
+    return F.floor(F.floor((n * percent + 99) / 100) / EXTRA) + 1
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -108,7 +116,7 @@ def sketch(text: Column, percent: int, shingle: int, whole: bool) -> Column:
                 tokens.append(found if whole else found[: prefix_length(len(found), percent)])
             yield pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists(tokens)], ["key", "n", "tokens"])
 
-    return work(text)
+    return work.asNondeterministic()(text)  # else filters on the result run it once more, on all rows
 
 
 def class_id(key: Column) -> Column:
@@ -153,13 +161,33 @@ def open_groups(percent: int):
 
 
 def token_groups(classes: DataFrame) -> DataFrame:
-    """cid, comp, n, tokens, group: bounded groups of neighbours by component and smallest token."""
-    heads = classes.groupBy("comp").agg(F.min(F.get("tokens", F.lit(0))).alias("head")).withColumnRenamed("comp", "of")
-    rows = classes.join(heads, F.col("comp") == F.col("of")).drop("of").withColumn("least", F.get("tokens", F.lit(0)))
+    """cid, group: bounded groups of neighbours by component and smallest token.
+
+    ``classes``: cid, comp, n, least (the smallest token).
+    """
+    heads = classes.groupBy("comp").agg(F.min("least").alias("head")).withColumnRenamed("comp", "of")
+    rows = classes.join(heads, F.col("comp") == F.col("of")).drop("of")
     order = [F.col("head"), F.col("comp"), F.col("least"), F.col("cid")]
-    placed = running(dealt(rows.select("cid", "comp", "n", "head", "least"), order), order, F.col("n"), "upto")
-    group = placed.select("cid", F.floor((F.col("upto") - F.col("n")) / GROUP_TOKENS).alias("group"))
-    return classes.join(group, "cid")
+    placed = running(dealt(rows, order), order, F.col("n"), "upto")
+    return placed.select("cid", "comp", F.floor((F.col("upto") - F.col("n")) / GROUP_TOKENS).alias("group"))
+
+
+def twice(rows: DataFrame) -> DataFrame:
+    """The tokens that two classes or more have."""
+    return rows.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select("token")
+
+
+def shared_hits(base: DataFrame, percent: int) -> DataFrame:
+    """cid, n, m, token: the prefix tokens that classes share, of classes that share enough of them.
+
+    Twice, as tokens that only classes without enough of them share don't count.
+    """
+    prefixes = base.select("cid", "n", F.explode("tokens").alias("token"))
+    hits = cut(prefixes.join(sized(cut(twice(prefixes), release=True)), "token").distinct(), release=True)
+    enough = lambda rows: rows.groupBy("cid", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= needed(F.col("n"), percent)).select("cid", "m")
+    hits = cut(hits.join(sized(cut(enough(hits))).select("cid"), "cid", "left_semi"), release=True)
+    hits = hits.join(sized(cut(twice(hits))), "token", "left_semi")
+    return cut(hits.join(sized(cut(enough(hits))), "cid"))
 
 
 def labelled(docs: DataFrame, doc_id: str, text: str, percent: int, shingle: int) -> DataFrame:
@@ -167,40 +195,50 @@ def labelled(docs: DataFrame, doc_id: str, text: str, percent: int, shingle: int
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     base = plain.select("id", fingerprint(F.col("text")).alias("print"), sketch(F.col("text"), percent, shingle, False).alias("s"))
     base = cut(base.select("id", "print", "s.*").withColumn("cid", class_id(F.col("key"))))
-    classes = base.where("n > 0").groupBy("key", "cid").agg(F.min("id").alias("least"), F.first("tokens").alias("tokens"))
-    prefixes = classes.select("cid", F.explode("tokens").alias("token"))
-    shared = cut(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("head")).where("df > 1"))
-    hits = cut(prefixes.join(sized(shared.select("token", "head")), "token"))
-    proposed = hits.where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
-    # The whole sets of the classes that share a prefix token.
-    named = hits.select(F.col("cid").alias("of")).distinct()
-    wanted = cut(base.where("n > 0").join(named, F.col("cid") == F.col("of"), "left_semi").groupBy("cid").agg(F.min("id").alias("at")))
+    hits = shared_hits(base, percent)
+    # The classes that share the most are the heads of the tokens; each class proposes itself to two.
+    heads = hits.groupBy("token").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), "cid")).alias("h"), F.count(F.lit(1)).alias("df"))
+    hits = cut(hits.join(heads.select("token", "df", F.col("h.cid").alias("head")), "token"), release=True)
+    to = hits.where("cid <> head").groupBy("cid", "head").agg(F.count(F.lit(1)).alias("k"))
+    best = Window.partitionBy("cid").orderBy(F.col("k").desc(), "head")
+    to = to.withColumn("at", F.row_number().over(best)).where(F.col("at") <= HEADS).groupBy("cid").agg(F.collect_list("head").alias("heads"))
+    # The whole sets of these classes.
+    named = cut(hits.select("cid").distinct())
+    wanted = cut(base.join(sized(named), "cid", "left_semi").groupBy("cid").agg(F.min("id").alias("at")))
     chosen = plain.join(sized(cut(wanted.select("at").distinct())), F.col("id").eqNullSafe(F.col("at")), "left_semi")
     sets = chosen.select(sketch(F.col("text"), percent, shingle, True).alias("s")).select("s.*").withColumn("cid", class_id(F.col("key")))
-    sets = cut(sets.where("n > 0").join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    # 1. Links to the first class of a token.
-    left = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
-    links = cut(proposed.join(left, "a").join(right, "b").where(similar(F.col("ta"), F.col("tb"), percent)).select("a", "b"))
-    begun = components(links)
-    # 2. Classes with enough tokens that others have too.
+    sets = sets.join(sized(named), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = cut(sets.join(to, "cid", "left"), release=True)
+    # 1. Links to the heads.
+    pairs = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"), F.explode("heads").alias("b"))
+    asked = pairs.select(F.col("b").alias("cid")).distinct()
+    right = sets.join(asked, "cid", "left_semi").select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
+    links = cut(pairs.join(right, "b").where(similar(F.col("ta"), F.col("tb"), percent)).select("a", "b"), release=True)
+    begun = components(links).withColumnRenamed("node", "cid")
+    # 2. Classes without a link stay if enough of all their tokens occur elsewhere.
     held = sets.select("cid", "n", F.explode("tokens").alias("token"))
-    common = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    able = held.join(common, "token", "left_semi").groupBy("cid", "n").agg(F.count(F.lit(1)).alias("m")).where(100 * F.col("m") >= percent * F.col("n"))
-    left_over = sets.join(able.select("cid"), "cid", "left_semi").join(begun.withColumnRenamed("node", "cid"), "cid", "left")
-    left_over = cut(left_over.select("cid", F.coalesce("root", "cid").alias("comp"), "n", "tokens"))
-    # 3. and 4. Groups, and the queries that each may hold a match for.
-    groups = cut(token_groups(left_over))
-    rows = groups.select("cid", "comp", "group").join(hits.select("cid", "token"), "cid")
-    matrix = rows.groupBy("token", "group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    asks = rows.select("token", "cid", "comp", F.col("group").alias("own"))
-    asked = asks.join(matrix, (asks["token"] == matrix["token"]) & ((F.col("comp") != F.col("low")) | (F.col("comp") != F.col("high"))))
-    asked = cut(asked.select("cid", F.col("group").alias("to")).distinct())
-    blocks = asked.groupBy("to").agg(F.floor((F.count(F.lit(1)) - 1) / QUERIES_PER_TASK).cast("int").alias("last"))
-    members = groups.join(blocks, F.col("group") == F.col("to")).select("group", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "cid", "comp", "tokens")
-    queries = asked.join(blocks, "to").join(groups.select("cid", "comp", "tokens"), "cid")
+    alone = held.join(begun.select("cid"), "cid", "left_anti")
+    common = alone.join(sized(cut(twice(held), release=True)), "token", "left_semi").groupBy("cid", "n").agg(F.count(F.lit(1)).alias("m"))
+    alone = common.where(100 * F.col("m") >= percent * F.col("n")).select("cid", F.col("cid").alias("root"))
+    classes = cut(sets.select("cid", "n", F.get("tokens", F.lit(0)).alias("least")).join(begun.union(alone), "cid"), release=True)
+    sizes = classes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    # 3. and 4. Groups, and the queries that each may hold a match for: smaller components ask larger ones.
+    groups = token_groups(classes.select("cid", F.col("root").alias("comp"), "n", "least"))
+    groups = cut(groups.join(sizes, F.col("comp") == F.col("root")).select("cid", "comp", "group", F.struct("size", "comp").alias("rank")))
+    found = hits.join(groups, "cid")
+    # A similar class shares ``needed`` tokens, so one at least besides the most frequent ones.
+    rare = Window.partitionBy("cid").orderBy(F.col("df").desc(), "token")
+    asks = found.withColumn("at", F.row_number().over(rare)).where(F.col("at") >= needed(F.col("n"), percent))
+    asks = asks.select("cid", F.col("token").alias("of"), F.col("rank").alias("own"))
+    matrix = found.groupBy("token", "group").agg(F.max("rank").alias("top"))
+    asked = asks.join(matrix, (F.col("of") == F.col("token")) & (F.col("top") > F.col("own")))
+    asked = cut(asked.select("cid", F.col("group").alias("to")).distinct(), release=True)
+    blocks = cut(asked.groupBy("to").agg(F.floor((F.count(F.lit(1)) - 1) / QUERIES_PER_TASK).cast("int").alias("last")))
+    whole = sets.select("cid", "tokens").join(groups.drop("rank"), "cid")
+    members = whole.join(blocks, F.col("group") == F.col("to")).select("group", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "cid", "comp", "tokens")
     block = F.pmod(F.xxhash64("cid"), F.col("last") + 1).cast("int").alias("part")
-    queries = queries.select(F.col("to").alias("goal"), block, F.col("cid").alias("query"), F.col("comp").alias("own"), F.col("tokens").alias("asked"))
+    queries = asked.join(blocks, "to").select("cid", "to", block).join(whole.drop("group"), "cid")
+    queries = queries.select(F.col("to").alias("goal"), "part", F.col("cid").alias("query"), F.col("comp").alias("own"), F.col("tokens").alias("asked"))
     more = members.groupBy("group", "block").cogroup(queries.groupBy("goal", "part")).applyInPandas(open_groups(percent), "a long, b long")
     joined = components(links.union(more)).withColumnRenamed("node", "cid")
     # Labels: a component's least id, through its classes.
