@@ -49,7 +49,7 @@ EXTRA = 10
 HEADS = 2
 GROUP_TOKENS = 1 << 17
 QUERIES_PER_TASK = 256
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 50_000
 CACHED = 500_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
