@@ -1,18 +1,22 @@
-"""Personal data, and the terms around it that give it away (native).
+"""Personal data, and the terms that give it away (native).
 
 Emails, IP addresses, payment cards and phone numbers are found by pattern (and card numbers by
-their check digit). They are the protected entities. Masking them is not enough where the words
-nearby reveal them all the same, so the corpus says how strongly each term does: with documents as
+their check digit). They are the protected entities. Masking them is not enough where other words
+reveal them all the same, so the corpus says how strongly each term does: with documents as
 events, the pointwise mutual information of a term and an entity is compared to the information
 content of the entity, and a term whose PMI reaches ``DISCLOSURE`` of it discloses the entity.
-Co-occurrence means within ``REACH`` code points of the entity. A term needs ``SUPPORT`` distinct
-texts with the entity, so that one text and its copies give nothing away. Disclosing terms become
-spans of kind ``term``; ``sanitised`` generalises them and the entities to their kind.
+Co-occurrence means within one document, however far apart; a term inside of an entity does not
+co-occur with that one. A term needs ``SUPPORT`` distinct
+texts with the entity, so that one text and its copies give nothing away. A disclosing term becomes
+a span of kind ``term`` wherever it stands outside of entities, in documents without its entity too; ``sanitised``
+generalises terms and entities to their kind.
 
 Patterns are anchored where a run begins and are possessive, so that long runs of digits or
 letters cost no more than their length; they match what the plain patterns match. Counts cover all
 documents: term frequencies are partial sums before their shuffle, and pairs are dealt by entity
-and term, so that a frequent term or entity is spread over its partners.
+and term, so that a frequent term or entity is spread over its partners. An entity in fewer than
+``SUPPORT`` texts can have no pair with so many and is left out before pairs are made; where no
+entity is left, terms aren't counted at all. Entities by text are checkpointed.
 
 Null texts count as empty. Repeated rows count as documents each and get the same spans. Other
 columns pass through; columns named as a result are replaced.
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import fingerprint, let
+from flowlake.llm.common import cut, fingerprint, let
 from flowlake.llm.spans import SPAN, masked, matches, spans
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -32,9 +36,10 @@ CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # chains of 12 digits and more, taken w
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}{4,}+"
-REACH = 160
+REACH = 160  # of the SQL form only, which looks no further
 SUPPORT = 3
 DISCLOSURE = 0.9
+BROADCAST_ROWS = 100_000
 KINDS = ("email", "ip", "card", "phone", "term")
 
 
@@ -70,48 +75,43 @@ def base_spans(body: Column) -> Column:
     return F.concat(*[spans(body, kind, at, pattern, 0, keep) for at, (kind, pattern, keep) in enumerate(BASE)])
 
 
-def near(body: Column, found: Column) -> Column:
-    """The terms within reach of each entity: (entity, term, start, end), places in the text."""
+def terms_of(body: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(TERM), F.lit(0)))
 
-    def around(s: Column) -> Column:
-        entity = F.xxhash64(s["kind"], F.lower(F.substring(body, s["start"] + 1, s["end"] - s["start"])))
-        left = F.greatest(s["start"] - REACH, F.lit(0))
-        # A term cut by the window's edge isn't taken: the window grows by a run of letters, which is dropped.
-        sides = F.array(
-            F.struct(left.alias("from"), F.substring(body, left + 1, s["start"] - left).alias("part"), (left > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-            F.struct(s["end"].alias("from"), F.substring(body, s["end"] + 1, REACH).alias("part"), F.lit(False).alias("cut_left"), F.lit(True).alias("cut_right")),
-        )
 
-        def terms(side: Column) -> Column:
-            whole = F.filter(
-                matches(side["part"], TERM),
-                lambda m: ~((side["cut_left"] & (m["start"] == 0)) | (side["cut_right"] & (m["end"] == REACH))),
-            )
-            return F.transform(
-                whole,
-                lambda m: F.struct(
-                    entity.alias("entity"),
-                    F.lower(m["found"]).alias("term"),
-                    (side["from"] + m["start"]).alias("start"),
-                    (side["from"] + m["end"]).alias("end"),
-                ),
-            )
+def small(frame: DataFrame) -> DataFrame:
+    """``frame``, broadcast in joins when it has few rows; ``frame`` is checkpointed, so its size isn't known to Spark."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
-        return F.flatten(F.transform(sides, terms))
 
-    return F.flatten(F.transform(found, around))
+def entity_of(body: Column, s: Column) -> Column:
+    return F.xxhash64(s["kind"], F.lower(F.substring(body, s["start"] + 1, s["end"] - s["start"])))
 
 
-def disclosing(rows: DataFrame, near_rows: DataFrame, disclosure: float, support: int) -> DataFrame:
+def owned_terms(body: Column) -> Column:
+    """(term, owner) of a text: its terms outside of entities, and those inside of one with the entity."""
+    term = lambda t, owner: F.struct(t.alias("term"), owner.alias("owner"))
+    inside = lambda s: F.transform(terms_of(F.substring(body, s["start"] + 1, s["end"] - s["start"])), lambda t: term(t, entity_of(body, s)))
+    outside = lambda found: F.transform(terms_of(masked(body, found, lambda s: F.lit(" "))), lambda t: term(t, F.lit(None).cast("long")))
+    return let(base_spans(body), lambda found: F.array_union(outside(found), F.flatten(F.transform(found, inside))))
+
+
+def disclosing(rows: DataFrame, keys: DataFrame, disclosure: float, support: int) -> DataFrame:
     """entity, term: the pairs whose term discloses the entity.
 
-    ``rows``: body; ``near_rows``: print, near, one row for each document with an entity.
+    ``rows``: print, body; ``keys``: entity, print, docs, one row for each entity of each text.
     """
-    pairs = near_rows.select("print", F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term", "print").agg(F.count(F.lit(1)).alias("docs"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    entities = near_rows.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("with_entity"))
-    terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(TERM), F.lit(0)))).alias("t"))
+    entities = keys.groupBy(F.col("entity").alias("e")).agg(F.sum("docs").alias("with_entity"), F.count(F.lit(1)).alias("texts"))
+    entities = entities.where(F.col("texts") >= support).drop("texts")
+    keys = cut(keys.join(entities.select(F.col("e").alias("entity")), "entity", "left_semi"))
+    held = rows.join(small(keys.select("print").distinct()), "print", "left_semi").select("print", owned_terms(F.col("body")).alias("owned"))
+    held = held.groupBy("print").agg(F.first("owned").alias("owned"))  # each distinct text once
+    other = F.filter("owned", lambda o: o["owner"].isNull() | (o["owner"] != F.col("entity")))
+    pairs = keys.join(held, "print").select("entity", "docs", F.explode(F.array_distinct(F.transform(other, lambda o: o["term"]))).alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("texts"))
+    pairs = pairs.where(F.col("texts") >= support)
+    terms = rows.select(F.explode(terms_of(F.col("body"))).alias("t"))
     terms = terms.groupBy("t").agg(F.count(F.lit(1)).alias("with_term"))
     total = rows.agg(F.count(F.lit(1)).alias("n"))
     known = pairs.join(entities, F.col("entity") == F.col("e")).join(terms, F.col("term") == F.col("t")).join(F.broadcast(total))
@@ -123,18 +123,26 @@ def disclosing(rows: DataFrame, near_rows: DataFrame, disclosure: float, support
 def find_personal(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """Every row with ``base_spans`` and ``spans``: arrays of (start, end, at, kind)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.drop("base_spans", "spans").withColumns({"__print": fingerprint(F.col(text)), "base_spans": base_spans(body)})
+    rows = docs.drop("base_spans", "spans").withColumn("base_spans", base_spans(body))
     plain = docs.select(F.col(text).alias("text")).select(fingerprint(F.col("text")).alias("print"), F.coalesce("text", F.lit("")).alias("body"))
-    held = plain.withColumn("found", base_spans(F.col("body"))).where(F.size("found") > 0)
-    whole = lambda s: F.xxhash64(s["kind"], F.lower(F.substring("body", s["start"] + 1, s["end"] - s["start"])))
-    held = held.select("print", near(F.col("body"), F.col("found")).alias("near"), F.array_distinct(F.transform("found", whole)).alias("entities"))
-    told = disclosing(plain, held, disclosure, support).withColumnsRenamed({"entity": "e", "term": "t"})
-    places = held.select("print", F.inline("near")).distinct().join(told, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
-    span = F.struct("start", "end", F.lit(len(BASE)).alias("at"), F.lit("term").alias("kind"))
-    places = places.groupBy(F.col("print").alias("__p")).agg(F.collect_set(span).alias("__terms"))
-    rows = rows.join(places, F.col("__print") == F.col("__p"), "left")
-    rows = rows.withColumn("spans", F.concat("base_spans", F.coalesce("__terms", F.array().cast(SPAN))))
-    return rows.drop("__print", "__p", "__terms")
+    found = plain.withColumn("found", base_spans(F.col("body"))).where(F.size("found") > 0)
+    keys = found.select("print", F.explode(F.array_distinct(F.transform("found", lambda s: entity_of(F.col("body"), s)))).alias("entity"))
+    keys = cut(keys.groupBy("entity", "print").agg(F.count(F.lit(1)).alias("docs")))
+    if keys.groupBy("entity").count().where(F.col("count") >= support).isEmpty():
+        return rows.withColumn("spans", F.col("base_spans"))
+    told = cut(disclosing(plain, keys, disclosure, support).select(F.col("term").alias("t")).distinct())
+    if told.isEmpty():
+        return rows.withColumn("spans", F.col("base_spans"))
+    held = plain.select("print", F.explode(terms_of(F.col("body"))).alias("term")).join(small(told), F.col("term") == F.col("t"))
+    held = cut(held.select("print", "term").distinct())
+    few = held.count() <= BROADCAST_ROWS
+    held = held.groupBy(F.col("print").alias("__p")).agg(F.collect_set("term").alias("__terms"))
+    rows = rows.withColumn("__print", fingerprint(F.col(text))).join(F.broadcast(held) if few else held, F.col("__print") == F.col("__p"), "left")
+    span = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(len(BASE)).alias("at"), F.lit("term").alias("kind"))
+    covered = lambda m: F.exists("base_spans", lambda s: (s["start"] <= m["start"]) & (m["end"] <= s["end"]))
+    places = F.transform(F.filter(matches(body, TERM), lambda m: F.array_contains("__terms", F.lower(m["found"])) & ~covered(m)), span)
+    places = F.when(F.col("__terms").isNotNull(), places).otherwise(F.array().cast(SPAN))
+    return rows.withColumn("spans", F.concat("base_spans", places)).drop("__print", "__p", "__terms")
 
 
 def sanitised(text: Column, found: Column) -> Column:

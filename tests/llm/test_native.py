@@ -173,3 +173,14 @@ def test_disclosing_terms(spark):
     assert got[0].clean == "report 0 by <term> of the common office, mail <email> or call"
     assert terms(got[60]) == set() and terms(got[10]) == set()
     assert pii.find_personal(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_disclosing_terms_far_from_the_entity(spark):
+    far = prose(60, "ab ")
+    rows = [(k, f"joe@acme.org {far} {letters(k)} zweigart", "s") for k in range(4)]  # 180 code points apart and more
+    rows += [(10, "zweigart without an entity", "s"), (11, f"joe@acme.org {far} nobody", "s")]
+    rows += [(20 + k, f"another text {far} {letters(k)}", "s") for k in range(60)]
+    got = {r.doc_id: r for r in pii.find_personal(docs(spark, rows)).collect()}
+    terms = lambda r: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"]
+    assert all(terms(got[k]) == ["zweigart"] for k in (0, 1, 2, 3, 10))
+    assert not any(terms(got[k]) for k in (11, 20, 79))
