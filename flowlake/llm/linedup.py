@@ -3,7 +3,7 @@
 A text is cut into lines at line breaks and, as whole paragraphs often stand on one line, after
 sentence ends; the pieces joined give the text again. Lines are compared by a 64-bit hash of the
 trimmed line; lines without a word fit each other. Two documents overlap when they share a key: a
-line of ``MIN_WORDS`` words, or two lines in a row. A rare key (in up to ``RARE`` documents)
+line of ``MIN_WORDS`` words, or two lines with a word in a row, whatever wordless lines lie between. A rare key (in up to ``RARE`` documents)
 proposes all its earlier documents to each later one, any other key its first document, so that
 proposals grow as the keys do and never as the pairs within a group. Each proposed pair is aligned
 by patience diff: common first and last lines, then the longest ordered run of lines that are
@@ -126,11 +126,10 @@ def aligned(earlier: Column, later: Column, words: Column) -> Column:
 
 
 def keyed(lines: Column, words: Column) -> Column:
-    """The keys of a document: pairs of lines in a row that hold a word, and long lines."""
+    """The keys of a document: each line with a word and the next such line, and long lines."""
     place = F.sequence(F.lit(0), F.size(lines) - 1)
-    here, after = lambda k: F.get(lines, k), lambda k: F.get(lines, k + 1)
-    double = F.transform(place, lambda k: F.when((here(k) != 0) & (after(k) != 0), F.xxhash64(here(k), after(k))))
-    single = F.transform(place, lambda k: F.when(F.get(words, k) >= MIN_WORDS, F.xxhash64(here(k))))
+    double = let(F.filter(lines, lambda h: h != 0), lambda s: F.transform(s, lambda h, k: F.when(k + 1 < F.size(s), F.xxhash64(h, F.get(s, k + 1)))))
+    single = F.transform(place, lambda k: F.when(F.get(words, k) >= MIN_WORDS, F.xxhash64(F.get(lines, k))))
     return F.when(F.size(lines) > 0, F.array_distinct(F.array_compact(F.concat(double, single))))
 
 

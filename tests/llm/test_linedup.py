@@ -84,3 +84,10 @@ def test_large_group_keeps_one_copy_of_a_passage(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("Start "), F.col("id"), F.lit(". " + A + B + C + D), F.lit("End "), F.col("id"), F.lit(".")).alias("text"))
     got = linedup.dedup_lines(docs).where(F.col("text").contains("Lorem ipsum")).collect()
     assert [r.doc_id for r in got] == [0]
+
+
+def test_passage_with_blank_lines_between(spark):
+    passage = "\n\n".join(x.strip() for x in (A, B, C, D))
+    docs = [(1, f"Start one.\n\n{passage}\n\nend one."), (2, f"Start two.\n\n{passage}\n\nend two.")]
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and "Lorem" in got[1] and "Lorem" not in got[2]
