@@ -113,11 +113,12 @@ def stream_ingest(minutes: DataFrame, path: str, checkpoint: str):
     def upsert(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("day", F.to_date("bucket_start"))
-        days = [r.day for r in new.select("day").distinct().limit(1000).collect()]  # a handful: the days a batch touches
-        old = spark.read.schema(new.schema).parquet(path).where(F.col("day").isin(days)) if exists(spark, path) else new.limit(0)
+        days = new.select("day").distinct()
+        old = spark.read.schema(new.schema).parquet(path).join(days, "day", "left_semi").select(*new.columns) if exists(spark, path) else new.limit(0)
         rows = facts.upsert_last(old.unionByName(new), ["camera_id", "bucket_start"])
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path + "__next")
-        spark.read.schema(new.schema).parquet(path + "__next").where(F.col("day").isin(days)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        ready = spark.read.schema(new.schema).parquet(path + "__next").join(days, "day", "left_semi")
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
     return minutes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -87,3 +87,12 @@ def test_stream_minutes_equal_batch(spark, tmp_path):
     want = minutes.camera_minutes(frames.withColumns({"entries": F.lit(0), "exits": F.lit(0)}))
     columns = ["camera_id", "bucket_start", "sample_count", "occupancy_sum", "occupancy_max", "occupancy_last"]
     assert sorted(map(tuple, spark.table("minutes").select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_ingest_of_more_than_a_thousand_days(spark, tmp_path):
+    at = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 86400).alias("bucket_start")
+    rows = spark.range(1003).select(F.lit(1).cast("long").alias("camera_id"), at, F.col("id").alias("arrival"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    jobs.stream_ingest(stream, str(tmp_path / "store"), str(tmp_path / "c")).awaitTermination(240)
+    assert spark.read.parquet(str(tmp_path / "store")).select("bucket_start").distinct().count() == 1003
