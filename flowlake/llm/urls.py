@@ -2,8 +2,9 @@
 
 A rule is a host and a path prefix; it fits the host and its subdomains when the url's path starts
 with the prefix, and the longest fitting rule decides. Urls without a rule take their host's
-verdict. Host edges are the absolute links in the pages' html, and from each host to the nearest
-parent domain that is a host itself. Trust is personalised PageRank along the edges from hosts
+verdict. Host edges are the absolute and protocol-relative links in the pages' html, from each host
+to the nearest parent domain that is a host itself, and from domain to domain up to the one of two
+labels, with or without pages of their own (numeric addresses have no such domains). Trust is personalised PageRank along the edges from hosts
 that have allowed pages; distrust is the same against the edges from hosts that have blocked pages.
 A host seeds with the share of its pages that a rule decides. A host is blocked when its distrust
 reaches ``FLOOR`` and exceeds its trust; hosts that nothing reaches are allowed.
@@ -37,7 +38,9 @@ STEPS = 10
 FLOOR = SCALE // 50
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
+LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+
+NUMERIC = r"^[0-9.]+(?::[0-9]*)?$"
 
 
 def host_of(url: Column) -> Column:
@@ -66,7 +69,10 @@ def host_edges(pages: DataFrame, hosts: DataFrame, html: str = "html") -> DataFr
     above = hosts.where(F.size(labels) > 1).select(F.col("host").alias("src"), F.explode(suffixes).alias("s")).select("src", "s.*")
     known = hosts.select(F.col("host").alias("parent"))
     nearest = above.join(known, "parent").groupBy("src").agg(F.min_by("parent", "at").alias("dst"))
-    return linked.union(nearest).where("src <> dst and src <> '' and dst <> ''").distinct()
+    name = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    chain = F.transform(F.sequence(F.lit(1), F.size(labels) - 2), lambda i: F.struct(name(i).alias("src"), name(i + 1).alias("dst")))
+    chained = hosts.where((F.size(labels) > 2) & ~F.col("host").rlike(NUMERIC)).select(F.inline(chain))
+    return linked.union(nearest).union(chained).where("src <> dst and src <> '' and dst <> ''").distinct()
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:

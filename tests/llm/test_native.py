@@ -184,3 +184,10 @@ def test_disclosing_terms_far_from_the_entity(spark):
     terms = lambda r: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"]
     assert all(terms(got[k]) == ["zweigart"] for k in (0, 1, 2, 3, 10))
     assert not any(terms(got[k]) for k in (11, 20, 79))
+
+
+def test_host_edges_through_domains_without_pages(spark):
+    rows = [(1, "http://m.a.example.org/x", "<a href='//C.net/p'>"), (2, "http://b.example.org/", "<a href='/x'>"), (3, "http://10.0.0.1/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("__host", urls.host_of(F.col("url")))
+    got = {tuple(r) for r in urls.host_edges(pages, pages.select(F.col("__host").alias("host"))).collect()}
+    assert got == {("m.a.example.org", "a.example.org"), ("a.example.org", "example.org"), ("b.example.org", "example.org"), ("m.a.example.org", "c.net")}
