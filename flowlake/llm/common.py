@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +65,10 @@ def cut(frame: DataFrame, release: bool = False) -> DataFrame:
         gc.collect()
         jvm.System.gc()
     return kept
+
+
+def small_batches(batches: Iterator, rows: int) -> Iterator:
+    """Arrow arrays cut to ``rows`` at most, so that what is made of each stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

@@ -8,19 +8,23 @@ classes with fewer prefix tokens that others have too are done. For the others:
 1. Each prefix token has as head the class that shares the largest part of its prefix; a class is
    compared to the ``HEADS`` heads that most of its tokens name. Pairs that are similar link, and
    the components of these links begin the partition.
-2. A class without a link stays only if a share ``t`` of all its tokens occurs in other sets.
-3. The classes are laid out by component and smallest token and cut into groups of a bounded number
-   of tokens: similar documents lie together. A group keeps the union of its tokens.
-4. The matrix of prefix tokens and groups proposes to a class the groups that hold a larger
-   component, by its tokens except the most frequent ones, one fewer than it must share. A proposed
-   group is opened only if the union holds a share
-   ``t`` of the query's tokens, for no member can overlap more; its members are then compared, one
-   link for each component of the group being enough.
+2. A class can only link outside of its component with tokens that another component has too; it
+   stays open if a share ``t`` of its whole set are such tokens, counted twice, the second time
+   among the open classes alone.
+3. Open classes are laid out by size, component and smallest token and cut into groups of a bounded
+   number of tokens: similar documents lie together. A group keeps the union of its tokens as rows.
+4. The tokens of open classes are ordered by how many classes hold them. Similar sets share a token
+   among the ``n - ceil(t n) + 1`` rarest of each, so the matrix of these tokens and groups proposes
+   to a class the groups of like size (a factor ``t``) that hold a larger component. The class's
+   whole set is intersected with the unions of the proposed groups, and only a group with a share
+   ``t`` of it is opened, for no member can overlap more; its members are then compared, one link
+   for each component of the group being enough.
 
 So no link between different components is lost, and what links within one is not enumerated.
-Tokens are 64-bit hashes, class keys 128-bit digests of sets. Proposals carry half of a key, verified
-on the sets. The text is read once for prefixes, and the texts of proposed classes once more.
-Tables of proposals are broadcast only when counted below ``BROADCAST_ROWS``.
+Tokens are 64-bit hashes, class keys 128-bit digests of sets. Classes go by half of their key; where
+two classes share that half, one of them takes another. The text is read once for prefixes, and the
+texts of proposed classes once more. Tables of proposals are broadcast only when counted below
+``BROADCAST_ROWS``.
 
 Null and blank texts have no set and are components of their own (``component_id`` is their id).
 Texts below the shingle length are one shingle. Repeated rows share class and component. A null id
@@ -30,6 +34,7 @@ is in its component but names none. Only id and text are read; other columns don
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import cut, fingerprint
+from flowlake.llm.common import WORD, cut, fingerprint, small_batches
 from flowlake.llm.components import components
 from flowlake.llm.mixing import dealt, running
 
@@ -47,10 +52,11 @@ SHINGLE = 5
 PERCENT = 80
 EXTRA = 10
 HEADS = 2
-GROUP_TOKENS = 1 << 17
+GROUP_TOKENS = 1 << 14
 QUERIES_PER_TASK = 256
 BROADCAST_ROWS = 50_000
-CACHED = 500_000
+CACHED = 100_000
+BATCH = 512  # texts worked on at once
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -107,13 +113,13 @@ def sketch(text: Column, percent: int, shingle: int, whole: bool) -> Column:
     @F.arrow_udf("key binary, n long, tokens array<bigint>")
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches, BATCH):
             keys, sizes, tokens = [], [], []
             for value in batch:
                 found = token_set(value.as_py(), hashes, shingle)
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
-                tokens.append(found if whole else found[: prefix_length(len(found), percent)])
+                tokens.append(found if whole else found[: prefix_length(len(found), percent)].copy())
             yield pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists(tokens)], ["key", "n", "tokens"])
 
     return work.asNondeterministic()(text)  # else filters on the result run it once more, on all rows
@@ -123,6 +129,22 @@ def class_id(key: Column) -> Column:
     return F.xxhash64(key)
 
 
+def with_class(rows: DataFrame, clashing: DataFrame | None) -> DataFrame:
+    """``rows`` with ``cid``; ``clashing``: the keys that give way to another key with their id."""
+    rows = rows.withColumn("cid", class_id(F.col("key")))
+    if clashing is None:
+        return rows
+    rows = rows.join(F.broadcast(clashing), F.col("key") == F.col("yields"), "left")
+    return rows.withColumn("cid", F.when(F.col("yields").isNull(), F.col("cid")).otherwise(F.xxhash64("key", F.lit("other")))).drop("yields")
+
+
+def clashes(rows: DataFrame) -> DataFrame | None:
+    """``yields``: of two keys with one id the larger; None, as nearly always, where there are none."""
+    keys = rows.groupBy("cid").agg(F.min("key").alias("low"), F.max("key").alias("yields"))
+    found = cut(keys.where("low <> yields").select("yields"))
+    return None if found.isEmpty() else found
+
+
 def sized(frame: DataFrame) -> DataFrame:
     """The rows, marked for broadcast when they are counted to be few; they must be cut before."""
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
@@ -134,7 +156,7 @@ def similar(a: Column, b: Column, percent: int) -> Column:
 
 
 def open_groups(percent: int):
-    """Links between the queries and the members of one group."""
+    """Links between the queries and the members of one opened group."""
 
     def links(group: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -144,13 +166,10 @@ def open_groups(percent: int):
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            union = np.unique(flat)
             for q, comp, tokens in zip(queries["query"], queries["own"], queries["asked"]):
                 tokens = np.asarray(tokens)
-                if 100 * np.isin(tokens, union, assume_unique=True).sum() < percent * len(tokens):
-                    continue
                 low, high = np.searchsorted(flat, tokens, "left"), np.searchsorted(flat, tokens, "right")
-                hit = np.concatenate([owner[a:b] for a, b in zip(low, high) if b > a])
+                hit = np.concatenate([owner[a:b] for a, b in zip(low, high)])
                 both = np.bincount(hit, minlength=len(sets))
                 good = np.flatnonzero((100 * both >= percent * (sizes + len(tokens) - both)) & (comps != comp))
                 _, first = np.unique(comps[good], return_index=True)
@@ -160,16 +179,22 @@ def open_groups(percent: int):
     return links
 
 
+def size_class(n: Column, percent: int) -> Column:
+    """Similar sets are in the same or in neighbouring size classes (a little wider than the share)."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / (percent - 1))).cast("int")
+
+
 def token_groups(classes: DataFrame) -> DataFrame:
-    """cid, group: bounded groups of neighbours by component and smallest token.
+    """cid, comp, n, band, group: bounded groups of neighbours by size, component and smallest token.
 
-    ``classes``: cid, comp, n, least (the smallest token).
+    ``classes``: cid, comp, n, band (the size class), least (the smallest token).
     """
     heads = classes.groupBy("comp").agg(F.min("least").alias("head")).withColumnRenamed("comp", "of")
     rows = classes.join(heads, F.col("comp") == F.col("of")).drop("of")
-    order = [F.col("head"), F.col("comp"), F.col("least"), F.col("cid")]
+    order = [F.col("band"), F.col("head"), F.col("comp"), F.col("least"), F.col("cid")]
     placed = running(dealt(rows, order), order, F.col("n"), "upto")
-    return placed.select("cid", "comp", F.floor((F.col("upto") - F.col("n")) / GROUP_TOKENS).alias("group"))
+    number = F.floor((F.col("upto") - F.col("n")) / GROUP_TOKENS)
+    return placed.select("cid", "comp", "n", "band", F.xxhash64("band", number).alias("group"))
 
 
 def twice(rows: DataFrame) -> DataFrame:
@@ -190,11 +215,60 @@ def shared_hits(base: DataFrame, percent: int) -> DataFrame:
     return cut(hits.join(sized(cut(enough(hits))), "cid"))
 
 
+def open_tokens(held: DataFrame, percent: int) -> DataFrame:
+    """cid, comp, n, token: the tokens that two components hold, of classes whose sets are such to a share."""
+    shared = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    crossing = cut(held.join(sized(cut(shared, release=True)), "token", "left_semi"), release=True)
+    enough = crossing.groupBy("cid", "n").agg(F.count(F.lit(1)).alias("m")).where(100 * F.col("m") >= percent * F.col("n"))
+    return cut(crossing.join(sized(cut(enough.select("cid"))), "cid", "left_semi"))
+
+
+def between_components(classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components: one at least for each pair of linked components.
+
+    ``classes``: cid, comp, n, tokens; steps 2 to 4.
+    """
+    held = open_tokens(classes.select("cid", "comp", "n", F.explode("tokens").alias("token")), percent)
+    held = open_tokens(held, percent)
+    chosen = sized(cut(held.select("cid").distinct()))
+    opened = cut(classes.join(chosen, "cid", "left_semi").withColumn("band", size_class(F.col("n"), percent)))
+    sizes = opened.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    groups = token_groups(opened.select("cid", "comp", "n", "band", F.get("tokens", F.lit(0)).alias("least")))
+    groups = cut(groups.join(sizes, "comp").select("cid", "comp", "band", "group", F.struct("size", "comp").alias("rank")))
+    # The rarest of the tokens that other components have; all that none has come before them.
+    df = sized(cut(held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))))
+    rarest = Window.partitionBy("cid").orderBy("df", "token")
+    ranked = held.join(df, "token").withColumns({"at": F.row_number().over(rarest), "m": F.count(F.lit(1)).over(Window.partitionBy("cid"))})
+    rare = ranked.where(F.col("at") <= F.col("m") - F.ceil(F.col("n") * percent / 100) + 1).select("cid", "token")
+    rare = cut(rare.join(groups, "cid"))
+    matrix = rare.groupBy("token", "band", "group").agg(F.max("rank").alias("top"))
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("near")
+    asks = rare.select("cid", F.col("token").alias("of"), F.col("rank").alias("own"), near)
+    asked = asks.join(matrix, (F.col("of") == F.col("token")) & (F.col("near") == F.col("band")) & (F.col("top") > F.col("own")))
+    asked = cut(asked.select("cid", F.col("group").alias("goal")).distinct(), release=True)
+    # A query's overlap with a group's union bounds its overlap with each member.
+    tokens = held.select("cid", "n", "token")
+    unions = held.join(groups.select("cid", "group"), "cid").select(F.col("group").alias("at_group"), F.col("token").alias("in_union")).distinct()
+    inside = asked.join(tokens, "cid").join(unions, (F.col("goal") == F.col("at_group")) & (F.col("token") == F.col("in_union")))
+    bound = inside.groupBy("cid", "goal", "n").agg(F.count(F.lit(1)).alias("both")).where(100 * F.col("both") >= percent * F.col("n"))
+    opening = cut(bound.select("cid", "goal"), release=True)
+    blocks = cut(opening.groupBy("goal").agg(F.floor((F.count(F.lit(1)) - 1) / QUERIES_PER_TASK).cast("int").alias("last")))
+    whole = opened.select("cid", "tokens").join(groups.select("cid", "comp", "group"), "cid")
+    members = whole.join(blocks, F.col("group") == F.col("goal")).select("group", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "cid", "comp", "tokens")
+    part = F.pmod(F.xxhash64("cid"), F.col("last") + 1).cast("int").alias("part")
+    queries = opening.join(blocks, "goal").select("cid", "goal", part).join(whole.drop("group"), "cid")
+    queries = queries.select("goal", "part", F.col("cid").alias("query"), F.col("comp").alias("own"), F.col("tokens").alias("asked"))
+    found = members.groupBy("group", "block").cogroup(queries.groupBy("goal", "part")).applyInPandas(open_groups(percent), "a long, b long")
+    return cut(found)
+
+
 def labelled(docs: DataFrame, doc_id: str, text: str, percent: int, shingle: int) -> DataFrame:
-    """id, print (of the text), n (of tokens), label: one row for each row of ``docs``."""
+    """id, print (of the text), n (of tokens), label, class (of the component): one row for each row of ``docs``."""
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     base = plain.select("id", fingerprint(F.col("text")).alias("print"), sketch(F.col("text"), percent, shingle, False).alias("s"))
-    base = cut(base.select("id", "print", "s.*").withColumn("cid", class_id(F.col("key"))))
+    base = cut(with_class(base.select("id", "print", "s.*"), None))
+    clashing = clashes(base)
+    base = base if clashing is None else cut(with_class(base.drop("cid"), clashing))
     hits = shared_hits(base, percent)
     # The classes that share the most are the heads of the tokens; each class proposes itself to two.
     heads = hits.groupBy("token").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), "cid")).alias("h"), F.count(F.lit(1)).alias("df"))
@@ -206,47 +280,26 @@ def labelled(docs: DataFrame, doc_id: str, text: str, percent: int, shingle: int
     named = cut(hits.select("cid").distinct())
     wanted = cut(base.join(sized(named), "cid", "left_semi").groupBy("cid").agg(F.min("id").alias("at")))
     chosen = plain.join(sized(cut(wanted.select("at").distinct())), F.col("id").eqNullSafe(F.col("at")), "left_semi")
-    sets = chosen.select(sketch(F.col("text"), percent, shingle, True).alias("s")).select("s.*").withColumn("cid", class_id(F.col("key")))
+    sets = chosen.select(sketch(F.col("text"), percent, shingle, True).alias("s")).select("s.*")
+    sets = with_class(sets, clashing)
     sets = sets.join(sized(named), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets = cut(sets.join(to, "cid", "left"), release=True)
     # 1. Links to the heads.
     pairs = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"), F.explode("heads").alias("b"))
-    asked = pairs.select(F.col("b").alias("cid")).distinct()
-    right = sets.join(asked, "cid", "left_semi").select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
+    asked = sized(cut(pairs.select(F.col("b").alias("of")).distinct()))
+    right = cut(sets.join(asked, F.col("cid") == F.col("of"), "left_semi").select(F.col("cid").alias("b"), F.col("tokens").alias("tb")))
     links = cut(pairs.join(right, "b").where(similar(F.col("ta"), F.col("tb"), percent)).select("a", "b"), release=True)
-    begun = components(links).withColumnRenamed("node", "cid")
-    # 2. Classes without a link stay if enough of all their tokens occur elsewhere.
-    held = sets.select("cid", "n", F.explode("tokens").alias("token"))
-    alone = held.join(begun.select("cid"), "cid", "left_anti")
-    common = alone.join(sized(cut(twice(held), release=True)), "token", "left_semi").groupBy("cid", "n").agg(F.count(F.lit(1)).alias("m"))
-    alone = common.where(100 * F.col("m") >= percent * F.col("n")).select("cid", F.col("cid").alias("root"))
-    classes = cut(sets.select("cid", "n", F.get("tokens", F.lit(0)).alias("least")).join(begun.union(alone), "cid"), release=True)
-    sizes = classes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    # 3. and 4. Groups, and the queries that each may hold a match for: smaller components ask larger ones.
-    groups = token_groups(classes.select("cid", F.col("root").alias("comp"), "n", "least"))
-    groups = cut(groups.join(sizes, F.col("comp") == F.col("root")).select("cid", "comp", "group", F.struct("size", "comp").alias("rank")))
-    found = hits.join(groups, "cid")
-    # A similar class shares ``needed`` tokens, so one at least besides the most frequent ones.
-    rare = Window.partitionBy("cid").orderBy(F.col("df").desc(), "token")
-    asks = found.withColumn("at", F.row_number().over(rare)).where(F.col("at") >= needed(F.col("n"), percent))
-    asks = asks.select("cid", F.col("token").alias("of"), F.col("rank").alias("own"))
-    matrix = found.groupBy("token", "group").agg(F.max("rank").alias("top"))
-    asked = asks.join(matrix, (F.col("of") == F.col("token")) & (F.col("top") > F.col("own")))
-    asked = cut(asked.select("cid", F.col("group").alias("to")).distinct(), release=True)
-    blocks = cut(asked.groupBy("to").agg(F.floor((F.count(F.lit(1)) - 1) / QUERIES_PER_TASK).cast("int").alias("last")))
-    whole = sets.select("cid", "tokens").join(groups.drop("rank"), "cid")
-    members = whole.join(blocks, F.col("group") == F.col("to")).select("group", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "cid", "comp", "tokens")
-    block = F.pmod(F.xxhash64("cid"), F.col("last") + 1).cast("int").alias("part")
-    queries = asked.join(blocks, "to").select("cid", "to", block).join(whole.drop("group"), "cid")
-    queries = queries.select(F.col("to").alias("goal"), "part", F.col("cid").alias("query"), F.col("comp").alias("own"), F.col("tokens").alias("asked"))
-    more = members.groupBy("group", "block").cogroup(queries.groupBy("goal", "part")).applyInPandas(open_groups(percent), "a long, b long")
+    begun = components(links).withColumnsRenamed({"node": "of", "root": "comp"})
+    classes = sets.join(begun, F.col("cid") == F.col("of"), "left").withColumn("comp", F.coalesce("comp", "cid"))
+    more = between_components(cut(classes.select("cid", "comp", "n", "tokens"), release=True), percent)
     joined = components(links.union(more)).withColumnRenamed("node", "cid")
     # Labels: a component's least id, through its classes.
-    labels = base.where("n > 0").groupBy("key", "cid").agg(F.min("id").alias("least")).join(joined, "cid", "left")
-    roots = labels.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("least").alias("name"))
-    labels = labels.join(roots, F.col("root") == F.col("of"), "left").select(F.col("key").alias("of_key"), F.coalesce("name", "least").alias("label"))
-    final = base.select("id", "print", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(labels, F.col("key") == F.col("of_key"), "left")
-    return final.select("id", "print", "n", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id")).alias("label"))
+    labels = base.where("n > 0").groupBy("cid").agg(F.min("id").alias("least")).join(joined, "cid", "left")
+    labels = labels.withColumn("root", F.coalesce("root", "cid"))
+    names = labels.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("name"))
+    labels = labels.join(names, F.col("root") == F.col("of")).select(F.col("cid").alias("of_class"), F.col("root").alias("class"), F.col("name").alias("label"))
+    final = base.select("id", "print", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(labels, F.col("cid") == F.col("of_class"), "left")
+    return final.select("id", "print", "n", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id")).alias("label"), "class")
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -256,8 +309,16 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of each component's smallest id; rows that share that id and text all stay."""
-    rows = labelled(docs, doc_id, text, percent, shingle).where(F.col("id").eqNullSafe(F.col("label")))
-    named = rows.select(F.col("id").alias("__id"), F.col("print").alias("__p")).distinct()
+    """One row of each component, that of its smallest id (null ids last); all rows without words."""
+    rows = labelled(docs, doc_id, text, percent, shingle).where("n > 0")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("best")
+    rows = rows.groupBy("class").agg(best).select(F.col("best.id").alias("__id"), F.col("best.print").alias("__p"), F.lit(True).alias("__best"))
     kept = docs.withColumn("__print", fingerprint(F.col(text)))
-    return kept.join(named, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__p")), "left_semi").drop("__print")
+    kept = kept.join(rows, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__p")), "left")
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    kept = kept.where(F.col("__best") | blank).drop("__id", "__p")
+    repeated = cut(kept.where("__best").groupBy(F.col(doc_id).alias("__id"), F.col("__print").alias("__p")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if not repeated.isEmpty():
+        same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__p")) & F.col("__best")
+        kept = kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates([doc_id, "__print"]))
+    return kept.select(*docs.columns)

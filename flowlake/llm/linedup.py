@@ -1,40 +1,52 @@
 """Line dedup by pairwise alignment.
 
 A text is cut into lines at line breaks and, as whole paragraphs often stand on one line, after
-sentence ends; the pieces joined give the text again. Lines are compared by a 64-bit hash of the
-trimmed line; lines without a word fit each other. Two documents overlap when they share a key: a
-line of ``MIN_WORDS`` words, or two lines with a word in a row, whatever wordless lines lie between. A rare key (in up to ``RARE`` documents)
-proposes all its earlier documents to each later one, any other key its first document, so that
-proposals grow as the keys do and never as the pairs within a group. Each proposed pair is aligned
-by patience diff: common first and last lines, then the longest ordered run of lines that are
-unique in both, then what lies between, likewise. Runs of aligned lines of ``MIN_WORDS`` words or
-more in all are deleted from the later document (the larger id; null ids last).
-
-Equal texts are one document: all rows but those of its smallest id lose all their lines. Rows with
-equal id and text are the same document and fare alike. Only line hashes are shuffled for the
-search; texts meet the deletions by their 128-bit print. A frequent first document, or line, is a
-hot key of a join only, which the adaptive skew join splits.
-
-Null and empty texts have no keys and are left as they are. Other columns pass through; columns
-named as a result are replaced.
+sentences and clauses; the pieces joined give the text again. Lines are compared by a 64-bit hash of
+the trimmed line; lines without a word are passed over. A passage is a run of neighbouring lines with
+a word that hold ``MIN_WORDS`` words or more in all.
+
+1. Lines that two texts or more hold are counted; a document goes on with such lines only.
+2. Its runs of such lines give keys: from each line the shortest passage that begins there, and the
+   shortest that ends there. Any passage that two texts share is covered by keys of both.
+3. Each key proposes its first document to all others, so that proposals grow as the keys do and
+   never as the pairs within a group: whatever passage an earlier document shares, its first holder
+   has it too.
+4. Each proposed pair is aligned by patience diff: common first and last lines, then the longest
+   ordered run of lines that are unique in both, then what lies between, likewise. Aligned passages
+   are deleted from the later document (the larger id; null ids last), with the wordless lines after each.
+   Passages that patience leaves, as they stand in another order or several times in the earlier
+   document, are then found by their keys.
+
+So a line goes exactly if it is part of a passage that an earlier text holds. Equal texts are one
+document: all rows but those of its smallest id lose all their lines. Rows with equal id and text are
+the same document and fare alike. Only line hashes are shuffled for the search; texts go by their
+128-bit print. A frequent first document, or line, is a hot key of a join only, between tables that
+the adaptive skew join can split.
+
+Ids may have any type that can be ordered. Null and empty texts have no keys and are left as they
+are. Other columns pass through; columns named as a result are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import WORD, cut, fingerprint, let
+from flowlake.llm.common import cut, fingerprint, let, small_batches
 
-MIN_WORDS = 30
-RARE = 4
+MIN_WORDS = 20
 BROADCAST_ROWS = 100_000
-BREAK = r"(?<=[\n\x20])(?<=\n|[.!?]\x20)"
-ENDS = r"\n|[.!?]\x20"  # as many as there are breaks
-LAST = (1 << 63) - 1
+BATCH = 512  # texts worked on at once
+BREAK = r"(?<=[\n\x20])(?<=\n|[.!?,;:]\x20)"
+ENDS = r"\n|[.!?,;:]\x20"  # as many as there are breaks
+PIECES = re.compile(rb"(?<=\n)|(?<=[.!?,;:]\x20)")
 
 
 def line_pieces(text: Column) -> Column:
@@ -98,74 +110,140 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(set(found))
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], least: int = MIN_WORDS) -> list[int]:
-    """The lines of ``b`` in runs aligned with ``a`` that hold ``least`` words or more."""
-    out: list[int] = []
+def passages(words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(first, last) of the shortest passages from each line on and up to each line."""
+    found, total, first = [], 0, 0
+    for last, w in enumerate(words):
+        total += w
+        while total - words[first] >= least:
+            if not found or found[-1][0] < first:
+                found.append((first, last))
+            total -= words[first]
+            first += 1
+        if total >= least:
+            found.append((first, last))
+    return found
+
+
+def run_key(lines: np.ndarray, first: int, last: int) -> int:
+    return xxhash.xxh3_64_intdigest(lines[first : last + 1].tobytes()) - (1 << 63)
+
+
+def common_blocks(a: np.ndarray, b: np.ndarray, words_a: list[int], words_b: list[int], least: int = MIN_WORDS) -> list[int]:
+    """The lines of ``b`` in passages of ``a``, with the wordless lines (hash 0) after each."""
+    at_a, at_b = np.flatnonzero(a), np.flatnonzero(b)
+    a, b = a[at_a], b[at_b]
+    words, words_a, words_b = words_b, [words_a[k] for k in at_a], [words_b[k] for k in at_b]
+    gone = np.zeros(len(b), bool)
     run: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in run) >= least:
-                out += run
+    before = (-2, -2)
+    for i, j in [*patience(a.tolist(), b.tolist()), (-9, -9)]:
+        if (i, j) != (before[0] + 1, before[1] + 1):
+            if sum(words_b[k] for k in run) >= least:
+                gone[run] = True
             run = []
         run.append(j)
-        last = (i, j)
+        before = (i, j)
+    left = [(x, y) for x, y in passages(words_b, least) if not gone[x : y + 1].all()]
+    if left:
+        held = {run_key(a, x, y) for x, y in passages(words_a, least)}
+        for x, y in left:
+            if run_key(b, x, y) in held:
+                gone[x : y + 1] = True
+    out: list[int] = []
+    for k in np.flatnonzero(gone):
+        out += range(int(at_b[k]), int(at_b[k + 1]) if k + 1 < len(at_b) else len(words))
     return out
 
 
-def aligned(earlier: Column, later: Column, words: Column) -> Column:
+def arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    return (x.values.to_numpy(zero_copy_only=False) for x in column)
+
+
+def lists(parts: list, kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int64)
+    flat = np.concatenate([np.asarray(p, kind.to_pandas_dtype()) for p in parts]) if parts else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
+
+
+def aligned(earlier: Column, later: Column, words_a: Column, words_b: Column) -> Column:
     """``common_blocks`` as a column."""
 
     @F.arrow_udf("array<int>")
-    def align(a: pa.Array, b: pa.Array, w: pa.Array) -> pa.Array:
-        plain = lambda lists: (x.values.to_numpy(zero_copy_only=False).tolist() for x in lists)
-        found = [common_blocks(x, y, z) for x, y, z in zip(plain(a), plain(b), plain(w))]
+    def align(a: pa.Array, b: pa.Array, wa: pa.Array, wb: pa.Array) -> pa.Array:
+        found = [common_blocks(x, y, u.tolist(), v.tolist()) for x, y, u, v in zip(arrays(a), arrays(b), arrays(wa), arrays(wb))]
         return pa.array(found, pa.list_(pa.int32()))
 
-    return align(earlier, later, words)
+    return align(earlier, later, words_a, words_b)
 
 
-def keyed(lines: Column, words: Column) -> Column:
-    """The keys of a document: each line with a word and the next such line, and long lines."""
-    place = F.sequence(F.lit(0), F.size(lines) - 1)
-    double = let(F.filter(lines, lambda h: h != 0), lambda s: F.transform(s, lambda h, k: F.when(k + 1 < F.size(s), F.xxhash64(h, F.get(s, k + 1)))))
-    single = F.transform(place, lambda k: F.when(F.get(words, k) >= MIN_WORDS, F.xxhash64(F.get(lines, k))))
-    return F.when(F.size(lines) > 0, F.array_distinct(F.array_compact(F.concat(double, single))))
+def hashed(text: Column) -> Column:
+    """lines and words: each line's hash (0 without a word) and how many words it has."""
 
+    @F.arrow_udf("lines array<bigint>, words array<int>")
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hash_, split = xxhash.xxh3_64_intdigest, PIECES.split
+        for batch in small_batches(batches, BATCH):
+            lines, words = [], []
+            for value in batch:
+                pieces = split((value.as_py() or "").encode("utf-8", "surrogatepass"))
+                count = [len(x.split()) for x in pieces]
+                lines.append(np.fromiter((hash_(x.strip()) if n else 0 for x, n in zip(pieces, count)), np.uint64, len(pieces)).view(np.int64))
+                words.append(count)
+            yield pa.StructArray.from_arrays([lists(lines, pa.int64()), lists(words, pa.int32())], ["lines", "words"])
 
-def hashed(text: Column) -> Column:
-    """(h, w) of each line: its hash, 0 without a word, and its words."""
+    return work.asNondeterministic()(text)
+
+
+def passage_keys(lines: Column, words: Column, shared: Column) -> Column:
+    """The keys of a document's passages that consist of ``shared`` lines."""
+
+    @F.arrow_udf("array<bigint>")
+    def work(lines: pa.Array, words: pa.Array, shared: pa.Array) -> pa.Array:
+        found = []
+        for h, w, s in zip(arrays(lines), arrays(words), arrays(shared)):
+            w = w[h != 0]
+            h = h[h != 0]
+            ends = np.flatnonzero(np.diff(np.concatenate([[0], np.isin(h, s).astype(np.int8), [0]])))
+            keys = {run_key(h[a:b], x, y) for a, b in ends.reshape(-1, 2) for x, y in passages(w[a:b].tolist())}
+            found.append(sorted(keys))
+        return lists(found, pa.int64())
+
+    return work(lines, words, shared)
 
-    def both(x: Column) -> Column:
-        return let(F.regexp_count(x, F.lit(WORD)), lambda w: F.struct(F.when(w > 0, F.xxhash64(F.btrim(x, F.lit(" \n\r\t")))).otherwise(F.lit(0)).alias("h"), w.alias("w")))
 
-    return F.transform(line_pieces(text), both)
+def sized(frame: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast when they are counted to be few; they must be cut before."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """print, first, gone: for each text that loses lines its smallest id and their places."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     rows = rows.select("id", fingerprint(F.col("text")).alias("print"), hashed(F.col("text")).alias("p"))
-    rows = rows.select("id", "print", F.col("p.h").alias("lines"), F.col("p.w").alias("words"))
+    rows = rows.select("id", "print", "p.lines", "p.words")
     texts = rows.groupBy("print").agg(
         F.min("id").alias("id"), F.max("id").alias("top"), F.max(F.col("id").isNull()).alias("nameless"), F.first("lines").alias("lines"), F.first("words").alias("words")
     )
-    place = {"at": F.coalesce("id", F.lit(LAST)), "cid": F.xxhash64("print"), "twice": (F.col("id") != F.col("top")) | (F.col("id").isNotNull() & F.col("nameless"))}
-    texts = cut(texts.withColumns(place).drop("top", "nameless"))
-    keys = texts.select("at", "cid", F.explode(keyed(F.col("lines"), F.col("words"))).alias("key"))
-    head = F.min(F.struct("at", "cid")).alias("head")
-    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"), head).where("df > 1"))
-    small = shared.count() <= BROADCAST_ROWS
-    held = cut(keys.join(F.broadcast(shared) if small else shared, "key"))
-    first = held.where("cid <> head.cid").select(F.col("head.cid").alias("early"), F.col("cid").alias("late"))
-    rare = held.where(F.col("df").between(3, RARE)).select("key", "at", "cid")
-    other = rare.select(F.col("key").alias("of"), F.struct("at", "cid").alias("before"))
-    rare = rare.join(other, (F.col("key") == F.col("of")) & (F.col("before") < F.struct("at", "cid")))
-    pairs = first.union(rare.select("before.cid", "cid")).distinct()
-    early = texts.select(F.col("cid").alias("early"), F.col("lines").alias("a"))
-    late = texts.select(F.col("cid").alias("late"), "print", F.col("lines").alias("b"), F.col("words").alias("w"))
-    found = pairs.join(early, "early").join(late, "late").select("print", aligned(F.col("a"), F.col("b"), F.col("w")).alias("gone"))
-    gone = found.select(F.col("print").alias("late"), F.explode("gone").alias("line")).groupBy("late").agg(F.collect_set("line").alias("gone"))
+    twice = F.coalesce(F.col("id") != F.col("top"), F.lit(False)) | (F.col("id").isNotNull() & F.col("nameless"))
+    texts = cut(texts.withColumn("twice", twice).drop("top", "nameless"))
+    # 1. Lines that two texts hold.
+    held = texts.select("print", F.explode(F.array_distinct("lines")).alias("h")).where("h <> 0")
+    shared = cut(held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h"))
+    lines = held.join(sized(shared), "h").groupBy("print").agg(F.collect_list("h").alias("shared"))
+    # 2. Their passages.
+    keys = lines.withColumnRenamed("print", "of").join(texts, F.col("print") == F.col("of"))
+    keys = keys.select("print", F.col("id").isNull().alias("none"), "id", passage_keys(F.col("lines"), F.col("words"), F.col("shared")).alias("keys"))
+    keys = cut(keys.select("print", "none", "id", F.explode("keys").alias("key")))
+    # 3. Pairs.
+    heads = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("none", "id", "print")).alias("head")).where("df > 1")
+    heads = sized(cut(heads.select("key", F.col("head.print").alias("early"))))
+    pairs = cut(keys.join(heads, "key").where("print <> early").select("early", F.col("print").alias("late")).distinct())
+    # 4. Alignment.
+    early = texts.select(F.col("print").alias("early"), F.col("lines").alias("a"), F.col("words").alias("wa"))
+    late = texts.select(F.col("print").alias("late"), F.col("lines").alias("b"), F.col("words").alias("wb"))
+    found = pairs.join(early, "early").join(late, "late").select(F.col("late"), aligned(F.col("a"), F.col("b"), F.col("wa"), F.col("wb")).alias("gone"))
+    gone = found.select("late", F.explode("gone").alias("line")).groupBy("late").agg(F.collect_set("line").alias("gone"))
     out = texts.select("print", "twice", F.col("id").alias("first")).join(gone, F.col("print") == F.col("late"), "left")
     return out.where("late is not null or twice").select("print", "first", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
@@ -174,10 +252,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Every row with its remaining text, ``n_lines``, ``n_removed`` and the places ``removed``."""
     result = ["n_lines", "n_removed", "removed"]
     found = cut(removals(docs, doc_id, text)).withColumnsRenamed({"print": "__p", "first": "__first", "gone": "__gone"})
-    rows = docs.drop(*result).withColumn("__print", fingerprint(F.col(text)))
+    rows = docs.drop(*[c for c in result if c not in (doc_id, text)]).withColumn("__print", fingerprint(F.col(text)))
     rows = rows.join(found, F.col("__print") == F.col("__p"), "left")
     body, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<int>")
-    copy = ~F.col(doc_id).cast("long").eqNullSafe(F.col("__first")) & (body != "")
+    copy = ~F.col(doc_id).eqNullSafe(F.col("__first")) & (body != "")
 
     def without(pieces: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(pieces) - 1)

@@ -1,5 +1,6 @@
 """Line dedup against an all-pairs alignment, and its defined cases."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -13,26 +14,47 @@ D = "Ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi. "
 
 
 def pieces(text):
-    return re.split(r"(?<=\n)|(?<=[.!?]\x20)", text) if text else [""]
+    return re.split(r"(?<=\n)|(?<=[.!?,;:]\x20)", text) if text else [""]
+
+
+def runs(text):
+    """The lines with a word, and (first, last) of every run of them with enough words."""
+    lines = [(k, x.strip(), len(x.split())) for k, x in enumerate(pieces(text)) if x.strip()]
+    found = []
+    for a in range(len(lines)):
+        total = 0
+        for b in range(a, len(lines)):
+            total += lines[b][2]
+            if total >= linedup.MIN_WORDS:
+                found.append((a, b))
+                break  # longer runs from here are covered by the shortest ones that end at each line
+    for b in range(len(lines)):
+        total = 0
+        for a in range(b, -1, -1):
+            total += lines[a][2]
+            if total >= linedup.MIN_WORDS:
+                found.append((a, b))
+                break
+    return lines, found
 
 
 def brute(docs):
-    """Texts left when each document is aligned with every earlier one."""
-    out, texts = {}, sorted(docs)
-    seen = {}
-    for n, (i, t) in enumerate(texts):
+    """Texts left when every passage that an earlier document holds goes."""
+    out, seen, known = {}, set(), set()
+    for i, t in sorted(docs):
         if t and t in seen:
             out[i] = ""
             continue
-        seen[t or ""] = i
-        lines = [x.strip() if re.search(r"[^\x20\x09-\x0D]", x) else 0 for x in pieces(t)]
-        words = [len(x.split()) for x in pieces(t)]
+        seen.add(t)
+        lines, found = runs(t)
         gone = set()
-        for j, u in texts[:n]:
-            if u and u != t and j == seen[u]:
-                other = [x.strip() if re.search(r"[^\x20\x09-\x0D]", x) else 0 for x in pieces(u)]
-                gone |= set(linedup.common_blocks(other, lines, words))
-        out[i] = "".join(p for k, p in enumerate(pieces(t)) if k not in gone) if gone else t
+        for a, b in found:
+            if tuple(x[1] for x in lines[a : b + 1]) in known:
+                gone |= set(range(a, b + 1))
+        starts = [x[0] for x in lines] + [len(pieces(t))]
+        places = {p for k in gone for p in range(starts[k], starts[k + 1])}
+        out[i] = "".join(p for k, p in enumerate(pieces(t)) if k not in places) if places else t
+        known |= {tuple(x[1] for x in lines[a : b + 1]) for a, b in found}
     return out
 
 
@@ -49,7 +71,7 @@ def test_planted_passages(spark):
         (2, f"Other words here. {A}{B}{C}Another end."),
         (3, "Clean text of its own, nothing shared at all. Really."),
         (4, f"Own start of one. {A}{B}{C}Own end of one."),
-        (5, f"{A}short share only."),
+        (5, f"{A}{A[:20]}. Short share only."),
         (6, f"Six starts.\n{D}{C}{B}\nsix ends."),
         (7, f"Seven starts.\n{D}{C}{B}\nseven ends."),
         (8, f"Eight {A}{B}{C}. {D}{C}{B}"),
@@ -91,3 +113,36 @@ def test_passage_with_blank_lines_between(spark):
     docs = [(1, f"Start one.\n\n{passage}\n\nend one."), (2, f"Start two.\n\n{passage}\n\nend two.")]
     got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs) and "Lorem" in got[1] and "Lorem" not in got[2]
+
+
+def test_key_of_many_documents_whose_first_holder_has_only_a_piece(spark):
+    """Documents 50 and 51 share a block of which others hold pieces."""
+    lines = [f"line {n} " + " ".join(f"w{n}{k}" for k in range(10)) + ". " for n in range(4)]
+    docs = [(k, f"Start {k}. {lines[k % 4]}{lines[(k + 1) % 4]}end {k}.") for k in range(24)]
+    docs += [(50, f"Fifty. {''.join(lines)}done."), (51, f"Other. {''.join(lines)}over.")]
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and got[51] == "Other. over."
+
+
+def test_passages_in_other_order_and_repeated_in_the_first_holder(spark):
+    docs = [(1, f"One. {A}{B}{C}{A}{B}{C}end."), (2, f"Two. {C}{D}{A}{B}{C}end."), (3, f"Three. {A}{B}{C}last."), (4, f"Four. {C}{A}{B}last.")]
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and got[3] == "Three. last."
+
+
+def test_random_documents_match_brute_force(spark):
+    """Few lines in many orders, blank lines between, some lines frequent."""
+    draw = random.Random(5)
+    pool = [" ".join(f"v{n}x{k}" for k in range(draw.randrange(2, 9))) + draw.choice([".", ",", "!"]) for n in range(40)]
+    docs = [(k, "".join(draw.choice(pool[:: draw.choice([4, 8])]) + draw.choice([" ", " ", "\n", "\n\n"]) for _ in range(draw.randrange(30)))) for k in range(150)]
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(docs)
+    assert 20 < sum(got[k] != t for k, t in docs)
+
+
+def test_text_ids_and_long_texts(spark):
+    passage = A + B + C
+    long = " ".join(f"x{k}" for k in range(60_000))
+    docs = [("b", f"B own. {passage}"), ("a", f"A own. {passage}"), ("c", long), ("d", f"{long}. {passage}"), ("e", ". " * 50_000)]
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id string, text string")).collect()}
+    assert got["b"] == "B own. " and got["a"] == docs[1][1] and got["c"] == long and got["d"] == f"{long}. " and got["e"] == docs[4][1]
