@@ -110,50 +110,52 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(set(found))
 
 
-def passages(words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int]]:
+def passages(words: np.ndarray, least: int = MIN_WORDS) -> np.ndarray:
     """(first, last) of the shortest passages from each line on and up to each line."""
-    found, total, first = [], 0, 0
-    for last, w in enumerate(words):
-        total += w
-        while total - words[first] >= least:
-            if not found or found[-1][0] < first:
-                found.append((first, last))
-            total -= words[first]
-            first += 1
-        if total >= least:
-            found.append((first, last))
-    return found
+    upto = np.concatenate([[0], np.cumsum(words)])
+    n = len(words)
+    firsts = np.arange(n)
+    lasts = np.searchsorted(upto, upto[:-1] + least) - 1
+    on = np.stack([firsts, lasts], 1)[lasts < n]
+    ends = np.flatnonzero(upto[1:] >= least)
+    up = np.stack([np.searchsorted(upto, upto[ends + 1] - least, "right") - 1, ends], 1)
+    return np.unique(np.concatenate([on, up]), axis=0) if len(ends) else on
+
+
+def stretches(mask: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(start, end) of the runs of marked lines that hold enough words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).reshape(-1, 2)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    return [(a, b) for a, b in edges[upto[edges[:, 1]] - upto[edges[:, 0]] >= least].tolist()]
 
 
 def run_key(lines: np.ndarray, first: int, last: int) -> int:
     return xxhash.xxh3_64_intdigest(lines[first : last + 1].tobytes()) - (1 << 63)
 
 
-def common_blocks(a: np.ndarray, b: np.ndarray, words_a: list[int], words_b: list[int], least: int = MIN_WORDS) -> list[int]:
+def common_blocks(a: np.ndarray, b: np.ndarray, words_a: np.ndarray, words_b: np.ndarray, least: int = MIN_WORDS) -> list[int]:
     """The lines of ``b`` in passages of ``a``, with the wordless lines (hash 0) after each."""
-    at_a, at_b = np.flatnonzero(a), np.flatnonzero(b)
-    a, b = a[at_a], b[at_b]
-    words, words_a, words_b = words_b, [words_a[k] for k in at_a], [words_b[k] for k in at_b]
+    at, words = np.append(np.flatnonzero(b), len(b)), words_b[b != 0]
+    a, b, words_a = a[a != 0], b[b != 0], words_a[a != 0]
     gone = np.zeros(len(b), bool)
     run: list[int] = []
     before = (-2, -2)
     for i, j in [*patience(a.tolist(), b.tolist()), (-9, -9)]:
         if (i, j) != (before[0] + 1, before[1] + 1):
-            if sum(words_b[k] for k in run) >= least:
+            if run and words[run[0] : run[-1] + 1].sum() >= least:
                 gone[run] = True
             run = []
         run.append(j)
         before = (i, j)
-    left = [(x, y) for x, y in passages(words_b, least) if not gone[x : y + 1].all()]
-    if left:
-        held = {run_key(a, x, y) for x, y in passages(words_a, least)}
-        for x, y in left:
-            if run_key(b, x, y) in held:
-                gone[x : y + 1] = True
-    out: list[int] = []
-    for k in np.flatnonzero(gone):
-        out += range(int(at_b[k]), int(at_b[k + 1]) if k + 1 < len(at_b) else len(words))
-    return out
+    held: set[int] | None = None
+    for x, y in stretches(np.isin(b, a), words, least):
+        if not gone[x:y].all():
+            if held is None:
+                held = {run_key(a, p, q) for p, q in passages(words_a, least)}
+            for p, q in passages(words[x:y], least) + x:
+                if not gone[p : q + 1].all() and run_key(b, p, q) in held:
+                    gone[p : q + 1] = True
+    return [p for k in np.flatnonzero(gone) for p in range(int(at[k]), int(at[k + 1]))]
 
 
 def arrays(column: pa.Array) -> Iterator[np.ndarray]:
@@ -171,7 +173,7 @@ def aligned(earlier: Column, later: Column, words_a: Column, words_b: Column) ->
 
     @F.arrow_udf("array<int>")
     def align(a: pa.Array, b: pa.Array, wa: pa.Array, wb: pa.Array) -> pa.Array:
-        found = [common_blocks(x, y, u.tolist(), v.tolist()) for x, y, u, v in zip(arrays(a), arrays(b), arrays(wa), arrays(wb))]
+        found = [common_blocks(x, y, u, v) for x, y, u, v in zip(arrays(a), arrays(b), arrays(wa), arrays(wb))]
         return pa.array(found, pa.list_(pa.int32()))
 
     return align(earlier, later, words_a, words_b)
@@ -204,8 +206,8 @@ def passage_keys(lines: Column, words: Column, shared: Column) -> Column:
         for h, w, s in zip(arrays(lines), arrays(words), arrays(shared)):
             w = w[h != 0]
             h = h[h != 0]
-            ends = np.flatnonzero(np.diff(np.concatenate([[0], np.isin(h, s).astype(np.int8), [0]])))
-            keys = {run_key(h[a:b], x, y) for a, b in ends.reshape(-1, 2) for x, y in passages(w[a:b].tolist())}
+            runs = [(h[a:b], *p) for a, b in stretches(np.isin(h, s), w) for p in passages(w[a:b]).tolist()]
+            keys = {run_key(*r) for r in runs}
             found.append(sorted(keys))
         return lists(found, pa.int64())
 
@@ -226,7 +228,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         F.min("id").alias("id"), F.max("id").alias("top"), F.max(F.col("id").isNull()).alias("nameless"), F.first("lines").alias("lines"), F.first("words").alias("words")
     )
     twice = F.coalesce(F.col("id") != F.col("top"), F.lit(False)) | (F.col("id").isNotNull() & F.col("nameless"))
-    texts = cut(texts.withColumn("twice", twice).drop("top", "nameless"))
+    texts = cut(texts.withColumn("twice", twice).drop("top", "nameless"), release=True)
     # 1. Lines that two texts hold.
     held = texts.select("print", F.explode(F.array_distinct("lines")).alias("h")).where("h <> 0")
     shared = cut(held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h"))
@@ -234,11 +236,11 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # 2. Their passages.
     keys = lines.withColumnRenamed("print", "of").join(texts, F.col("print") == F.col("of"))
     keys = keys.select("print", F.col("id").isNull().alias("none"), "id", passage_keys(F.col("lines"), F.col("words"), F.col("shared")).alias("keys"))
-    keys = cut(keys.select("print", "none", "id", F.explode("keys").alias("key")))
+    keys = cut(keys.select("print", "none", "id", F.explode("keys").alias("key")), release=True)
     # 3. Pairs.
     heads = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("none", "id", "print")).alias("head")).where("df > 1")
     heads = sized(cut(heads.select("key", F.col("head.print").alias("early"))))
-    pairs = cut(keys.join(heads, "key").where("print <> early").select("early", F.col("print").alias("late")).distinct())
+    pairs = cut(keys.join(heads, "key").where("print <> early").select("early", F.col("print").alias("late")).distinct(), release=True)
     # 4. Alignment.
     early = texts.select(F.col("print").alias("early"), F.col("lines").alias("a"), F.col("words").alias("wa"))
     late = texts.select(F.col("print").alias("late"), F.col("lines").alias("b"), F.col("words").alias("wb"))
@@ -251,7 +253,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its remaining text, ``n_lines``, ``n_removed`` and the places ``removed``."""
     result = ["n_lines", "n_removed", "removed"]
-    found = cut(removals(docs, doc_id, text)).withColumnsRenamed({"print": "__p", "first": "__first", "gone": "__gone"})
+    found = cut(removals(docs, doc_id, text), release=True).withColumnsRenamed({"print": "__p", "first": "__first", "gone": "__gone"})
     rows = docs.drop(*[c for c in result if c not in (doc_id, text)]).withColumn("__print", fingerprint(F.col(text)))
     rows = rows.join(found, F.col("__print") == F.col("__p"), "left")
     body, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<int>")
