@@ -46,7 +46,8 @@ BROADCAST_ROWS = 100_000
 BATCH = 512  # texts worked on at once
 BREAK = r"(?<=[\n\x20])(?<=\n|[.!?,;:]\x20)"
 ENDS = r"\n|[.!?,;:]\x20"  # as many as there are breaks
-PIECES = re.compile(rb"(?<=\n)|(?<=[.!?,;:]\x20)")
+PIECE = re.compile(rb"[^\n.!?,;:]*(?:[.!?,;:](?!\x20)[^\n.!?,;:]*)*(?:\n|[.!?,;:]\x20|\Z)")
+BROKEN = (b"\n", b". ", b"! ", b"? ", b", ", b"; ", b": ")
 
 
 def line_pieces(text: Column) -> Column:
@@ -54,6 +55,14 @@ def line_pieces(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), BREAK, -1)
 
 
+def byte_pieces(data: bytes) -> list[bytes]:
+    """``line_pieces`` of a text in UTF-8."""
+    found = PIECE.findall(data)
+    if len(found) > 1 and not found[-2].endswith(BROKEN):
+        found.pop()
+    return found
+
+
 def unique_run(a: list[int], b: list[int], la: int, ha: int, lb: int, hb: int) -> list[tuple[int, int]]:
     """The longest run, in order in both ranges, of lines that are unique in both."""
 
@@ -159,7 +168,8 @@ def common_blocks(a: np.ndarray, b: np.ndarray, words_a: np.ndarray, words_b: np
 
 
 def arrays(column: pa.Array) -> Iterator[np.ndarray]:
-    return (x.values.to_numpy(zero_copy_only=False) for x in column)
+    flat, ends = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
+    return (flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist()))
 
 
 def lists(parts: list, kind: pa.DataType) -> pa.Array:
@@ -184,11 +194,11 @@ def hashed(text: Column) -> Column:
 
     @F.arrow_udf("lines array<bigint>, words array<int>")
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hash_, split = xxhash.xxh3_64_intdigest, PIECES.split
+        hash_ = xxhash.xxh3_64_intdigest
         for batch in small_batches(batches, BATCH):
             lines, words = [], []
             for value in batch:
-                pieces = split((value.as_py() or "").encode("utf-8", "surrogatepass"))
+                pieces = byte_pieces((value.as_py() or "").encode("utf-8", "surrogatepass"))
                 count = [len(x.split()) for x in pieces]
                 lines.append(np.fromiter((hash_(x.strip()) if n else 0 for x, n in zip(pieces, count)), np.uint64, len(pieces)).view(np.int64))
                 words.append(count)
@@ -202,14 +212,22 @@ def passage_keys(lines: Column, words: Column, shared: Column) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def work(lines: pa.Array, words: pa.Array, shared: pa.Array) -> pa.Array:
-        found = []
-        for h, w, s in zip(arrays(lines), arrays(words), arrays(shared)):
-            w = w[h != 0]
-            h = h[h != 0]
-            runs = [(h[a:b], *p) for a, b in stretches(np.isin(h, s), w) for p in passages(w[a:b]).tolist()]
-            keys = {run_key(*r) for r in runs}
-            found.append(sorted(keys))
-        return lists(found, pa.int64())
+        row = np.arange(len(lines), dtype=np.uint64)
+        mixed = lambda hashes, of: hashes.view(np.uint64) ^ (of * np.uint64(0x9E3779B97F4A7C15))
+        owner = np.repeat(row, lines.value_lengths().to_numpy(zero_copy_only=False))
+        asked = np.repeat(row, shared.value_lengths().to_numpy(zero_copy_only=False))
+        h, w = lines.flatten().to_numpy(), words.flatten().to_numpy()
+        owner, w, h = owner[h != 0], w[h != 0], h[h != 0]
+        mask = np.isin(mixed(h, owner), mixed(shared.flatten().to_numpy(), asked))
+        # A stretch of shared lines ends where the row does.
+        begins = mask & np.concatenate([[True], ~mask[:-1] | (owner[1:] != owner[:-1])])[: len(mask)]
+        stretch, h, owner = np.cumsum(begins)[mask], h[mask], owner[mask]
+        runs = passages(w[mask])
+        runs = runs[stretch[runs[:, 0]] == stretch[runs[:, 1]]]
+        keys = np.fromiter((run_key(h, x, y) for x, y in runs.tolist()), np.int64, len(runs))
+        found = np.unique(np.stack([owner[runs[:, 0]].astype(np.int64), keys], 1), axis=0)
+        ends = np.searchsorted(found[:, 0], np.arange(len(lines) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[:, 1], pa.int64()))
 
     return work(lines, words, shared)
 
