@@ -43,6 +43,7 @@ from flowlake.llm.common import cut, fingerprint, let, small_batches
 
 MIN_WORDS = 20
 BROADCAST_ROWS = 100_000
+ODD = np.uint64(0x9E3779B97F4A7C17)
 BATCH = 512  # texts worked on at once
 BREAK = r"(?<=[\n\x20])(?<=\n|[.!?,;:]\x20)"
 ENDS = r"\n|[.!?,;:]\x20"  # as many as there are breaks
@@ -128,7 +129,8 @@ def passages(words: np.ndarray, least: int = MIN_WORDS) -> np.ndarray:
     on = np.stack([firsts, lasts], 1)[lasts < n]
     ends = np.flatnonzero(upto[1:] >= least)
     up = np.stack([np.searchsorted(upto, upto[ends + 1] - least, "right") - 1, ends], 1)
-    return np.unique(np.concatenate([on, up]), axis=0) if len(ends) else on
+    both = np.unique(np.concatenate([on[:, 0] * n + on[:, 1], up[:, 0] * n + up[:, 1]]))
+    return np.stack([both // max(n, 1), both % max(n, 1)], 1)
 
 
 def stretches(mask: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> list[tuple[int, int]]:
@@ -138,8 +140,12 @@ def stretches(mask: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> li
     return [(a, b) for a, b in edges[upto[edges[:, 1]] - upto[edges[:, 0]] >= least].tolist()]
 
 
-def run_key(lines: np.ndarray, first: int, last: int) -> int:
-    return xxhash.xxh3_64_intdigest(lines[first : last + 1].tobytes()) - (1 << 63)
+def run_keys(lines: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the lines of each run: a polynomial over their hashes, from running sums."""
+    powers = np.cumprod(np.full(len(lines) + 1, ODD, np.uint64))
+    inverse = np.cumprod(np.full(len(lines) + 1, pow(int(ODD), -1, 1 << 64), np.uint64))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * powers[:-1])])
+    return ((upto[runs[:, 1] + 1] - upto[runs[:, 0]]) * inverse[runs[:, 0]]).view(np.int64)
 
 
 def common_blocks(a: np.ndarray, b: np.ndarray, words_a: np.ndarray, words_b: np.ndarray, least: int = MIN_WORDS) -> list[int]:
@@ -156,14 +162,13 @@ def common_blocks(a: np.ndarray, b: np.ndarray, words_a: np.ndarray, words_b: np
             run = []
         run.append(j)
         before = (i, j)
-    held: set[int] | None = None
+    held = None
     for x, y in stretches(np.isin(b, a), words, least):
         if not gone[x:y].all():
-            if held is None:
-                held = {run_key(a, p, q) for p, q in passages(words_a, least)}
-            for p, q in passages(words[x:y], least) + x:
-                if not gone[p : q + 1].all() and run_key(b, p, q) in held:
-                    gone[p : q + 1] = True
+            held = run_keys(a, passages(words_a, least)) if held is None else held
+            runs = passages(words[x:y], least) + x
+            for p, q in runs[np.isin(run_keys(b, runs), held)].tolist():
+                gone[p : q + 1] = True
     return [p for k in np.flatnonzero(gone) for p in range(int(at[k]), int(at[k + 1]))]
 
 
@@ -213,7 +218,7 @@ def passage_keys(lines: Column, words: Column, shared: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def work(lines: pa.Array, words: pa.Array, shared: pa.Array) -> pa.Array:
         row = np.arange(len(lines), dtype=np.uint64)
-        mixed = lambda hashes, of: hashes.view(np.uint64) ^ (of * np.uint64(0x9E3779B97F4A7C15))
+        mixed = lambda hashes, of: hashes.view(np.uint64) ^ (of * ODD)
         owner = np.repeat(row, lines.value_lengths().to_numpy(zero_copy_only=False))
         asked = np.repeat(row, shared.value_lengths().to_numpy(zero_copy_only=False))
         h, w = lines.flatten().to_numpy(), words.flatten().to_numpy()
@@ -224,10 +229,11 @@ def passage_keys(lines: Column, words: Column, shared: Column) -> Column:
         stretch, h, owner = np.cumsum(begins)[mask], h[mask], owner[mask]
         runs = passages(w[mask])
         runs = runs[stretch[runs[:, 0]] == stretch[runs[:, 1]]]
-        keys = np.fromiter((run_key(h, x, y) for x, y in runs.tolist()), np.int64, len(runs))
-        found = np.unique(np.stack([owner[runs[:, 0]].astype(np.int64), keys], 1), axis=0)
-        ends = np.searchsorted(found[:, 0], np.arange(len(lines) + 1))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[:, 1], pa.int64()))
+        order = np.lexsort((keys := run_keys(h, runs), of := owner[runs[:, 0]].astype(np.int64)))
+        of, keys = of[order], keys[order]
+        new = np.concatenate([[True], (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)]
+        ends = np.searchsorted(of[new], np.arange(len(lines) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[new], pa.int64()))
 
     return work(lines, words, shared)
 
