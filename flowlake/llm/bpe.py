@@ -5,7 +5,7 @@ by the vocabulary's pattern (texts with characters newer than some tables: by th
 word's end. The tree has a leaf for each adjacent pair, holding its merge rank and place, and each
 inner node the least of its children; the root is the leftmost pair of the lowest rank. A merge
 changes three leaves and their ancestors, so a piece of n bytes takes n log n steps, however long.
-Pieces recur, so each Python worker keeps the ids of up to ``CACHED`` of them.
+Pieces recur, so each Python worker keeps the ids of some, up to ``CACHED`` bytes.
 
 Rows are encoded where they lie, in Arrow batches; nothing is shuffled. Each worker reads the
 vocabulary file (a tokenizers JSON file, by path) once. Null texts count as empty and give no ids.
@@ -22,12 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 300_000
+from flowlake.llm.common import small_batches
+
+CACHED = 16 << 20  # bytes of pieces and their ids
+ENTRY = 160  # what an entry takes besides
 CACHED_BYTES = 64
+BATCH = 256  # texts worked on at once
 NONE = 1 << 62
 PLACE = (1 << 32) - 1
 #: Characters that every version of Unicode classes alike; texts with others are normalised and
@@ -83,7 +86,14 @@ class Vocabulary:
         self.ascii_pieces = re.compile(ascii_only).findall
         self.known = Cache(self)
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        self.library = tokenizers.Tokenizer.from_file(path)
+        self.path = path
+
+    @functools.cached_property
+    def library(self):
+        """The library's tokenizer, loaded when a text needs its character tables."""
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
 
     def merge(self, piece: str) -> list[int]:
         """The ids of one piece.
@@ -153,13 +163,15 @@ class Cache(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.held = vocabulary, 0
 
     def __missing__(self, piece: str) -> bytes:
         found = np.array(self.vocabulary.merge(piece), dtype="<u4").tobytes()
         if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHED:
+            self.held += ENTRY + len(piece) + len(found)
+            if self.held > CACHED:
                 self.clear()
+                self.held = 0
             self[piece] = found
         return found
 
@@ -176,7 +188,7 @@ def over_rows(work, kind: str):
         @F.arrow_udf(kind)
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             words = vocabulary(path)
-            for batch in batches:
+            for batch in small_batches(batches, BATCH):
                 yield work(words, (x.as_py() for x in batch))
 
         return run(value)

@@ -3,13 +3,18 @@
 Sources, in code point order with null last, weigh ``weights`` in turn and share the words of the
 whole corpus by weight. No target exceeds ``max_copies`` times its source; what exceeds is shared
 again by weight among the others until none is above (the level at which that ends is found from
-running sums over the sources, ordered by when they fill up). A document's expected copies are its
-source's target over its source's words. The whole part is taken for certain; the fraction is the
-inclusion probability p of one copy more. Documents are ranked by u/(1-u) over p/(1-p) with u
-uniform from a hash of id, text and seed, and the lowest ranks are taken up to the words that the
-target still wants; ``FILLS`` further passes fill the gap before the first document that didn't
-fit with lower-ranked ones that do. So the sample has a fixed size in words, up to less than a
-short document.
+running sums over the sources, ordered by when they fill up). Within a source a document's expected
+copies grow with its measure, the root of its words rounded up, as long texts say more but not in
+proportion; they are the measure times the source's level, ``max_copies`` at most, so that the
+expected words are the target. The whole part is taken for certain; the fraction is the document's
+own inclusion probability p of one copy more. Documents are ranked by u/(1-u) over p/(1-p) with u
+uniform from a hash of id, text and seed, and taken from the lowest rank on; a document that has more
+words than the target still wants is passed over, until none fits. So the sample has a fixed size in
+words, up to less than the shortest document left; the end of the list thus favours short documents.
+
+The first pass takes all before the first document that doesn't fit; each further pass works on the
+documents that still fit a gap of less than one document, few and fewer. The level comes from sums by
+source and measure, of which a source has no more than the root of its longest text.
 
 Ranks and running sums are computed over range partitions with partition totals, never over a
 source as one group. The order of sources uses the same. Range-partitioned rows are checkpointed,
@@ -29,7 +34,6 @@ from flowlake.llm.common import cut, n_words
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
-FILLS = 2
 SEED = "mix-1"
 
 
@@ -73,36 +77,65 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     return rows.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target).alias("target"))
 
 
-def copies(units: DataFrame, goals: DataFrame) -> DataFrame:
+def measure(size: Column) -> Column:
+    return F.ceil(F.sqrt(size.cast("double"))).cast("long")
+
+
+def levels(units: DataFrame, goals: DataFrame, max_copies: int) -> DataFrame:
+    """of, level: each source's expected copies of a document of measure 1, where it isn't all taken ``max_copies`` times.
+
+    ``units``: source, size, words; ``goals``: of, target.
+    """
+    bulk = units.groupBy("source", measure(F.col("size")).alias("x")).agg(F.sum("words").alias("words"))
+    longer = Window.partitionBy("source").orderBy(F.col("x").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    bulk = bulk.withColumns(
+        {
+            "full": F.coalesce(F.sum("words").over(longer), none), "weighed": F.coalesce(F.sum(F.col("x") * F.col("words")).over(longer), none),
+            "all": F.sum(F.col("x") * F.col("words")).over(Window.partitionBy("source")),
+        }
+    )
+    rows = bulk.join(goals, F.col("source").eqNullSafe(F.col("of"))).where("x > 0")
+    level = (F.col("target") - max_copies * F.col("full")) / (F.col("all") - F.col("weighed")).cast("double")
+    rows = rows.withColumn("level", level).where(F.col("level") * F.col("x") <= max_copies)
+    return rows.groupBy("of").agg(F.max_by("level", "x").alias("level"))
+
+
+def copies(units: DataFrame, goals: DataFrame, max_copies: int, seed: str = SEED) -> DataFrame:
     """source, id, print, copies: how often each unit is taken.
 
     ``units``: source, id, print, size, words (all its rows' together); ``goals``: from ``targets``.
     """
-    goals = goals.select(F.col("source").alias("of"), "source_size", "target")
+    goals = goals.select(F.col("source").alias("of"), "target")
+    goals = cut(goals.join(levels(units, goals, max_copies).withColumnRenamed("of", "at"), F.col("of").eqNullSafe(F.col("at")), "left").drop("at"))
     rows = units.join(goals, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    expected = F.least(F.lit(float(max_copies)), F.coalesce("level", F.lit(float("inf"))) * F.greatest(measure(F.col("size")), F.lit(1)))
+    expected = F.when((F.col("size") == 0) | (F.col("target") == 0), F.lit(0.0)).otherwise(expected)
     rows = rows.withColumn("expected", expected).withColumn("sure", F.floor("expected"))
     rows = rows.withColumn("p", F.col("expected") - F.col("sure"))
-    name = F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("print"))
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("print"))
     u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
     odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    want = F.col("target") - F.col("sure") * F.col("source_size")
-    rows = rows.withColumn("rank", odds).withColumn("want", want)
-    rows = rows.select("source", "id", "print", "words", "sure", "rank", "want", F.lit(False).alias("taken"))
+    rows = rows.select("source", "id", "print", "words", "sure", "target", odds.alias("rank"))
     order = [F.col("source").asc_nulls_last(), F.col("rank").asc_nulls_last(), F.col("id").asc_nulls_last(), F.col("print").asc()]
     rows = dealt(rows, order)
-    for k in range(1 + FILLS):
-        if k:
-            got = rows.where("taken").groupBy("source").agg(F.sum("words").alias("got")).withColumnRenamed("source", "of")
-            rows = rows.join(got, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-            rows = rows.withColumn("gap", F.col("want") - F.coalesce("got", F.lit(0))).drop("got")
-        else:
-            rows = rows.withColumn("gap", F.col("want"))
-        fits = ~F.col("taken") & F.col("rank").isNotNull() & (F.lit(k == 0) | (F.col("words") <= F.col("gap")))
-        rows = running(rows.withColumn("fits", fits), order, F.when(F.col("fits"), F.col("words")).otherwise(0), "upto", by="source")
-        rows = rows.withColumn("taken", F.col("taken") | (F.col("fits") & (F.col("upto") <= F.col("gap")))).drop("gap", "fits", "upto")
-        rows = cut(rows)
-    return rows.select("source", "id", "print", (F.col("sure") + F.col("taken").cast("long")).alias("copies"))
+    want = (F.max("target") - F.sum(F.col("sure") * F.col("words"))).alias("gap")
+    gaps = cut(rows.groupBy(F.col("source").alias("of")).agg(want))
+    unit = ["source", "id", "print"]
+    left, taken = rows.where("rank is not null").select(*unit, "words", "rank", "part"), None
+    while taken is None or not left.isEmpty():
+        fit = left.join(gaps, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        fit = cut(running(fit, order, F.col("words"), "upto", by="source").withColumn("now", F.col("upto") <= F.col("gap")))
+        got = fit.groupBy("source").agg(F.max("gap").alias("gap"), F.sum(F.when(F.col("now"), F.col("words")).otherwise(0)).alias("got"))
+        gaps = got.select(F.col("source").alias("of"), (F.col("gap") - F.col("got")).alias("gap"))
+        now = fit.where("now").select(*unit)
+        taken = now if taken is None else cut(taken.union(now))
+        left = fit.where("not now").drop("gap", "upto", "now").join(gaps, F.col("source").eqNullSafe(F.col("of"))).where("words <= gap").drop("of", "gap")
+        left = cut(left)
+    extra = taken.select(*[F.col(c).alias(f"t_{c}") for c in unit])
+    same = F.col("source").eqNullSafe(F.col("t_source")) & F.col("id").eqNullSafe(F.col("t_id")) & (F.col("print") == F.col("t_print"))
+    rows = rows.join(extra, same, "left")
+    return rows.select(*unit, (F.col("sure") + F.col("t_print").isNotNull().cast("long")).alias("copies"))
 
 
 def mix(
@@ -112,6 +145,7 @@ def mix(
     source: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     max_copies: int = MAX_COPIES,
+    seed: str = SEED,
 ) -> DataFrame:
     """Every row with ``size``, ``source_size``, ``target`` and ``copies`` (0 to ``max_copies``)."""
     result = ["size", "source_size", "target", "copies"]
@@ -120,7 +154,7 @@ def mix(
     units = cut(units.groupBy("source", "id", "print", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words")))
     goals = targets(units.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_copies)
     goals = cut(goals)
-    found = copies(units.select("source", "id", "print", "words"), goals)
+    found = copies(units, goals, max_copies, seed)
     found = found.select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("print").alias("__p"), "copies")
     goals = goals.withColumnRenamed("source", "__g")
     same = F.col(source).eqNullSafe(F.col("__s")) & F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__print") == F.col("__p"))

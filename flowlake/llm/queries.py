@@ -68,23 +68,9 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
-def fill_sql(k: int) -> str:
-    """One pass of the mix over the ranked documents."""
-    fits = "not taken and rank is not null" + " and size <= gap" * bool(k)
-    return f"""
-), gap{k} as (
-  select *, want - coalesce(sum(case when taken then size end) over (partition by source), 0) as gap from pass{k}
-), upto{k} as (
-  select *, sum(case when {fits} then size else 0 end) over (partition by source order by rank nulls last, doc_id, print rows unbounded preceding) as upto
-  from gap{k}
-), pass{k + 1} as (
-  select * exclude (gap, upto, taken), taken or ({fits} and upto <= gap) as taken from upto{k}"""
-
-
 QUERIES["op2_source_mix"] = op2_source_mix
-ORACLES["op2_source_mix"] = (
-    r"""
-with d as (
+ORACLES["op2_source_mix"] = r"""
+with recursive d as (
   select doc_id, source, md5(coalesce(text, '')) as print,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size
   from documents
@@ -102,22 +88,38 @@ with d as (
          case when source_size = 0 then 0.0::double
               else least(most::double, (select arg_min(level, (most / weight, source is null, source)) from l where level * weight <= most) * weight) end as target
   from l
+), bulk as (
+  select source, ceil(sqrt(size::double))::bigint as x, sum(size)::bigint as words from d where size > 0 group by all
+), sums as (
+  select *, coalesce(sum(words) over longer, 0) as full_, coalesce(sum(x * words) over longer, 0) as weighed, sum(x * words) over (partition by source) as all_
+  from bulk window longer as (partition by source order by x desc rows between unbounded preceding and 1 preceding)
+), steps as (
+  select sums.source, x, (target - 3 * full_::double) / (all_ - weighed)::double as level from sums join t on sums.source is not distinct from t.source
+), lambda_ as (
+  select source, arg_max(level, x) as level from steps where level * x <= 3 group by source
 ), e as (
-  select d.*, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as expected
-  from d join t on d.source is not distinct from t.source
+  select d.*, source_size, target, case when size = 0 then 0.0::double else least(3.0::double, coalesce(level, 'inf'::double) * ceil(sqrt(size::double))) end as expected
+  from d join t on d.source is not distinct from t.source left join lambda_ on d.source is not distinct from lambda_.source
 ), r as (
-  select *, floor(expected) as sure, expected - floor(expected) as p,
+  select *, floor(expected)::bigint as sure, expected - floor(expected) as p,
          ((('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, 'null') || ':' || print), 1, 13))::bigint) + 0.5::double) / 4503599627370496.0::double as u
   from e
-), pass0 as (
-  select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as rank, target - sure * source_size as want, false as taken from r"""
-    + "".join(map(fill_sql, range(1 + mixing.FILLS)))
-    + f"""
+), ranked as (
+  select source, doc_id, print, size, row_number() over (partition by source order by (u / (1 - u)) / (p / (1 - p)), doc_id nulls last, print) as k
+  from r where p > 0
+), want as (
+  select source, max(target) - sum(sure * size)::double as want from r group by source
+), walk as (
+  select source, want, 0::bigint as k, 0::bigint as got, false as took from want
+  union all
+  select w.source, want, w.k + 1, case when w.got + size <= want then w.got + size else w.got end, w.got + size <= want
+  from walk w join ranked on ranked.source is not distinct from w.source and ranked.k = w.k + 1
+), extra as (
+  select ranked.source, doc_id, print from ranked join walk on ranked.source is not distinct from walk.source and ranked.k = walk.k where took
 )
-select doc_id, size, source_size, target, (sure + taken::int)::bigint * size as taken, (sure + taken::int)::bigint as copies
-from pass{1 + mixing.FILLS}
+select r.doc_id, r.size, source_size, target, (sure + (extra.print is not null)::int)::bigint * r.size as taken, (sure + (extra.print is not null)::int)::bigint as copies
+from r left join extra on r.source is not distinct from extra.source and r.doc_id is not distinct from extra.doc_id and r.print = extra.print
 """
-)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Defined cases of the native operators: nulls, empty texts, repeats, clashing columns, empty tables."""
 
+import math
 import re
 
 import pytest
@@ -71,6 +72,22 @@ def test_mix_is_near_targets_and_repeatable(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+def test_inclusion_follows_each_documents_probability(spark):
+    """Over many seeds, documents of unequal size are taken as often as their expected copies say."""
+    frame = docs(spark, [(k, prose(4 + 3 * (k % 12)), f"s{k // 120}") for k in range(360)])
+    seeds, mean, p = 24, {}, {}
+    for n in range(seeds):
+        for r in mixing.mix(frame, seed=f"seed-{n}").collect():
+            mean.setdefault((r.source, r.size), []).append(r.copies)
+    for source in ("s0", "s1", "s2"):
+        rates = {size: sum(v) / len(v) for (s, size), v in mean.items() if s == source}
+        unit = sum(rates.values()) / sum(math.ceil(math.sqrt(size)) for size in rates)
+        assert len(set(rates.values())) > 4
+        if max(rates.values()) < 2.9:  # none at the most copies
+            for size, rate in rates.items():
+                assert rate == pytest.approx(unit * math.ceil(math.sqrt(size)), abs=0.17), (source, size)
+
+
 def test_url_rules_and_propagation(spark):
     page = "page_id long, url string, html string, rule string, host string"
     rows = [
