@@ -129,7 +129,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def step_sql(k: int) -> str:
     return f"""
-), x{k + 1} as (
+), x{k + 1} as materialized (
   select kind, host, sum(x)::bigint as x from (
     select w.kind, b as host, sum(x // n) * {urls.DAMPING} // 100 as x from x{k} join ways w on w.kind = x{k}.kind and host = a group by w.kind, b
     union all select kind, host, x * {100 - urls.DAMPING} // 100 from x0
@@ -151,16 +151,25 @@ with p as (
 ), hosts as (
   select host, count(*) filter (ruled = 'allow') * 1000000000 // count(*) as trust, count(*) filter (ruled = 'block') * 1000000000 // count(*) as distrust
   from ruled where host <> '' group by host
-), parent as (
-  select h.host as src, arg_max(q.host, len(q.host)) as dst from hosts h join hosts q on ends_with(h.host, '.' || q.host) group by h.host
-), edges as (
+), up as (
+  select array_to_string(l[i:], '.') as src, array_to_string(l[i + 1:], '.') as dst
+  from (select l, unnest(range(1, len(l) - 1)) as i from (select string_split(host, '.') as l from hosts where not regexp_matches(host, '^[0-9.]+(:[0-9]*)?$')))
+), edges as materialized (
   select distinct src, dst from (
-    select host as src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?[a-z][a-z0-9+.-]*://([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst
-    from ruled union all select src, dst from parent
+    select host as src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst
+    from ruled union all select src, dst from up union all select dst, src from up
   ) where src <> dst and src <> '' and dst <> ''
-), ways as (
+), moving as (
   select 'trust' as kind, src as a, dst as b, count(*) over (partition by src) as n from edges
   union all select 'distrust', dst, src, count(*) over (partition by dst) from edges
+), nodes as (
+  select src as host from edges union select dst from edges union select host from hosts
+), ends as (
+  select kind, host from nodes, (values ('trust'), ('distrust')) as k(kind) where (kind, host) not in (select kind, a from moving)
+), ways as materialized (
+  select * from moving
+  union all select e.kind, e.host, m.a, count(*) over (partition by e.kind, e.host) from ends e join moving m on m.kind = e.kind and m.b = e.host
+  union all select kind, host, host, 1 from ends where (kind, host) not in (select kind, b from moving)
 ), x0 as (
   select 'trust' as kind, host, trust as x from hosts where trust > 0 union all select 'distrust', host, distrust from hosts where distrust > 0"""
     + "".join(map(step_sql, range(urls.STEPS)))

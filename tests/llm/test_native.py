@@ -204,7 +204,26 @@ def test_disclosing_terms_far_from_the_entity(spark):
 
 
 def test_host_edges_through_domains_without_pages(spark):
-    rows = [(1, "http://m.a.example.org/x", "<a href='//C.net/p'>"), (2, "http://b.example.org/", "<a href='/x'>"), (3, "http://10.0.0.1/", None)]
+    rows = [(1, "http://blog.x.example.net/", "<a href='//cdn.other.org/a'>"), (2, "http://m.x.example.net/", None), (3, "http://10.0.0.1/", None), (4, "http://example.net/", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("__host", urls.host_of(F.col("url")))
     got = {tuple(r) for r in urls.host_edges(pages, pages.select(F.col("__host").alias("host"))).collect()}
-    assert got == {("m.a.example.org", "a.example.org"), ("a.example.org", "example.org"), ("b.example.org", "example.org"), ("m.a.example.org", "c.net")}
+    up = {("blog.x.example.net", "x.example.net"), ("m.x.example.net", "x.example.net"), ("x.example.net", "example.net")}
+    assert got == up | {(b, a) for a, b in up} | {("blog.x.example.net", "cdn.other.org")}
+
+
+def test_edges_decide_verdicts_on_the_given_table(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    whole = {r.page_id: r.verdict for r in urls.filter_urls(pages).collect()}
+    none = spark.createDataFrame([], "src string, dst string")
+    monkeypatch.setattr(urls, "host_edges", lambda *a: none)
+    alone = {r.page_id: (r.verdict, r.trust, r.distrust) for r in urls.filter_urls(pages).collect()}
+    assert 0 < sum(whole[k] != v[0] for k, v in alone.items()) < len(whole)
+    assert {v[1] for v in alone.values()} | {v[2] for v in alone.values()} - {0}  # hosts without edges keep their seeds
+
+
+def test_repeated_pages_and_hot_hosts_join_alike(spark, monkeypatch):
+    rows = [(k % 40, f"http://h{k % 3}.y.net/{'es' if k % 2 else 'de'}/", None) for k in range(80)] + [(99, None, None), (99, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few = sorted(map(tuple, urls.filter_urls(frame).fillna("-").collect()))
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, urls.filter_urls(frame).fillna("-").collect())) == few and len(few) == 82
