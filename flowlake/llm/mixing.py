@@ -12,9 +12,10 @@ uniform from a hash of id, text and seed, and taken from the lowest rank on; a d
 words than the target still wants is passed over, until none fits. So the sample has a fixed size in
 words, up to less than the shortest document left; the end of the list thus favours short documents.
 
-The first pass takes all before the first document that doesn't fit; each further pass works on the
-documents that still fit a gap of less than one document, few and fewer. The level comes from sums by
-source and measure, of which a source has no more than the root of its longest text.
+All before the first document that doesn't fit are taken by running sums. What is left to fill then
+is less than that document, so of the rest with w words each only the lowest gap / w ranks can matter:
+so few for each source, whatever its rows (gap * log gap), that one fold walks them. The level comes
+from sums by source and measure, of which a source has no more than the root of its longest text.
 
 Ranks and running sums are computed over range partitions with partition totals, never over a
 source as one group. The order of sources uses the same. Range-partitioned rows are checkpointed,
@@ -122,16 +123,23 @@ def copies(units: DataFrame, goals: DataFrame, max_copies: int, seed: str = SEED
     want = (F.max("target") - F.sum(F.col("sure") * F.col("words"))).alias("gap")
     gaps = cut(rows.groupBy(F.col("source").alias("of")).agg(want))
     unit = ["source", "id", "print"]
-    left, taken = rows.where("rank is not null").select(*unit, "words", "rank", "part"), None
-    while taken is None or not left.isEmpty():
-        fit = left.join(gaps, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        fit = cut(running(fit, order, F.col("words"), "upto", by="source").withColumn("now", F.col("upto") <= F.col("gap")))
-        got = fit.groupBy("source").agg(F.max("gap").alias("gap"), F.sum(F.when(F.col("now"), F.col("words")).otherwise(0)).alias("got"))
-        gaps = got.select(F.col("source").alias("of"), (F.col("gap") - F.col("got")).alias("gap"))
-        now = fit.where("now").select(*unit)
-        taken = now if taken is None else cut(taken.union(now))
-        left = fit.where("not now").drop("gap", "upto", "now").join(gaps, F.col("source").eqNullSafe(F.col("of"))).where("words <= gap").drop("of", "gap")
-        left = cut(left)
+    fit = rows.where("rank is not null").select(*unit, "words", "rank", "part").join(gaps, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    fit = cut(running(fit, order, F.col("words"), "upto", by="source").withColumn("now", F.col("upto") <= F.col("gap")).drop("upto"))
+    got = fit.groupBy(F.col("source").alias("of")).agg((F.max("gap") - F.sum(F.when(F.col("now"), F.col("words")).otherwise(0))).alias("open"))
+    left = fit.where("not now and words > 0").join(got, F.col("source").eqNullSafe(F.col("of"))).where("words <= open")
+    alike = Window.partitionBy("source", "words").orderBy("rank", F.col("id").asc_nulls_last(), "print")
+    left = left.withColumn("at", F.row_number().over(alike)).where("at * words <= open")
+    place = F.struct("rank", F.col("id").isNull().alias("none"), "id", "print", "words").alias("d")
+    lists = left.select("source", "open", place).groupBy("source").agg(F.max("open").alias("open"), F.sort_array(F.collect_list("d")).alias("d"))
+
+    def walk(acc: Column, d: Column) -> Column:
+        fits = d["words"] <= acc["open"]
+        kept = F.when(fits, F.array_append(acc["taken"], d)).otherwise(acc["taken"])
+        return F.struct(F.when(fits, acc["open"] - d["words"]).otherwise(acc["open"]).alias("open"), kept.alias("taken"))
+
+    begin = F.struct("open", F.filter("d", lambda d: F.lit(False)).alias("taken"))
+    walked = lists.select("source", F.explode(F.aggregate("d", begin, walk, lambda acc: acc["taken"])).alias("d")).select("source", "d.id", "d.print")
+    taken = cut(fit.where("now").select(*unit).union(walked))
     extra = taken.select(*[F.col(c).alias(f"t_{c}") for c in unit])
     same = F.col("source").eqNullSafe(F.col("t_source")) & F.col("id").eqNullSafe(F.col("t_id")) & (F.col("print") == F.col("t_print"))
     rows = rows.join(extra, same, "left")

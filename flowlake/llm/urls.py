@@ -42,6 +42,7 @@ STEPS = 20
 CUT = 5
 FLOOR = SCALE // 10
 BROADCAST_ROWS = 50_000
+PACKED = 8  # partitions of so few rows
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -101,14 +102,15 @@ def propagate(seeds: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFra
     ways = cut(moving.union(back).union(alone))
     base = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "x"))
     base = cut(base.where("x > 0"))
-    restart = base.select("kind", F.col("host"), F.expr(f"x * {100 - DAMPING} div 100").alias("x"))
     few = nodes.count() <= BROADCAST_ROWS
-    state = base
+    packed = lambda rows: rows.coalesce(PACKED) if few else rows
+    none = F.lit(0).cast("long")
+    restart = packed(base).select("kind", F.col("host"), none.alias("m"), F.expr(f"x * {100 - DAMPING} div 100").alias("r"))
+    ways, state = packed(ways), base
     for step in range(steps):
         moved = ways.join(F.broadcast(state) if few else state, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("a")))
-        moved = moved.groupBy(F.col("way").alias("kind"), F.col("b").alias("host")).agg(F.sum(F.expr("x div n")).alias("x"))
-        moved = moved.select("kind", "host", F.expr(f"x * {DAMPING} div 100").alias("x"))
-        state = moved.union(restart).groupBy("kind", "host").agg(F.sum("x").alias("x"))
+        moved = moved.select("kind", F.col("b").alias("host"), F.expr("x div n").alias("m"), none.alias("r"))
+        state = moved.union(restart).groupBy("kind", "host").agg((F.expr(f"sum(m) * {DAMPING} div 100") + F.sum("r")).alias("x"))
         if step % CUT == CUT - 1:
             state = cut(state)
     scored = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("x")).otherwise(0))
