@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowlake.llm.common import small_batches
 
-CACHED = 16 << 20  # bytes of pieces and their ids
+CACHED = 40 << 20  # bytes of pieces and their ids
 ENTRY = 160  # what an entry takes besides
 CACHED_BYTES = 64
 BATCH = 256  # texts worked on at once
