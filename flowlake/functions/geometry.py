@@ -175,13 +175,14 @@ def box_ground(x1: Column, y1: Column, x2: Column, y2: Column, h: Column) -> Col
     """A box's foot on the ground with its 2 x 2 covariance (xx, xy, yy), by the Jacobian of ``h``.
 
     Pixel deviations are a twentieth of the box's width and height, clipped to 2..13 and 2..10.
-    Without a matrix the image plane stands for the ground.
+    Without a matrix the image plane stands for the ground. A foot on the horizon has no place (null).
     """
     u, v = (x1 + x2) / 2, y2
     clip = lambda s, top: F.greatest(F.lit(2.0), F.least(F.lit(top), F.lit(0.05) * s))
     su, sv = clip(y2 - y1, 13.0), clip(y2 - y1, 10.0)
     at = lambda k: F.coalesce(F.get(h, F.lit(k)), F.lit(float(k % 4 == 0)))
     w = at(6) * u + at(7) * v + at(8)
+    w = F.when(F.abs(w) > 1e-12, w)
     gx, gy = (at(0) * u + at(1) * v + at(2)) / w, (at(3) * u + at(4) * v + at(5)) / w
     a, b, c, d = (at(0) - gx * at(6)) / w, (at(1) - gx * at(7)) / w, (at(3) - gy * at(6)) / w, (at(4) - gy * at(7)) / w
     vu, vv = su * su, sv * sv
@@ -231,7 +232,8 @@ def schedule_active(ts: Column, days: Column, start_minute: Column, end_minute:
 
 
 def percent_change(current: Column, previous: Column) -> Column:
-    return F.when(previous.isNotNull() & (previous != 0), F.round((current - previous) / F.abs(previous) * 100, 2))
+    """Percent by which a value grew, as a share of the signed previous value; null without one."""
+    return F.when(previous.isNotNull() & (previous != 0), F.round((current - previous) * 100 / previous, 2))
 
 
 def ratio(top: Column, bottom: Column, scale: float = 1.0) -> Column:

@@ -115,7 +115,7 @@ def check_ground_distance(pairs: DataFrame, homography: Column) -> DataFrame:
     rows = pairs.withColumns({"a": G.project(F.col("ax"), F.col("ay"), homography), "b": G.project(F.col("bx"), F.col("by"), homography)})
     rows = rows.withColumn("measured", G.length(F.col("a"), F.col("b"))).drop("a", "b")
     error = F.abs(F.col("measured") - F.col("known"))
-    return rows.withColumns({"absolute_error": error, "relative_error": error / F.col("known")})
+    return rows.withColumns({"absolute_error": error, "relative_error": F.try_divide(error, F.col("known"))})
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -153,32 +153,72 @@ def candidate_pairs(truth: DataFrame, found: DataFrame, least: float) -> DataFra
     return rows.where(F.col("iou") >= least).drop("g", "h")
 
 
-def match_frames(pairs: DataFrame, least: float, key: tuple[str, ...] = ("camera_id", "frame_index")) -> DataFrame:
-    """The one-to-one matching of most overlap in each frame.
+BLOCK = 512  # frames that one task's call works on at once
 
-    A pair whose both boxes have no other candidate is matched as it is; only the rest of a frame
-    goes to the assignment.
+
+def chosen(gt: np.ndarray, hyp: np.ndarray, iou: np.ndarray) -> np.ndarray:
+    """Which candidate pairs of one frame are in the one-to-one matching of most overlap."""
+    g, gi = np.unique(gt, return_inverse=True)
+    h, hi = np.unique(hyp, return_inverse=True)
+    if len(g) == len(gt) and len(h) == len(hyp):
+        return np.ones(len(gt), bool)
+    cost = np.full((len(g), len(h)), 1e5)
+    cost[gi, hi] = 1 - iou
+    pairs = assign(cost) if len(g) <= len(h) else [(i, j) for j, i in assign(cost.T)]
+    kept = np.zeros(cost.shape, bool)
+    for i, j in pairs:
+        kept[i, j] = cost[i, j] < 1e5
+    return kept[gi, hi]
+
+
+def match_levels(pairs: DataFrame, levels: list[float]) -> DataFrame:
+    """``match_frames`` at each overlap threshold: the pairs with ``alpha``.
+
+    A pair whose both boxes have no other candidate at the lowest threshold is matched as it is; the
+    rest of a frame goes to the assignment, for a block of frames and all thresholds in one call. A
+    threshold that leaves the candidates of a frame as they were keeps their matching.
     """
+    least = min(levels)
+    alphas = F.explode(F.array(*map(F.lit, sorted(levels)))).alias("alpha")
     rows = pairs.where(F.col("iou") >= least)
+    key = ("camera_id", "frame_index")
     single = rows.withColumns({"a": F.count(F.lit(1)).over(Window.partitionBy(*key, "gt_id")), "b": F.count(F.lit(1)).over(Window.partitionBy(*key, "hyp_id"))})
-    sure = single.where("a = 1 and b = 1").drop("a", "b")
-    open_ = single.where("a > 1 or b > 1").drop("a", "b")
+    sure = single.where("a = 1 and b = 1").drop("a", "b").select("*", alphas).where(F.col("iou") >= F.col("alpha"))
+    open_ = single.where("a > 1 or b > 1").drop("a", "b").withColumn("block", F.floor(F.col("frame_index") / BLOCK))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, h = np.sort(pdf["gt_id"].unique()), np.sort(pdf["hyp_id"].unique())
-        cost = np.full((len(g), len(h)), 1e5)
-        cost[np.searchsorted(g, pdf["gt_id"]), np.searchsorted(h, pdf["hyp_id"])] = 1 - pdf["iou"]
-        chosen = assign(cost) if len(g) <= len(h) else [(i, j) for j, i in assign(cost.T)]
-        kept = {(g[i], h[j]) for i, j in chosen if cost[i, j] < 1e5}
-        return pdf[[(a, b) in kept for a, b in zip(pdf["gt_id"], pdf["hyp_id"])]]
-
-    return sure.union(open_.groupBy(*key).applyInPandas(solve, open_.schema))
+        pdf = pdf.sort_values(["frame_index", "gt_id", "hyp_id"], kind="stable").reset_index(drop=True)
+        gt, hyp, iou = (pdf[c].to_numpy() for c in ("gt_id", "hyp_id", "iou"))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(pdf["frame_index"].to_numpy()) != 0]))
+        at, level = [], []
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            before, found = -1, np.empty(0, int)
+            for alpha in sorted(levels):
+                rows = a + np.flatnonzero(iou[a:b] >= alpha)
+                if len(rows) != before:
+                    before, found = len(rows), rows[chosen(gt[rows], hyp[rows], iou[rows])]
+                at.append(found)
+                level += [alpha] * len(found)
+        return pdf.drop(columns="block").iloc[np.concatenate(at)].assign(alpha=level)
+
+    fields = ", ".join(f"{n} {t}" for n, t in sure.dtypes)
+    return sure.union(open_.groupBy("camera_id", "block").applyInPandas(solve, fields))
+
+
+def match_frames(pairs: DataFrame, least: float) -> DataFrame:
+    """The one-to-one matching of most overlap in each frame."""
+    return match_levels(pairs, [least]).drop("alpha")
+
+
+def sizes(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """camera_id, gt, hyp: boxes of each sequence, also of those that only one side has."""
+    n = lambda f, name: f.groupBy("camera_id").agg(F.count(F.lit(1)).alias(name))
+    return n(truth, "gt").join(n(found, "hyp"), "camera_id", "full_outer").fillna(0)
 
 
 def clear_metrics(truth: DataFrame, found: DataFrame, matched: DataFrame) -> DataFrame:
     """One row for each camera: tp, fp, fn, id_switches, fragments, precision, recall, mota."""
-    n = lambda f, name: f.groupBy("camera_id").agg(F.count(F.lit(1)).alias(name))
-    rows = n(truth, "gt").join(n(found, "hyp"), "camera_id", "left").join(n(matched, "tp"), "camera_id", "left")
+    rows = sizes(truth, found).join(matched.groupBy("camera_id").agg(F.count(F.lit(1)).alias("tp")), "camera_id", "left")
     rows = rows.join(id_switches(matched), "camera_id", "left").join(fragmentation(truth, matched), "camera_id", "left").fillna(0)
     rows = rows.withColumns({"fp": F.col("hyp") - F.col("tp"), "fn": F.col("gt") - F.col("tp")})
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -220,24 +260,31 @@ def idf1(truth: DataFrame, found: DataFrame, matched: DataFrame) -> DataFrame:
         return pd.DataFrame({"camera_id": [pdf["camera_id"].iloc[0]], "idtp": [total]})
 
     best = counts.groupBy("camera_id").applyInPandas(pair, "camera_id long, idtp long")
-    n = lambda f, name: f.groupBy("camera_id").agg(F.count(F.lit(1)).alias(name))
-    rows = n(truth, "gt").join(n(found, "hyp"), "camera_id", "left").join(best, "camera_id", "left").fillna(0)
+    rows = sizes(truth, found).join(best, "camera_id", "left").fillna(0)
     return rows.select("camera_id", (2 * F.col("idtp") / (F.col("gt") + F.col("hyp"))).alias("idf1"))
 
 
 def hota(truth: DataFrame, found: DataFrame, alphas: list[float] | None = None) -> DataFrame:
     """camera_id, hota, det_a, ass_a: means over the overlap thresholds."""
     alphas = alphas or [k / 20 for k in range(1, 20)]
-    levels = F.explode(F.array(*map(F.lit, alphas))).alias("alpha")
-    pairs = candidate_pairs(truth, found, min(alphas)).select("*", levels).where(F.col("iou") >= F.col("alpha"))
-    matched = match_frames(pairs, 0.0, ("camera_id", "alpha", "frame_index"))
+    matched = match_levels(candidate_pairs(truth, found, min(alphas)), alphas)
     n = lambda f, *by: f.groupBy("camera_id", *by).agg(F.count(F.lit(1)).alias("n"))
     tp = matched.groupBy("camera_id", "alpha", "gt_id", "hyp_id").agg(F.count(F.lit(1)).alias("tp"))
     g, h = n(truth, "track_id").withColumnsRenamed({"track_id": "gt_id", "n": "g"}), n(found, "track_id").withColumnsRenamed({"track_id": "hyp_id", "n": "h"})
     ass = tp.join(g, ["camera_id", "gt_id"]).join(h, ["camera_id", "hyp_id"]).withColumn("a", F.col("tp") / (F.col("g") + F.col("h") - F.col("tp")))
-    ass = ass.groupBy("camera_id", "alpha").agg(F.sum("tp").alias("tp"), (F.sum(F.col("tp") * F.col("a")) / F.sum("tp")).alias("ass_a"))
-    spine = n(truth).withColumnRenamed("n", "gt").join(n(found).withColumnRenamed("n", "hyp"), "camera_id", "left").select("*", levels)
+    ass = ass.groupBy("camera_id", "alpha").agg(F.sum("tp").alias("tp"), F.avg("a").alias("ass_a"))  # each pair of tracks weighs alike
+    spine = sizes(truth, found).select("*", F.explode(F.array(*map(F.lit, alphas))).alias("alpha"))
     rows = spine.join(ass, ["camera_id", "alpha"], "left").fillna(0)
     rows = rows.withColumn("det_a", F.col("tp") / (F.col("gt") + F.col("hyp") - F.col("tp")))
     rows = rows.withColumn("hota", F.sqrt(F.col("det_a") * F.col("ass_a")))
     return rows.groupBy("camera_id").agg(*[F.avg(c).alias(c) for c in ("hota", "det_a", "ass_a")])
+
+
+def compare_trackers(truth: DataFrame, trackers: dict[str, DataFrame], least: float = 0.5) -> DataFrame:
+    """All measures of each tracker, one row for each camera and tracker."""
+    out = None
+    for name, found in trackers.items():
+        matched = match_frames(candidate_pairs(truth, found, least), least)
+        rows = clear_metrics(truth, found, matched).join(idf1(truth, found, matched), "camera_id").join(hota(truth, found), "camera_id").withColumn("tracker", F.lit(name))
+        out = rows if out is None else out.union(rows)
+    return out

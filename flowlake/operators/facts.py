@@ -22,10 +22,11 @@ def insert_ignore(new: DataFrame, existing: DataFrame | None, key: list[str], ar
 
 
 def wait_events(queue_minutes: DataFrame, waits: str = "completed_waits", target: float = 300.0) -> DataFrame:
-    """One event for each completed wait, with an id that a replay repeats."""
+    """One event for each completed wait, with an id that a replay repeats: of camera, queue, minute, place and wait."""
     rows = queue_minutes.select("camera_id", "queue_id", "bucket_start", F.posexplode(waits).alias("index", "wait_seconds"))
-    stamp = F.date_format("bucket_start", "yyyy-MM-dd'T'HH:mm:ss")
-    event_id = F.sha2(F.concat_ws(":", "camera_id", "queue_id", stamp, "index", F.lit("wait")), 256)
+    stamp = F.date_format("bucket_start", "yyyy-MM-dd'T'HH:mm:ssxxx")
+    wait = F.col("wait_seconds").cast("double").cast("string")
+    event_id = F.sha2(F.concat_ws(":", "camera_id", "queue_id", stamp, "index", wait), 256)
     return rows.select(event_id.alias("event_id"), "camera_id", "queue_id", F.col("bucket_start").alias("occurred_at"), "wait_seconds", (F.col("wait_seconds") <= target).alias("sla_met"))
 
 
@@ -97,7 +98,7 @@ def location_hours(minutes: DataFrame, cameras: DataFrame) -> DataFrame:
     """
     sums = ["sample_count", "expected_samples", "confidence_sum", "entries", "exits"]
     hourly = minutes.withColumn("confidence_sum", F.col("sample_count")).groupBy("camera_id", F.date_trunc("hour", "bucket_start").alias("bucket_start")).agg(
-        (F.sum("occupancy_sum").cast("double") / F.sum("sample_count")).alias("average"), F.max("occupancy_max").alias("peak"), *[F.sum(c).alias(c) for c in sums]
+        F.try_divide(F.sum("occupancy_sum").cast("double"), F.sum("sample_count")).alias("average"), F.max("occupancy_max").alias("peak"), *[F.sum(c).alias(c) for c in sums]
     )
     expected = at_levels(cameras.where("enabled")).groupBy("location_type", "location_id").agg(F.count(F.lit(1)).alias("expected_sources"))
     rows = at_levels(hourly.join(cameras.select("camera_id", "enabled", "field_id", "market_id", "booth_id"), "camera_id"))

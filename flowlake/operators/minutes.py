@@ -27,10 +27,13 @@ def queue_minutes(frames: DataFrame, warning: float = 300.0, critical: float = 6
     """One row for each queue and minute from (camera_id, queue_id, at, length, wait, speed_m, completed, last_wait).
 
     ``completed`` is cumulative. A wait is noted whenever it has grown since the sample before; the
-    count before a minute's first sample is 0, so a minute may note the last wait again.
+    count before a minute's first sample is 0, so a minute may note the last wait again. Lengths and
+    waits below 0 count as 0.
     """
     minute = F.date_trunc("minute", "at").alias("bucket_start")
-    rows = frames.select("*", minute)
+    cut = lambda c: F.greatest(F.col(c), F.lit(0).cast(dict(frames.dtypes)[c])).alias(c)
+    wait = F.when(F.col("wait").isNotNull(), cut("wait")).alias("wait")  # ``greatest`` passes over nulls
+    rows = frames.withColumns({"length": cut("length"), "wait": wait}).select("*", minute)
     before = F.lag("completed", 1, 0).over(Window.partitionBy("camera_id", "queue_id", "bucket_start").orderBy("at"))
     rows = rows.withColumn("new_wait", F.when((F.col("completed") > before) & F.col("last_wait").isNotNull(), F.struct("at", "last_wait")))
     first, last = (lambda c: F.min_by(c, "at")), (lambda c: F.max_by(c, "at"))

@@ -84,7 +84,8 @@ def queue_visits(obs: DataFrame, frames: DataFrame, polygon: Column, dwell: floa
     rows = zone_membership(obs, polygon)
     before = F.lag(F.struct("ts", "px", "py")).over(track)
     rows = rows.withColumn("b", before)
-    moved = F.sqrt((F.col("px") - F.col("b.px")) * (F.col("px") - F.col("b.px")) + (F.col("py") - F.col("b.py")) * (F.col("py") - F.col("b.py"))) / (F.col("ts") - F.col("b.ts"))
+    far = F.sqrt((F.col("px") - F.col("b.px")) * (F.col("px") - F.col("b.px")) + (F.col("py") - F.col("b.py")) * (F.col("py") - F.col("b.py")))
+    moved = F.try_divide(far, F.col("ts") - F.col("b.ts"))  # none between frames of one time
     rows = rows.withColumn("good", F.col("inside") & F.coalesce(moved <= max_speed + EPS, F.lit(True)))
     rows = rows.withColumns({"due": F.col("ts") + gap + 2 * EPS + EPS})
     rows = next_frame_from(rows, frames, "due", "late")

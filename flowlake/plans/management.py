@@ -161,7 +161,7 @@ def insert_ignore_waits(spark, sf):
 
 
 query("wait_events", with_sql("minutes", "queue_minute", body=""")
-select sha256(camera_id || ':' || queue_id || ':' || strftime(bucket_start, '%Y-%m-%dT%H:%M:%S') || ':0:wait') as event_id, camera_id, queue_id, bucket_start as occurred_at, wait_seconds, wait_seconds <= 300 as sla_met from queue_minute"""))(
+select sha256(camera_id || ':' || queue_id || ':' || strftime(bucket_start, '%Y-%m-%dT%H:%M:%S') || '+00:00:0:' || wait_seconds::double::varchar) as event_id, camera_id, queue_id, bucket_start as occurred_at, wait_seconds, wait_seconds <= 300 as sla_met from queue_minute"""))(
     lambda spark, sf: facts.wait_events(queue_minutes(spark, sf).withColumn("completed_waits", F.array("wait_seconds")))
 )
 

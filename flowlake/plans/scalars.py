@@ -101,9 +101,11 @@ select s_suppkey as camera_id, left('queue-' || regexp_replace(s_name, '[^\\p{L}
     lambda spark, sf: X.table(spark, sf, "supplier").select(c("s_suppkey").alias("camera_id"), G.zone_key(F.lit("queue"), c("s_name"), F.concat(F.lit("region"), c("s_suppkey"))).alias("zone_key"))
 )
 query("percent_change", """
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 9 <> 0 then (l_quantity - l_partkey % 9) / (l_partkey % 9) end as change, case when l_orderkey % 7 <> 0 then l_quantity / (l_orderkey % 7) end as share from lineitem""")(
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 9 <> 0 then (l_quantity - l_partkey % 9) / (l_partkey % 9) end as change, case when l_orderkey % 7 <> 0 then l_quantity / (l_orderkey % 7) end as share,
+       case when l_partkey % 9 <> 4 then round((l_quantity - (l_partkey % 9 - 4)) * 100 / (l_partkey % 9 - 4), 2) end as percent from lineitem""")(
     lambda spark, sf: X.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", G.ratio(c("l_quantity") - c("l_partkey") % 9, c("l_partkey") % 9).alias("change"), G.ratio(c("l_quantity"), c("l_orderkey") % 7).alias("share")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", G.ratio(c("l_quantity") - c("l_partkey") % 9, c("l_partkey") % 9).alias("change"), G.ratio(c("l_quantity"), c("l_orderkey") % 7).alias("share"),
+        G.percent_change(c("l_quantity"), c("l_partkey") % 9 - 4).alias("percent"),
     )
 )
 query("validate_polygons", with_sql("obs", body="), t as (select distinct track_id from obs) select track_id as zone_id, case track_id % 4 when 0 then 'crosses_itself' when 1 then 'too_few_points' else 'no_area' end as problem from t where track_id % 4 < 3"))(
@@ -300,10 +302,6 @@ query("hota")(lambda spark, sf: D.hota(truth(spark, sf), found(spark, sf)))
 
 @query("compare_trackers")
 def compare_trackers(spark, sf):
-    """CLEAR and identity measures of two trackers side by side."""
+    """CLEAR, identity and HOTA measures of two trackers side by side."""
     t = truth(spark, sf)
-    parts = []
-    for name, h in (("a", t.drop("arrival").withColumn("track_id", c("track_id") + 1000)), ("b", found(spark, sf))):
-        m = D.match_frames(D.candidate_pairs(t, h, 0.5), 0.5)
-        parts.append(D.clear_metrics(t, h, m).join(D.idf1(t, h, m), "camera_id").withColumn("tracker", F.lit(name)))
-    return parts[0].union(parts[1])
+    return D.compare_trackers(t, {"a": t.drop("arrival").withColumn("track_id", c("track_id") + 1000), "b": found(spark, sf)})

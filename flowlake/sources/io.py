@@ -183,9 +183,9 @@ def bundle_summary(minutes: DataFrame, queues: DataFrame) -> DataFrame:
     """One row of totals over a bundle of camera-minutes and queue-minutes."""
     m = minutes.agg(
         F.count(F.lit(1)).alias("records"), F.sum("entries").alias("entries"), F.sum("exits").alias("exits"), F.max("occupancy_max").alias("peak_occupancy"),
-        (F.sum("occupancy_sum").cast("double") / F.sum("sample_count")).alias("average_occupancy"), (F.sum("sample_count") * 100.0 / F.sum("expected_samples")).alias("coverage_percent"),
+        F.try_divide(F.sum("occupancy_sum").cast("double"), F.sum("sample_count")).alias("average_occupancy"), F.try_divide(F.sum("sample_count") * F.lit(100.0), F.sum("expected_samples")).alias("coverage_percent"),
     )
-    q = queues.agg((F.sum("wait_sum_seconds") / F.sum("wait_sample_count") / 60).alias("average_wait_minutes"), (F.sum("sla_met") * 100.0 / F.sum("throughput")).alias("sla_percent"))
+    q = queues.agg((F.try_divide(F.sum("wait_sum_seconds"), F.sum("wait_sample_count")) / 60).alias("average_wait_minutes"), F.try_divide(F.sum("sla_met") * F.lit(100.0), F.sum("throughput")).alias("sla_percent"))
     return m.join(F.broadcast(q))
 
 

@@ -102,3 +102,73 @@ def test_rollup_refresh_replaces_days(spark, tmp_path):
     facts.write_hours(day("2024-01-01 05:00:00", 1).union(day("2024-01-02 05:00:00", 2)), path)
     facts.write_hours(day("2024-01-02 05:00:00", 7), path)
     assert sorted(r.entries for r in spark.read.parquet(path).collect()) == [1, 7]
+
+
+def test_hota_means_over_pairs_and_keeps_sequences_without_truth(spark):
+    """Two pairs of unequal length weigh alike; a camera with detections only is all false positives."""
+    box = (0.0, 0.0, 10.0, 10.0)
+    far = (50.0, 50.0, 60.0, 60.0)
+    schema = "camera_id long, frame_index long, track_id long, x1 double, y1 double, x2 double, y2 double"
+    truth = [(1, f, 1, *box) for f in range(10)] + [(1, f, 2, *far) for f in range(10)]
+    found = [(1, f, 11, *box) for f in range(10)] + [(1, 0, 12, *far)] + [(2, 0, 13, *box)]
+    t, h = spark.createDataFrame(truth, schema), spark.createDataFrame(found, schema)
+    got = {r.camera_id: r for r in D.hota(t, h).collect()}
+    assert got[1].ass_a == pytest.approx((1.0 + 0.1) / 2) and got[1].det_a == pytest.approx(11 / 20)
+    assert got[1].hota == pytest.approx((0.55 * 0.55) ** 0.5) and got[2].hota == 0
+    clear = {r.camera_id: r for r in D.clear_metrics(t, h, D.match_frames(D.candidate_pairs(t, h, 0.5), 0.5)).collect()}
+    assert (clear[2].fp, clear[2].tp, clear[2].precision, clear[2].mota) == (1, 0, 0.0, 0.0) and clear[1].fn == 9
+    assert {(r.tracker, r.camera_id) for r in D.compare_trackers(t, {"x": h, "y": t}).collect()} == {("x", 1), ("x", 2), ("y", 1)}
+
+
+def test_levels_match_as_each_threshold_alone(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(1, f, g, h, draw.random()) for f in range(600) if f % 3 for g in range(3) for h in range(10, 13) if draw.random() < 0.6]
+    pairs = spark.createDataFrame(rows, "camera_id long, frame_index long, gt_id long, hyp_id long, iou double")
+    levels = [0.2, 0.5, 0.8]
+    got = {(r.alpha, r.frame_index, r.gt_id, r.hyp_id) for r in D.match_levels(pairs, levels).collect()}
+    alone = {(a, r.frame_index, r.gt_id, r.hyp_id) for a in levels for r in D.match_frames(pairs, a).collect()}
+    assert got == alone and len(got) > 600
+
+
+def test_rows_that_divide_by_nothing(spark):
+    """An hour without samples, a foot on the horizon and two frames of one time give nulls, not errors."""
+    minutes = "camera_id long, bucket_start timestamp, sample_count long, expected_samples long, occupancy_sum long, occupancy_max long, entries long, exits long"
+    cameras = spark.sql("select 1L as camera_id, true as enabled, 'f' as field_id, cast(null as string) as market_id, cast(null as string) as booth_id")
+    rows = spark.sql("select 1L as camera_id, timestamp '2024-01-01 10:00:00' as bucket_start, 0L as sample_count, 30L as expected_samples, 0L as occupancy_sum, 0L as occupancy_max, 0L as entries, 0L as exits")
+    assert minutes.count(",") == len(rows.columns) - 1
+    hour = facts.location_hours(rows, cameras).collect()
+    assert len(hour) == 1 and hour[0].occupancy_sum is None and hour[0].contributing_sources == 0
+    queues = spark.sql("select 0.0D as wait_sum_seconds, 0L as wait_sample_count, 0L as sla_met, 0L as throughput")
+    total = io.bundle_summary(rows, queues).first()
+    assert (total.average_occupancy, total.average_wait_minutes, total.sla_percent) == (None, None, None)
+    from flowlake.functions import geometry as G
+
+    horizon = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 1, -10)])
+    ground = spark.range(1).select(G.box_ground(F.lit(0.0), F.lit(0.0), F.lit(4.0), F.lit(10.0), horizon).alias("g")).first().g
+    assert ground.x is None and ground.xx is None
+    pair = spark.sql("select 0D as ax, 0D as ay, 1D as bx, 0D as by, 0D as known")
+    assert D.check_ground_distance(pair, F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])).first().relative_error is None
+    obs = "camera_id long, track_id long, frame_index long, ts double, px double, py double, x1 double, y1 double, x2 double, y2 double, confirmed boolean, arrival long"
+    seen = spark.createDataFrame([(1, 1, k, 0.0, 5.0, 5.0, 4.0, 0.0, 6.0, 5.0, True, k) for k in range(2)], obs)
+    square = G.literal_polygon([(0, 0), (10, 0), (10, 10), (0, 10)])
+    assert motion.queue_visits(seen, seen.select("camera_id", "frame_index", "ts"), square, 1.0, 5.0, 1.0, (0.5, 0.5), 0.1, (100, 100)).count() == 1
+
+
+def test_wait_event_ids_tell_waits_apart(spark):
+    """The id hashes camera, queue, minute with offset, place and the wait itself."""
+    import hashlib
+
+    rows = spark.sql("select 'c' as camera_id, 'q' as queue_id, timestamp '2024-01-01 10:00:00' as bucket_start, array(12.5D, 300D) as completed_waits")
+    got = {r.wait_seconds: r.event_id for r in facts.wait_events(rows).collect()}
+    for k, wait in enumerate((12.5, 300.0)):
+        assert got[wait] == hashlib.sha256(f"c:q:2024-01-01T10:00:00+00:00:{k}:{wait}".encode()).hexdigest()
+
+
+def test_queue_minutes_cut_negative_values(spark):
+    from flowlake.operators import minutes as M
+
+    rows = spark.sql("select 1L as camera_id, 'q' as queue_id, timestamp '2024-01-01 10:00:00' as at, -3L as length, -5D as wait, 0.1D as speed_m, 0L as completed, cast(null as double) as last_wait")
+    got = M.queue_minutes(rows.union(rows.withColumns({"length": F.lit(2).cast("long"), "wait": F.lit(None).cast("double")}))).first()
+    assert (got.length_sum, got.wait_sum_seconds, got.wait_sample_count, got.length_max) == (2, 0.0, 1, 2)
