@@ -39,12 +39,14 @@ def fingerprint(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's checkpoint folder; set one only where none is named, as in tests."""
+    """Keep the cluster's checkpoint folder; set one only where none is named and the session is local."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="checkpoint-")

@@ -66,7 +66,11 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: tupl
     return rows.join(F.broadcast(lookup_table(docs.sparkSession, shards, slots)), "slot")
 
 
-def write_shards(docs: DataFrame, path: str, files_per_shard: int = 8, **options) -> None:
-    """One folder for each shard, each in several files so that no task writes a whole shard."""
-    rows = shard(docs, **options).withColumn("__file", F.floor(F.rand(7) * files_per_shard))
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", files_per_shard: int = 8, **options) -> None:
+    """One folder for each shard, each in several files so that no task writes a whole shard.
+
+    A row's file comes from a hash of its key and text, so that a task that runs again after a lost
+    executor deals its rows as before.
+    """
+    rows = shard(docs, key, text, **options).withColumn("__file", F.pmod(F.xxhash64(key, text), F.lit(files_per_shard)))
     rows.repartition("shard", "__file").drop("__file").write.partitionBy("shard").parquet(path)

@@ -227,3 +227,11 @@ def test_repeated_pages_and_hot_hosts_join_alike(spark, monkeypatch):
     few = sorted(map(tuple, urls.filter_urls(frame).fillna("-").collect()))
     monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, urls.filter_urls(frame).fillna("-").collect())) == few and len(few) == 82
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    frame = docs(spark, [(k, f"text {k}", "s") for k in range(300)] + [(None, "a", "s"), (None, "a", "s"), (7, None, "s")])
+    sharding.write_shards(frame, str(tmp_path / "out"), files_per_shard=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    want = sorted((str(r.doc_id), str(r.text), r["shard"]) for r in sharding.shard(frame).collect())
+    assert sorted((str(r.doc_id), str(r.text), r["shard"]) for r in back.collect()) == want
