@@ -3,7 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor. All but the last
 return the columns of documents. ``run`` checkpoints between stages, as a run that writes each
 stage's rows and reads them again would. Word pieces have no SQL form, so there is no oracle; the
-tests hold each stage against its operator's brute-force version.
+tests hold each stage's rows against plain loops, SQL or the tokenizers library.
+
+Null ids, texts and sources, empty, very long and repeated texts and empty tables go through every
+stage by its operator's rules: documents without words fail the first stage, of repeated or similar
+rows one stays, a null source is a source.
 """
 
 from __future__ import annotations
