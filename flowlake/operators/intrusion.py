@@ -3,8 +3,12 @@
 A life begins with the first frame inside, and ends at the first frame of the camera's clock where
 the track has been outside, or missing, for the grace time. It is confirmed once it has dwelt; an
 alert also needs the cooldown since the track's last alert in any life, and may come late, while
-still inside. Native windows by camera and track find the lives; the cooldown is a fold over one
-track's confirmed samples.
+still inside. Native windows by camera, zone and track find the lives; the cooldown is a fold over
+one track's confirmed samples.
+
+``areas``: camera_id, zone_id, polygon, dwell, grace, cooldown, and, where a schedule is meant, days
+(Monday is 0; null: always), from_minute, to_minute and timezone. A frame outside of the schedule
+ends every life in the zone without an event. Times are seconds since 1970 in UTC.
 """
 
 from __future__ import annotations
@@ -12,85 +16,131 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlake.functions import geometry as G
 from flowlake.functions.geometry import EPS
 from flowlake.operators.people import zone_membership
 
-
-def next_frame_from(rows: DataFrame, frames: DataFrame, time: str, name: str) -> DataFrame:
-    """``name``: the camera's first frame time at or after ``time``, by one sort of both."""
-    clock = frames.select("camera_id", F.col("ts").alias("__t"), F.col("ts").alias("__clock"), F.lit(1).alias("__kind"))
-    asked = rows.withColumns({"__t": F.col(time) - EPS, "__clock": F.lit(None).cast("double"), "__kind": F.lit(0)})
-    both = asked.unionByName(clock, allowMissingColumns=True)
-    later = Window.partitionBy("camera_id").orderBy("__t", "__kind").rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn(name, F.first("__clock", ignorenulls=True).over(later))
-    return both.where("__kind = 0").drop("__t", "__clock", "__kind")
-
-
-def lives(inside: DataFrame, frames: DataFrame, dwell: float, grace: float) -> DataFrame:
-    """Inside samples with their life: camera_id, track_id, ts, entered_at, exited_at, confirmed_at."""
-    clock = frames.select("camera_id", "ts", F.lead("ts").over(Window.partitionBy("camera_id").orderBy("ts")).alias("after"))
-    track = Window.partitionBy("camera_id", "track_id").orderBy("ts")
-    rows = inside.select("camera_id", "track_id", "ts").join(clock, ["camera_id", "ts"]).withColumn("again", F.lead("ts").over(track))
-    rows = rows.withColumn("outside", F.when(F.col("after").isNotNull() & ~F.col("after").eqNullSafe(F.col("again")), F.col("after")))
-    rows = next_frame_from(rows.withColumn("due", F.col("outside") + grace), frames, "due", "exit")
-    ends = F.col("exit").isNotNull() & (F.col("again").isNull() | (F.col("exit") < F.col("again")))
+BLOCK = 3600.0  # seconds of a camera's clock that one task sorts at once
+ZONE = ["camera_id", "zone_id"]
+
+
+def block_of(time: Column) -> Column:
+    return F.floor(time / BLOCK)
+
+
+def next_frame_from(rows: DataFrame, frames: DataFrame, time: str, name: str, key: list[str] = ["camera_id"], usable: Column | None = None) -> DataFrame:
+    """``name``: the first (usable) frame time of the key at or after ``time``, which is not before its first frame.
+
+    Hours of a key are sorted apart; frames of later hours come from a table of each hour's first one.
+    """
+    value = F.col("ts") if usable is None else F.when(usable, F.col("ts"))
+    clock = frames.select(*key, F.col("ts").alias("__t"), value.alias("__clock"), F.lit(1).alias("__kind"), block_of(F.col("ts")).alias("__block"))
+    asked = F.col(time) - EPS
+    asked = rows.withColumns({"__t": asked, "__clock": F.lit(None).cast("double"), "__kind": F.lit(0), "__block": block_of(asked)})
+    later = Window.partitionBy(*key, "__block").orderBy("__t", "__kind").rowsBetween(0, Window.unboundedFollowing)
+    both = asked.unionByName(clock, allowMissingColumns=True).withColumn("__here", F.first("__clock", ignorenulls=True).over(later)).where("__kind = 0")
+    order = Window.partitionBy(*key).orderBy("__block")
+    own = F.struct("__block", F.col("__clock").alias("__first"))
+    before = F.struct((F.col("__block") - 1).alias("__block"), F.lit(None).cast("double").alias("__first"))  # so that the hour before the first is known
+    hours = clock.select(*key, F.inline(F.array(own, before))).groupBy(*key, "__block").agg(F.min("__first").alias("__first"))
+    after = F.first("__first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    hours = hours.withColumns({"__after": after, "__last": F.coalesce(F.lead("__block").over(order) - 1, "__block")})
+    hours = hours.select(*key, "__after", F.explode(F.sequence("__block", "__last")).alias("__block"))
+    found = both.join(hours, [*key, "__block"], "left").withColumn(name, F.coalesce("__here", "__after"))
+    return found.drop("__t", "__clock", "__kind", "__block", "__here", "__after")
+
+
+def next_frames(frames: DataFrame) -> DataFrame:
+    """camera_id, ts, after: each frame time of a camera with the one that follows it."""
+    rows = frames.select("camera_id", "ts", block_of(F.col("ts")).alias("__block"))
+    firsts = rows.groupBy("camera_id", "__block").agg(F.min("ts").alias("__first"))
+    firsts = firsts.select("camera_id", "__block", F.lead("__first").over(Window.partitionBy("camera_id").orderBy("__block")).alias("__next"))
+    rows = rows.withColumn("after", F.lead("ts").over(Window.partitionBy("camera_id", "__block").orderBy("ts"))).join(firsts, ["camera_id", "__block"])
+    return rows.select("camera_id", "ts", F.coalesce("after", "__next").alias("after"))
+
+
+def on_duty() -> Column:
+    return G.schedule_active(F.timestamp_seconds("ts"), F.col("days"), F.col("from_minute"), F.col("to_minute"), F.col("timezone"))
+
+
+def present(obs: DataFrame, frames: DataFrame, areas: DataFrame) -> DataFrame:
+    """Samples inside an area on duty, with the settings and ``until``: the next frame off duty."""
+    rows = zone_membership(obs, areas).where("inside")
+    if "days" not in areas.columns:
+        return rows.withColumn("until", F.lit(None).cast("double"))
+    clock = frames.select("camera_id", "ts").join(areas.drop("polygon"), "camera_id").select(*ZONE, "ts", (~on_duty()).alias("off"))
+    return next_frame_from(rows.where(on_duty()), clock, "ts", "until", ZONE, F.col("off"))
+
+
+def lives(inside: DataFrame, frames: DataFrame) -> DataFrame:
+    """Inside samples with their life: the zone, track_id, ts, until, cooldown, entered_at, exited_at, confirmed_at."""
+    track = Window.partitionBy(*ZONE, "track_id", "until").orderBy("ts")
+    rows = inside.select(*ZONE, "track_id", "ts", "until", "dwell", "grace", "cooldown").join(next_frames(frames), ["camera_id", "ts"]).withColumn("again", F.lead("ts").over(track))
+    before_end = lambda c: F.col(c).isNotNull() & (F.col("until").isNull() | (F.col(c) < F.col("until")))
+    rows = rows.withColumn("outside", F.when(before_end("after") & ~F.col("after").eqNullSafe(F.col("again")), F.col("after")))
+    rows = next_frame_from(rows.withColumn("due", F.coalesce("outside", "ts") + F.col("grace")), frames, "due", "exit")
+    ends = before_end("exit") & (F.col("again").isNull() | (F.col("exit") < F.col("again")))
     rows = rows.withColumn("ended", F.when(F.col("outside").isNotNull() & ends, F.col("exit")))
     rows = rows.withColumn("life", F.coalesce(F.sum(F.col("ended").isNotNull().cast("int")).over(track.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    life = Window.partitionBy("camera_id", "track_id", "life")
+    life = Window.partitionBy(*ZONE, "track_id", "until", "life")
     rows = rows.withColumns({"entered_at": F.min("ts").over(life), "exited_at": F.max("ended").over(life)})
-    ripe = F.when(F.col("ts") - F.col("entered_at") >= dwell - EPS, F.col("ts"))
+    ripe = F.when(F.col("ts") - F.col("entered_at") >= F.col("dwell") - EPS, F.col("ts"))
     rows = rows.withColumn("confirmed_at", F.min(ripe).over(life))
-    return rows.select("camera_id", "track_id", "life", "ts", "entered_at", "exited_at", "confirmed_at")
+    return rows.select(*ZONE, "track_id", "ts", "until", "cooldown", "entered_at", "exited_at", "confirmed_at")
+
 
+def whole_lives(rows: DataFrame) -> DataFrame:
+    return rows.drop("ts", "cooldown").distinct()
 
-def alert_fold(samples: Column, cooldown: float) -> Column:
-    """The samples (ts, life, entered_at) of one track at which an alert goes out."""
+
+def alert_fold(samples: Column, cooldown: Column) -> Column:
+    """The samples (ts, entered_at) of one track at which an alert goes out; one at most for each life."""
 
     def step(acc: Column, s: Column) -> Column:
-        due = (F.coalesce(acc["life"], F.lit(-1)) != s["life"]) & (acc["last"].isNull() | (s["ts"] - acc["last"] >= cooldown - EPS))
+        due = ~acc["life"].eqNullSafe(s["entered_at"]) & (acc["last"].isNull() | (s["ts"] - acc["last"] >= cooldown - EPS))
         return F.struct(
             F.when(due, s["ts"]).otherwise(acc["last"]).alias("last"),
-            F.when(due, s["life"]).otherwise(acc["life"]).alias("life"),
+            F.when(due, s["entered_at"]).otherwise(acc["life"]).alias("life"),
             F.when(due, F.array_append(acc["out"], s)).otherwise(acc["out"]).alias("out"),
         )
 
-    empty = F.struct(
-        F.lit(None).cast("double").alias("last"), F.lit(None).cast("long").alias("life"), F.array().cast("array<struct<ts:double,life:bigint,entered_at:double>>").alias("out")
-    )
+    none = F.lit(None).cast("double")
+    empty = F.struct(none.alias("last"), none.alias("life"), F.array().cast("array<struct<ts:double,entered_at:double>>").alias("out"))
     return F.aggregate(samples, empty, step, lambda acc: acc["out"])
 
 
-def restricted_events(obs: DataFrame, frames: DataFrame, polygon: Column, dwell: float, grace: float, cooldown: float, zone_id: str = "secure") -> DataFrame:
+def restricted_events(obs: DataFrame, frames: DataFrame, areas: DataFrame) -> DataFrame:
     """camera_id, zone_id, track_id, ts, event_type, seconds (dwell or duration), confirmed."""
-    inside = zone_membership(obs, polygon).where("inside")
-    rows = lives(inside, frames, dwell, grace)
-    whole = rows.select("camera_id", "track_id", "life", "entered_at", "exited_at", "confirmed_at").distinct()
+    rows = lives(present(obs, frames, areas), frames)
+    whole, who = whole_lives(rows), [*ZONE, "track_id"]
     none = F.lit(None)
-    entered = whole.select("camera_id", "track_id", F.col("entered_at").alias("ts"), F.lit("restricted_area_entered").alias("event_type"), none.cast("double").alias("seconds"), none.cast("boolean").alias("confirmed"))
+    entered = whole.select(*who, F.col("entered_at").alias("ts"), F.lit("restricted_area_entered").alias("event_type"), none.cast("double").alias("seconds"), none.cast("boolean").alias("confirmed"))
     left = whole.where("exited_at is not null").select(
-        "camera_id", "track_id", F.col("exited_at").alias("ts"), F.lit("restricted_area_exited").alias("event_type"),
+        *who, F.col("exited_at").alias("ts"), F.lit("restricted_area_exited").alias("event_type"),
         (F.col("exited_at") - F.col("entered_at")).alias("seconds"), F.col("confirmed_at").isNotNull().alias("confirmed"),
     )
-    sample = F.struct("ts", F.col("life").cast("long").alias("life"), "entered_at")
-    ripe = rows.where("ts >= confirmed_at").groupBy("camera_id", "track_id").agg(F.sort_array(F.collect_list(sample)).alias("samples"))
-    alerts = ripe.select("camera_id", "track_id", F.inline(alert_fold(F.col("samples"), cooldown)))
-    alerts = alerts.select("camera_id", "track_id", "ts", F.lit("restricted_area_confirmed").alias("event_type"), (F.col("ts") - F.col("entered_at")).alias("seconds"), none.cast("boolean").alias("confirmed"))
-    return entered.union(alerts).union(left).withColumn("zone_id", F.lit(zone_id))
-
-
-def restricted_status(obs: DataFrame, frames: DataFrame, polygon: Column, dwell: float, grace: float) -> DataFrame:
-    """camera_id, frame_index, current, entered, confirmed, entries, exits at each frame."""
-    inside = zone_membership(obs, polygon).where("inside")
-    whole = lives(inside, frames, dwell, grace).select("camera_id", "track_id", "life", "entered_at", "exited_at", "confirmed_at").distinct()
-    change = lambda time, d, c, i, o: whole.where(F.col(time).isNotNull()).select("camera_id", F.col(time).alias("ts"), d.alias("d"), c.alias("c"), i.alias("i"), o.alias("o"))
+    ripe = rows.where("ts >= confirmed_at").groupBy(*who).agg(F.sort_array(F.collect_list(F.struct("ts", "entered_at"))).alias("samples"), F.first("cooldown").alias("cooldown"))
+    alerts = ripe.select(*who, F.inline(alert_fold(F.col("samples"), F.col("cooldown"))))
+    alerts = alerts.select(*who, "ts", F.lit("restricted_area_confirmed").alias("event_type"), (F.col("ts") - F.col("entered_at")).alias("seconds"), none.cast("boolean").alias("confirmed"))
+    return entered.union(alerts).union(left)
+
+
+def restricted_status(obs: DataFrame, frames: DataFrame, areas: DataFrame) -> DataFrame:
+    """camera_id, zone_id, frame_index, active, current, entered, confirmed, entries, exits at each frame."""
+    whole = whole_lives(lives(present(obs, frames, areas), frames))
     one, zero = F.lit(1), F.lit(0)
     was = F.when(F.col("confirmed_at").isNotNull(), -1).otherwise(0)
-    changes = change("entered_at", one, zero, one, zero).union(change("confirmed_at", zero, one, zero, zero)).union(change("exited_at", -one, was, zero, one))
-    changes = changes.groupBy("camera_id", "ts").agg(*[F.sum(k).alias(k) for k in "dcio"])
-    so_far = Window.partitionBy("camera_id").orderBy("ts")
+    steps = [("entered_at", one, zero, one, zero), ("confirmed_at", zero, one, zero, zero), ("exited_at", -one, was, zero, one)]
+    changes = [F.struct(F.col(t).alias("ts"), d.alias("d"), c.alias("c"), i.alias("i"), o.alias("o")) for t, d, c, i, o in steps]
+    dropped = F.when(F.col("exited_at").isNull(), F.col("until"))
+    changes.append(F.struct(dropped.alias("ts"), (-one).alias("d"), was.alias("c"), zero.alias("i"), zero.alias("o")))
+    changes = whole.select(*ZONE, F.inline(F.array(*changes))).where("ts is not null").groupBy(*ZONE, "ts").agg(*[F.sum(k).alias(k) for k in "dcio"])
+    so_far = Window.partitionBy(*ZONE).orderBy("ts")
     total = lambda k: F.sum(F.coalesce(k, F.lit(0))).over(so_far)
-    rows = frames.join(changes, ["camera_id", "ts"], "left").withColumns({k: total(k) for k in "dcio"})
-    return rows.select("camera_id", "frame_index", F.col("d").alias("current"), (F.col("d") - F.col("c")).alias("entered"), F.col("c").alias("confirmed"), F.col("i").alias("entries"), F.col("o").alias("exits"))
+    spine = frames.join(areas.drop("polygon"), "camera_id")
+    active = on_duty() if "days" in areas.columns else F.lit(True)
+    rows = spine.withColumn("active", active).join(changes, [*ZONE, "ts"], "left").withColumns({k: total(k) for k in "dcio"})
+    return rows.select(*ZONE, "frame_index", "active", F.col("d").alias("current"), (F.col("d") - F.col("c")).alias("entered"), F.col("c").alias("confirmed"), F.col("i").alias("entries"), F.col("o").alias("exits"))
 
 
 def recent_events(events: DataFrame, limit: int, camera_id: int | None = None) -> DataFrame:

@@ -73,21 +73,23 @@ def throttle(obs: DataFrame, gap: float) -> DataFrame:
     return frames.groupBy("camera_id").applyInPandas(fold, "camera_id long, frame_index long, ts double")
 
 
-def queue_visits(obs: DataFrame, frames: DataFrame, polygon: Column, dwell: float, max_speed: float, gap: float, service: tuple[float, float], radius: float, size: tuple[int, int]) -> DataFrame:
-    """One row for each visit: camera_id, track_id, since, joined_at, left_at, reason, waiting, completed.
+def queue_visits(obs: DataFrame, frames: DataFrame, queues: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """One row for each visit: camera_id, queue_id, track_id, since, joined_at, left_at, reason, waiting, completed.
 
+    ``queues``: camera_id, queue_id, polygon, dwell, max_speed, gap, service (a normalised point), radius.
     A visit is a run of qualifying samples (in the region and slow); it ends with the first sample
     that doesn't qualify, or with the first frame of the camera more than ``gap`` after the last.
     Speed is that between a track's last two samples.
     """
-    track = Window.partitionBy("camera_id", "track_id").orderBy("ts")
-    rows = zone_membership(obs, polygon)
+    who = ["camera_id", "queue_id", "track_id"]
+    track = Window.partitionBy(*who).orderBy("ts")
+    rows = zone_membership(obs, queues)
     before = F.lag(F.struct("ts", "px", "py")).over(track)
     rows = rows.withColumn("b", before)
     far = F.sqrt((F.col("px") - F.col("b.px")) * (F.col("px") - F.col("b.px")) + (F.col("py") - F.col("b.py")) * (F.col("py") - F.col("b.py")))
     moved = F.try_divide(far, F.col("ts") - F.col("b.ts"))  # none between frames of one time
-    rows = rows.withColumn("good", F.col("inside") & F.coalesce(moved <= max_speed + EPS, F.lit(True)))
-    rows = rows.withColumns({"due": F.col("ts") + gap + 2 * EPS + EPS})
+    rows = rows.withColumn("good", F.col("inside") & F.coalesce(moved <= F.col("max_speed") + EPS, F.lit(True)))
+    rows = rows.withColumns({"due": F.col("ts") + F.col("gap") + 2 * EPS + EPS})
     rows = next_frame_from(rows, frames, "due", "late")
     rows = rows.withColumns({"next_ts": F.lead("ts").over(track), "next_good": F.lead("good").over(track), "next_in": F.lead("inside").over(track), "nx": F.lead("px").over(track), "ny": F.lead("py").over(track)})
     lapsed = F.col("late").isNotNull() & (F.col("next_ts").isNull() | (F.col("late") < F.col("next_ts")))
@@ -102,54 +104,63 @@ def queue_visits(obs: DataFrame, frames: DataFrame, polygon: Column, dwell: floa
     )
     earlier = track.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("visit", F.coalesce(F.sum(F.col("left_at").isNotNull().cast("int")).over(earlier), F.lit(0)))
-    visit = Window.partitionBy("camera_id", "track_id", "visit")
+    visit = Window.partitionBy(*who, "visit")
     rows = rows.withColumn("since", F.min("ts").over(visit))
-    joined = F.min(F.when(F.col("ts") - F.col("since") >= dwell - EPS, F.col("ts")))
-    last = rows.groupBy("camera_id", "track_id", "visit", "since").agg(
+    joined = F.min(F.when(F.col("ts") - F.col("since") >= F.col("dwell") - EPS, F.col("ts")))
+    last = rows.groupBy(*who, "visit", "since").agg(
         joined.alias("joined_at"), F.max("left_at").alias("left_at"), F.max("reason").alias("reason"),
-        F.max(F.struct("ts", "ex", "ey")).alias("e"),
+        F.max(F.struct("ts", "ex", "ey")).alias("e"), F.first("service").alias("service"), F.first("radius").alias("radius"),
     )
-    done = G.near_service(F.col("e.ex"), F.col("e.ey"), F.lit(service[0]), F.lit(service[1]), *size, radius)
+    done = G.near_service(F.col("e.ex"), F.col("e.ey"), F.col("service.x"), F.col("service.y"), *size, F.col("radius"))
     has = F.col("joined_at").isNotNull() & F.col("left_at").isNotNull()
     return last.select(
-        "camera_id", "track_id", "since", "joined_at", "left_at", "reason",
+        *who, "since", "joined_at", "left_at", "reason",
         F.when(has, F.greatest(F.lit(0.0), F.col("left_at") - F.col("since"))).alias("waiting"), F.when(has, done).alias("completed"),
     )
 
 
-def queue_status(visits: DataFrame, frames: DataFrame, alpha: float, overflow: int) -> DataFrame:
-    """Each frame's queue: raw_count, smoothed_count, overflow, mean_wait, completed, mean_completed."""
-    joined = visits.where("joined_at is not null")
-    at = lambda time, n, since, done, wait: joined.where(F.col(time).isNotNull()).select("camera_id", F.col(time).alias("ts"), n.alias("n"), since.alias("s"), done.alias("d"), wait.alias("w"))
-    zero = F.lit(0)
+def queue_status(visits: DataFrame, frames: DataFrame, queues: DataFrame) -> DataFrame:
+    """Each queue at each frame: raw_count, smoothed_count, overflow, mean_wait, completed, mean_completed, last_wait.
+
+    ``queues``: camera_id, queue_id, alpha (of the smoothing), overflow (the count from which it is too long).
+    """
+    key = ["camera_id", "queue_id"]
+    joined, zero, none = visits.where("joined_at is not null"), F.lit(0), F.lit(None)
     done = F.coalesce(F.col("completed").cast("int"), zero)
-    changes = at("joined_at", F.lit(1), F.col("since"), zero, F.lit(0.0)).union(at("left_at", F.lit(-1), -F.col("since"), done, done * F.coalesce("waiting", F.lit(0.0))))
-    changes = changes.groupBy("camera_id", "ts").agg(*[F.sum(k).alias(k) for k in "nsdw"])
-    so_far = Window.partitionBy("camera_id").orderBy("ts")
+    wait = F.when(done == 1, F.struct("track_id", "waiting"))
+    step = lambda time, n, since, d, w, last: F.struct(F.col(time).alias("ts"), n.alias("n"), since.alias("s"), d.alias("d"), w.alias("w"), last.alias("last"))
+    changes = F.array(
+        step("joined_at", F.lit(1), F.col("since"), zero, F.lit(0.0), none.cast("struct<track_id:bigint,waiting:double>")),
+        step("left_at", F.lit(-1), -F.col("since"), done, done * F.coalesce("waiting", F.lit(0.0)), wait),
+    )
+    changes = joined.select(*key, F.inline(changes)).where("ts is not null").groupBy(*key, "ts").agg(*[F.sum(k).alias(k) for k in "nsdw"], F.max("last").alias("last"))
+    so_far = Window.partitionBy(*key).orderBy("ts")
     total = lambda k: F.sum(F.coalesce(k, zero)).over(so_far)
-    rows = frames.join(changes, ["camera_id", "ts"], "left").withColumns({k: total(k) for k in "nsdw"})
+    rows = frames.join(queues.select(*key, "alpha", F.col("overflow").alias("most")), "camera_id").join(changes, [*key, "ts"], "left")
+    rows = rows.withColumns({k: total(k) for k in "nsdw"} | {"last": F.last("last", ignorenulls=True).over(so_far)})
     rows = rows.select(
-        "camera_id", "frame_index", "ts", F.col("n").alias("raw_count"), (F.col("n") >= overflow).alias("overflow"),
+        *key, "frame_index", "ts", "alpha", F.col("n").alias("raw_count"), (F.col("n") >= F.col("most")).alias("overflow"),
         F.when(F.col("n") > 0, (F.col("n") * F.col("ts") - F.col("s")) / F.col("n")).alias("mean_wait"),
-        F.col("d").alias("completed"), F.when(F.col("d") > 0, F.col("w") / F.col("d")).alias("mean_completed"),
+        F.col("d").alias("completed"), F.when(F.col("d") > 0, F.col("w") / F.col("d")).alias("mean_completed"), F.col("last.waiting").alias("last_wait"),
     )
 
     def ema(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, level, out = pdf.sort_values("ts"), 0.0, []
-        for n in pdf["raw_count"]:
+        for n, alpha in zip(pdf["raw_count"], pdf["alpha"]):
             level = alpha * n + (1 - alpha) * level
             out.append(level)
-        return pdf.assign(smoothed_count=out)[["camera_id", "frame_index", "smoothed_count"]]
+        return pdf.assign(smoothed_count=out)[[*key, "frame_index", "smoothed_count"]]
 
-    level = rows.select("camera_id", "ts", "frame_index", "raw_count").groupBy("camera_id").applyInPandas(ema, "camera_id long, frame_index long, smoothed_count double")
-    return rows.join(level, ["camera_id", "frame_index"])
+    fields = dict(rows.dtypes)
+    level = rows.select(*key, "ts", "frame_index", "raw_count", "alpha").groupBy(*key).applyInPandas(ema, f"camera_id {fields['camera_id']}, queue_id {fields['queue_id']}, frame_index long, smoothed_count double")
+    return rows.drop("alpha").join(level, [*key, "frame_index"])
 
 
 def overflow_events(status: DataFrame) -> DataFrame:
-    """camera_id, ts, event_type, raw_count where the overflow flag flips."""
-    order = Window.partitionBy("camera_id").orderBy("ts")
+    """camera_id, queue_id, ts, event_type, raw_count where the overflow flag flips."""
+    order = Window.partitionBy("camera_id", "queue_id").orderBy("ts")
     rows = status.withColumn("was", F.lag("overflow", 1, False).over(order)).where("was <> overflow")
-    return rows.select("camera_id", "ts", F.when(F.col("overflow"), "queue_overflow_started").otherwise("queue_overflow_ended").alias("event_type"), "raw_count")
+    return rows.select("camera_id", "queue_id", "ts", F.when(F.col("overflow"), "queue_overflow_started").otherwise("queue_overflow_ended").alias("event_type"), "raw_count")
 
 
 def vertical_rows(obs: DataFrame, width: float, distance: float = 0.08, least: int = 2) -> DataFrame:

@@ -15,6 +15,7 @@ WIDTH = HEIGHT = 101
 SQUARE = [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)]
 WEDGE = [(0.1, 0.1), (0.9, 0.1), (0.5, 0.5), (0.9, 0.9), (0.1, 0.9)]
 DOOR = ((0.2, 0.5), (0.8, 0.5))
+GATE = ((0.5, 0.2), (0.5, 0.8))
 HYSTERESIS = 0.03
 HOMOGRAPHY = [0.1, 0.0, 0.0, 0.0, 0.1, 0.0, 0.0, 0.0, 1.0]
 START = "2024-01-01 00:00:00"
@@ -48,16 +49,54 @@ def frames(obs: DataFrame) -> DataFrame:
     return obs.select("camera_id", "frame_index", "ts").distinct()
 
 
-def zones(spark: SparkSession) -> DataFrame:
-    """zone_id and pixel polygon; the two zones that every camera has."""
-    rows = spark.range(1).select(
-        F.inline(F.array(F.struct(F.lit("floor").alias("zone_id"), G.literal_polygon(SQUARE).alias("shape")), F.struct(F.lit("wedge").alias("zone_id"), G.literal_polygon(WEDGE).alias("shape"))))
+def camera_ids(obs: DataFrame) -> DataFrame:
+    return obs.select("camera_id").distinct()
+
+
+def zones(obs: DataFrame) -> DataFrame:
+    """camera_id, zone_id and pixel polygon: a floor for every camera, a wedge for those with even ids."""
+    shape = lambda name, points: F.struct(F.lit(name).alias("zone_id"), G.literal_polygon(points).alias("shape"))
+    rows = camera_ids(obs).select("camera_id", F.inline(F.array(shape("floor", SQUARE), shape("wedge", WEDGE))))
+    return rows.where("zone_id = 'floor' or camera_id % 2 = 0").select("camera_id", "zone_id", G.pixel_polygon(F.col("shape"), WIDTH, HEIGHT).alias("polygon"))
+
+
+def lines(obs: DataFrame) -> DataFrame:
+    """A level door for every camera, an upright gate for those with odd ids."""
+    point = lambda p: G.point(F.lit(p[0]), F.lit(p[1]))
+    line = lambda name, ends: F.struct(F.lit(name).alias("line_id"), point(ends[0]).alias("start"), point(ends[1]).alias("end"))
+    rows = camera_ids(obs).select("camera_id", F.inline(F.array(line("door", DOOR), line("gate", GATE)))).where("line_id = 'door' or camera_id % 2 = 1")
+    return rows.withColumns({"hysteresis": F.lit(HYSTERESIS), "positive": F.lit("entry"), "negative": F.lit("exit")})
+
+
+def box(low: Column, high: Column) -> Column:
+    """The square from ``low`` to ``high`` on both axes, in pixels."""
+    return F.array(*[G.point(x, y) for x, y in ((low, low), (high, low), (high, high), (low, high))])
+
+
+def regions(obs: DataFrame) -> DataFrame:
+    """camera_id, zone_id, polygon, dwell: a secure square, elsewhere on odd cameras, and a store for every third camera."""
+    low = F.when(F.col("camera_id") % 2 == 0, F.lit(20.0)).otherwise(F.lit(10.0))
+    region = lambda name, low, dwell: F.struct(F.lit(name).alias("zone_id"), box(low, low + 60.0).alias("polygon"), F.lit(dwell).alias("dwell"))
+    rows = camera_ids(obs).select("camera_id", F.inline(F.array(region("secure", low, 1.0), region("store", F.lit(30.0), 2.0))))
+    return rows.where("zone_id = 'secure' or camera_id % 3 = 0")
+
+
+def areas(obs: DataFrame) -> DataFrame:
+    """The regions as restricted areas; the store is on duty in the first minute of Thursday only."""
+    on = lambda v, t: F.when(F.col("zone_id") == "store", v).cast(t)
+    return regions(obs).withColumns(
+        {"grace": F.lit(1.0), "cooldown": F.lit(10.0), "days": on(F.array(F.lit(3)), "array<int>"), "from_minute": on(F.lit(0), "int"), "to_minute": on(F.lit(1), "int"), "timezone": on(F.lit("UTC"), "string")}
     )
-    return rows.select("zone_id", G.pixel_polygon(F.col("shape"), WIDTH, HEIGHT).alias("polygon"))
+
+
+def queues(obs: DataFrame) -> DataFrame:
+    """The regions as queues."""
+    rows = regions(obs).withColumnRenamed("zone_id", "queue_id")
+    return rows.withColumns({"max_speed": F.lit(100.0), "gap": F.lit(1.0), "service": G.point(F.lit(0.8), F.lit(0.5)), "radius": F.lit(0.08), "alpha": F.lit(0.5), "overflow": F.lit(3)})
 
 
 def square() -> Column:
-    """The pixel polygon of the restricted area and of the queue."""
+    """The pixel polygon of the floor."""
     return G.literal_polygon([(x * (WIDTH - 1), y * (HEIGHT - 1)) for x, y in SQUARE])
 
 
@@ -125,7 +164,9 @@ SQL = {
     from events)""",
     "frames": "select distinct camera_id, frame_index, ts from obs",
     "seen": "select * from obs where confirmed qualify row_number() over (partition by camera_id, frame_index, track_id order by arrival desc) = 1",
-    "zones": "select * from (values ('floor', [20, 80, 80, 20], [20, 20, 80, 80]), ('wedge', [10, 90, 50, 90, 10], [10, 10, 50, 90, 90])) z(zone_id, xs, ys)",
+    "regions": """
+  select distinct camera_id, 'secure' as zone_id, case when camera_id % 2 = 0 then 20 else 10 end as lo, 1 as dwell from frames
+  union all select distinct camera_id, 'store', 30, 2 from frames where camera_id % 3 = 0""",
     "minutes": """
   select *, timestamp '2024-01-01 00:00:00' + to_minutes(minute_index) as bucket_start from (
     select l_suppkey as camera_id, (l_orderkey % 14) * 1440 + (l_partkey % 24) * 60 + (l_orderkey * 7 + l_linenumber) % 60 as minute_index,

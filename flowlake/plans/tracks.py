@@ -11,8 +11,7 @@ from flowlake.plans.fixtures import with_sql
 
 QUERIES, ORACLES = {}, {}
 BOUNDS = (0.0, 0.0, 100.0, 100.0)
-LINE = dict(start=X.DOOR[0], end=X.DOOR[1], hysteresis=X.HYSTERESIS, size=(X.WIDTH, X.HEIGHT))
-QUEUE = dict(dwell=1.0, max_speed=100.0, gap=1.0, service=(0.8, 0.5), radius=0.08, size=(X.WIDTH, X.HEIGHT))
+SIZE = (X.WIDTH, X.HEIGHT)
 
 
 def query(name: str, oracle: str | None = None):
@@ -34,7 +33,7 @@ def clocked(spark, sf):
 INSIDE = """
 ), hit as (
   select *, px between 20 and 80 and py between 20 and 80 as in_floor,
-         px >= 10 and py between 10 and 90 and px <= case when py <= 50 then 100 - py else py end as in_wedge
+         camera_id % 2 = 0 and px >= 10 and py between 10 and 90 and px <= case when py <= 50 then 100 - py else py end as in_wedge
   from seen"""
 
 query(
@@ -44,8 +43,8 @@ query(
   select camera_id, frame_index, count(*) filter (in_floor) as floor, count(*) filter (in_wedge) as wedge from hit group by 1, 2
 )
 select f.camera_id, f.frame_index, z as zone_id, coalesce(case z when 'floor' then floor else wedge end, 0) as people
-from frames f cross join (values ('floor'), ('wedge')) t(z) left join n using (camera_id, frame_index)"""),
-)(lambda spark, sf: (lambda o, f: people.zone_occupancy(o, f, X.zones(spark)))(*clocked(spark, sf)))
+from frames f join (values ('floor'), ('wedge')) t(z) on z = 'floor' or f.camera_id % 2 = 0 left join n using (camera_id, frame_index)"""),
+)(lambda spark, sf: (lambda o, f: people.zone_occupancy(o, f, X.zones(o)))(*clocked(spark, sf)))
 
 query(
     "people_per_frame",
@@ -59,100 +58,115 @@ from frames f"""),
 CROSSED = """
 ), numbered as (
   select *, row_number() over (partition by camera_id order by frame_index) as at_ from frames
+), sighted as (
+  select *, 'door' as line_id, px as along, py - 50 as off from seen union all select *, 'gate', py, 50 - px from seen where camera_id % 2 = 1
 ), far as (
-  select s.*, at_, case when (60 * (py - 50)) / 60.0::double > 0.03::double * sqrt(20000.0::double) then 1 when (60 * (py - 50)) / 60.0::double < -0.03::double * sqrt(20000.0::double) then -1 else 0 end as side,
-         coalesce((at_ - lag(at_) over (partition by s.camera_id, track_id order by at_) <> 1)::int, 0) as broken
-  from seen s join numbered n on s.camera_id = n.camera_id and s.frame_index = n.frame_index
+  select s.*, at_, case when (60 * off) / 60.0::double > 0.03::double * sqrt(20000.0::double) then 1 when (60 * off) / 60.0::double < -0.03::double * sqrt(20000.0::double) then -1 else 0 end as side,
+         coalesce((at_ - lag(at_) over (partition by s.camera_id, track_id, line_id order by at_) <> 1)::int, 0) as broken
+  from sighted s join numbered n on s.camera_id = n.camera_id and s.frame_index = n.frame_index
 ), runs as (
-  select *, sum(broken) over (partition by camera_id, track_id order by at_) as run from far
+  select *, sum(broken) over (partition by camera_id, track_id, line_id order by at_) as run from far
 ), moved as (
-  select *, lag(side) over w as s0, lag(px) over w as x0, lag(py) over w as y0 from runs where side <> 0 window w as (partition by camera_id, track_id, run order by at_)
+  select *, lag(side) over w as s0, lag(along) over w as x0, lag(off) over w as y0 from runs where side <> 0 window w as (partition by camera_id, track_id, line_id, run order by at_)
 ), crossed as (
-  select camera_id, track_id, frame_index, 'door' as line_id, case when side > s0 then 'entry' else 'exit' end as direction
-  from moved where s0 <> side and x0 + (50 - y0) / (py - y0) * (px - x0) between 20 - 60e-9 and 80 + 60e-9"""
+  select camera_id, track_id, frame_index, line_id, case when side > s0 then 'entry' else 'exit' end as direction
+  from moved where s0 <> side and x0 + (0 - y0) / (off - y0) * (along - x0) between 20 - 60e-9 and 80 + 60e-9"""
 
-query("line_crossings", with_sql("obs", "frames", "seen", body=CROSSED + ") select * from crossed"))(
-    lambda spark, sf: people.line_crossings(*clocked(spark, sf), **LINE)
-)
+
+def crossings(spark, sf):
+    obs, frames = clocked(spark, sf)
+    return people.line_crossings(obs, frames, X.lines(obs), SIZE)
+
+
+query("line_crossings", with_sql("obs", "frames", "seen", body=CROSSED + ") select * from crossed"))(crossings)
 
 
 @query("line_totals", with_sql("obs", "frames", "seen", body=CROSSED + """
-), n as (select camera_id, frame_index, count(*) filter (direction = 'entry') as i, count(*) filter (direction = 'exit') as o from crossed group by 1, 2)
-select camera_id, frame_index, (sum(coalesce(i, 0)) over w)::bigint as entries, (sum(coalesce(o, 0)) over w)::bigint as exits
-from frames left join n using (camera_id, frame_index) window w as (partition by camera_id order by frame_index)"""))
+), n as (select camera_id, frame_index, line_id, count(*) filter (direction = 'entry') as i, count(*) filter (direction = 'exit') as o from crossed group by 1, 2, 3)
+select f.camera_id, f.frame_index, l as line_id, (sum(coalesce(i, 0)) over w)::bigint as entries, (sum(coalesce(o, 0)) over w)::bigint as exits
+from frames f join (values ('door'), ('gate')) t(l) on l = 'door' or f.camera_id % 2 = 1 left join n on n.camera_id = f.camera_id and n.frame_index = f.frame_index and n.line_id = l
+window w as (partition by f.camera_id, l order by f.frame_index)"""))
 def line_totals(spark, sf):
     obs, frames = clocked(spark, sf)
-    return people.line_totals(people.line_crossings(obs, frames, **LINE), frames)
+    return people.line_totals(crossings(spark, sf), frames, X.lines(obs))
 
 
 MEMBER = """
 ), member as (
-  select *, px between 20 and 80 and py between 20 and 80
-         and greatest(least(x2, 80) - greatest(x1, 20), 0) * greatest(least(y2, 80) - greatest(y1, 20), 0) / 72.0::double >= 0.75::double - 1e-9::double as inside
-  from seen"""
+  select s.*, zone_id, dwell, px between lo and lo + 60 and py between lo and lo + 60
+         and greatest(least(x2, lo + 60) - greatest(x1, lo), 0) * greatest(least(y2, lo + 60) - greatest(y1, lo), 0) / 72.0::double >= 0.75::double - 1e-9::double as inside
+  from seen s join regions r on s.camera_id = r.camera_id"""
 
-query("zone_membership", with_sql("obs", "seen", body=MEMBER + ") select camera_id, track_id, frame_index, inside from member"))(
-    lambda spark, sf: people.zone_membership(X.observations(spark, sf), X.square()).select("camera_id", "track_id", "frame_index", "inside")
+query("zone_membership", with_sql("obs", "frames", "seen", "regions", body=MEMBER + ") select camera_id, zone_id, track_id, frame_index, inside from member"))(
+    lambda spark, sf: (lambda o: people.zone_membership(o, X.regions(o)))(X.observations(spark, sf)).select("camera_id", "zone_id", "track_id", "frame_index", "inside")
 )
 
+# The store is off duty from time 60 on, which ends its lives without an event.
 LIVES = MEMBER + """
 ), clock as (
   select camera_id, ts, lead(ts) over (partition by camera_id order by ts) as after from frames
 ), ins as (
-  select m.camera_id, track_id, m.ts, after, lead(m.ts) over (partition by m.camera_id, track_id order by m.ts) as again
-  from member m join clock c on m.camera_id = c.camera_id and m.ts = c.ts where inside
+  select m.camera_id, zone_id, dwell, track_id, m.ts, after, lead(m.ts) over (partition by m.camera_id, zone_id, track_id order by m.ts) as again,
+         case when zone_id = 'store' then (select min(ts) from frames f where f.camera_id = m.camera_id and f.ts >= 60) end as until
+  from member m join clock c on m.camera_id = c.camera_id and m.ts = c.ts where inside and (zone_id = 'secure' or m.ts < 60)
 ), out_ as (
-  select *, case when after is distinct from again then after end as outside from ins
+  select *, case when after is distinct from again and (until is null or after < until) then after end as outside from ins
 ), due as (
   select *, (select min(ts) from frames f where f.camera_id = o.camera_id and f.ts >= o.outside + 1 - 1e-9) as exit_ from out_ o
 ), flag as (
-  select *, case when exit_ is not null and (again is null or exit_ < again) then exit_ end as ended from due
+  select *, case when exit_ is not null and (until is null or exit_ < until) and (again is null or exit_ < again) then exit_ end as ended from due
 ), numbered_life as (
-  select *, coalesce(sum((ended is not null)::int) over (partition by camera_id, track_id order by ts rows between unbounded preceding and 1 preceding), 0) as life from flag
+  select *, coalesce(sum((ended is not null)::int) over (partition by camera_id, zone_id, track_id order by ts rows between unbounded preceding and 1 preceding), 0) as life from flag
 ), life as (
-  select *, min(ts) over w as entered_at, max(ended) over w as exited_at from numbered_life window w as (partition by camera_id, track_id, life)
+  select *, min(ts) over w as entered_at, max(ended) over w as exited_at from numbered_life window w as (partition by camera_id, zone_id, track_id, life)
 ), whole as (
-  select *, min(case when ts - entered_at >= 1 - 1e-9 then ts end) over (partition by camera_id, track_id, life) as confirmed_at from life
+  select *, min(case when ts - entered_at >= dwell - 1e-9 then ts end) over (partition by camera_id, zone_id, track_id, life) as confirmed_at from life
 )"""
 
 ALERTS = """, ripe as (
-  select camera_id, track_id, ts, life, entered_at, row_number() over (partition by camera_id, track_id order by ts) as k from whole where ts >= confirmed_at
+  select camera_id, zone_id, track_id, ts, life, entered_at, row_number() over (partition by camera_id, zone_id, track_id order by ts) as k from whole where ts >= confirmed_at
 ), fold as (
-  select camera_id, track_id, k, ts, entered_at, ts as last, life as alerted, true as alert from ripe where k = 1
+  select camera_id, zone_id, track_id, k, ts, entered_at, ts as last, life as alerted, true as alert from ripe where k = 1
   union all
-  select r.camera_id, r.track_id, r.k, r.ts, r.entered_at,
+  select r.camera_id, r.zone_id, r.track_id, r.k, r.ts, r.entered_at,
          case when r.life <> f.alerted and r.ts - f.last >= 10 - 1e-9 then r.ts else f.last end,
          case when r.life <> f.alerted and r.ts - f.last >= 10 - 1e-9 then r.life else f.alerted end,
          r.life <> f.alerted and r.ts - f.last >= 10 - 1e-9
-  from fold f join ripe r on r.camera_id = f.camera_id and r.track_id = f.track_id and r.k = f.k + 1
-), one as (select distinct camera_id, track_id, life, entered_at, exited_at, confirmed_at from whole)"""
+  from fold f join ripe r on r.camera_id = f.camera_id and r.zone_id = f.zone_id and r.track_id = f.track_id and r.k = f.k + 1
+), one as (select distinct camera_id, zone_id, track_id, life, until, entered_at, exited_at, confirmed_at from whole)"""
 
 EVENTS = """
-  select 'secure' as zone_id, camera_id, track_id, entered_at as ts, 'restricted_area_entered' as event_type, null::double as seconds, null::boolean as confirmed from one
-  union all select 'secure', camera_id, track_id, ts, 'restricted_area_confirmed', ts - entered_at, null from fold where alert
-  union all select 'secure', camera_id, track_id, exited_at, 'restricted_area_exited', exited_at - entered_at, confirmed_at is not null from one where exited_at is not null"""
+  select zone_id, camera_id, track_id, entered_at as ts, 'restricted_area_entered' as event_type, null::double as seconds, null::boolean as confirmed from one
+  union all select zone_id, camera_id, track_id, ts, 'restricted_area_confirmed', ts - entered_at, null from fold where alert
+  union all select zone_id, camera_id, track_id, exited_at, 'restricted_area_exited', exited_at - entered_at, confirmed_at is not null from one where exited_at is not null"""
 
 
 def restricted(spark, sf):
-    return intrusion.restricted_events(*clocked(spark, sf), X.square(), 1.0, 1.0, 10.0)
+    obs, frames = clocked(spark, sf)
+    return intrusion.restricted_events(obs, frames, X.areas(obs))
+
+
+def secured(spark, sf):
+    obs, frames = clocked(spark, sf)
+    return intrusion.restricted_status(obs, frames, X.areas(obs))
 
 
-query("restricted_events", with_sql("obs", "frames", "seen", body=LIVES + ALERTS + EVENTS, recursive=True))(restricted)
+NEEDS = ("obs", "frames", "seen", "regions")
+query("restricted_events", with_sql(*NEEDS, body=LIVES + ALERTS + EVENTS, recursive=True))(restricted)
 query(
     "recent_restricted_events",
-    with_sql("obs", "frames", "seen", body=LIVES + ALERTS + f", e as ({EVENTS}) select * from e where event_type <> 'restricted_area_confirmed' order by ts desc, camera_id, track_id, event_type limit 100", recursive=True),
+    with_sql(*NEEDS, body=LIVES + ALERTS + f", e as ({EVENTS}) select * from e where event_type <> 'restricted_area_confirmed' order by ts desc, camera_id, zone_id, track_id, event_type limit 100", recursive=True),
 )(lambda spark, sf: intrusion.recent_events(restricted(spark, sf), 100))
 
-query("restricted_status", with_sql("obs", "frames", "seen", body=LIVES + """
-, one as (select distinct camera_id, track_id, life, entered_at, exited_at, confirmed_at from whole)
-select f.camera_id, f.frame_index,
-  count(*) filter (entered_at <= ts and (exited_at is null or exited_at > ts)) as current,
-  count(*) filter (entered_at <= ts and (exited_at is null or exited_at > ts) and (confirmed_at is null or confirmed_at > ts)) as entered,
-  count(*) filter (confirmed_at <= ts and (exited_at is null or exited_at > ts)) as confirmed,
+SECURED = """
+, one as (select distinct camera_id, zone_id, track_id, life, entered_at, coalesce(exited_at, until) as gone_at, exited_at, confirmed_at from whole)
+, secured as (select f.camera_id, r.zone_id, f.frame_index, r.zone_id = 'secure' or f.ts < 60 as active,
+  count(*) filter (entered_at <= ts and (gone_at is null or gone_at > ts)) as current,
+  count(*) filter (entered_at <= ts and (gone_at is null or gone_at > ts) and (confirmed_at is null or confirmed_at > ts)) as entered,
+  count(*) filter (confirmed_at <= ts and (gone_at is null or gone_at > ts)) as confirmed,
   count(*) filter (entered_at <= ts) as entries, count(*) filter (exited_at <= ts) as exits
-from frames f left join one o on f.camera_id = o.camera_id group by 1, 2"""))(
-    lambda spark, sf: intrusion.restricted_status(*clocked(spark, sf), X.square(), 1.0, 1.0)
-)
+from frames f join regions r on f.camera_id = r.camera_id left join one o on f.camera_id = o.camera_id and r.zone_id = o.zone_id group by 1, 2, 3, 4)"""
+query("restricted_status", with_sql(*NEEDS, body=LIVES + SECURED + " select * from secured"))(secured)
 
 LAST = """
 ), last as (
@@ -270,10 +284,10 @@ query("throttle", with_sql("obs", "frames", recursive=True, body="""
 VISITS = MEMBER + """
 ), fast as (
   select *, coalesce(sqrt((px - lag(px) over w) * (px - lag(px) over w) + (py - lag(py) over w) * (py - lag(py) over w)) / (ts - lag(ts) over w) <= 100 + 1e-9, true) and inside as good
-  from member window w as (partition by camera_id, track_id order by ts)
+  from member window w as (partition by camera_id, zone_id, track_id order by ts)
 ), late as (
   select *, (select min(ts) from frames c where c.camera_id = f.camera_id and c.ts - f.ts > 1 + 1e-9) as late, lead(ts) over w as next_ts, lead(good) over w as next_good, lead(inside) over w as next_in, lead(px) over w as nx, lead(py) over w as ny
-  from fast f window w as (partition by camera_id, track_id order by ts)
+  from fast f window w as (partition by camera_id, zone_id, track_id order by ts)
 ), ends as (
   select *, late is not null and (next_ts is null or late < next_ts) as lapsed from late
 ), left_ as (
@@ -282,47 +296,54 @@ VISITS = MEMBER + """
          case when lapsed then px else nx end as ex, case when lapsed then py else ny end as ey
   from ends where good
 ), visit as (
-  select *, coalesce(sum((left_at is not null)::int) over (partition by camera_id, track_id order by ts rows between unbounded preceding and 1 preceding), 0) as visit from left_
-), since as (select *, min(ts) over (partition by camera_id, track_id, visit) as since from visit
-), one as (
-  select camera_id, track_id, since, min(case when ts - since >= 1 - 1e-9 then ts end) as joined_at, max(left_at) as left_at, max(reason) as reason, arg_max(ex, ts) as ex, arg_max(ey, ts) as ey
-  from since group by camera_id, track_id, visit, since
+  select *, coalesce(sum((left_at is not null)::int) over (partition by camera_id, zone_id, track_id order by ts rows between unbounded preceding and 1 preceding), 0) as visit from left_
+), since as (select *, min(ts) over (partition by camera_id, zone_id, track_id, visit) as since from visit
+), stay as (
+  select camera_id, zone_id as queue_id, track_id, since, min(case when ts - since >= dwell - 1e-9 then ts end) as joined_at, max(left_at) as left_at, max(reason) as reason, arg_max(ex, ts) as ex, arg_max(ey, ts) as ey
+  from since group by camera_id, zone_id, track_id, visit, since
 ), visits as (
-  select camera_id, track_id, since, joined_at, left_at, reason, case when joined_at is not null and left_at is not null then left_at - since end as waiting,
+  select camera_id, queue_id, track_id, since, joined_at, left_at, reason, case when joined_at is not null and left_at is not null then left_at - since end as waiting,
          case when joined_at is not null and left_at is not null then sqrt((ex / 100 - 0.8::double) * (ex / 100 - 0.8::double) + (ey / 100 - 0.5::double) * (ey / 100 - 0.5::double)) <= 0.08::double + 1e-9 end as completed
-  from one
+  from stay
 )"""
 
 
 def visits(spark, sf):
-    return motion.queue_visits(*clocked(spark, sf), X.square(), **QUEUE)
+    obs, frames = clocked(spark, sf)
+    return motion.queue_visits(obs, frames, X.queues(obs), SIZE)
 
 
-query("queue_membership", with_sql("obs", "frames", "seen", body=VISITS + " select * from visits"))(visits)
+query("queue_membership", with_sql(*NEEDS, body=VISITS + " select * from visits"))(visits)
 
 STATUS = """, status as (
-  select f.camera_id, f.frame_index, f.ts, count(*) filter (joined_at <= ts and (left_at is null or left_at > ts)) as raw_count,
+  select f.camera_id, r.zone_id as queue_id, f.frame_index, f.ts, count(*) filter (joined_at <= ts and (left_at is null or left_at > ts)) as raw_count,
          avg(ts - since) filter (joined_at <= ts and (left_at is null or left_at > ts)) as mean_wait,
-         count(*) filter (left_at <= ts and completed) as completed, avg(waiting) filter (left_at <= ts and completed) as mean_completed
-  from frames f left join visits v on f.camera_id = v.camera_id group by 1, 2, 3
+         count(*) filter (left_at <= ts and completed) as completed, avg(waiting) filter (left_at <= ts and completed) as mean_completed,
+         arg_max(waiting, left_at * 1000000 + track_id) filter (left_at <= ts and completed) as last_wait
+  from frames f join regions r on f.camera_id = r.camera_id left join visits v on f.camera_id = v.camera_id and r.zone_id = v.queue_id group by 1, 2, 3, 4
+)"""
+SMOOTHED = """, counted as (
+  select *, row_number() over (partition by camera_id, queue_id order by ts) as k from status
+), smooth as (
+  select camera_id, queue_id, k, frame_index, 0.5::double * raw_count as level from counted where k = 1
+  union all select n.camera_id, n.queue_id, n.k, n.frame_index, 0.5::double * n.raw_count + 0.5::double * level from smooth f join counted n on n.camera_id = f.camera_id and n.queue_id = f.queue_id and n.k = f.k + 1
+), smoothed as (
+  select camera_id, queue_id, frame_index, ts, raw_count, raw_count >= 3 as overflow, mean_wait, completed, mean_completed, last_wait, level as smoothed_count from counted join smooth using (camera_id, queue_id, frame_index)
+)"""
+FLIPS = """, flips as (
+  select *, raw_count >= 3 as over_, lag(raw_count >= 3, 1, false) over (partition by camera_id, queue_id order by ts) as was from status
+), overflows as (
+  select camera_id, queue_id, ts, case when over_ then 'queue_overflow_started' else 'queue_overflow_ended' end as event_type, raw_count from flips where over_ <> was
 )"""
 
 
 def status(spark, sf):
-    return motion.queue_status(visits(spark, sf), clocked(spark, sf)[1], 0.5, 3)
+    obs, frames = clocked(spark, sf)
+    return motion.queue_status(visits(spark, sf), frames, X.queues(obs))
 
 
-query("queue_status", with_sql("obs", "frames", "seen", recursive=True, body=VISITS + STATUS + """, n as (
-  select *, row_number() over (partition by camera_id order by ts) as k from status
-), fold as (
-  select camera_id, k, frame_index, 0.5::double * raw_count as level from n where k = 1
-  union all select n.camera_id, n.k, n.frame_index, 0.5::double * n.raw_count + 0.5::double * level from fold f join n on n.camera_id = f.camera_id and n.k = f.k + 1
-) select camera_id, frame_index, ts, raw_count, raw_count >= 3 as overflow, mean_wait, completed, mean_completed, level as smoothed_count from n join fold using (camera_id, frame_index)"""))(status)
-query("queue_overflow_events", with_sql("obs", "frames", "seen", body=VISITS + STATUS + """, flips as (
-  select *, raw_count >= 3 as over_, lag(raw_count >= 3, 1, false) over (partition by camera_id order by ts) as was from status
-) select camera_id, ts, case when over_ then 'queue_overflow_started' else 'queue_overflow_ended' end as event_type, raw_count from flips where over_ <> was"""))(
-    lambda spark, sf: motion.overflow_events(status(spark, sf))
-)
+query("queue_status", with_sql(*NEEDS, recursive=True, body=VISITS + STATUS + SMOOTHED + " select * from smoothed"))(status)
+query("queue_overflow_events", with_sql(*NEEDS, body=VISITS + STATUS + FLIPS + " select * from overflows"))(lambda spark, sf: motion.overflow_events(status(spark, sf)))
 
 
 def rows(spark, sf):
@@ -348,22 +369,46 @@ select f.camera_id, count(*) as frames, max(coalesce(p, 0)) as max_people, (sele
 from frames f left join zone using (camera_id, frame_index) group by f.camera_id"""))
 def run_summary(spark, sf):
     obs, frames = clocked(spark, sf)
-    return people.run_summary(obs, frames, X.zones(spark), people.line_crossings(obs, frames, **LINE))
+    return people.run_summary(obs, frames, X.zones(obs), crossings(spark, sf))
+
+
+METRICS = """
+, people as (
+  select f.camera_id, f.frame_index, coalesce(count(s.track_id), 0) as current_people, (select count(*) from (select camera_id, track_id, min(frame_index) as f from seen group by 1, 2) a where a.camera_id = f.camera_id and a.f <= f.frame_index) as unique_people
+  from frames f left join seen s on s.camera_id = f.camera_id and s.frame_index = f.frame_index group by f.camera_id, f.frame_index
+), passed as (
+  select f.camera_id, f.frame_index, (select count(*) from crossed c where c.camera_id = f.camera_id and c.frame_index <= f.frame_index and direction = 'entry') as entries,
+         (select count(*) from crossed c where c.camera_id = f.camera_id and c.frame_index <= f.frame_index and direction = 'exit') as exits from frames f
+), inside as (
+  select f.camera_id, f.frame_index, count(*) filter (in_floor) as floor_, count(*) filter (in_wedge) as wedge_ from frames f left join hit h on h.camera_id = f.camera_id and h.frame_index = f.frame_index group by 1, 2
+), guarded as (
+  select camera_id, frame_index, string_agg(zone_id || '=' || current || '/' || confirmed || '/' || entries || '/' || exits, ',' order by zone_id) as restricted from secured group by 1, 2
+), lined as (
+  select camera_id, frame_index, string_agg(queue_id || '=' || raw_count || '/' || completed, ',' order by queue_id) as queues from status group by 1, 2
+)
+select *, 'floor=' || floor_ || case when camera_id % 2 = 0 then ',wedge=' || wedge_ else '' end as zones from people join passed using (camera_id, frame_index) join inside using (camera_id, frame_index) join guarded using (camera_id, frame_index) join lined using (camera_id, frame_index)"""
+
+
+def told(rows, name, *parts):
+    """One text for each frame: the named rows with their numbers, in order of their names."""
+    text = F.concat(name, F.lit("="), F.array_join(F.array(*[F.col(p).cast("string") for p in parts]), "/"))
+    return rows.groupBy("camera_id", "frame_index").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("told"))
 
 
-@query("frame_metrics")
+@query("frame_metrics", with_sql(*NEEDS, body=INSIDE + CROSSED + LIVES + SECURED + VISITS.replace(MEMBER + "\n), fast", ", fast", 1) + STATUS + METRICS.replace("select *, 'floor='", "select camera_id, frame_index, current_people, unique_people, entries, exits, restricted, queues, 'floor='")))
 def frame_metrics(spark, sf):
-    """One row for each frame: people, totals, zone map, queue and restricted status."""
+    """One row for each frame: people, totals of lines, zones, restricted areas and queues."""
     obs, frames = clocked(spark, sf)
-    key = ["camera_id", "frame_index"]
-    zone_map = people.zone_occupancy(obs, frames, X.zones(spark)).groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("zone_id", "people")))).alias("zones"))
-    secure = intrusion.restricted_status(obs, frames, X.square(), 1.0, 1.0).select(*key, F.struct("current", "entered", "confirmed", "entries", "exits").alias("restricted"))
-    queue = status(spark, sf).select(*key, F.struct("raw_count", "smoothed_count", "mean_wait", "completed", "mean_completed").alias("queue"))
-    rows = people.people_per_frame(obs, frames).join(line_totals(spark, sf), key)
-    return rows.join(zone_map, key).join(secure, key).join(queue, key).withColumn("zones", F.to_json("zones")).withColumn("restricted", F.to_json("restricted")).withColumn("queue", F.to_json("queue"))
+    return people.frame_metrics(
+        people.people_per_frame(obs, frames), line_totals(spark, sf), told(people.zone_occupancy(obs, frames, X.zones(obs)), "zone_id", "people"),
+        told(secured(spark, sf), "zone_id", "current", "confirmed", "entries", "exits"), told(status(spark, sf), "queue_id", "raw_count", "completed"),
+    )
 
 
-@query("collect_events")
+@query("collect_events", with_sql(*NEEDS, recursive=True, body=CROSSED + LIVES + ALERTS + VISITS.replace(MEMBER + "\n), fast", ", fast", 1) + STATUS + FLIPS + f", e as ({EVENTS})" + """
+select camera_id, track_id, frame_index::double as ts, 'line_crossed' as event_type, line_id, direction, null as zone_id, null::double as seconds, null::boolean as confirmed, null as queue_id, null::bigint as raw_count from crossed
+union all select camera_id, track_id, ts, event_type, null, null, zone_id, seconds, confirmed, null, null from e
+union all select camera_id, null, ts, event_type, null, null, null, null, null, queue_id, raw_count from overflows"""))
 def collect_events(spark, sf):
-    crossings = people.line_crossings(*clocked(spark, sf), **LINE).select("camera_id", "track_id", F.col("frame_index").cast("double").alias("ts"), F.lit("line_crossed").alias("event_type"), "direction")
-    return people.collect_events(crossings, restricted(spark, sf), motion.overflow_events(status(spark, sf)))
+    crossed = crossings(spark, sf).select("camera_id", "track_id", F.col("frame_index").cast("double").alias("ts"), F.lit("line_crossed").alias("event_type"), "line_id", "direction")
+    return people.collect_events(crossed, restricted(spark, sf), motion.overflow_events(status(spark, sf)))

@@ -153,7 +153,8 @@ def test_rows_that_divide_by_nothing(spark):
     obs = "camera_id long, track_id long, frame_index long, ts double, px double, py double, x1 double, y1 double, x2 double, y2 double, confirmed boolean, arrival long"
     seen = spark.createDataFrame([(1, 1, k, 0.0, 5.0, 5.0, 4.0, 0.0, 6.0, 5.0, True, k) for k in range(2)], obs)
     square = G.literal_polygon([(0, 0), (10, 0), (10, 10), (0, 10)])
-    assert motion.queue_visits(seen, seen.select("camera_id", "frame_index", "ts"), square, 1.0, 5.0, 1.0, (0.5, 0.5), 0.1, (100, 100)).count() == 1
+    queue = spark.sql("select 1L as camera_id, 'q' as queue_id, 1D as dwell, 5D as max_speed, 1D as gap, named_struct('x', 0.5D, 'y', 0.5D) as service, 0.1D as radius").withColumn("polygon", square)
+    assert motion.queue_visits(seen, seen.select("camera_id", "frame_index", "ts"), queue, (100, 100)).count() == 1
 
 
 def test_wait_event_ids_tell_waits_apart(spark):

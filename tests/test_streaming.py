@@ -10,10 +10,16 @@ from flowlake.streaming import jobs
 SF = "/root/testdata/sf0.001"
 
 
+def square(obs, **settings):
+    """The floor of every camera as a region with its settings."""
+    values = {k: v if hasattr(v, "cast") else F.lit(v) for k, v in settings.items()}
+    return X.camera_ids(obs).withColumns({"polygon": X.square(), "dwell": F.lit(1.0)} | values)
+
+
 def prepared(spark, tmp_path):
     """Observations with their geometry, in two files by time; read back as a stream."""
     obs = X.observations(spark, SF)
-    inside = people.zone_membership(obs, X.square()).select("camera_id", "frame_index", "track_id", "inside")
+    inside = people.zone_membership(obs, square(obs)).select("camera_id", "frame_index", "track_id", "inside")
     cell = G.grid_cell(F.col("px"), F.col("py"), 8, 6, (0.0, 0.0, 100.0, 100.0))
     rows = obs.join(inside, ["camera_id", "frame_index", "track_id"], "left").withColumns(
         {"inside": F.coalesce("inside", F.lit(False)), "slow": F.lit(True), "cell_row": cell["row"], "cell_col": cell["col"]}
@@ -33,7 +39,7 @@ def run(stream, tmp_path, name):
 def test_restricted_stream_equals_batch(spark, tmp_path):
     obs, stream = prepared(spark, tmp_path)
     got = run(jobs.stream_restricted_events(stream, 1.0, 1.0, 10.0), tmp_path, "restricted").collect()
-    want = intrusion.restricted_events(obs, X.frames(obs), X.square(), 1.0, 1.0, 10.0).collect()
+    want = intrusion.restricted_events(obs, X.frames(obs), square(obs, zone_id="secure", grace=1.0, cooldown=10.0)).collect()
     assert sorted((r.camera_id, r.ts, r.track_id, r.event_type) for r in got) == sorted((r.camera_id, r.ts, r.track_id, r.event_type) for r in want)
 
 
@@ -43,7 +49,7 @@ def test_crossing_and_heat_streams_equal_batch(spark, tmp_path):
     side = lambda x, y: (y - 50 > band) - (y - 50 < -band)
     crossed = lambda x0, y0, x1, y1: 20 <= x0 + (50 - y0) / (y1 - y0) * (x1 - x0) <= 80
     got = run(jobs.stream_line_crossings(stream, side, crossed), tmp_path, "crossings").collect()
-    want = people.line_crossings(obs, X.frames(obs), X.DOOR[0], X.DOOR[1], X.HYSTERESIS, (X.WIDTH, X.HEIGHT)).collect()
+    want = people.line_crossings(obs, X.frames(obs), X.lines(obs).where("line_id = 'door'"), (X.WIDTH, X.HEIGHT)).collect()
     assert sorted((r.camera_id, int(r.ts), r.track_id, r.direction) for r in got) == sorted((r.camera_id, r.frame_index, r.track_id, r.direction) for r in want)
     cells = run(jobs.stream_heatmap(stream, None, 2.0, 30.0), tmp_path, "heat").groupBy("camera_id", "row", "col").agg(F.sum("samples").alias("n"), F.sum("seconds").alias("s"))
     flat = lambda rows, n, s: sorted((r.camera_id, r.row, r.col, r[n] or 0, r[s] or 0.0) for r in rows)
@@ -68,7 +74,7 @@ def test_ingest_and_rollup_replay(spark, tmp_path):
 def test_queue_and_speed_streams_equal_batch(spark, tmp_path):
     obs, stream = prepared(spark, tmp_path)
     got = run(jobs.stream_queues(stream, 1.0, 1.0), tmp_path, "queues").collect()
-    visits = motion.queue_visits(obs, X.frames(obs), X.square(), 1.0, 1e9, 1.0, (0.8, 0.5), 0.08, (101, 101)).where("joined_at is not null").collect()
+    visits = motion.queue_visits(obs, X.frames(obs), square(obs, queue_id="q", max_speed=1e9, gap=1.0, service=G.point(F.lit(0.8), F.lit(0.5)), radius=0.08), (101, 101)).where("joined_at is not null").collect()
     want = [(r.camera_id, r.track_id, r.joined_at, "queue_joined") for r in visits] + [(r.camera_id, r.track_id, r.left_at, "queue_left") for r in visits if r.left_at is not None]
     assert sorted((r.camera_id, r.track_id, r.ts, r.event_type) for r in got) == sorted(want)
     speeds = run(jobs.stream_speed(stream), tmp_path, "speeds").collect()

@@ -11,7 +11,17 @@ from flowlake.operators import heat, intrusion, motion, people, steps
 from flowlake.plans import fixtures as X
 
 SCHEMA = "camera_id long, track_id long, frame_index long, ts double, px double, py double, x1 double, y1 double, x2 double, y2 double, confirmed boolean, arrival long"
-LINE = dict(start=(0.2, 0.5), end=(0.8, 0.5), size=(101, 101))
+SIZE = (101, 101)
+
+
+def configured(spark, polygon, **settings):
+    """One region of camera 1 with its settings."""
+    values = {k: v if hasattr(v, "cast") else F.lit(v) for k, v in settings.items()}
+    return spark.range(1).select(F.lit(1).cast("long").alias("camera_id"), polygon.alias("polygon")).withColumns(values)
+
+
+def area(spark, dwell, grace, cooldown, **schedule):
+    return configured(spark, X.square(), zone_id="secure", dwell=dwell, grace=grace, cooldown=cooldown, **schedule)
 
 
 def frame(spark, rows):
@@ -24,7 +34,7 @@ def frame(spark, rows):
 
 def crossings(spark, rows, hysteresis=0.03):
     obs, clock = frame(spark, rows)
-    return [(r.frame_index / 10, r.direction) for r in people.line_crossings(obs, clock, hysteresis=hysteresis, **LINE).orderBy("frame_index").collect()]
+    return [(r.frame_index / 10, r.direction) for r in people.line_crossings(obs, clock, X.lines(obs).where("line_id = 'door'").withColumn("hysteresis", F.lit(hysteresis)), SIZE).orderBy("frame_index").collect()]
 
 
 def test_line_crossing_both_ways(spark):
@@ -42,7 +52,7 @@ def test_line_crossing_forgets_a_missing_track(spark):
 
 def restricted(spark, rows, dwell, grace, cooldown=10.0):
     obs, clock = frame(spark, rows)
-    got = intrusion.restricted_events(obs, clock, X.square(), dwell, grace, cooldown).orderBy("ts", "event_type").collect()
+    got = intrusion.restricted_events(obs, clock, area(spark, dwell, grace, cooldown)).orderBy("ts", "event_type").collect()
     return [(r.ts, r.event_type.removeprefix("restricted_area_"), r.seconds, r.confirmed) for r in got]
 
 
@@ -75,13 +85,13 @@ def test_restricted_matches_step_function(spark):
         rows += [(ts, t, *p) for t, p in shown.items()] or [(ts, None, 0, 0)]
         want += [(ts, t, e) for t, e, _, _ in steps.restricted_step(state, ts, inside, 1.0, 1.5, 6.0)]
     obs, clock = frame(spark, rows)
-    got = intrusion.restricted_events(obs, clock, X.square(), 1.0, 1.5, 6.0).collect()
+    got = intrusion.restricted_events(obs, clock, area(spark, 1.0, 1.5, 6.0)).collect()
     assert sorted((r.ts, r.track_id, r.event_type) for r in got) == sorted(want)
 
 
 def visits(spark, rows, dwell=1.0, gap=1.0):
     obs, clock = frame(spark, rows)
-    return motion.queue_visits(obs, clock, X.square(), dwell, 1e9, gap, (0.8, 0.5), 0.08, (101, 101)).orderBy("since")
+    return motion.queue_visits(obs, clock, configured(spark, X.square(), queue_id="q", dwell=dwell, max_speed=1e9, gap=gap, service=G.point(F.lit(0.8), F.lit(0.5)), radius=0.08), SIZE).orderBy("since")
 
 
 def test_queue_leaves_region_at_the_service_point(spark):
@@ -153,3 +163,45 @@ def test_geometry(spark):
     assert row.area == 48.0 and row.cover == 0.25 and row.concave == pytest.approx(1 / 8)
     assert row.cross.crossed and row.cross.direction == "negative_to_positive" and not row.touch.crossed
     assert math.isclose(row.ground.x, 20) and math.isclose(row.ground.y, 40) and row.none.reason == "not configured"
+
+
+def test_cameras_keep_their_own_layout(spark):
+    """Two cameras, two layouts, one pass: each camera meets its own zones, lines, areas and queues only."""
+    obs, clock = frame(spark, [(0, 1, 50, 40), (1, 1, 50, 60), (2, 1, 50, 60), (9, 1, 5, 5)])
+    two = lambda rows: rows.union(rows.withColumn("camera_id", F.lit(2).cast("long")))
+    obs, clock = two(obs), two(clock)
+    away = G.literal_polygon([(0, 0), (20, 0), (20, 20), (0, 20)])
+    zones = configured(spark, X.square(), zone_id="a").union(configured(spark, away, zone_id="b").withColumn("camera_id", F.lit(2).cast("long")).select("camera_id", "polygon", "zone_id"))
+    got = {(r.camera_id, r.zone_id, r.frame_index): r.people for r in people.zone_occupancy(obs, clock, zones).collect()}
+    assert len(got) == 8 and got[1, "a", 10] == 1 and got[2, "b", 10] == 0 and got[2, "b", 90] == 1
+    lines = X.lines(obs)  # the gate stands at camera 1 only
+    assert {(r.camera_id, r.line_id) for r in people.line_totals(people.line_crossings(obs, clock, lines, SIZE), clock, lines).collect()} == {(1, "door"), (1, "gate"), (2, "door")}
+    areas = zones.withColumns({"dwell": F.lit(0.0), "grace": F.lit(0.0), "cooldown": F.lit(0.0)})
+    got = {(r.camera_id, r.zone_id, r.ts) for r in intrusion.restricted_events(obs, clock, areas).where("event_type = 'restricted_area_entered'").collect()}
+    assert got == {(1, "a", 0.0)}  # in zone b the box is outside
+    assert {(r.camera_id, r.zone_id) for r in intrusion.restricted_status(obs, clock, areas).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_restricted_schedule_ends_lives_without_events(spark):
+    """On duty on Thursdays from minute 0 to 1 and, overnight, from 23:59: the epoch is a Thursday."""
+    rows = [(0, 1, *IN), (30, 1, *IN), (60, 1, *IN), (90, None, 0, 0), (86340, 1, *IN), (86399, 1, *IN), (86400, 1, *IN), (86460, 1, *IN)]
+    obs, clock = frame(spark, rows)
+    day = dict(days=F.array(F.lit(3)), timezone="UTC")
+    events = lambda **s: [(r.ts, r.event_type.removeprefix("restricted_area_")) for r in intrusion.restricted_events(obs, clock, area(spark, 0.0, 0.0, 10.0, **day, **s)).orderBy("ts", "event_type").collect()]
+    assert events(from_minute=0, to_minute=1) == [(0.0, "confirmed"), (0.0, "entered")]
+    assert events(from_minute=1439, to_minute=1) == [(86340.0, "confirmed"), (86340.0, "entered")]
+    status = {r.frame_index: (r.active, r.current, r.entries, r.exits) for r in intrusion.restricted_status(obs, clock, area(spark, 0.0, 0.0, 10.0, from_minute=0, to_minute=1, **day)).collect()}
+    assert status[300] == (True, 1, 1, 0) and status[600] == (False, 0, 1, 0) and status[863400] == (False, 0, 1, 0)
+
+
+def test_next_frame_over_hours_without_frames(spark):
+    """Asked times in hours without frames, at hour borders and after the last frame, against a plain search."""
+    draw = random.Random(5)
+    times = sorted({0.0, 3600.0, 7200.0} | {float(draw.randrange(40)) * 1800 + draw.choice([0.0, 0.5]) for _ in range(12)})
+    asked = [draw.uniform(0, times[-1] + 9000) for _ in range(60)] + times
+    frames = spark.createDataFrame([(1, t) for t in times], "camera_id long, ts double")
+    rows = spark.createDataFrame([(1, t) for t in asked], "camera_id long, due double")
+    got = {r.due: r.found for r in intrusion.next_frame_from(rows, frames, "due", "found").collect()}
+    assert got == {t: min((x for x in times if x >= t - 1e-9), default=None) for t in asked}
+    follow = {r.ts: r.after for r in intrusion.next_frames(frames).collect()}
+    assert follow == dict(zip(times, [*times[1:], None]))
