@@ -230,7 +230,8 @@ def minute_documents(spark, sf):
 # Bundles: camera-minutes as JSON lines, some of them broken on purpose.
 
 
-def lines(spark, sf):
+def documents(spark, sf):
+    """line and arrival."""
     m = X.minutes(spark, sf)
     start = F.concat(F.date_format("bucket_start", "yyyy-MM-dd'T'HH:mm:ss"), F.when(c("arrival") % 7 == 0, "").otherwise("Z"))
     queue = F.struct(c("queue_id").alias("queueId"), c("queue_id").alias("queueName"), c("sample_count").alias("sampleCount"), c("occupancy_sum").cast("double").alias("lengthSum"), F.array(c("wait_seconds").cast("double")).alias("completedWaitSeconds"))
@@ -239,8 +240,11 @@ def lines(spark, sf):
         c("camera_id").cast("string").alias("cameraId"), start.alias("bucketStart"), F.when(c("arrival") % 5 == 0, -1).otherwise(c("sample_count")).alias("sampleCount"), c("expected_samples").alias("expectedSamples"),
         c("entries"), c("exits"), F.array(queue).alias("queues"), F.array(F.struct(c("layer"), F.array(point).alias("points"))).alias("spatial"),
     )
-    rows = m.select(F.to_json(doc).alias("line"))
-    return io.parsed(rows)
+    return m.select(F.to_json(doc).alias("line"), "arrival")
+
+
+def lines(spark, sf):
+    return io.parsed(documents(spark, sf).select("line"))
 
 
 BAD = "(arrival % 7 = 0)::int as a, (arrival % 5 = 0)::int as b, (arrival % 11 = 0 and ya + 100 > 100)::int as c"
@@ -248,9 +252,7 @@ query("validate_minutes", with_sql("minutes", body=f"), r as (select {BAD} from
     lambda spark, sf: (lambda v, r: v.select(F.lit("valid").alias("reasons")).union(r.select(F.array_join("reasons", ","))).groupBy("reasons").agg(F.count(F.lit(1)).alias("n")))(*io.validate_minutes(lines(spark, sf)))
 )
 query("explode_minutes", with_sql("minutes", body=f"), r as (select *, {BAD} from minutes), g as (select * from r where a + b + c = 0) select 'queue' as kind, queue_id as name, count(*) as n, sum(sample_count)::bigint as total from g group by 2 union all select 'wait', queue_id, count(*), sum(wait_seconds)::bigint from g group by 2 union all select 'spatial', layer, count(*), count(*) from g group by 2"))(
-    lambda spark, sf: (lambda f: f["queue"].groupBy(F.lit("queue").alias("kind"), c("queueId").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("sampleCount").alias("total"))
-    .union(f["wait"].groupBy(F.lit("wait"), "queue_id").agg(F.count(F.lit(1)), F.sum("wait_seconds").cast("long")))
-    .union(f["spatial"].groupBy(F.lit("spatial"), "layer").agg(F.count(F.lit(1)), F.sum(F.size("points")))))(io.explode_minutes(io.validate_minutes(lines(spark, sf))[0]))
+    lambda spark, sf: io.minute_parts(io.validate_minutes(lines(spark, sf))[0]).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("long").alias("total"))
 )
 query("bundle_summary", with_sql("minutes", "minute", "queue_minute", body=""")
 select count(*) as records, sum(entries)::bigint as entries, sum(exits)::bigint as exits, max(occupancy_max) as peak_occupancy, sum(occupancy_sum)::double / sum(sample_count) as average_occupancy, sum(sample_count) * 100.0::double / sum(expected_samples) as coverage_percent,

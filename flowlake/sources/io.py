@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlake.functions import geometry as G
+
 TRACKING = "frame_index bigint, timestamp_seconds double, tracks array<struct<track_id:bigint,xyxy:array<double>,confidence:double,confirmed:boolean>>, expired_track_ids array<bigint>"
 DETECTIONS = "frame_index bigint, timestamp double, source_index bigint, detections array<struct<xyxy:array<double>,confidence:double,class_id:int,class_name:string>>"
 POINTS = "array<struct<x:double,y:double,value:double,intensity:double>>"
@@ -84,7 +88,7 @@ def read_camera_configs(spark: SparkSession, path: str) -> DataFrame:
                     for kind, key in (("occupancy", "occupancy_zones"), ("restricted", "restricted_zones"), ("line", "counting_lines"), ("queue", "queues")):
                         for z in analytics.get(key) or []:
                             shape = z.get("points") or z.get("polygon") or [z["start"], z["end"]]
-                            rest = {k: str(v) for k, v in z.items() if k not in ("id", "points", "polygon", "start", "end")}
+                            rest = {k: json.dumps(v) if isinstance(v, (dict, list)) else str(v) for k, v in z.items() if k not in ("id", "points", "polygon", "start", "end")}
                             zones.append({"kind": kind, "id": z["id"], "polygon": points(shape), "settings": rest})
                     cal = doc.get("calibration")
                     cal = cal and {"image": points(cal["image_points"]), "ground": points(cal["ground_points"]), "unit": cal.get("ground_unit")}
@@ -96,6 +100,49 @@ def read_camera_configs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(parse, CAMERA)
 
 
+# What a camera file means where it says nothing.
+DEFAULTS = {
+    "restricted": {"entry_dwell_seconds": 1.0, "exit_grace_seconds": 1.0, "alert_cooldown_seconds": 30.0},
+    "line": {"hysteresis": 0.01, "positive_label": "entry", "negative_label": "exit"},
+    "queue": {"minimum_dwell_seconds": 2.0, "maximum_speed_pixels_per_second": 40.0, "gap_tolerance_seconds": 1.0, "service_completion_radius": 0.08, "count_smoothing_alpha": 0.35},
+}
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
+
+def layout(configs: DataFrame, kind: str, size: tuple[int, int]) -> DataFrame:
+    """The configuration rows that the operators join by camera, from ``read_camera_configs``.
+
+    occupancy: zones; restricted: areas with their schedules; line: lines; queue: queues. Settings
+    that a file leaves out have the usual values. ``size`` is the width and height of the frames.
+    """
+    rows = configs.where("error is null").select("camera_id", F.explode("zones").alias("z")).where(F.col("z.kind") == kind)
+    polygon = G.pixel_polygon(F.col("z.polygon"), *size).alias("polygon")
+
+    def told(name: str, as_: str, kind_: str = "double") -> Column:
+        given = F.get(F.map_values(F.map_filter("z.settings", lambda k, _: k == name)), F.lit(0)).cast(kind_)
+        return F.coalesce(given, F.lit(DEFAULTS[kind].get(name)).cast(kind_)).alias(as_)
+
+    if kind == "occupancy":
+        return rows.select("camera_id", F.col("z.id").alias("zone_id"), polygon)
+    if kind == "restricted":
+        on = F.from_json(told("active_schedule", "s", "string"), "start string, end string, weekdays array<string>, timezone string")
+        rows = rows.select("camera_id", F.col("z.id").alias("zone_id"), polygon, told("entry_dwell_seconds", "dwell"), told("exit_grace_seconds", "grace"), told("alert_cooldown_seconds", "cooldown"), on.alias("s"))
+        minute = lambda at: F.split(at, ":")[0].cast("int") * 60 + F.split(at, ":")[1].cast("int")
+        day = lambda d: F.coalesce(d.try_cast("int"), F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.lower(d)).cast("int") - 1)
+        days = F.when(F.col("s").isNotNull(), F.coalesce(F.transform("s.weekdays", day), F.array(*map(F.lit, range(7)))))
+        return rows.withColumns({"days": days, "from_minute": minute(F.col("s.start")), "to_minute": minute(F.col("s.end")), "timezone": F.coalesce("s.timezone", F.lit("UTC"))}).drop("s")
+    if kind == "line":
+        return rows.select(
+            "camera_id", F.col("z.id").alias("line_id"), F.col("z.polygon")[0].alias("start"), F.col("z.polygon")[1].alias("end"),
+            told("hysteresis", "hysteresis"), told("positive_label", "positive", "string"), told("negative_label", "negative", "string"),
+        )
+    service = F.from_json(told("service_point", "s", "string"), "point array<double>")["point"]
+    return rows.select(
+        "camera_id", F.col("z.id").alias("queue_id"), polygon, told("minimum_dwell_seconds", "dwell"), told("maximum_speed_pixels_per_second", "max_speed"), told("gap_tolerance_seconds", "gap"),
+        G.point(service[0], service[1]).alias("service"), told("service_completion_radius", "radius"), told("count_smoothing_alpha", "alpha"), told("overflow_threshold", "overflow", "int"),
+    )
+
+
 def read_minutes(spark: SparkSession, path: str) -> DataFrame:
     """Nested camera-minutes, one JSON object a line, with the line itself for the key check."""
     rows = spark.read.text(path).where(F.trim("value") != "")
@@ -103,8 +150,9 @@ def read_minutes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """``line`` and its fields. The generator keeps the optimiser from parsing again for each use."""
-    return rows.select(F.explode(F.array(F.from_json("line", MINUTES))).alias("m"), "line").select("m.*", "line")
+    """``line``, its fields and other columns. The generator keeps the optimiser from parsing again for each use."""
+    others = [c for c in rows.columns if c != "line"]
+    return rows.select(F.explode(F.array(F.from_json("line", MINUTES))).alias("m"), "line", *others).select("m.*", "line", *others)
 
 
 def rules() -> list[tuple[str, Column]]:
@@ -136,25 +184,45 @@ def rules() -> list[tuple[str, Column]]:
     ]
 
 
+def marked(rows: DataFrame) -> DataFrame:
+    """The rows with ``reasons``: the rules that each breaks, none for a valid one."""
+    return rows.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules()])))
+
+
 def validate_minutes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The valid rows, and the others with ``reasons``."""
-    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules()]))
-    marked = rows.withColumn("reasons", found)
-    return marked.where(F.size("reasons") == 0).drop("reasons", "line"), marked.where(F.size("reasons") > 0)
+    rows = marked(rows)
+    return rows.where(F.size("reasons") == 0).drop("reasons", "line"), rows.where(F.size("reasons") > 0)
 
 
 def explode_minutes(rows: DataFrame) -> dict[str, DataFrame]:
-    """The facts of valid minutes: minute, queue, wait, spatial and event rows."""
+    """The facts of valid minutes: minute, queue, wait, spatial and event rows, with ``arrival`` where there is one."""
     start = F.to_timestamp("bucketStart").alias("bucket_start")
-    key = [F.col("cameraId").alias("camera_id"), start]
+    key = [F.col("cameraId").alias("camera_id"), start, *(["arrival"] if "arrival" in rows.columns else [])]
+    names = rows.select(*key).columns
     minute = rows.select(*key, "sampleCount", "expectedSamples", F.coalesce("confidenceSum", F.lit(0.0)).alias("confidenceSum"), F.coalesce("occupancySum", F.lit(0.0)).alias("occupancySum"), "occupancyMax", "occupancyLast", F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("exits", F.lit(0)).alias("exits"), "uniqueVisitors")
-    queue = rows.select(*key, F.explode("queues").alias("q")).select("camera_id", "bucket_start", "q.*")
+    queue = rows.select(*key, F.explode("queues").alias("q")).select(*names, "q.*")
     wait = queue.select("camera_id", "bucket_start", F.col("queueId").alias("queue_id"), F.posexplode("completedWaitSeconds").alias("index", "wait_seconds"))
-    spatial = rows.select(*key, F.explode("spatial").alias("s")).select("camera_id", "bucket_start", "s.*")
-    event = rows.select(*key, F.explode("events").alias("e")).select("camera_id", "e.*")
+    spatial = rows.select(*key, F.explode("spatial").alias("s")).select(*names, "s.*")
+    event = rows.select(*key, F.explode("events").alias("e")).drop("bucket_start").select("*", "e.*").drop("e")
     return {"minute": minute, "queue": queue.drop("completedWaitSeconds"), "wait": wait, "spatial": spatial, "event": event}
 
 
+def minute_parts(rows: DataFrame) -> DataFrame:
+    """kind, name, value of every queue, wait and list of points of valid minutes, by one pass over them."""
+    part = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+    queues = F.transform("queues", lambda q: part("queue", q["queueId"], q["sampleCount"]))
+    waits = F.flatten(F.transform("queues", lambda q: F.transform(F.coalesce(q["completedWaitSeconds"], F.array().cast("array<double>")), lambda w: part("wait", q["queueId"], w))))
+    spatial = F.transform("spatial", lambda s: part("spatial", s["layer"], F.size(s["points"])))
+    none = F.array().cast("array<struct<kind:string,name:string,value:double>>")
+    return rows.select(F.inline(F.concat(*[F.coalesce(p, none) for p in (queues, waits, spatial)])))
+
+
+def snake(rows: DataFrame) -> DataFrame:
+    """Field names of the documents as column names of the facts."""
+    return rows.toDF(*[re.sub(r"(?<!^)([A-Z])", r"_\1", c).lower() for c in rows.columns])
+
+
 def write_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 

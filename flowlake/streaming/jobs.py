@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlake.operators import facts, steps
+from flowlake.sources import io
 
 OBS = "camera_id long, track_id long, frame_index long, ts double, px double, py double, x1 double, y1 double, x2 double, y2 double, confirmed boolean, arrival long, inside boolean, slow boolean, cell_row int, cell_col int"
 
@@ -107,25 +108,93 @@ def stream_minutes(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
     return rows.select("camera_id", F.col("w.start").alias("bucket_start"), "sample_count", "occupancy_sum", "occupancy_max", "occupancy_last")
 
 
-def stream_ingest(minutes: DataFrame, path: str, checkpoint: str):
-    """Keep the last write of each camera and minute under ``path``, by day; replays change nothing."""
+def replace_days(new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], path: str, staged: str, batch: int) -> None:
+    """Merge ``new`` into the days of ``path`` that it touches.
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("day", F.to_date("bucket_start"))
+    The merged days are written apart first, under the stream's checkpoint, then put in place. A
+    batch that is replayed after its days were complete only puts them in place again, so a crash
+    between the two steps loses nothing. The stage of the batch before, which is through, goes.
+    """
+    spark, stage = new.sparkSession, f"{staged}/{batch}"
+    if not exists(spark, f"{stage}/_SUCCESS"):
         days = new.select("day").distinct()
         old = spark.read.schema(new.schema).parquet(path).join(days, "day", "left_semi").select(*new.columns) if exists(spark, path) else new.limit(0)
-        rows = facts.upsert_last(old.unionByName(new), ["camera_id", "bucket_start"])
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path + "__next")
-        ready = spark.read.schema(new.schema).parquet(path + "__next").join(days, "day", "left_semi")
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        merge(old, new).write.mode("overwrite").partitionBy("day").parquet(stage)
+    ready = spark.read.schema(new.schema).parquet(stage)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    remove(spark, f"{staged}/{batch - 1}")
+
+
+def last_of(*key: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda old, new: facts.upsert_last(old.unionByName(new), list(key))
+
+
+def first_of(*key: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda old, new: old.unionByName(facts.insert_ignore(new, old, list(key)))
+
+
+def stream_ingest(minutes: DataFrame, path: str, checkpoint: str):
+    """Keep the last write of each camera and minute under ``path``, by day; replays change nothing."""
+
+    def upsert(batch: DataFrame, n: int) -> None:
+        replace_days(batch.withColumn("day", F.to_date("bucket_start")), last_of("camera_id", "bucket_start"), path, f"{checkpoint}/staged", n)
 
     return minutes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_documents(lines: DataFrame, store: str, checkpoint: str):
+    """Camera-minute documents as facts under ``store``; ``lines`` has line and arrival (long, the order of writes).
+
+    Folders minute, queue and spatial keep the last write of each key; wait and event the first of
+    each id, which names one day; source has a row for each camera; rejected has the lines that break
+    a rule, with the reasons, by batch. Each document is parsed and checked once.
+    """
+
+    def ingest(batch: DataFrame, n: int) -> None:
+        spark, staged = batch.sparkSession, f"{checkpoint}/staged"
+        checked = io.marked(io.parsed(batch))
+        checked.write.mode("overwrite").parquet(f"{staged}/checked")
+        checked = spark.read.schema(checked.schema).parquet(f"{staged}/checked")
+        checked.where(F.size("reasons") > 0).select("line", "arrival", "reasons").write.mode("overwrite").parquet(f"{store}/rejected/batch={n}")
+        valid = checked.where(F.size("reasons") == 0).drop("line", "reasons")
+        found = {kind: io.snake(rows) for kind, rows in io.explode_minutes(valid).items() if kind != "wait"}
+        start = F.to_timestamp("bucketStart").alias("bucket_start")
+        queues = valid.select(F.col("cameraId").alias("camera_id"), start, "arrival", F.explode("queues").alias("q"))
+        waits = facts.wait_events(queues.select("camera_id", "bucket_start", F.col("q.queueId").alias("queue_id"), F.col("q.completedWaitSeconds").alias("completed_waits")))
+        plan = [
+            (found["minute"], "minute", "bucket_start", last_of("camera_id", "bucket_start")),
+            (found["queue"], "queue", "bucket_start", last_of("camera_id", "queue_id", "bucket_start")),
+            (found["spatial"], "spatial", "bucket_start", last_of("camera_id", "zone_id", "layer", "bucket_start")),
+            (waits.withColumn("arrival", F.lit(0).cast("long")), "wait", "occurred_at", first_of("event_id")),
+            (found["event"].withColumn("occurred_at", F.to_timestamp("occurred_at")), "event", "occurred_at", first_of("event_id")),
+        ]
+        for rows, kind, time, merge in plan:
+            replace_days(rows.withColumn("day", F.to_date(time)), merge, f"{store}/{kind}", f"{staged}/{kind}", n)
+        name = F.coalesce("cameraName", "cameraId")
+        new = valid.groupBy(F.col("cameraId").alias("camera_id")).agg(F.max_by(name, "arrival").alias("name"), F.coalesce(F.bool_or("physicallyCalibrated"), F.lit(False)).alias("calibrated"))
+        path, stage = f"{store}/source", f"{staged}/source/{n}"
+        if not exists(spark, f"{stage}/_SUCCESS"):
+            old = spark.read.schema(new.schema).parquet(path) if exists(spark, path) else new.limit(0)
+            facts.merge_camera_sources(old, new).write.mode("overwrite").parquet(stage)
+        spark.read.schema(new.schema).parquet(stage).write.mode("overwrite").parquet(path)
+        remove(spark, f"{staged}/source/{n - 1}")
+
+    return lines.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    files, at = place(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = place(spark, path)
+    files.delete(at, True)
 
 
 def stream_rollups(minutes: DataFrame, cameras: DataFrame, store: str, path: str, checkpoint: str):

@@ -173,3 +173,36 @@ def test_queue_minutes_cut_negative_values(spark):
     rows = spark.sql("select 1L as camera_id, 'q' as queue_id, timestamp '2024-01-01 10:00:00' as at, -3L as length, -5D as wait, 0.1D as speed_m, 0L as completed, cast(null as double) as last_wait")
     got = M.queue_minutes(rows.union(rows.withColumns({"length": F.lit(2).cast("long"), "wait": F.lit(None).cast("double")}))).first()
     assert (got.length_sum, got.wait_sum_seconds, got.wait_sample_count, got.length_max) == (2, 0.0, 1, 2)
+
+
+def test_camera_files_configure_the_operators(spark, tmp_path):
+    text = """
+camera: {id: lobby}
+analytics:
+  occupancy_zones:
+    - {id: all, points: [[0, 0], [1, 0], [1, 1], [0, 1]]}
+  restricted_zones:
+    - {id: safe, points: [[0, 0], [1, 0], [1, 1]], entry_dwell_seconds: 3, active_schedule: {start: '22:00', end: '06:30', weekdays: [0, Friday], timezone: Asia/Tehran}}
+    - {id: open, points: [[0, 0], [1, 0], [1, 1]]}
+  counting_lines:
+    - {id: door, start: [0.1, 0.5], end: [0.9, 0.5], positive_label: in}
+  queues:
+    - {id: till, polygon: [[0, 0], [1, 0], [1, 1]], service_point: {point: [0.25, 0.75]}, overflow_threshold: 4}
+"""
+    (tmp_path / "a.yaml").write_text(text)
+    configs = io.read_camera_configs(spark, str(tmp_path / "*.yaml"))
+    one = lambda kind: {r[1]: r for r in io.layout(configs, kind, (101, 51)).collect()}
+    assert [(p.x, p.y) for p in one("occupancy")["all"].polygon] == [(0, 0), (100, 0), (100, 50), (0, 50)]
+    safe, always = one("restricted")["safe"], one("restricted")["open"]
+    assert (safe.dwell, safe.grace, safe.cooldown, safe.days, safe.from_minute, safe.to_minute, safe.timezone) == (3.0, 1.0, 30.0, [0, 4], 1320, 390, "Asia/Tehran")
+    assert always.days is None and always.dwell == 1.0
+    door = one("line")["door"]
+    assert (door.start.x, door.end.x, door.hysteresis, door.positive, door.negative) == (0.1, 0.9, 0.01, "in", "exit")
+    till = one("queue")["till"]
+    assert (till.service.x, till.service.y, till.overflow, till.alpha, till.dwell, till.max_speed) == (0.25, 0.75, 4, 0.35, 2.0, 40.0)
+
+
+def test_business_days_start_at_local_midnight():
+    q = reports.Query.of_days("2026-08-11", "2026-08-12", comparison="previous_week")
+    assert (q.start, q.end, q.comparison) == ("2026-08-10 20:30:00", "2026-08-12 20:30:00", "previous_week")
+    assert reports.Query.of_days("2024-03-31", "2024-03-31", zone="Europe/Berlin").end == "2024-03-31 22:00:00"

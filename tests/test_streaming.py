@@ -102,3 +102,43 @@ def test_ingest_of_more_than_a_thousand_days(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     jobs.stream_ingest(stream, str(tmp_path / "store"), str(tmp_path / "c")).awaitTermination(240)
     assert spark.read.parquet(str(tmp_path / "store")).select("bucket_start").distinct().count() == 1003
+
+
+def test_documents_become_facts_and_replays_change_nothing(spark, tmp_path):
+    import json
+
+    def document(at, n, **more):
+        doc = {"cameraId": "c", "bucketStart": f"2024-01-01T00:0{at}:00Z", "sampleCount": n, "expectedSamples": 30, "entries": n}
+        queue = {"queueId": "q", "queueName": "Q", "sampleCount": n, "lengthSum": 1.0, "completedWaitSeconds": [10.0, 400.0]}
+        event = {"eventId": f"e{at}", "eventType": "line_crossed", "title": f"t{n}", "severity": "info", "occurredAt": f"2024-01-01T00:0{at}:30Z"}
+        spatial = {"zoneId": "z", "layer": "dwell", "points": [{"x": 1.0, "y": 2.0, "value": float(n), "intensity": 0.5}]}
+        return json.dumps(doc | {"queues": [queue], "events": [event], "spatial": [spatial]} | more)
+
+    written = [document(1, 5), document(1, 7, cameraName="Gate"), document(2, 9, physicallyCalibrated=True), document(3, -1)]
+    schema = "line string, arrival long"
+    for k, part in enumerate((written[:2], written[2:])):
+        spark.createDataFrame([(x, 10 * k + n) for n, x in enumerate(part)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store = str(tmp_path / "store")
+    for run_ in (1, 2):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        jobs.stream_documents(stream, store, str(tmp_path / f"d{run_}")).awaitTermination(240)
+        read = lambda name: spark.read.parquet(f"{store}/{name}")
+        assert sorted((r.bucket_start.minute, r.sample_count) for r in read("minute").collect()) == [(1, 7), (2, 9)]
+        assert sorted((r.queue_id, r.sample_count) for r in read("queue").collect()) == [("q", 7), ("q", 9)]
+        assert sorted((r.wait_seconds, r.sla_met) for r in read("wait").collect()) == [(10.0, True), (10.0, True), (400.0, False), (400.0, False)]
+        assert sorted((r.event_id, r.title) for r in read("event").collect()) == [("e1", "t5"), ("e2", "t9")]
+        assert sorted((r.layer, r.points[0].value) for r in read("spatial").collect()) == [("dwell", 7.0), ("dwell", 9.0)]
+        assert [(r.camera_id, r.calibrated) for r in read("source").collect()] == [("c", True)]
+        assert [r.reasons for r in read("rejected").collect()] == [["sample_count", "negative", "queue"]]
+
+
+def test_a_crash_between_merge_and_replacement_loses_nothing(spark, tmp_path):
+    day = lambda rows: spark.createDataFrame(rows, "camera_id long, bucket_start timestamp, n long, arrival long").withColumn("day", F.to_date("bucket_start"))
+    at, path, staged = __import__("datetime").datetime(2024, 1, 1), str(tmp_path / "p"), str(tmp_path / "s")
+    merge = jobs.last_of("camera_id", "bucket_start")
+    jobs.replace_days(day([(1, at, 5, 1), (2, at, 6, 1)]), merge, path, staged, 0)
+    new = day([(1, at, 7, 2)])
+    jobs.replace_days(new, merge, path, staged, 1)
+    jobs.remove(spark, f"{path}/day=2024-01-01")  # the day was taken away, its new form not yet put in place
+    jobs.replace_days(new, merge, path, staged, 1)
+    assert sorted((r.camera_id, r.n) for r in spark.read.parquet(path).collect()) == [(1, 7), (2, 6)]
