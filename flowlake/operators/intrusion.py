@@ -111,18 +111,21 @@ def alert_fold(samples: Column, cooldown: Column) -> Column:
 
 def restricted_events(obs: DataFrame, frames: DataFrame, areas: DataFrame) -> DataFrame:
     """camera_id, zone_id, track_id, ts, event_type, seconds (dwell or duration), confirmed."""
-    rows = lives(present(obs, frames, areas), frames)
-    whole, who = whole_lives(rows), [*ZONE, "track_id"]
-    none = F.lit(None)
-    entered = whole.select(*who, F.col("entered_at").alias("ts"), F.lit("restricted_area_entered").alias("event_type"), none.cast("double").alias("seconds"), none.cast("boolean").alias("confirmed"))
-    left = whole.where("exited_at is not null").select(
-        *who, F.col("exited_at").alias("ts"), F.lit("restricted_area_exited").alias("event_type"),
-        (F.col("exited_at") - F.col("entered_at")).alias("seconds"), F.col("confirmed_at").isNotNull().alias("confirmed"),
-    )
-    ripe = rows.where("ts >= confirmed_at").groupBy(*who).agg(F.sort_array(F.collect_list(F.struct("ts", "entered_at"))).alias("samples"), F.first("cooldown").alias("cooldown"))
-    alerts = ripe.select(*who, F.inline(alert_fold(F.col("samples"), F.col("cooldown"))))
-    alerts = alerts.select(*who, "ts", F.lit("restricted_area_confirmed").alias("event_type"), (F.col("ts") - F.col("entered_at")).alias("seconds"), none.cast("boolean").alias("confirmed"))
-    return entered.union(alerts).union(left)
+    rows, who = lives(present(obs, frames, areas), frames), [*ZONE, "track_id"]
+    sample = F.when(F.col("ts") >= F.col("confirmed_at"), F.struct("ts", "entered_at"))
+    tracks = rows.groupBy(*who).agg(
+        F.collect_set(F.struct("entered_at", "exited_at", "confirmed_at")).alias("lives"), F.sort_array(F.collect_list(sample)).alias("samples"), F.first("cooldown").alias("cooldown")
+    )
+
+    def event(name: str, ts: Column, seconds: Column | None = None, confirmed: Column | None = None) -> Column:
+        blank = lambda v, t: F.lit(None).cast(t) if v is None else v
+        return F.struct(ts.alias("ts"), F.lit(f"restricted_area_{name}").alias("event_type"), blank(seconds, "double").alias("seconds"), blank(confirmed, "boolean").alias("confirmed"))
+
+    entered = F.transform("lives", lambda v: event("entered", v["entered_at"]))
+    alerts = F.transform(alert_fold(F.col("samples"), F.col("cooldown")), lambda v: event("confirmed", v["ts"], v["ts"] - v["entered_at"]))
+    over = F.filter("lives", lambda v: v["exited_at"].isNotNull())
+    left = F.transform(over, lambda v: event("exited", v["exited_at"], v["exited_at"] - v["entered_at"], v["confirmed_at"].isNotNull()))
+    return tracks.select(*who, F.inline(F.concat(entered, alerts, left)))
 
 
 def restricted_status(obs: DataFrame, frames: DataFrame, areas: DataFrame) -> DataFrame:
