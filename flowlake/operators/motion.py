@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -197,20 +199,34 @@ def normalize_embedding(vector: Column) -> Column:
 
 
 def gallery_prototypes(vectors: DataFrame, keep: float = 0.8) -> DataFrame:
-    """track_id, vector, last_seen: prototypes blended in frame order, unit length after each step."""
-
-    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        units = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        units /= np.linalg.norm(units, axis=1, keepdims=True)
-        p = units[0]
-        for u in units[1:]:
-            p = keep * p + (1 - keep) * u
-            p /= np.linalg.norm(p)
-        return pd.DataFrame({"track_id": [pdf["track_id"].iloc[0]], "vector": [p.tolist()], "last_seen": [pdf["frame"].iloc[-1]]})
-
-    usable = vectors.where(normalize_embedding(F.col("vector")).isNotNull())
-    return usable.groupBy("track_id").applyInPandas(blend, "track_id long, vector array<double>, last_seen long")
+    """track_id, vector, last_seen: prototypes blended in frame order, unit length after each step.
+
+    A task reads its tracks sorted and carries one prototype, however long a track is. Rows without
+    a track, and vectors without a usable length, take no part.
+    """
+
+    def blend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        track, prototype, seen = None, None, None
+        table = lambda rows: pd.DataFrame(rows, columns=["track_id", "vector", "last_seen"])
+        for pdf in batches:
+            done = []
+            for t, frame, vector in zip(pdf["track_id"], pdf["frame"], pdf["vector"]):
+                unit = np.asarray(vector, np.float64)
+                unit = unit / np.linalg.norm(unit)
+                if t == track:
+                    prototype = keep * prototype + (1 - keep) * unit
+                    prototype /= np.linalg.norm(prototype)
+                else:
+                    if track is not None:
+                        done.append((track, prototype.tolist(), seen))
+                    track, prototype = t, unit
+                seen = frame
+            yield table(done)
+        if track is not None:
+            yield table([(track, prototype.tolist(), seen)])
+
+    usable = vectors.where(F.col("track_id").isNotNull() & normalize_embedding(F.col("vector")).isNotNull()).select("track_id", "frame", "vector")
+    return usable.repartition("track_id").sortWithinPartitions("track_id", "frame").mapInPandas(blend, "track_id long, vector array<double>, last_seen long")
 
 
 def gallery_match(queries: DataFrame, gallery: DataFrame, threshold: float, max_age: int, excluded: DataFrame | None = None) -> DataFrame:

@@ -205,3 +205,20 @@ def test_next_frame_over_hours_without_frames(spark):
     assert got == {t: min((x for x in times if x >= t - 1e-9), default=None) for t in asked}
     follow = {r.ts: r.after for r in intrusion.next_frames(frames).collect()}
     assert follow == dict(zip(times, [*times[1:], None]))
+
+
+def test_prototypes_equal_a_plain_loop(spark):
+    draw, want = random.Random(2), {}
+    rows = [(draw.choice([1, 2, 3, None]), n, [draw.gauss(0, 1) for _ in range(4)]) for n in range(60)] + [(1, 60, [0.0] * 4)]
+    for track, frame_, vector in rows:
+        norm = math.sqrt(sum(x * x for x in vector))
+        if track is None or norm == 0:
+            continue
+        unit = [x / norm for x in vector]
+        old = want.get(track)
+        mixed = unit if old is None else [0.8 * a + 0.2 * b for a, b in zip(old[0], unit)]
+        length = math.sqrt(sum(x * x for x in mixed))
+        want[track] = ([x / length for x in mixed], frame_)
+    got = motion.gallery_prototypes(spark.createDataFrame(rows, "track_id long, frame long, vector array<double>").repartition(3)).collect()
+    assert {r.track_id: r.last_seen for r in got} == {t: f for t, (_, f) in want.items()}
+    assert all(r.vector == pytest.approx(want[r.track_id][0]) for r in got)
