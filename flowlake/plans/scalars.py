@@ -54,8 +54,11 @@ query("iou", with_sql("obs", body=""")
 select camera_id, track_id, frame_index, arrival, (6 - arrival % 5) * 12.0::double / (144 - (6 - arrival % 5) * 12.0::double) as iou from obs"""))(
     lambda spark, sf: obs(spark, sf, G.iou(F.struct("x1", "y1", "x2", "y2"), F.struct((c("x1") + c("arrival") % 5).alias("x1"), "y1", (c("x2") + c("arrival") % 5).alias("x2"), "y2")).alias("iou"))
 )
-query("project_ground", with_sql("obs", body=") select camera_id, track_id, frame_index, arrival, (0.1::double * px + 0.0::double * py + 0) / 1 as gx, (0.0::double * px + 0.1::double * py + 0) / 1 as gy from obs"))(
-    lambda spark, sf: obs(spark, sf, G.project(c("px"), c("py"), F.array(*map(F.lit, X.HOMOGRAPHY))).alias("g")).select(*ID, c("g.x").alias("gx"), c("g.y").alias("gy"))
+TILTED = [0.1, 0.02, 1.0, 0.01, 0.1, 2.0, 0.0005, 0.001, 1.0]
+query("project_ground", with_sql("obs", body=""")
+select camera_id, track_id, frame_index, arrival, round((0.1::double * px + 0.02::double * py + 1) / (0.0005::double * px + 0.001::double * py + 1), 6) as gx,
+       round((0.01::double * px + 0.1::double * py + 2) / (0.0005::double * px + 0.001::double * py + 1), 6) as gy from obs"""))(
+    lambda spark, sf: obs(spark, sf, G.project(c("px"), c("py"), F.array(*map(F.lit, TILTED))).alias("g")).select(*ID, F.round("g.x", 6).alias("gx"), F.round("g.y", 6).alias("gy"))
 )
 query("map_box_ground", with_sql("obs", body=") select camera_id, track_id, frame_index, arrival, px as x, py as y, 4.0::double as xx, 0.0::double as xy, 4.0::double as yy from obs"))(
     lambda spark, sf: obs(spark, sf, G.box_ground(c("x1"), c("y1"), c("x2"), c("y2"), F.lit(None).cast("array<double>")).alias("g")).select(*ID, "g.*")
@@ -145,7 +148,11 @@ query("restore_letterbox", with_sql("obs", body="""), r as (
   select arrival, greatest(0.0::double, least(50.0::double, (x1 - 10) / 2.0::double)) as x1, greatest(0.0::double, least(40.0::double, (y1 - 5) / 2.0::double)) as y1, greatest(0.0::double, least(50.0::double, (x2 - 10) / 2.0::double)) as x2, greatest(0.0::double, least(40.0::double, (y2 - 5) / 2.0::double)) as y2 from obs
 ) select * from r where x2 > x1 and y2 > y1"""))(lambda spark, sf: D.restore_letterbox(X.observations(spark, sf).select("arrival", "x1", "y1", "x2", "y2"), 2.0, 10.0, 5.0, 50, 40))
 query("suppress_overlaps")(lambda spark, sf: D.suppress_overlaps(boxes(spark, sf).drop("class_id", "class_name"), 0.5))
-query("person_filter", with_sql("obs", body=BOXES + ") select box_id from boxes"))(lambda spark, sf: D.person_filter(boxes(spark, sf)).select("box_id"))
+query("person_filter", with_sql("obs", body=BOXES + ") select box_id from boxes where box_id % 7 <> 0 and box_id % 5 <> 0"))(
+    lambda spark, sf: D.person_filter(
+        boxes(spark, sf).withColumns({"class_id": F.when(c("box_id") % 7 == 0, 2).otherwise(0), "class_name": F.when(c("box_id") % 5 == 0, "dog").otherwise(c("class_name"))})
+    ).select("box_id")
+)
 query("check_detections", with_sql("obs", body=BOXES + ") select box_id, case when x1 < -1 or y1 < -1 or x2 > 102 or y2 > 102 then 'outside_frame' end as problem from boxes"))(
     lambda spark, sf: D.check_detections(boxes(spark, sf), 101, 101).select("box_id", "problem")
 )
