@@ -1,22 +1,24 @@
 """Personal data, and the terms that give it away (native).
 
 Emails, IP addresses, payment cards and phone numbers are found by pattern (and card numbers by
-their check digit). They are the protected entities. Masking them is not enough where other words
+their check digit). They are protected entities twice over: each by itself, and by the wider
+one that it belongs to and that more texts share: an email's domain, the first two parts of an
+address, a card's issuer (six digits), a phone number without its last seven digits. Masking them is not enough where other words
 reveal them all the same, so the corpus says how strongly each term does: with documents as
 events, the pointwise mutual information of a term and an entity is compared to the information
 content of the entity, and a term whose PMI reaches ``DISCLOSURE`` of it discloses the entity.
 Co-occurrence means within one document, however far apart; a term inside of an entity does not
-co-occur with that one. A term needs ``SUPPORT`` distinct
+co-occur with that one, nor with the wider one. A term needs ``SUPPORT`` distinct
 texts with the entity, so that one text and its copies give nothing away. A disclosing term becomes
 a span of kind ``term`` wherever it stands outside of entities, in documents without its entity too; ``sanitised``
-generalises terms and entities to their kind.
+generalises terms and entities to their kind; what overlaps is generalised as one.
 
 Patterns are anchored where a run begins and are possessive, so that long runs of digits or
 letters cost no more than their length; they match what the plain patterns match. Counts cover all
 documents: term frequencies are partial sums before their shuffle, and pairs are dealt by entity
 and term, so that a frequent term or entity is spread over its partners. An entity in fewer than
 ``SUPPORT`` texts can have no pair with so many and is left out before pairs are made; where no
-entity is left, terms aren't counted at all. Entities by text are checkpointed.
+entity is left, terms aren't counted at all. Entities and terms of each distinct text with entities are checkpointed.
 
 Null texts count as empty. Repeated rows count as documents each and get the same spans. Other
 columns pass through; columns named as a result are replaced.
@@ -36,7 +38,6 @@ CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # chains of 12 digits and more, taken w
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}{4,}+"
-REACH = 160  # of the SQL form only, which looks no further
 SUPPORT = 3
 DISCLOSURE = 0.9
 BROADCAST_ROWS = 100_000
@@ -85,30 +86,36 @@ def small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
-def entity_of(body: Column, s: Column) -> Column:
-    return F.xxhash64(s["kind"], F.lower(F.substring(body, s["start"] + 1, s["end"] - s["start"])))
+def entities_of(body: Column, s: Column) -> Column:
+    """What a span protects, as hashes: its own text and the wider entity that it belongs to."""
 
+    def both(found: Column) -> Column:
+        number = digits(found)
+        wider = F.when(s["kind"] == "email", F.substring_index(found, "@", -1)).when(s["kind"] == "ip", F.substring_index(found, ".", 2))
+        wider = wider.when(s["kind"] == "card", F.substring(number, 1, 6)).otherwise(F.substring(number, F.lit(1), F.length(number) - 7))
+        return F.array(F.xxhash64(s["kind"], found), F.xxhash64(F.concat(s["kind"], F.lit("~")), wider))
 
-def owned_terms(body: Column) -> Column:
-    """(term, owner) of a text: its terms outside of entities, and those inside of one with the entity."""
-    term = lambda t, owner: F.struct(t.alias("term"), owner.alias("owner"))
-    inside = lambda s: F.transform(terms_of(F.substring(body, s["start"] + 1, s["end"] - s["start"])), lambda t: term(t, entity_of(body, s)))
-    outside = lambda found: F.transform(terms_of(masked(body, found, lambda s: F.lit(" "))), lambda t: term(t, F.lit(None).cast("long")))
-    return let(base_spans(body), lambda found: F.array_union(outside(found), F.flatten(F.transform(found, inside))))
+    return let(F.lower(F.substring(body, s["start"] + 1, s["end"] - s["start"])), both)
 
 
-def disclosing(rows: DataFrame, keys: DataFrame, disclosure: float, support: int) -> DataFrame:
+def owned_terms(body: Column, found: Column) -> Column:
+    """(term, owners) of a text: its terms outside of entities, and those inside of one with what it protects."""
+    term = lambda t, owners: F.struct(t.alias("term"), owners.alias("owners"))
+    inside = lambda s: F.transform(terms_of(F.substring(body, s["start"] + 1, s["end"] - s["start"])), lambda t: term(t, entities_of(body, s)))
+    outside = F.transform(terms_of(masked(body, found, lambda s: F.lit(" "))), lambda t: term(t, F.lit(None).cast("array<long>")))
+    return F.array_union(outside, F.flatten(F.transform(found, inside)))
+
+
+def disclosing(rows: DataFrame, held: DataFrame, entities: DataFrame, disclosure: float, support: int) -> DataFrame:
     """entity, term: the pairs whose term discloses the entity.
 
-    ``rows``: print, body; ``keys``: entity, print, docs, one row for each entity of each text.
+    ``rows``: body; ``held``: print, docs, entities, owned, one row for each distinct text;
+    ``entities``: e, with_entity, those in texts enough.
     """
-    entities = keys.groupBy(F.col("entity").alias("e")).agg(F.sum("docs").alias("with_entity"), F.count(F.lit(1)).alias("texts"))
-    entities = entities.where(F.col("texts") >= support).drop("texts")
+    keys = held.select("print", "docs", F.explode("entities").alias("entity"))
     keys = cut(keys.join(entities.select(F.col("e").alias("entity")), "entity", "left_semi"))
-    held = rows.join(small(keys.select("print").distinct()), "print", "left_semi").select("print", owned_terms(F.col("body")).alias("owned"))
-    held = held.groupBy("print").agg(F.first("owned").alias("owned"))  # each distinct text once
-    other = F.filter("owned", lambda o: o["owner"].isNull() | (o["owner"] != F.col("entity")))
-    pairs = keys.join(held, "print").select("entity", "docs", F.explode(F.array_distinct(F.transform(other, lambda o: o["term"]))).alias("term"))
+    other = F.filter("owned", lambda o: o["owners"].isNull() | ~F.array_contains(o["owners"], F.col("entity")))
+    pairs = held.select("print", "owned").join(small(keys), "print").select("entity", "docs", F.explode(F.array_distinct(F.transform(other, lambda o: o["term"]))).alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("texts"))
     pairs = pairs.where(F.col("texts") >= support)
     terms = rows.select(F.explode(terms_of(F.col("body"))).alias("t"))
@@ -125,12 +132,15 @@ def find_personal(docs: DataFrame, text: str = "text", disclosure: float = DISCL
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.drop("base_spans", "spans").withColumn("base_spans", base_spans(body))
     plain = docs.select(F.col(text).alias("text")).select(fingerprint(F.col("text")).alias("print"), F.coalesce("text", F.lit("")).alias("body"))
-    found = plain.withColumn("found", base_spans(F.col("body"))).where(F.size("found") > 0)
-    keys = found.select("print", F.explode(F.array_distinct(F.transform("found", lambda s: entity_of(F.col("body"), s)))).alias("entity"))
-    keys = cut(keys.groupBy("entity", "print").agg(F.count(F.lit(1)).alias("docs")))
-    if keys.groupBy("entity").count().where(F.col("count") >= support).isEmpty():
+    held = plain.withColumn("found", base_spans(F.col("body"))).where(F.size("found") > 0)
+    protected = F.array_distinct(F.flatten(F.transform("found", lambda s: entities_of(F.col("body"), s))))
+    held = held.select("print", protected.alias("entities"), owned_terms(F.col("body"), F.col("found")).alias("owned"))
+    held = cut(held.groupBy("print").agg(F.count(F.lit(1)).alias("docs"), F.first("entities").alias("entities"), F.first("owned").alias("owned")))
+    entities = held.select("docs", F.explode("entities").alias("e")).groupBy("e").agg(F.sum("docs").alias("with_entity"), F.count(F.lit(1)).alias("texts"))
+    entities = cut(entities.where(F.col("texts") >= support).drop("texts"))
+    if entities.isEmpty():
         return rows.withColumn("spans", F.col("base_spans"))
-    told = cut(disclosing(plain, keys, disclosure, support).select(F.col("term").alias("t")).distinct())
+    told = cut(disclosing(plain, held, entities, disclosure, support).select(F.col("term").alias("t")).distinct())
     if told.isEmpty():
         return rows.withColumn("spans", F.col("base_spans"))
     held = plain.select("print", F.explode(terms_of(F.col("body"))).alias("term")).join(small(told), F.col("term") == F.col("t"))

@@ -263,33 +263,37 @@ ORACLES["op10_personal_data"] = (
     + spans_sql("card", 2, r"[0-9](?:[\x20-]?[0-9])+", keep=LUHN)
     + " union all "
     + spans_sql("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", keep="len(regexp_replace(found, '[^0-9]', '', 'g')) between 9 and 15")
-    + rf"""), sides as (
-  select base.doc_id, base.kind || ':' || lower(substr(t, start_ + 1, end_ - start_)) as entity,
-         greatest(start_ - {pii.REACH}, 0) as off, substr(t, greatest(start_ - {pii.REACH}, 0) + 1, start_ - greatest(start_ - {pii.REACH}, 0)) as part, start_ > {pii.REACH} as cl, false as cr
+    + rf"""), ranked as (
+  select base.doc_id, kind, ord_, start_, end_, lower(found) as found, md5(t) as text_id, max(end_) over (partition by base.doc_id order by start_, end_ rows between unbounded preceding and 1 preceding) as before,
+         case kind when 'email' then split_part(lower(found), '@', 2) when 'ip' then regexp_extract(found, '^[0-9]+\.[0-9]+') when 'card' then regexp_replace(found, '[^0-9]', '', 'g')[:6] else regexp_replace(found, '[^0-9]', '', 'g')[:-8] end as wider
   from base join d on base.doc_id = d.doc_id
-  union all
-  select base.doc_id, base.kind || ':' || lower(substr(t, start_ + 1, end_ - start_)), end_, substr(t, end_ + 1, {pii.REACH}), false, true
-  from base join d on base.doc_id = d.doc_id
-), cuts as (
-  select *, string_split_regex(part, '\p{{L}}{{4,}}') as gaps, regexp_extract_all(part, '\p{{L}}{{4,}}') as hits from sides
-), near as (
-  select doc_id, entity, lower(hit) as term, off + s as start_, off + s + len(hit) as end_ from (
-    select *, hits[k] as hit,
-           (coalesce(list_sum(list_transform(gaps[1:k], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: len(x))), 0))::bigint as s
-    from (select *, unnest(range(1, len(hits) + 1)) as k from cuts)
-  ) where not (cl and s = 0) and not (cr and s + len(hit) = {pii.REACH})
-), pairs as (
-  select entity, term, count(distinct near.doc_id) as co, count(distinct t) as texts from near join d on near.doc_id = d.doc_id group by entity, term having texts >= {pii.SUPPORT}
+), kept as (
+  select distinct doc_id, text_id, unnest([kind || ':' || found, kind || '~' || wider]) as entity from ranked
+), part as (
+  select r.doc_id, substr(t, coalesce(before, 0) + 1, greatest(start_ - coalesce(before, 0), 0)) as part from ranked r join d on r.doc_id = d.doc_id
+  union all select d.doc_id, substr(t, last_ + 1) from d join (select doc_id, max(end_) as last_ from base group by 1) e on d.doc_id = e.doc_id
+), owned as (
+  select distinct doc_id, unnest(regexp_extract_all(lower(part), '\p{{L}}{{4,}}')) as term, []::varchar[] as owners from part
+  union all select distinct doc_id, unnest(regexp_extract_all(found, '\p{{L}}{{4,}}')), [kind || ':' || found, kind || '~' || wider] from ranked
 ), entities as (
-  select kind || ':' || lower(substr(t, start_ + 1, end_ - start_)) as entity, count(distinct base.doc_id) as ne from base join d on base.doc_id = d.doc_id group by 1
+  select entity, count(distinct doc_id) as ne from kept group by 1 having count(distinct text_id) >= {pii.SUPPORT}
+), pairs as (
+  select kept.entity, term, count(distinct kept.doc_id) as co from kept join entities on kept.entity = entities.entity join owned on kept.doc_id = owned.doc_id and not list_contains(owners, kept.entity)
+  group by 1, 2 having count(distinct text_id) >= {pii.SUPPORT}
+), within as (
+  select distinct doc_id, unnest(regexp_extract_all(lower(t), '\p{{L}}{{4,}}')) as term from d
 ), terms as (
-  select term, count(*) as nt from (select distinct doc_id, unnest(regexp_extract_all(lower(t), '\p{{L}}{{4,}}')) as term from d) group by term
+  select term, count(*) as nt from within group by term
 ), told as (
-  select pairs.entity, pairs.term from pairs join entities using (entity) join terms using (term), (select count(*) as n from d)
+  select distinct pairs.term from pairs join entities using (entity) join terms using (term), (select count(*) as n from d)
   where log2(n::double / ne) > 0 and log2(co::double * n / (nt::double * ne)) >= {pii.DISCLOSURE}::double * log2(n::double / ne)
+), telling as (
+  select doc_id, t from d where doc_id in (select doc_id from within join told using (term))
+), named as (
+  with d as (select * from telling) {spans_sql("term", 4, pii.TERM.rstrip("+"), keep="lower(found) in (select term from told)")}
 ), found as (
   select doc_id, kind, ord_, start_, end_ from base
-  union all select distinct doc_id, 'term', 4, start_, end_ from near join told on near.entity = told.entity and near.term = told.term
+  union all select doc_id, kind, ord_, start_, end_ from named n where not exists (select 1 from base b where b.doc_id = n.doc_id and b.start_ <= n.start_ and n.end_ <= b.end_)
 )
 select d.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,"""
     + spans_result(4)

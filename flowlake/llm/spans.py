@@ -75,11 +75,13 @@ def joined(found: Column) -> Column:
 
 
 def masked(text: Column, found: Column, mark: Callable[[Column], Column]) -> Column:
-    """The text with every span replaced by ``mark(span)``; of overlapping spans the first stays."""
+    """The text with every span replaced by ``mark(span)``; overlapping spans become one, marked as the first."""
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["to"]
-        kept = F.when(new, F.array_append(acc["out"], s)).otherwise(acc["out"])
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
+        grown = F.array_append(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), last.withField("end", s["end"]))
+        kept = F.when(new, F.array_append(acc["out"], s)).when(s["end"] <= acc["to"], acc["out"]).otherwise(grown)
         return F.struct(kept.alias("out"), F.greatest(acc["to"], s["end"]).alias("to"))
 
     def rebuilt(parts: Column) -> Column:

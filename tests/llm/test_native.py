@@ -203,6 +203,20 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert not any(terms(got[k]) for k in (11, 20, 79))
 
 
+def test_disclosing_terms_of_a_domain(spark):
+    """Every address stands in one text only; their domain is what the term gives away."""
+    rows = [(k, f"write {letters(k)} to {letters(k)}@acme.org at the zweigart branch", "s") for k in range(4)]
+    rows += [(20 + k, f"write another text at the branch {letters(k)}", "s") for k in range(60)]
+    got = {r.doc_id: r for r in pii.find_personal(docs(spark, rows)).collect()}
+    terms = lambda r: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"]
+    assert all(terms(got[k]) == (["zweigart"] if k < 4 else []) for k in got)
+
+
+def test_overlapping_spans_are_masked_as_one(spark):
+    row = pii.find_personal(docs(spark, [(1, "see 1.2.3.4@corp.com now, a@b.cc", "s")])).withColumn("clean", pii.sanitised(F.col("text"), F.col("spans"))).first()
+    assert row.clean == "see <ip> now, <email>"
+
+
 def test_host_edges_through_domains_without_pages(spark):
     rows = [(1, "http://blog.x.example.net/", "<a href='//cdn.other.org/a'>"), (2, "http://m.x.example.net/", None), (3, "http://10.0.0.1/", None), (4, "http://example.net/", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("__host", urls.host_of(F.col("url")))
