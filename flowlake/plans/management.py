@@ -121,6 +121,7 @@ QHOURS = QROWS + """), place as (
          max(length_max) as length_max, count(distinct case when physically_calibrated then q.camera_id end) as calibrated_sources
   from qm q join place p on q.camera_id = p.camera_id where location_id is not null group by 1, 2, 3, 4
 """
+BOTH_HOURS = HOURS + ")" + QHOURS.strip().removeprefix(")").replace("), place as (", "), qplace as (").replace("join place p", "join qplace p") + ")"
 MEASURES = """sum(sample_count)::bigint as sample_count, sum(length_sum)::double / nullif(sum(sample_count), 0) as average_length, max(length_max) as maximum_length,
   sum(wait_sum_seconds)::double / nullif(sum(wait_sample_count), 0) as average_wait, sum(throughput)::bigint as throughput, sum(sla_met)::bigint as sla_met, sum(warning_samples)::bigint as warning_samples,
   sum(critical_samples)::bigint as critical_samples, sum(movement_speed_sum_mpm)::double / nullif(sum(movement_speed_samples), 0) as movement_speed"""
@@ -340,7 +341,7 @@ def feed(spark, sf):
 
 query("event_feed", with_sql("feed", "cams", body=")" + FEED + " select * from feed100"))(feed)
 query("alerts", with_sql("feed", "cams", body=")" + FEED + " select * from feed100 where severity in ('critical', 'warning') order by occurred_at desc, event_id desc limit 10"))(lambda spark, sf: reports.alerts(feed(spark, sf)))
-query("location_ranking", with_sql("minutes", "minute", "queue_minute", "cams", body=HOURS + ")" + QHOURS.strip().removeprefix(")").replace("), place as (", "), qplace as (").replace("join place p", "join qplace p") + f"), fl as ({LOCATIONS}), ql as ({QLOC}) select fl.location_id, entries as traffic, round(value, 6) as occupancy, sla_percent as queue_score from fl left join ql using (location_id) order by traffic desc, location_id limit 20"))(
+query("location_ranking", with_sql("minutes", "minute", "queue_minute", "cams", body=BOTH_HOURS + f", fl as ({LOCATIONS}), ql as ({QLOC}) select fl.location_id, entries as traffic, round(value, 6) as occupancy, sla_percent as queue_score from fl left join ql using (location_id) order by traffic desc, location_id limit 20"))(
     lambda spark, sf: rounded(reports.location_ranking(flow_locations(spark, sf), queue_locations(spark, sf)), "occupancy")
 )
 query("data_quality", h(f"s as ({summary_sql(FA)}), q as (select least(100.0::double, sample_count::double * 100 / nullif(expected_samples, 0)) as coverage, confidence_sum::double * 100 / nullif(sample_count, 0) as confidence, contributing_sources as contributing, (select count(*) from cams where enabled) as expected from s) select *, case when coalesce(coverage, 0) <= 0 then 'unavailable' when coverage >= 95 then 'live' else 'partial' end as status, expected > 0 and contributing < expected as partial_sources from q"))(
@@ -376,7 +377,11 @@ query("important_changes", h(FLOW_KPIS + " select key, case when change_percent
 )
 
 
-@query("spatial_report")
+@query("spatial_report", sp(f"""tag as (select 'A' as period, * from pt where {A} union all select 'B', * from pt where {B}
+), cell as (select layer, period, p.x::int as x, p.y::int as y, avg(p.value) as value from tag group by 1, 2, 3, 4
+), side as (select layer, x, y, max(value) filter (period = 'A') as a, max(value) filter (period = 'B') as b from cell group by 1, 2, 3
+), cover as (select layer, avg(coverage_percent) as coverage from sp where {A} group by 1)
+select layer, x, y, round(a, 6) as period_a, round(b, 6) as period_b, round(coalesce(a, 0) - coalesce(b, 0), 6) as difference, round(coverage, 6) as coverage from side join cover using (layer)"""))
 def spatial_report(spark, sf):
     """Every layer's points in both periods, their difference, with the mean coverage."""
     rows = reports.tag_periods(spatial(spark, sf), "bucket_start", WEEK)
@@ -384,14 +389,21 @@ def spatial_report(spark, sf):
     cover = rows.where("period = 'A'").groupBy("layer").agg(F.avg("coverage_percent").alias("coverage"))
     sides = cells.groupBy("layer", "x", "y").pivot("period", ["A", "B"]).agg(F.first("value"))
     sides = sides.withColumn("difference", F.coalesce("A", F.lit(0.0)) - F.coalesce("B", F.lit(0.0)))
-    return sides.join(cover, "layer").select("layer", "x", "y", F.col("A").alias("period_a"), F.col("B").alias("period_b"), "difference", "coverage")
+    sides = sides.join(cover, "layer").select("layer", "x", "y", F.col("A").alias("period_a"), F.col("B").alias("period_b"), "difference", "coverage")
+    return rounded(sides, "period_a", "period_b", "difference", "coverage")
 
 
-@query("overview")
+@query("overview", with_sql("minutes", "minute", "queue_minute", "cams", body=BOTH_HOURS + SPATIAL + ", " + LATEST_Q + ", " + DETAILS + f"""
+, flow_part as (with {FLOW_KPIS} select * from kpis
+), queue_part as (with a as (select {MEASURES} from qhours where {FA}), b as (select {MEASURES} from qhours where {FB}), {kpi_sql(QUEUE_KEYS)} select * from kpis
+), zone as (select zone_id, location_id, location_type, avg(p.value) filter (layer = 'dwell') as dwell from pt where {A} group by 1, 2, 3 order by 1, 2, 3 limit 500)
+select * from flow_part union all select * from queue_part
+union all select 'average_dwell', round(avg(dwell), 6), null, null from zone
+union all select 'active_queues', count(*)::double, null, null from details where current_length > 0"""))
 def overview(spark, sf):
     """The headline measures of all three reports as key, value, previous and change."""
     dwell = reports.zone_metrics(reports.in_period(spatial(spark, sf), "bucket_start", reports.bounds(WEEK), WEEK)).agg(F.avg("dwell").alias("value"))
     none = F.lit(None).cast("double")
     parts = [flow_kpis(spark, sf), queue_kpis(spark, sf), dwell.select(F.lit("average_dwell").alias("key"), "value", none.alias("previous"), none.alias("change_percent"))]
     card = reports.queue_card(queue_details(spark, sf)).select(F.lit("active_queues").alias("key"), F.col("active_queues").cast("double").alias("value"), none.alias("previous"), none.alias("change_percent"))
-    return parts[0].union(parts[1]).union(parts[2]).union(card)
+    return rounded(parts[0].union(parts[1]).union(parts[2]).union(card), "value", "previous", "change_percent")
