@@ -117,11 +117,21 @@ query("validate_polygons", with_sql("obs", body="), t as (select distinct track_
         )
     )
 )
-query("fit_homographies")(
-    lambda spark, sf: D.fit_homographies(
-        X.cameras(spark, sf).select("camera_id", F.explode(F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("ix", "iy", "gx", "gy"), p)]) for p in ((0, 0, 0, 0), (100, 0, 10, 0), (100, 100, 10, 10), (0, 100, 0, 10))])).alias("p")).select("camera_id", "p.*")
-    )
-)
+
+
+@query("fit_homographies", with_sql("cams", body="""), m as (select camera_id, camera_id % 6 <> 5 as ok, round((camera_id % 5 + 1) / 10.0::double, 6) as k, (camera_id % 7)::double as dx, (camera_id % 3)::double as dy from cams)
+select camera_id, case when not ok then 'fewer than four pairs' end as reason, case when ok then k end as xx, case when ok then 0.0::double end as xy, case when ok then dx end as x0,
+       case when ok then 0.0::double end as yx, case when ok then k end as yy, case when ok then dy end as y0 from m"""))
+def fit_homographies(spark, sf):
+    """Scaled and shifted by camera; every sixth camera has three pairs only."""
+    scale, corners = (c("camera_id") % 5 + 1) / 10, ((0, 0), (100, 0), (100, 100), (0, 100))
+    pair = lambda x, y: F.struct(F.lit(float(x)).alias("ix"), F.lit(float(y)).alias("iy"), (x * scale + c("camera_id") % 7).alias("gx"), (y * scale + c("camera_id") % 3).alias("gy"))
+    pairs = F.slice(F.array(*[pair(x, y) for x, y in corners]), F.lit(1), F.when(c("camera_id") % 6 == 5, 3).otherwise(4))
+    fitted = D.fit_homographies(X.cameras(spark, sf).select("camera_id", F.explode(pairs).alias("p")).select("camera_id", "p.*"))
+    part = lambda at, name: (F.round(c("homography")[at], 6) + F.lit(0.0)).alias(name)
+    return fitted.select("camera_id", "reason", *[part(at, name) for at, name in enumerate(("xx", "xy", "x0", "yx", "yy", "y0"))])
+
+
 query("check_ground_distance", with_sql("obs", body="), r as (select camera_id, track_id, frame_index, arrival, round(sqrt(px * px * 0.01::double + py * py * 0.01::double), 6) as measured from obs) select *, round(abs(measured - 5), 6) as absolute_error from r"))(
     lambda spark, sf: D.check_ground_distance(obs(spark, sf, F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), c("px").alias("bx"), c("py").alias("by"), F.lit(5.0).alias("known")), F.array(*map(F.lit, X.HOMOGRAPHY)))
     .select(*ID, F.round("measured", 6).alias("measured"), F.round("absolute_error", 6).alias("absolute_error"))
