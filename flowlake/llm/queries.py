@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import ann, bpe, jaccard, linedup, mixing, pii, quality, secrets, sharding, urls
+from flowlake.llm import ann, bpe, jaccard, linedup, mixing, pii, quality, secrets, sharding, superkmers, urls
 from flowlake.llm.common import table
 from flowlake.llm.spans import joined
 
@@ -357,3 +357,30 @@ def op4_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_hash_prefix_forest"] = op4_hash_prefix_forest
+
+
+def op13_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = superkmers.dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256")
+    return rows.select("doc_id", "n_words", "n_removed", kept)
+
+
+QUERIES["op13_super_kmers"] = op13_super_kmers
+ORACLES["op13_super_kmers"] = f"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), window_ as (
+  select doc_id, i, array_to_string(w[i:i + {superkmers.WINDOW - 1}], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - {superkmers.WINDOW - 2}, 1)::bigint)) as i from d)
+), first_ as (
+  select g, min(doc_id) as least from window_ group by g
+), gone as (
+  select distinct doc_id, i + k as i from window_ join first_ using (g), (select unnest(range({superkmers.WINDOW})) as k) where least < doc_id
+), word as (
+  select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d
+), kept as (
+  select doc_id, string_agg(x, ' ' order by i) as t, count(*) as n from word anti join gone using (doc_id, i) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept on d.doc_id = kept.doc_id
+"""
