@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import ann, bpe, jaccard, linedup, mixing, pii, quality, secrets, sharding, superkmers, urls
+from flowlake.llm import ann, bpe, iceberg, jaccard, linedup, mixing, pii, quality, secrets, sharding, superkmers, urls, whitening
 from flowlake.llm.common import table
 from flowlake.llm.spans import joined
 
@@ -359,6 +359,42 @@ def op4_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op4_hash_prefix_forest"] = op4_hash_prefix_forest
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iceberg.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_source_divergence"] = op12_source_divergence
+ORACLES["op12_source_divergence"] = rf"""
+with d as (
+  select row_number() over () as row_, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents
+), term as (
+  select row_, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), kept as materialized (
+  select lang, term from term group by all having count(distinct row_) >= {iceberg.LEAST}
+), counts as (
+  select lang, source, term, count(*) as n from term semi join kept using (lang, term) group by all
+), whole as (
+  select lang, source, term, coalesce(n, 0) as n from (select distinct lang, source from d) g join kept using (lang) left join counts using (lang, source, term)
+), shares as materialized (
+  select *, (1 + {iceberg.UNITS}::hugeint * (n + 1) // (sum(n) over (partition by lang, source) + count(*) over (partition by lang, source)))::hugeint as p from whole
+), totals as (
+  select lang, term, (1 + {iceberg.UNITS}::hugeint * (sum(n) + 1) // (sum(sum(n)) over (partition by lang) + count(*) over (partition by lang)))::hugeint as q from shares group by lang, term
+), pair as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), groups as (
+  select distinct lang, source from d
+), found as (
+  select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0)::bigint as value
+  from groups g join groups h on g.lang = h.lang and g.source <> h.source left join pair on pair.lang = g.lang and pair.source = g.source and pair.item = h.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from shares join totals using (lang, term) where n > 0 and p > q
+)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found
+qualify part = 'pair' or rank <= {iceberg.TOP}
+"""
+
+
 def op13_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = superkmers.dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256")
@@ -384,3 +420,10 @@ with d as (
 select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept on d.doc_id = kept.doc_id
 """
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op11_whitening"] = op11_whitening
