@@ -6,12 +6,13 @@ packed string of words (a super-k-mer) to the minimiser's bucket, so that a word
 three times and not thirteen. Equal windows have equal minimisers and meet in one bucket; there the
 windows are sorted by hash, compared byte by byte, and each one that a smaller id holds is marked.
 
-1. The windows of all documents are counted by hashed minimiser (``BUCKETS`` counters for each
-   shuffle partition). A counter above a quarter of a partition's mean is hot; there are fewer than
-   four of these for each partition, so that they can be broadcast.
-2. Super-k-mers are dealt by minimiser. Those of hot minimisers are cut into single windows, dealt
-   by the window's own hash; each task sends of equal ones only those of its smallest id, as all
-   others are known to go. So neither a frequent run of words nor a passage of many copies gathers in a task.
+1. The windows of all documents are counted by their minimiser's bucket, of which there are ``BUCKETS``
+   for each shuffle partition. A bucket with over a quarter of a partition's mean is hot; there are at
+   most four of these for each partition, so that each task can know them.
+2. Super-k-mers are dealt by bucket; what a task has for a bucket is compressed together. Those of
+   hot buckets are cut into single windows, dealt by the window's own hash; each task sends of equal
+   ones only those of its smallest id, as all others are known to go. So neither a frequent run of
+   words nor a passage of many copies gathers in a task.
 3. Marked stretches of words are gathered by document, and its words are kept or dropped.
 
 Windows are judged on the input: what goes does not depend on what else went. Rows of equal id are
@@ -36,25 +37,17 @@ from flowlake.llm.common import cut
 from flowlake.llm.mixing import dealt, running
 
 WINDOW = 13
-MINIMISER = 3
-BUCKETS = 64  # counters for each shuffle partition
-HOT = 16  # a counter is hot above this many times the mean of all
-BATCH_BYTES = 4 << 20  # texts worked on at once
-CACHED = 200_000  # words with their hashes, and hot windows, that a task remembers
+MINIMISER = 2
+BUCKETS = 16
+PART = 1024
+BATCH_BYTES = 2 << 20  # texts worked on at once
+FLUSH_BYTES = 32 << 20  # packed words that a task gathers before it compresses and sends them
+HOT_WINDOWS = 200_000  # hot windows that a task remembers
 LAST = (1 << 63) - 1  # null ids
 ODD = 0x9E3779B97F4A7C15
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MARKS = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-PACKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
-
-
-class WordHashes(dict):
-    """Words to 64-bit hashes, kept for those met before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+SENT = pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("strings", pa.binary()), ("marks", pa.binary())])
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,26 +59,55 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+class Polynomial:
+    """64-bit hashes of stretches of bytes: a polynomial over them, from running sums."""
+
+    powers = inverse = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray):
+        if len(data) >= len(self.powers):
+            n = max(len(data) + 1, BATCH_BYTES)
+            Polynomial.powers = np.cumprod(np.full(n, ODD, np.uint64))
+            Polynomial.inverse = np.cumprod(np.full(n, pow(ODD, -1, 1 << 64), np.uint64))
+        self.upto = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * self.powers[: len(data)], out=self.upto[1:])
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = (self.upto[high] - self.upto[low]) * self.inverse[low]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return mixed ^ (mixed >> np.uint64(29))
+
+
 class Windows:
-    """The windows of some texts: flat arrays over all their words."""
-
-    def __init__(self, texts: list[bytes | None], hashes: WordHashes):
-        words = [t.split() if t else [] for t in texts]
-        self.count = np.array([len(w) for w in words])
-        self.words = [w for each in words for w in each]
-        n = len(self.words)
-        self.first = np.cumsum(self.count) - self.count
-        owner = np.repeat(np.arange(len(texts)), self.count)
-        at = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, n)
-        if n < WINDOW:
-            at = np.zeros(WINDOW, np.uint64)
+    """The super-k-mers of some texts, in flat arrays.
+
+    Of each: hash of its minimiser, text, place of its first word in the text, number of windows, and
+    where its words (with a space between) begin and end in ``joined``.
+    """
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        solid = ~SPACE[data]
+        first = np.zeros(len(data) + 1, bool)
+        first[ends] = True
+        begin = np.flatnonzero(solid & (first[:-1] | ~np.concatenate([[False], solid[:-1]])))
+        end = np.flatnonzero(solid & (first[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
+        count = np.diff(np.searchsorted(begin, ends))
+        owner = np.repeat(np.arange(len(count)), count)
+        if len(begin) < WINDOW:
+            begin = end = np.zeros(WINDOW, np.int64)
             owner = -np.arange(WINDOW)  # no window lies in one text
+        word = Polynomial(data).of(begin, end)
         # Runs of words, then the least of each window by doubling spans.
-        mixed, m = np.zeros(len(at) - MINIMISER + 1, np.uint64), len(at) - MINIMISER + 1
+        m = len(word) - MINIMISER + 1
+        run = np.zeros(m, np.uint64)
         for k in range(MINIMISER):
-            mixed = mixed * np.uint64(ODD) + at[k : k + m]
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        least, span, whole = mixed ^ (mixed >> np.uint64(29)), 1, WINDOW - MINIMISER + 1
+            run = run * np.uint64(ODD) + word[k : k + m]
+        run = (run ^ (run >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        least, span, whole = run ^ (run >> np.uint64(29)), 1, WINDOW - MINIMISER + 1
         while span < whole:
             step = min(span, whole - span)
             least = np.minimum(least[:-step], least[step:])
@@ -93,34 +115,46 @@ class Windows:
         here = np.flatnonzero(owner[: len(owner) - WINDOW + 1] == owner[WINDOW - 1 :])
         mini, own = least[here], owner[here]
         new = np.flatnonzero(np.concatenate([[True], (mini[1:] != mini[:-1]) | (own[1:] != own[:-1])])[: len(here)])
-        #: Of each super-k-mer: minimiser, text, first window's place among all words, number of windows.
-        self.mini, self.text, self.begin = mini[new].view(np.int64), own[new], here[new]
+        self.mini, self.text, self.begin = mini[new], own[new], here[new]
         self.n = np.diff(np.append(new, len(here)))
+        self.at = self.begin - (np.cumsum(count) - count)[self.text]
+        self._data, self._solid, self._words = data, solid, (begin, end)
 
-    def strings(self) -> tuple[bytes, np.ndarray]:
-        """All words joined by spaces, and where each begins (and one past the last)."""
-        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        return b" ".join(self.words), np.concatenate([[0], np.cumsum(sizes + 1)])
+    def strings(self) -> None:
+        """Set ``joined``, ``starts`` (of words), ``low`` and ``high``."""
+        begin, end = self._words
+        keep = self._solid.copy()
+        keep[end[end < len(keep)]] = True
+        self.joined = np.where(self._solid, self._data, np.uint8(32))[keep].tobytes()
+        place = np.cumsum(keep) - 1
+        self.starts, self.stops = place[begin], place[end - 1] + 1
+        self.low, self.high = self.starts[self.begin], self.stops[self.begin + self.n + WINDOW - 2]
 
 
-def binary(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch["text"].cast(pa.binary()).to_pylist()
-
-
-def counted(counters: int):
-    """Windows by hashed minimiser, one row a counter and task."""
+def counted(buckets: int):
+    """Windows by bucket: rows of ``PART`` counters (part, counts) for each task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(counters, np.int64)
+        total = np.zeros(-(-buckets // PART) * PART, np.int64)
         for batch in blocks(batches):
-            found = Windows(binary(batch), hashes)
-            np.add.at(total, found.mini & (counters - 1), found.n)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+            found = Windows(batch["text"])
+            np.add.at(total, (found.mini % np.uint64(buckets)).astype(np.int64), found.n)
+        counts = total.reshape(-1, PART)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(counts)), pa.int32()), pa.array(list(counts), pa.list_(pa.int64()))], ["part", "counts"])
 
     return work
 
 
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n) from all tasks' rows of the parts that are here."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch["part"].to_pylist(), batch["counts"].flatten().to_numpy().reshape(-1, PART)):
+            total[part] = total.get(part, 0) + counts
+    for part, counts in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array(part * PART + np.arange(PART)), pa.array(counts)], ["bucket", "n"])
+
+
 class Smallest:
     """Of equal windows those of the smallest id met so far; the others are marked."""
 
@@ -140,47 +174,91 @@ class Smallest:
             self.marked += held
             self.held[window] = [row]
 
-    def rows(self, last: bool) -> Iterator[pa.RecordBatch]:
-        """What is to be sent on: held windows when there are many or at the end, and all marks."""
-        if self.marked:
-            ids, prints, at = (np.array(x) for x in zip(*self.marked))
-            order = np.lexsort((at, prints, ids))
-            ids, prints, at = ids[order], prints[order], at[order]
-            new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1]) | (at[1:] > at[:-1] + WINDOW)]))
-            stop = at[np.append(new[1:], len(at)) - 1] + WINDOW
-            out = [prints[new], ids[new], prints[new], at[new].astype(np.int32), (stop - at[new]).astype(np.int32), pa.nulls(len(new), pa.binary())]
-            self.marked = []
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out[:5]), out[5]], schema=PACKED)
-        if self.held and (last or len(self.held) >= CACHED):
-            rows = [(xxhash.xxh3_64_intdigest(w) - (1 << 63), *row, 1, w) for w, held in self.held.items() for row in held]
-            self.held = {}
-            for a in range(0, len(rows), CACHED):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[a : a + CACHED]), PACKED.types)], schema=PACKED)
-
-
-def packed(counters: int, hot: list[int]):
-    """Super-k-mers with their bucket's key; those of hot counters as windows; marks have no words."""
+
+class Parcels:
+    """Strings and marks that a task gathers by bucket; each is sent compressed."""
+
+    codec = pa.Codec("zstd", compression_level=1)
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.parts = buckets, 0, []
+
+    def add(self, bucket: np.ndarray, ids, prints, at, n, strings: list[bytes]) -> None:
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        numbers = [np.asarray(x)[order] for x in (ids, prints, at, n)]
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            words = b" ".join([strings[k] for k in order[a:b].tolist()])
+            self.parts.append((int(bucket[order[a]]), [x[a:b] for x in numbers], words))
+            self.held += len(words) + 40
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        gathered: dict[int, list] = {}
+        for bucket, *part in self.parts:
+            gathered.setdefault(bucket, []).append(part)
+        self.parts, self.held, sizes, blobs = [], 0, [], []
+        for parts in gathered.values():
+            ids, prints, at, n = (np.concatenate([p[0][k] for p in parts]) for k in range(4))
+            data = b"".join([np.int64(len(ids)).tobytes(), np.diff(ids, prepend=0).tobytes(), prints.tobytes(), at.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), b" ".join(p[1] for p in parts)])
+            sizes.append(len(data))
+            blobs.append(self.codec.compress(data, asbytes=True))
+        if sizes:
+            yield pa.RecordBatch.from_arrays([pa.array(gathered, pa.int32()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(sizes), pa.binary())], schema=SENT)
+
+    @classmethod
+    def opened(cls, blob: bytes, size: int) -> tuple[np.ndarray, ...]:
+        """ids, prints, at, n and the bytes of the words."""
+        data = cls.codec.decompress(blob, size, asbytes=True)
+        m = int(np.frombuffer(data, np.int64, 1)[0])
+        ids, prints = np.frombuffer(data, np.int64, 2 * m, 8).reshape(2, m)
+        at, n = np.frombuffer(data, np.int32, 2 * m, 8 + 16 * m).reshape(2, m)
+        return np.cumsum(ids), prints, at, n, np.frombuffer(data, np.uint8, offset=8 + 24 * m)
+
+
+def packed(buckets: int, hot: list[int]):
+    """Parcels of super-k-mers; those of hot counters as windows; windows known to go as marks."""
+
+    def windows(smallest: Smallest, parcels: Parcels) -> Iterator[pa.RecordBatch]:
+        rows = [(*row, w) for w, held in smallest.held.items() for row in held]
+        for a in range(0, len(rows), HOT_WINDOWS):
+            ids, prints, at, strings = zip(*rows[a : a + HOT_WINDOWS])
+            bucket = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in strings])
+            parcels.add(bucket, np.array(ids, np.int64), np.array(prints, np.int64), np.array(at), np.ones(len(at), np.int32), strings)
+            yield from parcels.rows()
+        smallest.held = {}
+
+    def marks(smallest: Smallest) -> Iterator[pa.RecordBatch]:
+        if smallest.marked:
+            found = np.array(sorted(smallest.marked), np.int64)
+            smallest.marked = []
+            bucket = (found[:, 0] ^ found[:, 1]) % buckets
+            used = np.unique(bucket)
+            columns = [pa.array(used, pa.int32()), pa.array([0] * len(used), pa.int32()), pa.nulls(len(used), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([found[bucket == b].tobytes() for b in used], pa.binary())], schema=SENT)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, smallest, warm = WordHashes(), Smallest(), np.array(sorted(hot), np.int64)
+        parcels, smallest, warm = Parcels(buckets), Smallest(), np.array(sorted(hot), np.int64)
         for batch in blocks(batches):
-            found = Windows(binary(batch), hashes)
+            found = Windows(batch["text"])
             if not len(found.n):
                 continue
-            joined, starts = found.strings()
+            found.strings()
             ids, prints = batch["id"].to_numpy()[found.text], batch["print"].to_numpy()[found.text]
-            at = found.begin - found.first[found.text]
-            cold = ~np.isin(found.mini & (counters - 1), warm)
+            bucket = (found.mini % np.uint64(buckets)).astype(np.int64)
+            cold = ~np.isin(bucket, warm)
             for k in np.flatnonzero(~cold).tolist():
-                b, i, p, a = int(found.begin[k]), int(ids[k]), int(prints[k]), int(at[k])
+                b, i, p, a = int(found.begin[k]), int(ids[k]), int(prints[k]), int(found.at[k])
                 for w in range(int(found.n[k])):
-                    smallest.offer(joined[starts[b + w] : starts[b + w + WINDOW] - 1], (i, p, a + w))
-            low, high = starts[found.begin[cold]].tolist(), (starts[(found.begin + found.n + WINDOW - 1)[cold]] - 1).tolist()
-            strings = pa.array([joined[a:b] for a, b in zip(low, high)], pa.binary())
-            numbers = [found.mini[cold], ids[cold], prints[cold], at[cold].astype(np.int32), found.n[cold].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), strings], schema=PACKED)
-            yield from smallest.rows(False)
-        yield from smallest.rows(True)
+                    smallest.offer(found.joined[found.starts[b + w] : found.stops[b + w + WINDOW - 1]], (i, p, a + w))
+            strings = [found.joined[a:b] for a, b in zip(found.low[cold].tolist(), found.high[cold].tolist())]
+            parcels.add(bucket[cold], ids[cold], prints[cold], found.at[cold], found.n[cold], strings)
+            if parcels.held >= FLUSH_BYTES:
+                yield from parcels.rows()
+            if len(smallest.held) >= HOT_WINDOWS:
+                yield from windows(smallest, parcels)
+            yield from marks(smallest)
+        yield from windows(smallest, parcels)
+        yield from parcels.rows()
 
     return work
 
@@ -197,35 +275,32 @@ def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return out
 
 
-def window_hashes(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each window: a polynomial over them, from running sums."""
-    powers = np.cumprod(np.full(len(data) + 1, ODD, np.uint64))
-    inverse = np.cumprod(np.full(len(data) + 1, pow(ODD, -1, 1 << 64), np.uint64))
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[:-1])])
-    return (upto[high] - upto[low]) * inverse[low]
-
-
-def later(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """The stretches of whole buckets whose windows a smaller id holds too."""
-    ids, prints, at, n = (rows[c].to_numpy() for c in ("id", "print", "at", "n"))
-    column = rows["words"]
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    # Words begin where a string does and after each space; windows are all but a string's last words.
-    begins = np.union1d(np.flatnonzero(data == 32) + 1, offsets[:-1])
-    first = np.searchsorted(begins, offsets[:-1])
+def stretches(ids: np.ndarray, prints: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Windows that go, in order of document and place, as stretches of words."""
+    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1]) | (at[1:] < at[:-1]) | (at[1:] > at[:-1] + WINDOW)])[: len(ids)])
+    last = np.append(new[1:], len(ids))[: len(new)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[new], prints[new], at[new].astype(np.int32), (at[last] + WINDOW).astype(np.int32))], schema=MARKS)
+
+
+def window_keys(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return Polynomial(data).of(low, high)
+
+
+def later(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """The stretches of a whole bucket's strings whose windows a smaller id holds too."""
+    ids, prints, at, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    data = np.concatenate([x for p in parts for x in (p[4], np.array([32], np.uint8))])
+    # Each string has its windows and twelve more words; a space ends each word.
+    ends = np.flatnonzero(data == 32)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    first = np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1)
     owner = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    word = np.repeat(first, n) + within
-    low = begins[word]
-    ends = np.append(begins[1:] - 1, len(data))
-    ends[np.append(first[1:], len(begins)) - 1] = offsets[1:]
-    high = ends[word + WINDOW - 1]
-    key = window_hashes(data, low, high)
+    word = first[owner] + within
+    low, high = begins[word], ends[word + WINDOW - 1]
+    key = window_keys(data, low, high)
     order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    new = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
     size = np.diff(np.append(new, len(order)))
     many = size > 1
     picks = order[np.repeat(many, size)]  # windows whose hash recurs
@@ -239,59 +314,45 @@ def later(rows: pa.RecordBatch) -> pa.RecordBatch:
         gone[picks] = held > np.repeat(np.minimum.reduceat(held, new), size)
         for run in np.flatnonzero(~np.logical_and.reduceat(same, new)):  # unequal windows of one hash
             least: dict[bytes, int] = {}
-            for both in (False, True):
+            for judge in (False, True):
                 for k in picks[new[run] : new[run] + size[run]]:
                     text, own = data[low[k] : high[k]].tobytes(), int(ids[owner[k]])
-                    if both:
+                    if judge:
                         gone[k] = own > least[text]
                     else:
                         least[text] = min(own, least.get(text, own))
     here = np.flatnonzero(gone)
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(here) > 1) | (np.diff(owner[here]) > 0)])[: len(here)])
-    a, b = here[new], here[np.append(new[1:], len(here))[: len(new)] - 1]
-    out = [ids[owner[a]], prints[owner[a]], at[owner[a]] + within[a].astype(np.int32), at[owner[b]] + within[b].astype(np.int32) + np.int32(WINDOW)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=MARKS)
+    return stretches(ids[owner[here]], prints[owner[here]], at[owner[here]] + within[here])
 
 
-def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks from super-k-mers that are sorted by key; a key's rows are worked on together."""
-    rest: list[pa.RecordBatch] = []
-    held = 0
-
-    def worked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if len(rows):
-            yield later(rows.combine_chunks().to_batches(max_chunksize=len(rows))[0])
-
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches that go, from parcels that are sorted by bucket; a bucket's are worked on together."""
+    bucket, parts = None, []
     for batch in batches:
-        known = batch["words"].is_null()
-        marks = batch.filter(known)
-        if len(marks):
-            stop = pa.array(marks["at"].to_numpy() + marks["n"].to_numpy())
-            yield pa.RecordBatch.from_arrays([marks["id"], marks["print"], marks["at"], stop], schema=MARKS)
-        rows = batch.filter(batch["words"].is_valid())
-        if not len(rows):
-            continue
-        rest.append(rows)
-        held += rows["words"].nbytes
-        key = rows["key"].to_numpy()
-        if held >= BATCH_BYTES and rest[0]["key"][0].as_py() != key[-1]:
-            ends = int(np.searchsorted(key, key[-1]))
-            yield from worked(pa.Table.from_batches([*rest[:-1], rows.slice(0, ends)]))
-            rest = [rows.slice(ends)]
-            held = rest[0]["words"].nbytes
-    if rest:
-        yield from worked(pa.Table.from_batches(rest))
+        for number, size, blob, marks in zip(*(batch[k].to_pylist() for k in SENT.names)):
+            if blob is None:
+                yield stretches(*np.frombuffer(marks, np.int64).reshape(-1, 3).T)
+                continue
+            if number != bucket and parts:
+                yield later(parts)
+                parts = []
+            bucket = number
+            parts.append(Parcels.opened(blob, size))
+    if parts:
+        yield later(parts)
 
 
 def marked(rows: DataFrame) -> DataFrame:
     """id, print, start, stop: stretches of words that go, from rows (id, print, text)."""
-    spark = rows.sparkSession
-    counters = 1 << (BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    totals = cut(rows.select("text").mapInArrow(counted(counters), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")))
-    mean = totals.agg(F.sum("n")).first()[0] or 0
-    hot = [r.counter for r in totals.where(F.col("n") * counters > HOT * mean).select("counter").collect()]  # below counters / HOT
-    sent = rows.mapInArrow(packed(counters, hot), "key long, id long, print long, at int, n int, words binary")
-    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(buckets, "id long, print long, start int, stop int")
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * partitions
+    totals = rows.select("text").mapInArrow(counted(buckets), "part int, counts array<long>").repartition("part").mapInArrow(summed, "bucket long, n long")
+    totals = cut(totals)
+    mean = (totals.agg(F.sum("n")).first()[0] or 0) / partitions
+    hot = [r.bucket for r in totals.where(4 * F.col("n") > mean).collect()] if mean else []  # four a partition at most
+    sent = rows.mapInArrow(packed(buckets, hot), "bucket int, size int, strings binary, marks binary")
+    dealt_ = sent.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket")
+    return dealt_.mapInArrow(judged, "id long, print long, start int, stop int")
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -334,9 +395,11 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     result = ["n_words", "n_removed", "removed"]
     ranked, number = ordered_ids(docs.drop(*[c for c in result if c not in (doc_id, text)]), doc_id)
-    rows = ranked.withColumns({"__id": number, "__print": F.xxhash64(F.col(text))})
-    marks = marked(rows.where(F.col(text).isNotNull()).select(F.col("__id").alias("id"), F.col("__print").alias("print"), F.col(text).alias("text")))
-    spans = cut(marks, release=True).groupBy("id", "print").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
+    several = ranked.groupBy(number.alias("id")).agg(F.min(F.xxhash64(F.col(text))).alias("a"), F.max(F.xxhash64(F.col(text))).alias("b")).where("a <> b")
+    print_ = F.lit(0).cast("long") if several.isEmpty() else F.xxhash64(F.col(text))  # needed only where an id has several texts
+    rows = ranked.withColumns({"__id": number, "__print": print_})
+    plain = rows.where(F.col(text).isNotNull()).select(F.col("__id").alias("id"), F.col("__print").alias("print"), F.col(text).alias("text"))
+    spans = cut(marked(plain), release=True).groupBy("id", "print").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
     spans = spans.withColumnsRenamed({"id": "__i", "print": "__p"})
     rows = rows.join(spans, (F.col("__id") == F.col("__i")) & (F.col("__print") == F.col("__p")), "left")
     rows = rows.withColumn("__new", without(F.col(text), F.col("__spans")))

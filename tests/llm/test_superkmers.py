@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from flowlake.llm import superkmers
@@ -51,7 +52,7 @@ def test_random_documents_match_brute_force(spark):
 
 def test_hot_minimisers_are_cut_to_windows(spark, monkeypatch):
     """One passage in most documents, a frequent run of words in other contexts, and one long repetitive text."""
-    monkeypatch.setattr(superkmers, "HOT", 2)
+    monkeypatch.setattr(superkmers, "BUCKETS", 1)
     passage = " ".join(f"p{k}" for k in range(40))
     docs = [(k, f"own{k} a{k} {passage} b{k} c{k}") for k in range(60)]
     docs += [(100 + k, " ".join(f"x{k * 7 + j} the same few" for j in range(12))) for k in range(20)]
@@ -63,12 +64,11 @@ def test_hot_minimisers_are_cut_to_windows(spark, monkeypatch):
 def test_windows_of_one_hash_stay_apart(spark, monkeypatch, counter):
     """Sorting proposes by hash; bytes decide."""
     if counter:
-        monkeypatch.setattr(superkmers, "window_hashes", lambda data, low, high: (high - low).astype("uint64"))
-    rows = [b" ".join(b"%s%d" % (c, k) for k in range(15)) for c in (b"a", b"b", b"a")]
-    batch = superkmers.pa.RecordBatch.from_arrays(
-        [superkmers.pa.array(x, t) for x, t in zip(([1] * 3, [5, 6, 7], [0] * 3, [4] * 3, [3] * 3, rows), superkmers.PACKED.types)], schema=superkmers.PACKED
-    )
-    assert superkmers.later(batch).to_pylist() == [{"id": 7, "print": 0, "start": 4, "stop": 19}]
+        monkeypatch.setattr(superkmers, "window_keys", lambda data, low, high: (high - low).astype("uint64"))
+    words = b" ".join(b"%s%d" % (c, k) for c in (b"a", b"b", b"a") for k in range(15))
+    numbers = [np.array(x) for x in ([5, 6, 7], [0] * 3, [4] * 3, [3] * 3)]
+    found = superkmers.later([(*numbers, np.frombuffer(words, np.uint8))])
+    assert found.to_pylist() == [{"id": 7, "print": 0, "start": 4, "stop": 19}]
 
 
 def test_odd_rows(spark):
