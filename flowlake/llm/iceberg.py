@@ -7,9 +7,11 @@ documents are discarded, and the others are extended to twice as many bytes, unt
 longer. A term that is no longer than the level is complete and is kept or discarded there. A rare
 term is dropped with its rare prefix, and long rare terms never travel whole.
 
-Each level is one pass over the texts: a task counts the prefixes that reach beyond the last level,
-its rows are joined to the last level's survivors, and the rest is summed. A task's table is sent on
-whenever it has ``ENTRIES`` entries or has read ``READ_BYTES``.
+Each level is one pass over the texts: a task counts the prefixes that reach beyond the last level, drops
+those without a survivor of the last level, and the rest is summed. A task's table is sent on whenever
+it has ``ENTRIES`` entries or has read ``READ_BYTES``. Tasks have a bitmap of a fixed size with the hashes
+of the survivors (in the last pass, of the kept terms), which spares most rows of rare terms; the
+rows left are joined to the survivors, which decides.
 
 The audit compares smoothed shares, in whole numbers: p = 1 + floor(10^9 (count + 1) / (N + V)), where
 count is a kept term's occurrences in a group (a language's source), N their sum and V the kept terms.
@@ -30,7 +32,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +48,7 @@ FIRST = 4
 UNITS = 1_000_000_000
 ENTRIES = 500_000
 READ_BYTES = 64 << 20
+BITS = 1 << 25  # of the bitmap, 4 MB
 BROADCAST_ROWS = 50_000
 #: Letters in lower case and bytes above ASCII stay, all else parts terms.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -53,14 +58,22 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LETTERS).split()
 
 
-def tallied(keys: list[str], of: Callable[[bytes], list[bytes]]):
-    """Counts of what ``of`` gives for each text, by the columns ``keys``: rows (*keys, item, n), several for one item."""
+def tallied(keys: list[str], of: Callable[[bytes], list[bytes]], bitmap: bytes | None = None, size: int | None = None):
+    """Counts of what ``of`` gives for each text, by the columns ``keys``: rows (*keys, item, n), several for one item.
+
+    With ``bitmap`` only items whose first ``size`` bytes (all without) have their hash's bit set.
+    """
+    bits = np.frombuffer(bitmap or b"", np.uint8)
 
     def sent(tables: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
         for key, table in tables.items():
-            if table:
-                columns = [pa.array([k] * len(table), pa.string()) for k in key]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(table), pa.binary()), pa.array(list(table.values()), pa.int64())], [*keys, "item", "n"])
+            items = list(table)
+            if bitmap is not None:
+                at = np.fromiter((crc32(x[:size]) for x in items), np.int64, len(items)) % BITS
+                items = [items[k] for k in np.flatnonzero(bits[at >> 3] >> (at & 7) & 1).tolist()]
+            if items:
+                columns = [pa.array([k] * len(items), pa.string()) for k in key]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(items, pa.binary()), pa.array(map(table.__getitem__, items), pa.int64())], [*keys, "item", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[tuple, Counter] = {}
@@ -94,26 +107,42 @@ def sized(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
+def bitmap_of(items: DataFrame) -> bytes:
+    """``BITS`` bits, those of the items' hashes set."""
+    at = (F.pmod(F.crc32("item"), F.lit(BITS)) + 1).alias("at")
+    part = items.select(at).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    parts = {r.part: bytes(r.bits) for r in part.collect()}
+    return b"".join(parts.get(k + 1, bytes(4096)) for k in range(BITS // 32768))
+
+
+def counted(rows: DataFrame, keys: list[str], of: Callable[[bytes], list[bytes]], only: DataFrame | None, size: int | None = None) -> DataFrame:
+    """The sums of ``tallied``, of items whose first ``size`` bytes are in ``only`` (lang, item; cut before)."""
+    schema = ", ".join(f"{k} string" for k in keys) + ", item binary, n long"
+    found = rows.select(*keys, "text").mapInArrow(tallied(keys, of, None if only is None else bitmap_of(only), size), schema)
+    if only is not None:
+        named = only.select(F.col("lang").alias("of"), F.col("item").alias("only")).hint("shuffle_hash")
+        item = F.col("item") if size is None else F.substring("item", 1, size)
+        found = found.join(named, (F.col("lang") == F.col("of")) & (item == F.col("only")), "left_semi")
+    return found.groupBy(*keys, "item").agg(F.sum("n").alias("n"))
+
+
 def kept_terms(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, term: the terms in ``least`` documents or more, from rows (lang, text) without nulls."""
+    """lang, item (a term's bytes): the terms in ``least`` documents or more, from rows (lang, text) without nulls."""
     level, before, open_, complete = FIRST, 0, None, []
     while open_ is None or not open_.isEmpty():
-        counted = rows.select("lang", "text").mapInArrow(tallied(["lang"], prefixes(level, before)), "lang string, item binary, n long")
-        if open_ is not None:
-            parent = open_.select(F.col("lang").alias("of"), F.col("item").alias("parent"))
-            counted = counted.join(sized(parent), (F.col("lang") == F.col("of")) & (F.substring("item", 1, before) == F.col("parent")), "left_semi")
-        found = cut(counted.groupBy("lang", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n"), release=True)
+        found = counted(rows, ["lang"], prefixes(level, before), open_, before).where(F.col("n") >= least).drop("n")
+        found = cut(found, release=True)
         longer = F.substring("item", -1, 1) == F.lit(b" ")
-        complete.append(found.where(~longer).select("lang", F.col("item").cast("string").alias("term")))
+        complete.append(found.where(~longer))
         open_ = found.where(longer).select("lang", F.substring("item", 1, level).alias("item"))
         level, before = 2 * level, level
     return reduce(DataFrame.union, complete)
 
 
-def share(count: Column) -> Column:
+def share(count: Column, of_all: str = "of_all") -> Column:
     """p of a count in a group of ``of_all`` occurrences of ``size`` kept terms."""
     whole = (count + 1).cast("decimal(20,0)") * F.lit(UNITS).cast("decimal(10,0)")
-    return F.call_function("div", whole, (F.col("of_all") + F.col("size")).cast("decimal(20,0)")) + 1
+    return F.call_function("div", whole, (F.col(of_all) + F.col("size")).cast("decimal(20,0)")) + 1
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -130,24 +159,21 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
     kept = cut(kept_terms(rows, least))
-    counted = rows.mapInArrow(tallied(["lang", "source"], terms_of), "lang string, source string, item binary, n long")
-    counted = counted.select("lang", "source", F.col("item").cast("string").alias("term"), "n")
-    counted = counted.join(sized(kept.select(F.col("lang").alias("of"), F.col("term").alias("kept"))), (F.col("lang") == F.col("of")) & (F.col("term") == F.col("kept")), "left_semi")
-    counted = cut(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), release=True)
-    # Groups, with their sums and what a term without count gets.
-    sums = counted.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("terms"))
+    found = cut(counted(rows, ["lang", "source"], terms_of, kept).select("lang", "source", F.col("item").cast("string").alias("term"), "n"), release=True)
+    # Groups and their languages, with their sums and what a term without count gets.
+    sums = found.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("terms"))
     sizes = kept.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("size"))
     groups = rows.select("lang", "source").distinct().join(sums, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s")), "left")
     groups = groups.join(sizes, F.col("lang") == F.col("of"), "left")
     none = F.lit(0).cast("long")
     groups = groups.select("lang", "source", *(F.coalesce(c, none).alias(n) for c, n in (("sum", "of_all"), ("size", "size"), ("terms", "terms"))))
-    groups = cut(groups.withColumn("zero", F.when(F.col("size") > 0, share(none)).otherwise(1)))
-    langs = groups.groupBy(F.col("lang").alias("of")).agg(F.sum("of_all").alias("of_all"), F.max("size").alias("size"))
+    groups = groups.withColumns({"zero": F.when(F.col("size") > 0, share(none)).otherwise(1), "of_lang": F.sum("of_all").over(Window.partitionBy("lang"))})
+    groups = cut(groups)
     # Terms against the language.
-    shares = counted.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "zero", share(F.col("n")).alias("p"))
-    shares = cut(shares.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "term"))))
-    against = shares.join(langs, F.col("lang") == F.col("of")).withColumn("q", share(F.col("total"))).where("p > q")
-    against = against.select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
+    shares = found.join(sized(groups), ["lang", "source"]).withColumns({"p": share(F.col("n")), "total": F.sum("n").over(Window.partitionBy("lang", "term"))})
+    shares = shares.withColumn("q", share(F.col("total"), "of_lang")).select("lang", "source", "term", "zero", "p", "q")
+    shares = cut(shares, release=True)
+    against = shares.where("p > q").select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     terms = ranked(against, "term").where(F.col("rank") <= top)
     # Sources against each other: counts in one of them by histogram, terms of both by join.
     other = groups.select(F.col("lang").alias("of"), F.col("source").alias("b"), F.col("zero").alias("zero_b"), F.col("terms").alias("terms_b"))
