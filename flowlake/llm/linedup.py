@@ -14,8 +14,8 @@ a word that hold ``MIN_WORDS`` words or more in all.
 4. Each proposed pair is aligned by patience diff: common first and last lines, then the longest
    ordered run of lines that are unique in both, then what lies between, likewise. Aligned passages
    are deleted from the later document (the larger id; null ids last), with the wordless lines after each.
-   Passages that patience leaves, as they stand in another order or several times in the earlier
-   document, are then found by their keys.
+   Only passages with a line that alignment can't settle, as it crosses what is aligned or stands
+   several times in a document, are then looked up by their keys.
 
 So a line goes exactly if it is part of a passage that an earlier text holds. Equal texts are one
 document: all rows but those of its smallest id lose all their lines. Rows with equal id and text are
@@ -148,6 +148,23 @@ def run_keys(lines: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return ((upto[runs[:, 1] + 1] - upto[runs[:, 0]]) * inverse[runs[:, 0]]).view(np.int64)
 
 
+def beyond(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """The lines of ``b`` that alignment can't settle: repeated in either document, or crossing what is aligned."""
+    lines, first, times = np.unique(a, return_index=True, return_counts=True)
+    at = np.searchsorted(lines, b)
+    at[at == len(lines)] = 0
+    known = lines[at] == b
+    own, back, repeats = np.unique(b, return_inverse=True, return_counts=True)
+    odd = known & ((times[at] > 1) | (repeats[back] > 1))
+    if pairs:
+        i, j = np.array(pairs).T
+        place = first[at]
+        # Aligned lines lie in order in both, so a line crosses one of them if it lies between other ones in ``a`` than in ``b``.
+        crossing = np.searchsorted(i, place) != np.searchsorted(j, np.arange(len(b)))
+        odd |= known & crossing & ~np.isin(np.arange(len(b)), j)
+    return odd
+
+
 def common_blocks(a: np.ndarray, b: np.ndarray, words_a: np.ndarray, words_b: np.ndarray, least: int = MIN_WORDS) -> list[int]:
     """The lines of ``b`` in passages of ``a``, with the wordless lines (hash 0) after each."""
     at, words = np.append(np.flatnonzero(b), len(b)), words_b[b != 0]
@@ -155,20 +172,24 @@ def common_blocks(a: np.ndarray, b: np.ndarray, words_a: np.ndarray, words_b: np
     gone = np.zeros(len(b), bool)
     run: list[int] = []
     before = (-2, -2)
-    for i, j in [*patience(a.tolist(), b.tolist()), (-9, -9)]:
+    pairs = patience(a.tolist(), b.tolist())
+    for i, j in [*pairs, (-9, -9)]:
         if (i, j) != (before[0] + 1, before[1] + 1):
             if run and words[run[0] : run[-1] + 1].sum() >= least:
                 gone[run] = True
             run = []
         run.append(j)
         before = (i, j)
+    # What stands in another order, or several times, is found by the keys of its passages.
+    odd = beyond(a, b, pairs)
     held = None
-    for x, y in stretches(np.isin(b, a), words, least):
-        if not gone[x:y].all():
+    for x, y in stretches(np.isin(b, a), words, least) if odd.any() else []:
+        if odd[x:y].any() and not gone[x:y].all():
             held = run_keys(a, passages(words_a, least)) if held is None else held
             runs = passages(words[x:y], least) + x
             for p, q in runs[np.isin(run_keys(b, runs), held)].tolist():
-                gone[p : q + 1] = True
+                if odd[p : q + 1].any():
+                    gone[p : q + 1] = True
     return [p for k in np.flatnonzero(gone) for p in range(int(at[k]), int(at[k + 1]))]
 
 
@@ -194,19 +215,21 @@ def aligned(earlier: Column, later: Column, words_a: Column, words_b: Column) ->
     return align(earlier, later, words_a, words_b)
 
 
+def hashed_text(text: str | None) -> tuple[np.ndarray, list[int]]:
+    """Each line's hash (0 without a word) and how many words it has."""
+    pieces = byte_pieces((text or "").encode("utf-8", "surrogatepass"))
+    count = [len(x.split()) for x in pieces]
+    hash_ = xxhash.xxh3_64_intdigest
+    return np.fromiter((hash_(x.strip()) if n else 0 for x, n in zip(pieces, count)), np.uint64, len(pieces)).view(np.int64), count
+
+
 def hashed(text: Column) -> Column:
     """lines and words: each line's hash (0 without a word) and how many words it has."""
 
     @F.arrow_udf("lines array<bigint>, words array<int>")
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hash_ = xxhash.xxh3_64_intdigest
         for batch in small_batches(batches, BATCH):
-            lines, words = [], []
-            for value in batch:
-                pieces = byte_pieces((value.as_py() or "").encode("utf-8", "surrogatepass"))
-                count = [len(x.split()) for x in pieces]
-                lines.append(np.fromiter((hash_(x.strip()) if n else 0 for x, n in zip(pieces, count)), np.uint64, len(pieces)).view(np.int64))
-                words.append(count)
+            lines, words = zip(*[hashed_text(value.as_py()) for value in batch]) if len(batch) else ([], [])
             yield pa.StructArray.from_arrays([lists(lines, pa.int64()), lists(words, pa.int32())], ["lines", "words"])
 
     return work.asNondeterministic()(text)

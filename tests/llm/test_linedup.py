@@ -140,6 +140,30 @@ def test_random_documents_match_brute_force(spark):
     assert 20 < sum(got[k] != t for k, t in docs)
 
 
+def test_alignment_decides(spark, monkeypatch):
+    """Without alignment, passages in order stay: on planted documents and on the given table."""
+    import numpy as np
+
+    lines = [f"line {n} " + " ".join(f"w{n}{k}" for k in range(10)) + ". " for n in range(6)]
+    a, b = (np.arange(1, 7) * s for s in (1, 1))
+    words = np.full(6, 12)
+    assert linedup.common_blocks(a, b, words, words) == list(range(6))
+    crossed = np.array([4, 5, 6, 1, 2, 3])
+    assert linedup.common_blocks(a, crossed, words, words) == list(range(6))
+    twice = np.array([1, 2, 3, 9, 1, 2, 3])
+    assert linedup.common_blocks(a, twice, words, np.full(7, 12)) == [0, 1, 2, 4, 5, 6]
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = [tuple(r) for r in rows.collect()] + [(10**6, "".join(lines)), (10**6 + 1, "Own. " + "".join(lines) + "End.")]
+    texts = sorted(docs)
+    seen = {t: i for i, t in reversed(texts)}
+    pairs = [(x, y) for x in texts[:60] + texts[-2:] for y in texts if x[0] < y[0] and seen[x[1]] == x[0] and seen[y[1]] == y[0] and x[1] and y[1]]
+    sides = {t: linedup.hashed_text(t) for _, t in docs if t}
+    found = lambda: sum(len(linedup.common_blocks(*(np.array(sides[t][0]) for t in (x[1], y[1])), *(np.array(sides[t][1]) for t in (x[1], y[1])))) for x, y in pairs)
+    whole = found()
+    monkeypatch.setattr(linedup, "patience", lambda a, b: [])
+    assert found() < whole
+
+
 def test_text_ids_and_long_texts(spark):
     passage = A + B + C
     long = " ".join(f"x{k}" for k in range(60_000))
