@@ -3,8 +3,8 @@
 A life begins with the first frame inside, and ends at the first frame of the camera's clock where
 the track has been outside, or missing, for the grace time. It is confirmed once it has dwelt; an
 alert also needs the cooldown since the track's last alert in any life, and may come late, while
-still inside. Native windows by camera, zone and track find the lives; the cooldown is a fold over
-one track's confirmed samples.
+still inside. Native windows by camera, zone and track find the lives; events come from one pass over
+sorted samples, which carries a track's last alert and nothing more.
 
 ``areas``: camera_id, zone_id, polygon, dwell, grace, cooldown, and, where a schedule is meant, days
 (Monday is 0; null: always), from_minute, to_minute and timezone. A frame outside of the schedule
@@ -13,52 +13,21 @@ ends every life in the zone without an event. Times are seconds since 1970 in UT
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import geometry as G
 from flowlake.functions.geometry import EPS
+from flowlake.operators.blocks import block_of, next_of, next_time, running_totals
 from flowlake.operators.people import zone_membership
 
-BLOCK = 3600.0  # seconds of a camera's clock that one task sorts at once
 ZONE = ["camera_id", "zone_id"]
 
 
-def block_of(time: Column) -> Column:
-    return F.floor(time / BLOCK)
-
-
-def next_frame_from(rows: DataFrame, frames: DataFrame, time: str, name: str, key: list[str] = ["camera_id"], usable: Column | None = None) -> DataFrame:
-    """``name``: the first (usable) frame time of the key at or after ``time``, which is not before its first frame.
-
-    Hours of a key are sorted apart; frames of later hours come from a table of each hour's first one.
-    """
-    value = F.col("ts") if usable is None else F.when(usable, F.col("ts"))
-    clock = frames.select(*key, F.col("ts").alias("__t"), value.alias("__clock"), F.lit(1).alias("__kind"), block_of(F.col("ts")).alias("__block"))
-    asked = F.col(time) - EPS
-    asked = rows.withColumns({"__t": asked, "__clock": F.lit(None).cast("double"), "__kind": F.lit(0), "__block": block_of(asked)})
-    later = Window.partitionBy(*key, "__block").orderBy("__t", "__kind").rowsBetween(0, Window.unboundedFollowing)
-    both = asked.unionByName(clock, allowMissingColumns=True).withColumn("__here", F.first("__clock", ignorenulls=True).over(later)).where("__kind = 0")
-    order = Window.partitionBy(*key).orderBy("__block")
-    own = F.struct("__block", F.col("__clock").alias("__first"))
-    before = F.struct((F.col("__block") - 1).alias("__block"), F.lit(None).cast("double").alias("__first"))  # so that the hour before the first is known
-    hours = clock.select(*key, F.inline(F.array(own, before))).groupBy(*key, "__block").agg(F.min("__first").alias("__first"))
-    after = F.first("__first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    hours = hours.withColumns({"__after": after, "__last": F.coalesce(F.lead("__block").over(order) - 1, "__block")})
-    hours = hours.select(*key, "__after", F.explode(F.sequence("__block", "__last")).alias("__block"))
-    found = both.join(hours, [*key, "__block"], "left").withColumn(name, F.coalesce("__here", "__after"))
-    return found.drop("__t", "__clock", "__kind", "__block", "__here", "__after")
-
-
-def next_frames(frames: DataFrame) -> DataFrame:
-    """camera_id, ts, after: each frame time of a camera with the one that follows it."""
-    rows = frames.select("camera_id", "ts", block_of(F.col("ts")).alias("__block"))
-    firsts = rows.groupBy("camera_id", "__block").agg(F.min("ts").alias("__first"))
-    firsts = firsts.select("camera_id", "__block", F.lead("__first").over(Window.partitionBy("camera_id").orderBy("__block")).alias("__next"))
-    rows = rows.withColumn("after", F.lead("ts").over(Window.partitionBy("camera_id", "__block").orderBy("ts"))).join(firsts, ["camera_id", "__block"])
-    return rows.select("camera_id", "ts", F.coalesce("after", "__next").alias("after"))
-
-
 def on_duty() -> Column:
     return G.schedule_active(F.timestamp_seconds("ts"), F.col("days"), F.col("from_minute"), F.col("to_minute"), F.col("timezone"))
 
@@ -69,16 +38,16 @@ def present(obs: DataFrame, frames: DataFrame, areas: DataFrame) -> DataFrame:
     if "days" not in areas.columns:
         return rows.withColumn("until", F.lit(None).cast("double"))
     clock = frames.select("camera_id", "ts").join(areas.drop("polygon"), "camera_id").select(*ZONE, "ts", (~on_duty()).alias("off"))
-    return next_frame_from(rows.where(on_duty()), clock, "ts", "until", ZONE, F.col("off"))
+    return next_time(rows.where(on_duty()), clock.where("off"), ZONE, "ts", "until")
 
 
 def lives(inside: DataFrame, frames: DataFrame) -> DataFrame:
     """Inside samples with their life: the zone, track_id, ts, until, cooldown, entered_at, exited_at, confirmed_at."""
     track = Window.partitionBy(*ZONE, "track_id", "until").orderBy("ts")
-    rows = inside.select(*ZONE, "track_id", "ts", "until", "dwell", "grace", "cooldown").join(next_frames(frames), ["camera_id", "ts"]).withColumn("again", F.lead("ts").over(track))
+    rows = inside.select(*ZONE, "track_id", "ts", "until", "dwell", "grace", "cooldown").join(next_of(frames, ["camera_id"], "after"), ["camera_id", "ts"]).withColumn("again", F.lead("ts").over(track))
     before_end = lambda c: F.col(c).isNotNull() & (F.col("until").isNull() | (F.col(c) < F.col("until")))
     rows = rows.withColumn("outside", F.when(before_end("after") & ~F.col("after").eqNullSafe(F.col("again")), F.col("after")))
-    rows = next_frame_from(rows.withColumn("due", F.coalesce("outside", "ts") + F.col("grace")), frames, "due", "exit")
+    rows = next_time(rows.withColumn("due", F.col("outside") + F.col("grace")), frames, ["camera_id"], "due", "exit")
     ends = before_end("exit") & (F.col("again").isNull() | (F.col("exit") < F.col("again")))
     rows = rows.withColumn("ended", F.when(F.col("outside").isNotNull() & ends, F.col("exit")))
     rows = rows.withColumn("life", F.coalesce(F.sum(F.col("ended").isNotNull().cast("int")).over(track.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -93,39 +62,54 @@ def whole_lives(rows: DataFrame) -> DataFrame:
     return rows.drop("ts", "cooldown").distinct()
 
 
-def alert_fold(samples: Column, cooldown: Column) -> Column:
-    """The samples (ts, entered_at) of one track at which an alert goes out; one at most for each life."""
+EVENT = ["ts", "event_type", "seconds", "confirmed"]
+
 
-    def step(acc: Column, s: Column) -> Column:
-        due = ~acc["life"].eqNullSafe(s["entered_at"]) & (acc["last"].isNull() | (s["ts"] - acc["last"] >= cooldown - EPS))
-        return F.struct(
-            F.when(due, s["ts"]).otherwise(acc["last"]).alias("last"),
-            F.when(due, s["entered_at"]).otherwise(acc["life"]).alias("life"),
-            F.when(due, F.array_append(acc["out"], s)).otherwise(acc["out"]).alias("out"),
-        )
+def zone_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The events of samples that are sorted by zone, track and time.
 
-    none = F.lit(None).cast("double")
-    empty = F.struct(none.alias("last"), none.alias("life"), F.array().cast("array<struct<ts:double,entered_at:double>>").alias("out"))
-    return F.aggregate(samples, empty, step, lambda acc: acc["out"])
+    Only the last sample's life and the track's last alert are carried from batch to batch. Lives are
+    taken as runs of rows; within one, the first sample that is confirmed and cool is looked up.
+    """
+    who = [*ZONE, "track_id"]
+    track, life, alerted, last = None, None, False, None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        entered, exited, ripe_from = (pdf[c].to_numpy(np.float64) for c in ("entered_at", "exited_at", "confirmed_at"))
+        ts, cooldown = pdf["ts"].to_numpy(np.float64), pdf["cooldown"].to_numpy(np.float64)
+        same = np.logical_and.reduce([(pdf[c] == pdf[c].shift()).to_numpy() for c in who])
+        starts = np.flatnonzero(~same | (entered != np.append(np.nan, entered[:-1])))
+        rows, found = [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)]):
+            here = tuple(pdf[c].iat[a] for c in who)
+            if here != track:
+                track, life, last = here, None, None
+            if life != entered[a]:
+                life, alerted = entered[a], False
+                rows.append(a)
+                found.append((entered[a], "restricted_area_entered", None, None))
+                if not np.isnan(exited[a]):
+                    rows.append(a)
+                    found.append((exited[a], "restricted_area_exited", exited[a] - entered[a], bool(not np.isnan(ripe_from[a]))))
+            if not alerted and not np.isnan(ripe_from[a]):
+                due = ripe_from[a] if last is None else max(ripe_from[a], last + cooldown[a] - EPS)
+                at = a + int(np.searchsorted(ts[a:b], due))
+                if at < b:
+                    alerted, last = True, ts[at]
+                    rows.append(at)
+                    found.append((ts[at], "restricted_area_confirmed", ts[at] - entered[a], None))
+        out = pdf.iloc[rows][who].reset_index(drop=True)
+        yield pd.concat([out, pd.DataFrame(found, columns=EVENT, dtype=object)], axis=1)
 
 
 def restricted_events(obs: DataFrame, frames: DataFrame, areas: DataFrame) -> DataFrame:
     """camera_id, zone_id, track_id, ts, event_type, seconds (dwell or duration), confirmed."""
     rows, who = lives(present(obs, frames, areas), frames), [*ZONE, "track_id"]
-    sample = F.when(F.col("ts") >= F.col("confirmed_at"), F.struct("ts", "entered_at"))
-    tracks = rows.groupBy(*who).agg(
-        F.collect_set(F.struct("entered_at", "exited_at", "confirmed_at")).alias("lives"), F.sort_array(F.collect_list(sample)).alias("samples"), F.first("cooldown").alias("cooldown")
-    )
-
-    def event(name: str, ts: Column, seconds: Column | None = None, confirmed: Column | None = None) -> Column:
-        blank = lambda v, t: F.lit(None).cast(t) if v is None else v
-        return F.struct(ts.alias("ts"), F.lit(f"restricted_area_{name}").alias("event_type"), blank(seconds, "double").alias("seconds"), blank(confirmed, "boolean").alias("confirmed"))
-
-    entered = F.transform("lives", lambda v: event("entered", v["entered_at"]))
-    alerts = F.transform(alert_fold(F.col("samples"), F.col("cooldown")), lambda v: event("confirmed", v["ts"], v["ts"] - v["entered_at"]))
-    over = F.filter("lives", lambda v: v["exited_at"].isNotNull())
-    left = F.transform(over, lambda v: event("exited", v["exited_at"], v["exited_at"] - v["entered_at"], v["confirmed_at"].isNotNull()))
-    return tracks.select(*who, F.inline(F.concat(entered, alerts, left)))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in who) + ", ts double, event_type string, seconds double, confirmed boolean"
+    dealt = rows.repartition(*who).sortWithinPartitions(*who, "ts").select(*who, "ts", "cooldown", "entered_at", "exited_at", "confirmed_at")
+    return dealt.mapInPandas(zone_events, schema)
 
 
 def restricted_status(obs: DataFrame, frames: DataFrame, areas: DataFrame) -> DataFrame:
@@ -138,11 +122,10 @@ def restricted_status(obs: DataFrame, frames: DataFrame, areas: DataFrame) -> Da
     dropped = F.when(F.col("exited_at").isNull(), F.col("until"))
     changes.append(F.struct(dropped.alias("ts"), (-one).alias("d"), was.alias("c"), zero.alias("i"), zero.alias("o")))
     changes = whole.select(*ZONE, F.inline(F.array(*changes))).where("ts is not null").groupBy(*ZONE, "ts").agg(*[F.sum(k).alias(k) for k in "dcio"])
-    so_far = Window.partitionBy(*ZONE).orderBy("ts")
-    total = lambda k: F.sum(F.coalesce(k, F.lit(0))).over(so_far)
     spine = frames.join(areas.drop("polygon"), "camera_id")
     active = on_duty() if "days" in areas.columns else F.lit(True)
-    rows = spine.withColumn("active", active).join(changes, [*ZONE, "ts"], "left").withColumns({k: total(k) for k in "dcio"})
+    rows = spine.withColumn("active", active).join(changes, [*ZONE, "ts"], "left")
+    rows = running_totals(rows, ZONE, ["ts"], block_of(F.col("ts")), {k: F.col(k) for k in "dcio"})
     return rows.select(*ZONE, "frame_index", "active", F.col("d").alias("current"), (F.col("d") - F.col("c")).alias("entered"), F.col("c").alias("confirmed"), F.col("i").alias("entries"), F.col("o").alias("exits"))
 
 

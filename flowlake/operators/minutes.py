@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import geometry as G
@@ -57,14 +57,36 @@ def minute_events(events: DataFrame, most: int = 500) -> DataFrame:
     return rows.withColumns({"severity": G.event_severity(F.col("kind")), "metric_key": G.event_metric_key(F.col("kind"))})
 
 
-def minute_spatial(points: DataFrame, most: int = 256) -> DataFrame:
-    """The last list of points of each camera, minute and layer, cut to ``most`` points."""
-    rows = points.groupBy("camera_id", F.date_trunc("minute", "at").alias("bucket_start"), "layer").agg(F.max_by("points", "at").alias("points"))
-    return rows.withColumn("points", F.slice("points", 1, most))
+def region_points(regions: Column) -> Column:
+    """Crowded regions (average and bounds as shares of the frame: x1, y1, x2, y2) as points in percent; intensity by the fullest."""
+    most = F.aggregate(regions, F.lit(0.0), lambda t, r: F.greatest(t, r["average"].cast("double")))
+    most = F.when(most != 0, most).otherwise(1.0)
 
+    def point(r: Column) -> Column:
+        value = r["average"].cast("double")
+        return F.struct(((r["x1"] + r["x2"]) * 50).alias("x"), ((r["y1"] + r["y2"]) * 50).alias("y"), value.alias("value"), F.least(F.lit(1.0), value / most).alias("intensity"))
 
-def minute_documents(minutes: DataFrame, queues: DataFrame, events: DataFrame) -> DataFrame:
-    """Camera-minutes with their queues and events nested, in a fixed order."""
+    return F.transform(regions, point)
+
+
+def minute_spatial(points: DataFrame, most: int = 256, regions: DataFrame | None = None) -> DataFrame:
+    """The last list of points of each camera, minute and layer, lists of layers cut to ``most`` points.
+
+    ``points``: camera_id, at, layer, points. ``regions``: camera_id, at, regions (average, x1, y1, x2, y2), the
+    crowded regions of a frame, stand for the layer ``congestion``; where a frame has that layer itself,
+    the layer's list goes. Frames without regions add nothing.
+    """
+    rows = points.select("camera_id", "at", "layer", F.slice("points", 1, most).alias("points"), F.lit(1).alias("own"))
+    if regions is not None:
+        found = regions.where(F.size("regions") > 0).select("camera_id", "at", F.lit("congestion").alias("layer"), region_points(F.col("regions")).alias("points"), F.lit(0).alias("own"))
+        rows = rows.unionByName(found)
+    last = F.max_by("points", F.struct("at", "own")).alias("points")
+    return rows.groupBy("camera_id", F.date_trunc("minute", "at").alias("bucket_start"), "layer").agg(last)
+
+
+def minute_documents(minutes: DataFrame, queues: DataFrame, events: DataFrame, spatial: DataFrame | None = None) -> DataFrame:
+    """Camera-minutes with their queues, events and spatial lists nested, each in a fixed order."""
     key = ["camera_id", "bucket_start"]
     nest = lambda f, name: f.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in f.columns if c not in key]))).alias(name))
-    return minutes.join(nest(queues, "queues"), key, "left").join(nest(events, "events"), key, "left")
+    rows = minutes.join(nest(queues, "queues"), key, "left").join(nest(events, "events"), key, "left")
+    return rows if spatial is None else rows.join(nest(spatial, "spatial"), key, "left")

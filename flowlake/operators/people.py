@@ -8,11 +8,13 @@ row takes no part. Everything else is dealt by camera, or by camera and track.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import geometry as G
+from flowlake.operators.blocks import block_of, next_time, running_totals
 
+FRAMES = 4096.0  # frames in a block
 COVERAGE = 0.75
 
 
@@ -52,10 +54,9 @@ def people_per_frame(obs: DataFrame, frames: DataFrame) -> DataFrame:
     current = seen.groupBy("camera_id", "frame_index").agg(F.count(F.lit(1)).alias("current"))
     new = seen.groupBy("camera_id", "track_id").agg(F.min("frame_index").alias("frame_index"))
     new = new.groupBy("camera_id", "frame_index").agg(F.count(F.lit(1)).alias("new"))
-    so_far = Window.partitionBy("camera_id").orderBy("frame_index")
     rows = frames.select("camera_id", "frame_index").join(current, ["camera_id", "frame_index"], "left").join(new, ["camera_id", "frame_index"], "left")
-    unique = F.sum(F.coalesce("new", F.lit(0))).over(so_far)
-    return rows.select("camera_id", "frame_index", F.coalesce("current", F.lit(0)).alias("current_people"), unique.alias("unique_people"))
+    rows = running_totals(rows, ["camera_id"], ["frame_index"], block_of(F.col("frame_index"), FRAMES), {"unique_people": F.col("new")})
+    return rows.select("camera_id", "frame_index", F.coalesce("current", F.lit(0)).alias("current_people"), "unique_people")
 
 
 def frame_numbers(frames: DataFrame) -> DataFrame:
@@ -95,10 +96,9 @@ def line_totals(crossings: DataFrame, frames: DataFrame, lines: DataFrame, label
     count = lambda d: F.count_if(F.col("direction") == d)
     key = ["camera_id", "frame_index", "line_id"]
     here = crossings.groupBy(*key).agg(count(labels[0]).alias("i"), count(labels[1]).alias("o"))
-    so_far = Window.partitionBy("camera_id", "line_id").orderBy("frame_index")
     rows = frames.select("camera_id", "frame_index").join(lines.select("camera_id", "line_id"), "camera_id").join(here, key, "left")
-    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(so_far)
-    return rows.select(*key, total("i").alias("entries"), total("o").alias("exits"))
+    rows = running_totals(rows, ["camera_id", "line_id"], ["frame_index"], block_of(F.col("frame_index"), FRAMES), {"entries": F.col("i"), "exits": F.col("o")})
+    return rows.select(*key, "entries", "exits")
 
 
 def zone_membership(obs: DataFrame, regions: DataFrame) -> DataFrame:
@@ -117,14 +117,13 @@ def active_and_lost(obs: DataFrame, frames: DataFrame) -> DataFrame:
     seen = obs.select("camera_id", "frame_index", "track_id").distinct()
     active = seen.groupBy("camera_id", "frame_index").agg(F.count(F.lit(1)).alias("active"))
     last = seen.groupBy("camera_id", "track_id").agg(F.max("frame_index").alias("last"))
-    clock = frames.select("camera_id", "frame_index", F.lead("frame_index").over(Window.partitionBy("camera_id").orderBy("frame_index")).alias("after"))
-    clock = clock.select(F.col("camera_id").alias("of"), F.col("frame_index").alias("at"), "after")
-    gone = last.join(clock, (F.col("camera_id") == F.col("of")) & (F.col("last") == F.col("at"))).where("after is not null")
+    number = F.col("frame_index").cast("double")
+    gone = next_time(last.withColumn("then", F.col("last") + 0.5), frames.select("camera_id", number.alias("ts")), ["camera_id"], "then", "after").where("after is not null")
+    gone = gone.withColumn("after", F.col("after").cast("long"))
     gone = gone.groupBy("camera_id", F.col("after").alias("frame_index")).agg(F.count(F.lit(1)).alias("expired"))
     rows = frames.select("camera_id", "frame_index").join(active, ["camera_id", "frame_index"], "left").join(gone, ["camera_id", "frame_index"], "left")
-    expired = F.coalesce("expired", F.lit(0))
-    lost = F.sum(expired).over(Window.partitionBy("camera_id").orderBy("frame_index"))
-    return rows.select("camera_id", "frame_index", F.coalesce("active", F.lit(0)).alias("active"), expired.alias("expired"), lost.alias("lost"))
+    rows = running_totals(rows, ["camera_id"], ["frame_index"], block_of(F.col("frame_index"), FRAMES), {"lost": F.col("expired")})
+    return rows.select("camera_id", "frame_index", F.coalesce("active", F.lit(0)).alias("active"), F.coalesce("expired", F.lit(0)).alias("expired"), "lost")
 
 
 def run_summary(obs: DataFrame, frames: DataFrame, zones: DataFrame, crossings: DataFrame) -> DataFrame:

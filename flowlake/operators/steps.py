@@ -23,7 +23,8 @@ def speed_step(state: dict, ts: float, x: float, y: float, gx: float | None, gy:
     """Speeds of a track at one sample, from the accepted samples of the last ``window`` seconds.
 
     A sample is rejected when it jumps faster than ``most_px`` pixels, or ``most_m`` metres, a second
-    from the last accepted one. Null speeds carry a reason.
+    from the last accepted one. Null speeds carry a reason. The velocity is that from the first to the
+    last accepted sample.
     """
     kept = state.setdefault("kept", [])
     reason = None
@@ -53,7 +54,59 @@ def speed_step(state: dict, ts: float, x: float, y: float, gx: float | None, gy:
     return {"px": px, "m": path(3, 4) / span if px else 0.0, "reason": None, "vx": vx, "vy": vy}
 
 
-def crossing_step(state: dict, tracks: list[tuple], side_of, crossed) -> list[tuple]:
+def queue_speed(found: dict, before: tuple | None, now: tuple) -> float | None:
+    """The speed that a queue judges by: the windowed one, else the velocity's, else that of the last two samples."""
+    if found["px"] is not None:
+        return found["px"]
+    if found["vx"] is not None:
+        return math.hypot(found["vx"], found["vy"])
+    if before is None or now[0] <= before[0]:
+        return None
+    return math.hypot(now[1] - before[1], now[2] - before[2]) / (now[0] - before[0])
+
+
+def ground_velocity(state: dict, found: dict) -> tuple[float | None, float | None]:
+    """The velocity of ``found`` in metres, where its first and last sample have a place on the ground."""
+    kept = state.get("kept")
+    if found["vx"] is None or None in (*kept[0][3:5], *kept[-1][3:5]):
+        return None, None
+    span = kept[-1][0] - kept[0][0]
+    return (kept[-1][3] - kept[0][3]) / span, (kept[-1][4] - kept[0][4]) / span
+
+
+def place_on_ground(state: dict) -> tuple[float | None, float | None]:
+    """Where the track's last accepted sample is on the ground."""
+    return tuple(state["kept"][-1][3:5]) if state.get("kept") else (None, None)
+
+
+def progress(vx: float | None, vy: float | None, x: float | None, y: float | None, sx: float | None, sy: float | None) -> float | None:
+    """Signed speed toward the service point, as ``geometry.progress`` has it."""
+    if None in (vx, vy, x, y, sx, sy):
+        return None
+    far = math.hypot(sx - x, sy - y)
+    return 0.0 if far <= 1e-12 else (vx * (sx - x) + vy * (sy - y)) / far
+
+
+def line_side(px: float, py: float, ax: float, ay: float, bx: float, by: float) -> int:
+    """-1, 0 or 1 as ``geometry.line_side`` has it; 0 where the line has no length."""
+    far = math.hypot(bx - ax, by - ay)
+    value = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    band = EPS * max(1.0, far)
+    return 0 if far <= EPS else (value > band) - (value < -band)
+
+
+def meets(px: float, py: float, qx: float, qy: float, ax: float, ay: float, bx: float, by: float) -> bool:
+    """Whether a move from p to q crosses the segment ab, as ``geometry.segment_crossing`` has it."""
+    start, end = line_side(px, py, ax, ay, bx, by), line_side(qx, qy, ax, ay, bx, by)
+    rx, ry, sx, sy = qx - px, qy - py, bx - ax, by - ay
+    across = rx * sy - ry * sx
+    if not start or not end or start == end or abs(across) <= EPS:
+        return False
+    t, u = ((ax - px) * sy - (ay - py) * sx) / across, ((ax - px) * ry - (ay - py) * rx) / across
+    return -EPS <= t <= 1 + EPS and -EPS <= u <= 1 + EPS
+
+
+def crossing_step(state: dict, tracks: list[tuple], side_of, crossed, labels: tuple[str, str] = ("entry", "exit")) -> list[tuple]:
     """Line crossings of one camera at one frame: (track, direction).
 
     ``tracks``: (track, x, y) of the confirmed people. ``side_of(x, y)`` is -1, 0 or 1; ``crossed``
@@ -68,7 +121,7 @@ def crossing_step(state: dict, tracks: list[tuple], side_of, crossed) -> list[tu
             state.setdefault(track, last)
             continue
         if last[0] and last[0] != side and crossed(last[1], last[2], x, y):
-            out.append((track, "entry" if side > 0 else "exit"))
+            out.append((track, labels[0] if side > 0 else labels[1]))
         state[track] = (side, x, y)
     return out
 
@@ -76,6 +129,8 @@ def crossing_step(state: dict, tracks: list[tuple], side_of, crossed) -> list[tu
 def restricted_step(state: dict, ts: float, inside: set, dwell: float, grace: float, cooldown: float) -> list[tuple]:
     """Events of one zone at one frame: (track, type, seconds, confirmed)."""
     out, lives, alerts = [], state.setdefault("lives", {}), state.setdefault("alerts", {})
+    for cool in [k for k, t in alerts.items() if ts - t >= cooldown - EPS]:  # as good as none
+        del alerts[cool]
     for track in sorted(inside):
         life = lives.get(track)
         if life is None:
@@ -83,7 +138,7 @@ def restricted_step(state: dict, ts: float, inside: set, dwell: float, grace: fl
             out.append((track, "restricted_area_entered", None, None))
         life["outside"] = None
         life["confirmed"] |= ts - life["since"] >= dwell - EPS
-        if life["confirmed"] and not life["alerted"] and (track not in alerts or ts - alerts[track] >= cooldown - EPS):
+        if life["confirmed"] and not life["alerted"] and track not in alerts:
             life["alerted"], alerts[track] = True, ts
             out.append((track, "restricted_area_confirmed", ts - life["since"], None))
     for track in [k for k in lives if k not in inside]:
@@ -124,6 +179,44 @@ def queue_step(state: dict, ts: float, people: list[tuple], dwell: float, gap: f
     return out
 
 
+def queue_status_step(state: dict, ts: float, people: list[tuple], rule: dict) -> tuple[list[tuple], dict]:
+    """``queue_step`` with the queue's status at the frame; overflow flips are events too.
+
+    ``people``: (track, x, y, in_region, slow_enough, speed_px, speed_m, progress_px, progress_m).
+    ``rule``: dwell, gap, alpha, overflow, and done(x, y): whether a point is near the service point.
+    """
+    members, told, totals = state.setdefault("members", {}), state.setdefault("told", {}), state.setdefault("totals", {})
+    out = queue_step(members, ts, [p[:5] for p in people], rule["dwell"], rule["gap"])
+    for track, kind, seconds, x, y, _ in out:
+        if kind == "queue_left" and rule["done"](x, y):
+            totals["completed"] = totals.get("completed", 0) + 1
+            totals["waited"], totals["last"] = totals.get("waited", 0.0) + seconds, seconds
+    for track, _, _, within, slow, *measures in people:
+        if within and slow:
+            told[track] = measures
+    for gone in [k for k in told if k not in members]:
+        del told[gone]
+    joined = [k for k, m in members.items() if m["joined"]]
+    n = len(joined)
+    totals["level"] = rule["alpha"] * n + (1 - rule["alpha"]) * totals.get("level", 0.0)
+    over = n >= rule["overflow"]
+    if over != totals.get("over", False):
+        totals["over"] = over
+        out.append((None, "queue_overflow_started" if over else "queue_overflow_ended", float(n), None, None, None))
+
+    def mean(k: int) -> float | None:
+        known = [told[t][k] for t in joined if t in told and told[t][k] is not None]
+        return sum(known) / len(known) if known else None
+
+    done = totals.get("completed", 0)
+    status = {
+        "raw_count": n, "smoothed_count": totals["level"], "present": n > 0, "overflow": over, "mean_wait": sum(ts - members[t]["since"] for t in joined) / n if n else None,
+        "completed": done, "mean_completed": totals["waited"] / done if done else None, "last_wait": totals.get("last"),
+        "speed_px": mean(0), "speed_m": mean(1), "progress_px": mean(2), "progress_m": mean(3),
+    }
+    return out, status
+
+
 def heat_step(state: dict, ts: float, people: list[tuple], window: float | None, max_gap: float, idle: float) -> list[tuple]:
     """What one frame adds to a heatmap: (window_start, row, col, samples, seconds).
 

@@ -92,7 +92,8 @@ def areas(obs: DataFrame) -> DataFrame:
 def queues(obs: DataFrame) -> DataFrame:
     """The regions as queues."""
     rows = regions(obs).withColumnRenamed("zone_id", "queue_id")
-    return rows.withColumns({"max_speed": F.lit(100.0), "gap": F.lit(1.0), "service": G.point(F.lit(0.8), F.lit(0.5)), "radius": F.lit(0.08), "alpha": F.lit(0.5), "overflow": F.lit(3)})
+    matrix = F.array(*map(F.lit, HOMOGRAPHY))
+    return rows.withColumns({"homography": matrix, "max_speed": F.lit(45.0), "gap": F.lit(1.0), "service": G.point(F.lit(0.8), F.lit(0.5)), "radius": F.lit(0.08), "alpha": F.lit(0.5), "overflow": F.lit(3)})
 
 
 def square() -> Column:
@@ -155,6 +156,9 @@ def analytics_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", (F.col("user_id") % F.col("n_cameras")).alias("camera_id"), F.col("ts").cast("timestamp").alias("occurred_at"), kind.alias("kind"))
 
 
+#: Whether a sample (n) of a track is within 60 pixels a second of the last one accepted (f).
+FITS = "(len(f.kept) = 0 or sqrt((n.px - f.kept[-1].x) * (n.px - f.kept[-1].x) + (n.py - f.kept[-1].y) * (n.py - f.kept[-1].y)) / (n.ts - f.kept[-1].t) <= 60)"
+
 SQL = {
     "obs": """
   select *, frame_index::double as ts, px - 3 as x1, py - 12 as y1, px + 3 as x2, py as y2 from (
@@ -164,6 +168,23 @@ SQL = {
     from events)""",
     "frames": "select distinct camera_id, frame_index, ts from obs",
     "seen": "select * from obs where confirmed qualify row_number() over (partition by camera_id, frame_index, track_id order by arrival desc) = 1",
+    "judged": f"""
+  select camera_id, track_id, k, frame_index, ts, px, py, [{{'t': ts, 'x': px, 'y': py}}] as kept, true as ok, null::double as bx, null::double as by_, null::double as bt
+  from (select *, row_number() over (partition by camera_id, track_id order by ts) as k from seen) where k = 1
+  union all
+  select n.camera_id, n.track_id, n.k, n.frame_index, n.ts, n.px, n.py,
+         list_filter(case when {FITS} then list_append(f.kept, {{'t': n.ts, 'x': n.px, 'y': n.py}}) else f.kept end, lambda s: s.t >= n.ts - 3), {FITS}, f.px, f.py, f.ts
+  from judged f join (select *, row_number() over (partition by camera_id, track_id order by ts) as k from seen) n on n.camera_id = f.camera_id and n.track_id = f.track_id and n.k = f.k + 1""",
+    "speeds": """
+  select *, coalesce(speed_px, sqrt(vx * vx + vy * vy), sqrt((px - bx) * (px - bx) + (py - by_) * (py - by_)) / (ts - bt)) as judged_
+  from (
+    select *, case when ok and span > 0 then case when far < 2 then 0 else far / span end end as speed_px, case when ok and span > 0 then case when far < 2 then 0 else far / 10 / span end end as speed_m,
+           case when not ok then 'pixel jump' when span <= 0 then 'too little history' end as reason,
+           case when span > 0 then (kept[-1].x - kept[1].x) / span end as vx, case when span > 0 then (kept[-1].y - kept[1].y) / span end as vy, kept[-1].x / 10 as at_x, kept[-1].y / 10 as at_y
+    from (
+      select *, case when len(kept) > 1 then kept[-1].t - kept[1].t else 0 end as span,
+             coalesce(list_sum(list_transform(range(1, len(kept)), lambda i: sqrt((kept[i + 1].x - kept[i].x) * (kept[i + 1].x - kept[i].x) + (kept[i + 1].y - kept[i].y) * (kept[i + 1].y - kept[i].y)))), 0) as far
+      from judged))""",
     "regions": """
   select distinct camera_id, 'secure' as zone_id, case when camera_id % 2 = 0 then 20 else 10 end as lo, 1 as dwell from frames
   union all select distinct camera_id, 'store', 30, 2 from frames where camera_id % 3 = 0""",

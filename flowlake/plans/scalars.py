@@ -231,25 +231,81 @@ select camera_id, 'q' as queue_id, bucket_start, count(*) as sample_count, sum(p
 query("minute_events", with_sql("feed", body="), r as (select camera_id, event_id, date_trunc('minute', occurred_at) as bucket_start from feed) select * from r qualify row_number() over (partition by camera_id, bucket_start order by event_id desc) <= 500"))(
     lambda spark, sf: M.minute_events(X.analytics_events(spark, sf)).select("camera_id", "event_id", "bucket_start")
 )
-query("minute_spatial", with_sql("minutes", body=") select camera_id, bucket_start, layer, max(sample_count) as value from minutes group by 1, 2, 3"))(
-    lambda spark, sf: M.minute_spatial(X.minutes(spark, sf).select("camera_id", c("bucket_start").alias("start"), "layer", F.array("sample_count").alias("points"), (c("bucket_start") + F.make_interval(secs=c("sample_count"))).alias("at")))
-    .select("camera_id", "bucket_start", "layer", c("points")[0].alias("value"))
+
+
+def layers(spark, sf):
+    """Two points for each write of a camera-minute and layer, within its minute."""
+    m = X.minutes(spark, sf)
+    point = lambda x, y, v: F.struct(c(x).cast("double").alias("x"), c(y).cast("double").alias("y"), c(v).cast("double").alias("value"), F.lit(0.5).alias("intensity"))
+    return m.select("camera_id", "layer", F.array(point("xa", "ya", "sample_count"), point("xb", "yb", "arrival")).alias("points"), (c("bucket_start") + F.make_interval(secs=c("sample_count"))).alias("at"), "arrival")
+
+
+def crowded(spark, sf):
+    """Every third write also has two crowded regions, half of them at the time of a layer, the others between seconds."""
+    m = X.minutes(spark, sf).where("arrival % 3 = 0")
+    region = lambda v, a, b: F.struct(v.cast("double").alias("average"), F.lit(a).alias("x1"), F.lit(0.0).alias("y1"), F.lit(b).alias("x2"), F.lit(0.5).alias("y2"))
+    regions = F.array(region(c("occupancy_max"), 0.0, 0.25), region(c("entries"), 0.25, 0.5))
+    at = c("bucket_start") + F.make_interval(secs=c("sample_count") + F.when(c("arrival") % 2 == 0, 0.0).otherwise(0.5))
+    return m.groupBy("camera_id", at.alias("at")).agg(F.max_by(regions, "arrival").alias("regions"))
+
+
+def last_layers(spark, sf):
+    """One write of each camera, layer and time: the latest."""
+    return layers(spark, sf).groupBy("camera_id", "layer", "at").agg(F.max_by("points", "arrival").alias("points"))
+
+
+SPATIAL = """), list as (
+  select camera_id, bucket_start, layer, bucket_start + to_seconds(sample_count) as at_, [[xa::double, ya::double, sample_count::double, 0.5::double], [xb::double, yb::double, arrival::double, 0.5::double]] as points, arrival, 1 as own from minutes
+  union all
+  select camera_id, bucket_start, 'congestion', bucket_start + to_seconds(sample_count) + case when arrival % 2 = 0 then interval 0 second else interval 500 millisecond end,
+         [[12.5::double, 25.0::double, occupancy_max::double, occupancy_max::double / greatest(occupancy_max, entries)], [37.5::double, 25.0::double, entries::double, entries::double / greatest(occupancy_max, entries)]], arrival, 0
+  from minutes where arrival % 3 = 0
+), spatial as (
+  select * from list qualify row_number() over (partition by camera_id, bucket_start, layer order by at_ desc, own desc, arrival desc) = 1
+)"""
+FLAT = "array_to_string(list_transform(points, lambda p: array_to_string(list_transform(p, lambda v: (round_even(v * 1000, 0)::hugeint)::varchar), '/')), ' ')"
+
+
+def flat(points):
+    """The points as text, in thousandths."""
+    number = lambda v: F.rint(v * 1000).cast("decimal(38,0)").cast("string")
+    return F.array_join(F.transform(points, lambda p: F.concat_ws("/", *[number(p[k]) for k in ("x", "y", "value", "intensity")])), " ")
+
+
+def spatial_lists(spark, sf):
+    return M.minute_spatial(last_layers(spark, sf), regions=crowded(spark, sf))
+
+
+query("minute_spatial", with_sql("minutes", body=SPATIAL + f" select camera_id, bucket_start, layer, {FLAT} as points from spatial"))(
+    lambda spark, sf: spatial_lists(spark, sf).withColumn("points", flat(c("points")))
 )
 
 
-@query("minute_documents", with_sql("obs", "frames", "seen", body=FRAME_ROWS + ") select camera_id, date_trunc('minute', at_) as bucket_start, 1 as n_queues from fr group by 1, 2"))
+@query("minute_documents", with_sql("obs", "frames", "seen", "minutes", "feed", body=FRAME_ROWS + """), m as (
+  select camera_id, date_trunc('minute', at_) as bucket_start, count(*) as n, sum(people)::bigint as people, max(entries) - min(entries) as entries from fr group by 1, 2
+), q as (
+  select *, done > lag(done, 1, 0) over (partition by camera_id, date_trunc('minute', at_) order by at_) as new_ from (select *, entries // 2 as done from fr)
+), qn as (select camera_id, date_trunc('minute', at_) as bucket_start, 'q:' || count(*) || ':' || sum(people)::bigint || ':' || count(*) filter (new_) as queues from q group by 1, 2
+), e as (
+  select camera_id, date_trunc('minute', occurred_at) as bucket_start, string_agg(event_id::varchar, ',' order by event_id) as events from feed group by 1, 2
+""" + SPATIAL.replace("spatial as (", "chosen as (") + f""", s as (select camera_id, bucket_start, string_agg(layer || '=' || {FLAT}, ';' order by layer) as spatial from chosen group by 1, 2)
+select m.*, queues, events, spatial from m left join qn using (camera_id, bucket_start) left join e using (camera_id, bucket_start) left join s using (camera_id, bucket_start)"""))
 def minute_documents(spark, sf):
-    events = M.minute_events(X.analytics_events(spark, sf))
-    rows = M.minute_documents(M.camera_minutes(frame_rows(spark, sf)), M.queue_minutes(queue_frames(spark, sf)), events)
-    return rows.select("camera_id", "bucket_start", F.size("queues").alias("n_queues"))
+    """Camera-minutes with what is nested in them as text, in order."""
+    events = M.minute_events(X.analytics_events(spark, sf)).select("camera_id", "bucket_start", "event_id")
+    rows = M.minute_documents(M.camera_minutes(frame_rows(spark, sf)), M.queue_minutes(queue_frames(spark, sf)), events, spatial_lists(spark, sf))
+    queues = F.array_join(F.transform("queues", lambda q: F.concat_ws(":", q["queue_id"], q["sample_count"].cast("string"), q["length_sum"].cast("string"), F.size(q["completed_waits"]).cast("string"))), ",")
+    told = F.array_join(F.transform("spatial", lambda x: F.concat_ws("=", x["layer"], flat(x["points"]))), ";")
+    listed = F.array_join(F.transform("events", lambda e: e["event_id"].cast("string")), ",")
+    return rows.select("camera_id", "bucket_start", c("sample_count").alias("n"), c("occupancy_sum").alias("people"), "entries", queues.alias("queues"), listed.alias("events"), told.alias("spatial"))
 
 
 # Bundles: camera-minutes as JSON lines, some of them broken on purpose.
 
 
 def documents(spark, sf):
-    """line and arrival."""
-    m = X.minutes(spark, sf)
+    """line and arrival; the given table is one row group, so its rows are dealt out before they become documents."""
+    m = X.minutes(spark, sf).repartition(spark.sparkContext.defaultParallelism)
     start = F.concat(F.date_format("bucket_start", "yyyy-MM-dd'T'HH:mm:ss"), F.when(c("arrival") % 7 == 0, "").otherwise("Z"))
     queue = F.struct(c("queue_id").alias("queueId"), c("queue_id").alias("queueName"), c("sample_count").alias("sampleCount"), c("occupancy_sum").cast("double").alias("lengthSum"), F.array(c("wait_seconds").cast("double")).alias("completedWaitSeconds"))
     point = F.struct(c("xa").cast("double").alias("x"), (c("ya") + F.when(c("arrival") % 11 == 0, 100).otherwise(0)).cast("double").alias("y"), c("sample_count").cast("double").alias("value"), F.lit(0.5).alias("intensity"))

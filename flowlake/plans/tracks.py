@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlake.functions import geometry as G
-from flowlake.operators import heat, intrusion, motion, people
+from flowlake.operators import blocks, heat, intrusion, motion, people
 from flowlake.plans import fixtures as X
 from flowlake.plans.fixtures import with_sql
 
@@ -262,9 +262,18 @@ def speeds(spark, sf):
     return motion.speed(X.observations(spark, sf), matrix())
 
 
-query("speed")(speeds)
-query("speed_summary")(lambda spark, sf: motion.speed_summary(speeds(spark, sf)))
-query("queue_progress")(lambda spark, sf: motion.queue_progress(speeds(spark, sf), (80.0, 50.0)))
+TOWARD = "case when sqrt(({x} - {px}) * ({x} - {px}) + ({y} - {py}) * ({y} - {py})) <= 1e-12 then 0 * {vx} * {vy} else ({vx} * ({x} - {px}) + {vy} * ({y} - {py})) / sqrt(({x} - {px}) * ({x} - {px}) + ({y} - {py}) * ({y} - {py})) end"
+TOWARD_PX = TOWARD.format(x=80, y=50, px="px", py="py", vx="vx", vy="vy")
+TOWARD_M = TOWARD.format(x=8, y=5, px="at_x", py="at_y", vx="vx / 10", vy="vy / 10")
+
+query("speed", with_sql("obs", "seen", "judged", "speeds", recursive=True, body=""")
+select camera_id, track_id, frame_index, ts, px, py, speed_px, speed_m, reason, vx, vy, vx / 10 as gvx, vy / 10 as gvy, at_x, at_y, judged_ as judged from speeds"""))(speeds)
+query("speed_summary", with_sql("obs", "seen", "judged", "speeds", recursive=True, body=") select camera_id, frame_index, avg(speed_px) as mean_px, avg(speed_m) as mean_m from speeds group by 1, 2"))(
+    lambda spark, sf: motion.speed_summary(speeds(spark, sf))
+)
+query("queue_progress", with_sql("obs", "seen", "judged", "speeds", recursive=True, body=f") select camera_id, track_id, frame_index, round({TOWARD_PX}, 6) + 0.0::double as progress, round({TOWARD_M}, 6) + 0.0::double as progress_m from speeds"))(
+    lambda spark, sf: motion.queue_progress(speeds(spark, sf), (80.0, 50.0), G.point(F.lit(8.0), F.lit(5.0))).withColumns({k: F.round(k, 6) + 0.0 for k in ("progress", "progress_m")})
+)
 query("ema_trajectory", with_sql("obs", "seen", recursive=True, body="""
 ), n as (select *, row_number() over (partition by camera_id, track_id order by ts) as k from seen
 ), fold as (
@@ -281,11 +290,11 @@ query("throttle", with_sql("obs", "frames", recursive=True, body="""
   union all select n.camera_id, n.k, n.frame_index, n.ts, case when n.ts - kept >= 3 then n.ts else kept end from fold f join n on n.camera_id = f.camera_id and n.k = f.k + 1
 ) select camera_id, frame_index, ts from fold where ts = kept"""))(lambda spark, sf: motion.throttle(X.observations(spark, sf), 3.0))
 
-VISITS = MEMBER + """
+VISITS = MEMBER + f"""
 ), fast as (
-  select *, coalesce(sqrt((px - lag(px) over w) * (px - lag(px) over w) + (py - lag(py) over w) * (py - lag(py) over w)) / (ts - lag(ts) over w) <= 100 + 1e-9, true) and inside as good
-  from member window w as (partition by camera_id, zone_id, track_id order by ts)
-), late as (
+  select m.*, judged_, speed_m, {TOWARD_PX.replace("px", "m.px").replace("py", "m.py")} as progress_px, {TOWARD_M} as progress_m, coalesce(judged_ <= 45 + 1e-9, true) and inside as good
+  from member m join speeds s on s.camera_id = m.camera_id and s.track_id = m.track_id and s.frame_index = m.frame_index
+)""" + """, late as (
   select *, (select min(ts) from frames c where c.camera_id = f.camera_id and c.ts - f.ts > 1 + 1e-9) as late, lead(ts) over w as next_ts, lead(good) over w as next_good, lead(inside) over w as next_in, lead(px) over w as nx, lead(py) over w as ny
   from fast f window w as (partition by camera_id, zone_id, track_id order by ts)
 ), ends as (
@@ -310,10 +319,11 @@ VISITS = MEMBER + """
 
 def visits(spark, sf):
     obs, frames = clocked(spark, sf)
-    return motion.queue_visits(obs, frames, X.queues(obs), SIZE)
+    return motion.queue_visits(obs, frames, X.queues(obs), SIZE, motion.speed(obs, matrix()))
 
 
-query("queue_membership", with_sql(*NEEDS, body=VISITS + " select * from visits"))(visits)
+LINED = (*NEEDS[:3], "judged", "speeds", NEEDS[3])
+query("queue_membership", with_sql(*LINED, recursive=True, body=VISITS + " select * from visits"))(visits)
 
 STATUS = """, status as (
   select f.camera_id, r.zone_id as queue_id, f.frame_index, f.ts, count(*) filter (joined_at <= ts and (left_at is null or left_at > ts)) as raw_count,
@@ -322,13 +332,22 @@ STATUS = """, status as (
          arg_max(waiting, left_at * 1000000 + track_id) filter (left_at <= ts and completed) as last_wait
   from frames f join regions r on f.camera_id = r.camera_id left join visits v on f.camera_id = v.camera_id and r.zone_id = v.queue_id group by 1, 2, 3, 4
 )"""
+MEASURES = ("speed_px", "speed_m", "progress_px", "progress_m")
+SPANS = """, spans as (
+  select camera_id, zone_id as queue_id, ts as begun, coalesce(left_at, lead(ts) over (partition by camera_id, zone_id, track_id, visit order by ts)) as until, judged_ as speed_px, speed_m, progress_px, progress_m
+  from since where ts - since >= dwell - 1e-9
+), told as (
+  select s.camera_id, s.queue_id, s.frame_index, """ + ", ".join(f"sum(round_even({m} * 1000000, 0)) / count({m}) / 1000000 as {m}" for m in MEASURES) + """
+  from status s left join spans p on p.camera_id = s.camera_id and p.queue_id = s.queue_id and begun <= ts and (until is null or until > ts) group by 1, 2, 3
+)"""
 SMOOTHED = """, counted as (
   select *, row_number() over (partition by camera_id, queue_id order by ts) as k from status
 ), smooth as (
   select camera_id, queue_id, k, frame_index, 0.5::double * raw_count as level from counted where k = 1
   union all select n.camera_id, n.queue_id, n.k, n.frame_index, 0.5::double * n.raw_count + 0.5::double * level from smooth f join counted n on n.camera_id = f.camera_id and n.queue_id = f.queue_id and n.k = f.k + 1
 ), smoothed as (
-  select camera_id, queue_id, frame_index, ts, raw_count, raw_count >= 3 as overflow, mean_wait, completed, mean_completed, last_wait, level as smoothed_count from counted join smooth using (camera_id, queue_id, frame_index)
+  select camera_id, queue_id, frame_index, ts, raw_count, raw_count > 0 as present, raw_count >= 3 as overflow, mean_wait, completed, mean_completed, last_wait, level as smoothed_count, speed_px, speed_m, progress_px, progress_m
+  from counted join smooth using (camera_id, queue_id, frame_index) join told using (camera_id, queue_id, frame_index)
 )"""
 FLIPS = """, flips as (
   select *, raw_count >= 3 as over_, lag(raw_count >= 3, 1, false) over (partition by camera_id, queue_id order by ts) as was from status
@@ -339,11 +358,12 @@ FLIPS = """, flips as (
 
 def status(spark, sf):
     obs, frames = clocked(spark, sf)
-    return motion.queue_status(visits(spark, sf), frames, X.queues(obs))
+    samples = blocks.settled(motion.queue_samples(obs, frames, X.queues(obs), motion.speed(obs, matrix())))
+    return motion.queue_status(motion.visits_of(samples, SIZE), frames, X.queues(obs), motion.member_measures(samples, SIZE))
 
 
-query("queue_status", with_sql(*NEEDS, recursive=True, body=VISITS + STATUS + SMOOTHED + " select * from smoothed"))(status)
-query("queue_overflow_events", with_sql(*NEEDS, body=VISITS + STATUS + FLIPS + " select * from overflows"))(lambda spark, sf: motion.overflow_events(status(spark, sf)))
+query("queue_status", with_sql(*LINED, recursive=True, body=VISITS + STATUS + SPANS + SMOOTHED + " select * from smoothed"))(status)
+query("queue_overflow_events", with_sql(*LINED, recursive=True, body=VISITS + STATUS + FLIPS + " select * from overflows"))(lambda spark, sf: motion.overflow_events(status(spark, sf)))
 
 
 def rows(spark, sf):
@@ -395,7 +415,7 @@ def told(rows, name, *parts):
     return rows.groupBy("camera_id", "frame_index").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("told"))
 
 
-@query("frame_metrics", with_sql(*NEEDS, body=INSIDE + CROSSED + LIVES + SECURED + VISITS.replace(MEMBER + "\n), fast", ", fast", 1) + STATUS + METRICS.replace("select *, 'floor='", "select camera_id, frame_index, current_people, unique_people, entries, exits, restricted, queues, 'floor='")))
+@query("frame_metrics", with_sql(*LINED, recursive=True, body=INSIDE + CROSSED + LIVES + SECURED + VISITS.replace(MEMBER + "\n), fast", ", fast", 1) + STATUS + METRICS.replace("select *, 'floor='", "select camera_id, frame_index, current_people, unique_people, entries, exits, restricted, queues, 'floor='")))
 def frame_metrics(spark, sf):
     """One row for each frame: people, totals of lines, zones, restricted areas and queues."""
     obs, frames = clocked(spark, sf)
@@ -405,7 +425,7 @@ def frame_metrics(spark, sf):
     )
 
 
-@query("collect_events", with_sql(*NEEDS, recursive=True, body=CROSSED + LIVES + ALERTS + VISITS.replace(MEMBER + "\n), fast", ", fast", 1) + STATUS + FLIPS + f", e as ({EVENTS})" + """
+@query("collect_events", with_sql(*LINED, recursive=True, body=CROSSED + LIVES + ALERTS + VISITS.replace(MEMBER + "\n), fast", ", fast", 1) + STATUS + FLIPS + f", e as ({EVENTS})" + """
 select camera_id, track_id, frame_index::double as ts, 'line_crossed' as event_type, line_id, direction, null as zone_id, null::double as seconds, null::boolean as confirmed, null as queue_id, null::bigint as raw_count from crossed
 union all select camera_id, track_id, ts, event_type, null, null, zone_id, seconds, confirmed, null, null from e
 union all select camera_id, null, ts, event_type, null, null, null, null, null, queue_id, raw_count from overflows"""))

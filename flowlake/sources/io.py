@@ -150,9 +150,10 @@ def read_minutes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """``line``, its fields and other columns. The generator keeps the optimiser from parsing again for each use."""
+    """``line``, its fields, ``keys`` (its top-level names) and other columns. The generator keeps the optimiser from parsing again for each use."""
     others = [c for c in rows.columns if c != "line"]
-    return rows.select(F.explode(F.array(F.from_json("line", MINUTES))).alias("m"), "line", *others).select("m.*", "line", *others)
+    once = F.struct(F.from_json("line", MINUTES).alias("m"), F.json_object_keys("line").alias("keys"))
+    return rows.select(F.explode(F.array(once)).alias("o"), "line", *others).select("o.m.*", "o.keys", "line", *others)
 
 
 def rules() -> list[tuple[str, Column]]:
@@ -164,8 +165,8 @@ def rules() -> list[tuple[str, Column]]:
     any_ = lambda name, f: F.coalesce(F.exists(name, f), F.lit(False))
     known = ["cameraId", "cameraName", "bucketStart", "sampleCount", "expectedSamples", "confidenceSum", "occupancySum", "occupancyMax", "occupancyLast", "entries", "exits", "uniqueVisitors", "physicallyCalibrated", "queues", "spatial", "events"]
     return [
-        ("not_json", F.json_object_keys("line").isNull()),
-        ("unknown_key", F.size(F.array_except(F.json_object_keys("line"), F.array(*map(F.lit, known)))) > 0),
+        ("not_json", c("keys").isNull()),
+        ("unknown_key", F.size(F.array_except(c("keys"), F.array(*map(F.lit, known)))) > 0),
         ("camera_id", text(c("cameraId"), 128)),
         ("camera_name", F.length("cameraName") > 200),
         ("bucket_start", c("bucketStart").isNull() | ~c("bucketStart").rlike(r"(Z|[+-]\d{2}:?\d{2})$") | F.try_to_timestamp("bucketStart").isNull()),
@@ -186,7 +187,7 @@ def rules() -> list[tuple[str, Column]]:
 
 def marked(rows: DataFrame) -> DataFrame:
     """The rows with ``reasons``: the rules that each breaks, none for a valid one."""
-    return rows.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules()])))
+    return rows.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules()]))).drop("keys")
 
 
 def validate_minutes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -237,12 +238,38 @@ def write_frame_counts(occupancy: DataFrame, zone_ids: list[str], path: str) ->
     frame_table(occupancy, zone_ids).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: The catalogue's tables: cameras, their links to regions, and regions.
+CATALOG = ("camera", "camera_region", "region")
+
+
+def catalog_tables(spark: SparkSession, source: str, tables: tuple[str, str, str] = CATALOG, number: str | None = None, partitions: int = 8, **options: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of a catalogue, from a JDBC url or a folder of Parquet tables.
+
+    With ``number``, a numeric column that every table has, a JDBC table is read in as many ranges of it
+    as there are partitions, by as many connections; else by one. Columns are named in lower case.
+    """
+    if not source.startswith("jdbc:"):
+        return tuple(spark.read.parquet(f"{source}/{t}.parquet") for t in tables)
+
+    def table(name: str) -> DataFrame:
+        reader = spark.read.format("jdbc").options(url=source, **options)
+        if number is not None:
+            bounds = spark.read.format("jdbc").options(url=source, query=f"select min({number}) as low, max({number}) as high from {name}", **options)
+            low, high = bounds.load().first()
+            if low is not None:
+                reader = reader.options(partitionColumn=number, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(partitions))
+        rows = reader.option("dbtable", name).load()
+        return rows.toDF(*[c.lower() for c in rows.columns])
+
+    return tuple(map(table, tables))
+
+
 def read_camera_catalog(cameras: DataFrame, links: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cameras with a url, newest first, and their regions; deleted rows are left out.
 
-    The frames come from JDBC or from files; filters reach either.
+    The frames come from ``catalog_tables`` or elsewhere; their filters reach a database or files.
     """
-    usable = cameras.where("deleted_at is null and trim(url) <> ''").orderBy(F.col("created_at").desc(), "camera_id")
+    usable = cameras.where("deleted_at is null and url is not null and trim(url) <> ''").orderBy(F.col("created_at").desc(), "camera_id")
     live = links.where("deleted_at is null").drop("deleted_at").join(regions.where("deleted_at is null").drop("deleted_at"), "region_id")
     return usable, live
 
