@@ -266,9 +266,17 @@ SPATIAL = """), list as (
 FLAT = "array_to_string(list_transform(points, lambda p: array_to_string(list_transform(p, lambda v: (round_even(v * 1000, 0)::hugeint)::varchar), '/')), ' ')"
 
 
+def whole(v):
+    """A whole double as text with all its digits: a cast to decimal has the 17 of the double's text, the others 0."""
+    high = F.floor(v / 2.0**62)
+    low = (v - high.cast("double") * 2.0**62).cast("long")
+    digits = high.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + low.cast("decimal(19,0)")
+    return F.when(F.abs(v) < 2.0**62, v.cast("long").cast("string")).otherwise(digits.cast("decimal(38,0)").cast("string"))
+
+
 def flat(points):
     """The points as text, in thousandths."""
-    number = lambda v: F.rint(v * 1000).cast("decimal(38,0)").cast("string")
+    number = lambda v: whole(F.rint(v * 1000))
     return F.array_join(F.transform(points, lambda p: F.concat_ws("/", *[number(p[k]) for k in ("x", "y", "value", "intensity")])), " ")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlake.operators import detections as D
 from flowlake.operators import facts, motion, reports
+from flowlake.plans import scalars
 from flowlake.sources import io
 
 
@@ -206,3 +207,12 @@ def test_business_days_start_at_local_midnight():
     q = reports.Query.of_days("2026-08-11", "2026-08-12", comparison="previous_week")
     assert (q.start, q.end, q.comparison) == ("2026-08-10 20:30:00", "2026-08-12 20:30:00", "previous_week")
     assert reports.Query.of_days("2024-03-31", "2024-03-31", zone="Europe/Berlin").end == "2024-03-31 22:00:00"
+
+
+def test_points_as_text_have_all_digits(spark):
+    """Thousandths beyond 17 digits are the double's own, as in SQL."""
+    values = [0.0, 0.5, -3.25, 12.3456, 600000000000.0 * 25, 899999999999917.0, 899999999999913.0, 8.1e15 + 1, 3.6e17 + 64, -7.7e18, 1.2345e30]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    point = F.array(F.struct(F.col("v").alias("x"), F.lit(0.0).alias("y"), F.lit(None).cast("double").alias("value"), F.lit(0.5).alias("intensity")))
+    got = {r.v: r.t for r in rows.select("v", scalars.flat(point).alias("t")).collect()}
+    assert got == {v: f"{int(round(v * 1000))}/0/500" for v in values}
