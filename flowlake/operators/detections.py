@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,26 +31,58 @@ def restore_letterbox(boxes: DataFrame, scale: float, pad_x: float, pad_y: float
 
 
 def overlaps(boxes: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Intersection over union of one box with many."""
-    w = np.clip(np.minimum(boxes[:, 2], one[2]) - np.maximum(boxes[:, 0], one[0]), 0, None)
-    h = np.clip(np.minimum(boxes[:, 3], one[3]) - np.maximum(boxes[:, 1], one[1]), 0, None)
+    """Intersection over union of boxes with one box, or each with its own."""
+    w = np.clip(np.minimum(boxes[:, 2], one[..., 2]) - np.maximum(boxes[:, 0], one[..., 0]), 0, None)
+    h = np.clip(np.minimum(boxes[:, 3], one[..., 3]) - np.maximum(boxes[:, 1], one[..., 1]), 0, None)
     size = lambda b: np.clip(b[..., 2] - b[..., 0], 0, None) * np.clip(b[..., 3] - b[..., 1], 0, None)
     union = size(boxes) + size(one) - w * h
     return np.divide(w * h, union, out=np.zeros(len(boxes)), where=union > 0)
 
 
+def kept_boxes(frame: np.ndarray, corners: np.ndarray, threshold: float) -> np.ndarray:
+    """Which boxes stay, of frames that follow each other, best boxes first: each round keeps the best of every frame that has any left."""
+    kept, left = [np.empty(0, int)], np.arange(len(frame))
+    while len(left):
+        best = np.concatenate([[True], np.diff(frame[left]) != 0])
+        one = left[best]
+        kept.append(one)
+        left = left[~best & (overlaps(corners[left], corners[one[np.cumsum(best) - 1]]) <= threshold)]
+    return np.sort(np.concatenate(kept))
+
+
 def suppress_overlaps(boxes: DataFrame, threshold: float, key: tuple[str, ...] = ("camera_id", "frame_index")) -> DataFrame:
-    """Greedy suppression in each frame: the best box stays, those that overlap it more than the threshold go."""
+    """Greedy suppression in each frame: the best box stays, those that overlap it more than the threshold go.
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["box_id"].to_numpy(), -pdf["score"].to_numpy()))
-        corners, kept = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), []
-        while len(order):
-            kept.append(order[0])
-            order = order[1:][overlaps(corners[order[1:]], corners[order[0]]) <= threshold]
-        return pdf.iloc[kept]
+    A task reads its frames sorted, works on all frames of a batch at once and carries the last one over.
+    """
 
-    return boxes.groupBy(*key).applyInPandas(keep, boxes.schema)
+    def starts(rows: pa.Table) -> np.ndarray:
+        """Whether each row is the first of its frame, as far as the rows tell."""
+        keys = rows.select(key).to_pandas()
+        before = keys.shift()
+        return ~((keys == before) | (keys.isna() & before.isna())).all(axis=1).to_numpy() | (np.arange(len(keys)) == 0)
+
+    def keep(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        corners = np.stack([rows[c].to_pandas().to_numpy(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+        yield from rows.take(pa.array(kept_boxes(np.cumsum(starts(rows)), corners, threshold))).to_batches()
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edge = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch])
+            last = int(np.flatnonzero(starts(edge))[-1]) - bool(held)  # where the batch's last frame begins; -1: before it
+            if last >= 0:
+                if held or last:
+                    yield from keep(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held, batch = [], batch.slice(last)
+            held.append(batch)
+        if held:
+            yield from keep(pa.Table.from_batches(held))
+
+    score = F.when(~F.isnan("score"), F.col("score")).desc_nulls_last()
+    return boxes.repartition(*key).sortWithinPartitions(*key, score, "box_id").mapInArrow(carry, boxes.schema)
 
 
 def person_filter(boxes: DataFrame) -> DataFrame:

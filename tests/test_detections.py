@@ -216,3 +216,28 @@ def test_points_as_text_have_all_digits(spark):
     point = F.array(F.struct(F.col("v").alias("x"), F.lit(0.0).alias("y"), F.lit(None).cast("double").alias("value"), F.lit(0.5).alias("intensity")))
     got = {r.v: r.t for r in rows.select("v", scalars.flat(point).alias("t")).collect()}
     assert got == {v: f"{int(round(v * 1000))}/0/500" for v in values}
+
+
+def test_suppression_over_batches(spark):
+    """Frames of all sizes in small batches, one frame over several of them, against the rule box by box; a few calls, not one a frame."""
+    draw = np.random.default_rng(4)
+    sizes = [1, 2, 7, 40, 1, 3, 90, 5]
+    frames = np.repeat(np.arange(len(sizes)), sizes)
+    x, y = draw.integers(0, 30, len(frames)).astype(float), draw.integers(0, 30, len(frames)).astype(float)
+    boxes = pd.DataFrame({"camera_id": [None if f == 3 else int(f) // 3 for f in frames], "frame_index": frames, "box_id": draw.permutation(len(frames)), "x1": x, "y1": y, "x2": x + 8, "y2": y + 12, "score": draw.integers(0, 5, len(frames)) / 5.0})
+    want = []
+    for _, part in boxes.groupby("frame_index"):
+        kept = []
+        for b in part.sort_values(["score", "box_id"], ascending=[False, True]).itertuples():
+            if all(D.overlaps(np.array([[b.x1, b.y1, b.x2, b.y2]]), np.array(k))[0] <= 0.3 for k in kept):
+                kept.append((b.x1, b.y1, b.x2, b.y2))
+                want.append(b.box_id)
+    rows = spark.createDataFrame([(None if r[0] != r[0] else int(r[0]), *r[1:]) for r in boxes.astype(object).itertuples(index=False, name=None)], "camera_id long, frame_index long, box_id long, x1 double, y1 double, x2 double, y2 double, score double")
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = D.suppress_overlaps(rows, 0.3)
+            assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted(r.box_id for r in found.collect()) == sorted(want)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
