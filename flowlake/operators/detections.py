@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import geometry as G
+from flowlake.operators.blocks import settled
 
 
 def decode_detections(candidates: DataFrame, confidence: float) -> DataFrame:
@@ -50,39 +51,43 @@ def kept_boxes(frame: np.ndarray, corners: np.ndarray, threshold: float) -> np.n
     return np.sort(np.concatenate(kept))
 
 
+def first_rows(rows: pa.Table, key: Sequence[str]) -> np.ndarray:
+    """Whether each row is the first of its frame, as far as the rows tell."""
+    keys = rows.select(key).to_pandas()
+    before = keys.shift()
+    return ~((keys == before) | (keys.isna() & before.isna())).all(axis=1).to_numpy() | (np.arange(len(keys)) == 0)
+
+
+def whole_frames(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole frames: the last frame of a batch is carried over."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch])
+        last = int(np.flatnonzero(first_rows(edge, key))[-1]) - bool(held)  # where the batch's last frame begins; -1: before it
+        if last >= 0:
+            if held or last:
+                yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def suppress_overlaps(boxes: DataFrame, threshold: float, key: tuple[str, ...] = ("camera_id", "frame_index")) -> DataFrame:
     """Greedy suppression in each frame: the best box stays, those that overlap it more than the threshold go.
 
     A task reads its frames sorted, works on all frames of a batch at once and carries the last one over.
     """
 
-    def starts(rows: pa.Table) -> np.ndarray:
-        """Whether each row is the first of its frame, as far as the rows tell."""
-        keys = rows.select(key).to_pandas()
-        before = keys.shift()
-        return ~((keys == before) | (keys.isna() & before.isna())).all(axis=1).to_numpy() | (np.arange(len(keys)) == 0)
-
-    def keep(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        corners = np.stack([rows[c].to_pandas().to_numpy(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
-        yield from rows.take(pa.array(kept_boxes(np.cumsum(starts(rows)), corners, threshold))).to_batches()
-
-    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            edge = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch])
-            last = int(np.flatnonzero(starts(edge))[-1]) - bool(held)  # where the batch's last frame begins; -1: before it
-            if last >= 0:
-                if held or last:
-                    yield from keep(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held, batch = [], batch.slice(last)
-            held.append(batch)
-        if held:
-            yield from keep(pa.Table.from_batches(held))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_frames(batches, key):
+            corners = np.stack([rows[c].to_pandas().to_numpy(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+            yield from rows.take(pa.array(kept_boxes(np.cumsum(first_rows(rows, key)), corners, threshold))).to_batches()
 
     score = F.when(~F.isnan("score"), F.col("score")).desc_nulls_last()
-    return boxes.repartition(*key).sortWithinPartitions(*key, score, "box_id").mapInArrow(carry, boxes.schema)
+    return boxes.repartition(*key).sortWithinPartitions(*key, score, "box_id").mapInArrow(keep, boxes.schema)
 
 
 def person_filter(boxes: DataFrame) -> DataFrame:
@@ -156,6 +161,8 @@ def check_ground_distance(pairs: DataFrame, homography: Column) -> DataFrame:
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """The pairs of a matching of least cost (Hungarian method with potentials); rows are no more than columns."""
     n, m = cost.shape
+    if cost.size <= SMALL:
+        return assign_small(cost.tolist(), n, m)
     row_pot, col_pot, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
     for i in range(1, n + 1):
         match[0], j, least, done = i, 0, np.full(m + 1, np.inf), np.zeros(m + 1, bool)
@@ -179,6 +186,37 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
+def assign_small(cost: list[list[float]], n: int, m: int) -> list[tuple[int, int]]:
+    """The same steps by plain numbers, which for a few boxes are faster than arrays."""
+    row_pot, col_pot, match, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j, least, done = i, 0, [float("inf")] * (m + 1), [False] * (m + 1)
+        while True:
+            done[j] = True
+            at = match[j]
+            row, pot, nxt, step = cost[at - 1], row_pot[at], 0, float("inf")
+            for k in range(1, m + 1):
+                if not done[k]:
+                    reduced = row[k - 1] - pot - col_pot[k]
+                    if reduced < least[k]:
+                        least[k], way[k] = reduced, j
+                    if least[k] < step:
+                        nxt, step = k, least[k]
+            for k in range(m + 1):
+                if done[k]:
+                    row_pot[match[k]] += step
+                    col_pot[k] -= step
+                else:
+                    least[k] -= step
+            j = nxt
+            if match[j] == 0:
+                break
+        while j:
+            match[j] = match[way[j]]
+            j = way[j]
+    return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
+
+
 def candidate_pairs(truth: DataFrame, found: DataFrame, least: float) -> DataFrame:
     """Overlapping boxes of a frame: key, gt_id, hyp_id, iou."""
     box = F.struct("x1", "y1", "x2", "y2")
@@ -188,61 +226,74 @@ def candidate_pairs(truth: DataFrame, found: DataFrame, least: float) -> DataFra
     return rows.where(F.col("iou") >= least).drop("g", "h")
 
 
-BLOCK = 512  # frames that one task's call works on at once
+SMALL = 400  # entries of a cost table that is worked on by plain numbers
 
 
-def chosen(gt: np.ndarray, hyp: np.ndarray, iou: np.ndarray) -> np.ndarray:
+def chosen(gt: list, hyp: list, iou: list[float]) -> list[bool]:
     """Which candidate pairs of one frame are in the one-to-one matching of most overlap."""
-    g, gi = np.unique(gt, return_inverse=True)
-    h, hi = np.unique(hyp, return_inverse=True)
+    g, h = ({v: k for k, v in enumerate(sorted(set(ids)))} for ids in (gt, hyp))
     if len(g) == len(gt) and len(h) == len(hyp):
-        return np.ones(len(gt), bool)
+        return [True] * len(gt)
     cost = np.full((len(g), len(h)), 1e5)
-    cost[gi, hi] = 1 - iou
-    pairs = assign(cost) if len(g) <= len(h) else [(i, j) for j, i in assign(cost.T)]
-    kept = np.zeros(cost.shape, bool)
-    for i, j in pairs:
-        kept[i, j] = cost[i, j] < 1e5
-    return kept[gi, hi]
+    at = [(g[a], h[b]) for a, b in zip(gt, hyp)]
+    for (i, j), o in zip(at, iou):
+        cost[i, j] = 1 - o
+    kept = set(assign(cost) if len(g) <= len(h) else [(i, j) for j, i in assign(cost.T)])
+    return [pair in kept for pair in at]
 
 
-def match_levels(pairs: DataFrame, levels: list[float]) -> DataFrame:
-    """``match_frames`` at each overlap threshold: the pairs with ``alpha``.
+def matched_levels(frame: np.ndarray, gt: np.ndarray, hyp: np.ndarray, iou: np.ndarray, levels: list[float]) -> np.ndarray:
+    """Whether each candidate pair (sorted by frame, gt, hyp) is matched at each level (pairs x levels).
 
-    A pair whose both boxes have no other candidate at the lowest threshold is matched as it is; the
-    rest of a frame goes to the assignment, for a block of frames and all thresholds in one call. A
-    threshold that leaves the candidates of a frame as they were keeps their matching.
+    A pair whose both boxes have no other candidate at the lowest level is matched as it is; the rest
+    of a frame goes to the assignment. A level that leaves a frame's candidates as they were keeps
+    their matching.
+    """
+    found = iou[:, None] >= np.array(levels)
+    alone = lambda ids: pd.DataFrame({"f": frame, "i": ids}).groupby(["f", "i"], sort=False)["f"].transform("size").to_numpy() == 1
+    open_ = np.flatnonzero(~(alone(gt) & alone(hyp)))
+    ends = np.flatnonzero(np.diff(frame[open_])) + 1
+    for rows in np.split(open_, ends) if len(open_) else []:
+        g, h, o = gt[rows].tolist(), hyp[rows].tolist(), iou[rows].tolist()
+        before, kept = None, []
+        for k, level in enumerate(levels):
+            here = [at for at, v in enumerate(o) if v >= level]
+            if here != before:
+                picked = chosen([g[at] for at in here], [h[at] for at in here], [o[at] for at in here])
+                before, kept = here, [at for at, yes in zip(here, picked) if yes]
+            found[rows, k] = False
+            found[rows[kept], k] = True
+    return found
+
+
+def match_alphas(pairs: DataFrame, levels: list[float]) -> DataFrame:
+    """The pairs with ``alphas``: the overlap thresholds at which they are in their frame's matching; only pairs that have any.
+
+    A task reads its frames sorted, takes all frames of a batch in one call and carries the last one over.
     """
-    least = min(levels)
-    alphas = F.explode(F.array(*map(F.lit, sorted(levels)))).alias("alpha")
-    rows = pairs.where(F.col("iou") >= least)
-    key = ("camera_id", "frame_index")
-    single = rows.withColumns({"a": F.count(F.lit(1)).over(Window.partitionBy(*key, "gt_id")), "b": F.count(F.lit(1)).over(Window.partitionBy(*key, "hyp_id"))})
-    sure = single.where("a = 1 and b = 1").drop("a", "b").select("*", alphas).where(F.col("iou") >= F.col("alpha"))
-    open_ = single.where("a > 1 or b > 1").drop("a", "b").withColumn("block", F.floor(F.col("frame_index") / BLOCK))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", "gt_id", "hyp_id"], kind="stable").reset_index(drop=True)
-        gt, hyp, iou = (pdf[c].to_numpy() for c in ("gt_id", "hyp_id", "iou"))
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(pdf["frame_index"].to_numpy()) != 0]))
-        at, level = [], []
-        for a, b in zip(starts, [*starts[1:], len(pdf)]):
-            before, found = -1, np.empty(0, int)
-            for alpha in sorted(levels):
-                rows = a + np.flatnonzero(iou[a:b] >= alpha)
-                if len(rows) != before:
-                    before, found = len(rows), rows[chosen(gt[rows], hyp[rows], iou[rows])]
-                at.append(found)
-                level += [alpha] * len(found)
-        return pdf.drop(columns="block").iloc[np.concatenate(at)].assign(alpha=level)
-
-    fields = ", ".join(f"{n} {t}" for n, t in sure.dtypes)
-    return sure.union(open_.groupBy("camera_id", "block").applyInPandas(solve, fields))
+    levels, key = sorted(levels), ("camera_id", "frame_index")
+    rows = pairs.where(F.col("iou") >= levels[0])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_frames(batches, key):
+            found = matched_levels(np.cumsum(first_rows(table, key)), *(table[c].to_numpy() for c in ("gt_id", "hyp_id", "iou")), levels)
+            any_ = np.flatnonzero(found.any(axis=1))
+            ends = np.concatenate([[0], found[any_].sum(axis=1).cumsum()])
+            alphas = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(levels)[np.nonzero(found[any_])[1]], pa.float64()))
+            yield from table.take(pa.array(any_)).append_column("alphas", alphas).to_batches()
+
+    fields = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return rows.repartition(*key).sortWithinPartitions(*key, "gt_id", "hyp_id").mapInArrow(solve, f"{fields}, alphas array<double>")
+
+
+def match_levels(pairs: DataFrame, levels: list[float]) -> DataFrame:
+    """``match_frames`` at each overlap threshold: the pairs with ``alpha``."""
+    return match_alphas(pairs, levels).select(*pairs.columns, F.explode("alphas").alias("alpha"))
 
 
 def match_frames(pairs: DataFrame, least: float) -> DataFrame:
     """The one-to-one matching of most overlap in each frame."""
-    return match_levels(pairs, [least]).drop("alpha")
+    return match_alphas(pairs, [least]).drop("alphas")
 
 
 def sizes(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -302,9 +353,11 @@ def idf1(truth: DataFrame, found: DataFrame, matched: DataFrame) -> DataFrame:
 def hota(truth: DataFrame, found: DataFrame, alphas: list[float] | None = None) -> DataFrame:
     """camera_id, hota, det_a, ass_a: means over the overlap thresholds."""
     alphas = alphas or [k / 20 for k in range(1, 20)]
-    matched = match_levels(candidate_pairs(truth, found, min(alphas)), alphas)
+    matched = match_alphas(candidate_pairs(truth, found, min(alphas)), alphas)
     n = lambda f, *by: f.groupBy("camera_id", *by).agg(F.count(F.lit(1)).alias("n"))
-    tp = matched.groupBy("camera_id", "alpha", "gt_id", "hyp_id").agg(F.count(F.lit(1)).alias("tp"))
+    hits = matched.groupBy("camera_id", "gt_id", "hyp_id").agg(*[F.count_if(F.array_contains("alphas", a)).alias(f"tp{k}") for k, a in enumerate(alphas)])
+    level = F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"tp{k}").alias("tp")) for k, a in enumerate(alphas)])
+    tp = hits.select("camera_id", "gt_id", "hyp_id", F.inline(level)).where("tp > 0")
     g, h = n(truth, "track_id").withColumnsRenamed({"track_id": "gt_id", "n": "g"}), n(found, "track_id").withColumnsRenamed({"track_id": "hyp_id", "n": "h"})
     ass = tp.join(g, ["camera_id", "gt_id"]).join(h, ["camera_id", "hyp_id"]).withColumn("a", F.col("tp") / (F.col("g") + F.col("h") - F.col("tp")))
     ass = ass.groupBy("camera_id", "alpha").agg(F.sum("tp").alias("tp"), F.avg("a").alias("ass_a"))  # each pair of tracks weighs alike
@@ -316,10 +369,11 @@ def hota(truth: DataFrame, found: DataFrame, alphas: list[float] | None = None)
 
 
 def compare_trackers(truth: DataFrame, trackers: dict[str, DataFrame], least: float = 0.5) -> DataFrame:
-    """All measures of each tracker, one row for each camera and tracker."""
-    out = None
+    """All measures of each tracker, one row for each camera and tracker. Boxes and matches, which all measures go on from, are settled."""
+    out, truth = None, settled(truth)
     for name, found in trackers.items():
-        matched = match_frames(candidate_pairs(truth, found, least), least)
+        found = settled(found)
+        matched = settled(match_frames(candidate_pairs(truth, found, least), least))
         rows = clear_metrics(truth, found, matched).join(idf1(truth, found, matched), "camera_id").join(hota(truth, found), "camera_id").withColumn("tracker", F.lit(name))
         out = rows if out is None else out.union(rows)
     return out

@@ -8,6 +8,7 @@ from flowlake.functions import geometry as G
 from flowlake.operators import detections as D
 from flowlake.operators import minutes as M
 from flowlake.operators import motion, people
+from flowlake.operators.blocks import settled
 from flowlake.plans import fixtures as X
 from flowlake.plans import management
 from flowlake.plans.fixtures import with_sql
@@ -373,11 +374,11 @@ def matched(spark, sf):
 
 
 query("match_frames")(matched)
-query("clear_metrics")(lambda spark, sf: D.clear_metrics(truth(spark, sf), found(spark, sf), matched(spark, sf)))
+query("clear_metrics")(lambda spark, sf: D.clear_metrics(truth(spark, sf), found(spark, sf), settled(matched(spark, sf))))
 query("id_switches")(lambda spark, sf: D.id_switches(matched(spark, sf)))
 query("fragmentation")(lambda spark, sf: D.fragmentation(truth(spark, sf), matched(spark, sf)))
 query("idf1")(lambda spark, sf: D.idf1(truth(spark, sf), found(spark, sf), matched(spark, sf)))
-query("hota")(lambda spark, sf: D.hota(truth(spark, sf), found(spark, sf)))
+query("hota")(lambda spark, sf: D.hota(settled(truth(spark, sf)), settled(found(spark, sf))))
 
 
 @query("compare_trackers")

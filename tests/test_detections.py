@@ -241,3 +241,16 @@ def test_suppression_over_batches(spark):
             assert sorted(r.box_id for r in found.collect()) == sorted(want)
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_matching_by_plain_numbers_and_without_groups(spark, monkeypatch):
+    """Small tables of costs, ties included, give the pairs that arrays give; frames are read sorted, not one group a call."""
+    draw = np.random.default_rng(8)
+    tables = [draw.integers(0, 4, (n, m)) / 4 + 1e5 * (draw.random((n, m)) < 0.4) for n, m in [(1, 1), (2, 2), (3, 5), (5, 5), (7, 9)] * 20]
+    small = [D.assign_small(t.tolist(), *t.shape) for t in tables]
+    monkeypatch.setattr(D, "SMALL", 0)
+    assert small == [D.assign(t) for t in tables]
+    pairs = spark.createDataFrame([(1, 1, 1, 1, 0.9), (1, 1, 1, 2, 0.8), (1, 1, 2, 1, 0.85), (1, 2, 1, 1, 0.3)], "camera_id long, frame_index long, gt_id long, hyp_id long, iou double")
+    found = D.match_levels(pairs, [0.05, 0.5])
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.alpha, r.frame_index, r.gt_id, r.hyp_id) for r in found.collect()) == [(0.05, 1, 1, 2), (0.05, 1, 2, 1), (0.05, 2, 1, 1), (0.5, 1, 1, 2), (0.5, 1, 2, 1)]
