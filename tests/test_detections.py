@@ -254,3 +254,13 @@ def test_matching_by_plain_numbers_and_without_groups(spark, monkeypatch):
     found = D.match_levels(pairs, [0.05, 0.5])
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.alpha, r.frame_index, r.gt_id, r.hyp_id) for r in found.collect()) == [(0.05, 1, 1, 2), (0.05, 1, 2, 1), (0.05, 2, 1, 1), (0.5, 1, 1, 2), (0.5, 1, 2, 1)]
+
+
+def test_trackers_are_compared_on_settled_boxes(spark):
+    """The measures go on from boxes and matches that were made once, not made anew for each."""
+    rows = [(1, f, t, 10.0 * t, 10.0, 10.0 * t + 8, 30.0) for f in range(5) for t in (1, 2, 3)]
+    made = spark.createDataFrame(rows, "camera_id long, frame_index long, track_id long, x1 double, y1 double, x2 double, y2 double")
+    made = made.mapInPandas(lambda batches: batches, made.schema)
+    got = D.compare_trackers(made, {"a": made, "b": made.where("frame_index > 1")})
+    assert "MapInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.tracker, r.tp, r.fn, r.hota < 1) for r in got.collect()) == [("a", 15, 0, False), ("b", 9, 6, True)]
