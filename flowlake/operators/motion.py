@@ -213,6 +213,17 @@ def queue_status(visits: DataFrame, frames: DataFrame, queues: DataFrame, measur
     return moving_levels(settled(rows), key, ["ts"], block_of(F.col("ts"), TEN), {"smoothed_count": F.col("raw_count")}, F.col("alpha"), 0.0).drop("alpha")
 
 
+def queue_counts(visits: DataFrame, frames: DataFrame, queues: DataFrame) -> DataFrame:
+    """camera_id, queue_id, ts, raw_count and overflow of ``queue_status``, without the rest of it."""
+    key = ["camera_id", "queue_id"]
+    change = lambda t, n: F.struct(F.col(t).alias("ts"), F.lit(n).alias("n"))
+    changes = visits.where("joined_at is not null").select(*key, F.inline(F.array(change("joined_at", 1), change("left_at", -1))))
+    changes = changes.where("ts is not null").groupBy(*key, "ts").agg(F.sum("n").alias("n"))
+    rows = frames.select("camera_id", "frame_index", "ts").join(queues.select(*key, F.col("overflow").alias("most")), "camera_id").join(changes, [*key, "ts"], "left")
+    rows = running_totals(rows, key, ["ts"], block_of(F.col("ts")), {"n": F.col("n")})
+    return rows.select(*key, "frame_index", "ts", F.col("n").alias("raw_count"), (F.col("n") >= F.col("most")).alias("overflow"))
+
+
 def overflow_events(status: DataFrame) -> DataFrame:
     """camera_id, queue_id, ts, event_type, raw_count where the overflow flag flips."""
     order = Window.partitionBy("camera_id", "queue_id").orderBy("ts")

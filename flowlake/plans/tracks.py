@@ -363,7 +363,12 @@ def status(spark, sf):
 
 
 query("queue_status", with_sql(*LINED, recursive=True, body=VISITS + STATUS + SPANS + SMOOTHED + " select * from smoothed"))(status)
-query("queue_overflow_events", with_sql(*LINED, recursive=True, body=VISITS + STATUS + FLIPS + " select * from overflows"))(lambda spark, sf: motion.overflow_events(status(spark, sf)))
+query("queue_overflow_events", with_sql(*LINED, recursive=True, body=VISITS + STATUS + FLIPS + " select * from overflows"))(lambda spark, sf: overflows(*map(blocks.settled, clocked(spark, sf))))
+
+
+def overflows(obs, frames):
+    visits_ = motion.queue_visits(obs, frames, X.queues(obs), SIZE, motion.speed(obs, matrix()))
+    return motion.overflow_events(motion.queue_counts(visits_, frames, X.queues(obs)))
 
 
 def rows(spark, sf):
@@ -430,5 +435,7 @@ select camera_id, track_id, frame_index::double as ts, 'line_crossed' as event_t
 union all select camera_id, track_id, ts, event_type, null, null, zone_id, seconds, confirmed, null, null from e
 union all select camera_id, null, ts, event_type, null, null, null, null, null, queue_id, raw_count from overflows"""))
 def collect_events(spark, sf):
-    crossed = crossings(spark, sf).select("camera_id", "track_id", F.col("frame_index").cast("double").alias("ts"), F.lit("line_crossed").alias("event_type"), "line_id", "direction")
-    return people.collect_events(crossed, restricted(spark, sf), motion.overflow_events(status(spark, sf)))
+    obs = blocks.settled(X.observations(spark, sf))
+    frames = blocks.settled(X.frames(obs))
+    crossed = people.line_crossings(obs, frames, X.lines(obs), SIZE).select("camera_id", "track_id", F.col("frame_index").cast("double").alias("ts"), F.lit("line_crossed").alias("event_type"), "line_id", "direction")
+    return people.collect_events(crossed, intrusion.restricted_events(obs, frames, X.areas(obs)), overflows(obs, frames))

@@ -222,3 +222,16 @@ def test_prototypes_equal_a_plain_loop(spark):
     got = motion.gallery_prototypes(spark.createDataFrame(rows, "track_id long, frame long, vector array<double>").repartition(3)).collect()
     assert {r.track_id: r.last_seen for r in got} == {t: f for t, (_, f) in want.items()}
     assert all(r.vector == pytest.approx(want[r.track_id][0]) for r in got)
+
+
+def test_queue_counts_are_those_of_the_status(spark):
+    """Counts and overflow alone, against the full status, with joins and leavings in several blocks and frames at one time."""
+    draw = random.Random(11)
+    frames = spark.createDataFrame([(k, i, float(t)) for k in (1, 2) for i, t in enumerate(range(0, 9000, 300))], "camera_id long, frame_index long, ts double")
+    stays = [(k, "q", t, 0.0, float(a), float(b) if b < 9000 else None, 1.0, False) for k in (1, 2) for t in range(9) for a in [draw.randrange(30) * 300] for b in [a + draw.randrange(1, 20) * 300]]
+    stays.append((1, "q", 99, 0.0, None, None, None, False))
+    visits = spark.createDataFrame(stays, "camera_id long, queue_id string, track_id long, since double, joined_at double, left_at double, waiting double, completed boolean")
+    queues = spark.createDataFrame([(1, "q", 0.5, 3), (2, "q", 0.5, 2)], "camera_id long, queue_id string, alpha double, overflow int")
+    columns = ["camera_id", "queue_id", "ts", "raw_count", "overflow"]
+    got, want = (sorted(map(tuple, rows.select(*columns).collect())) for rows in (motion.queue_counts(visits, frames, queues), motion.queue_status(visits, frames, queues)))
+    assert got == want and len(got) == 60 and {r[4] for r in got} == {True, False}
