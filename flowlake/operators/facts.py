@@ -114,11 +114,12 @@ QUEUE_SUMS = ("sample_count", "length_sum", "wait_sum_seconds", "wait_sample_cou
 
 
 def queue_location_hours(queue_minutes: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Hourly queue measures of every location and queue."""
-    rows = queue_minutes.join(cameras.select("camera_id", "field_id", "market_id", "booth_id"), "camera_id")
-    rows = at_levels(rows).groupBy("location_type", "location_id", "queue_id", F.date_trunc("hour", "bucket_start").alias("bucket_start"))
-    seen = F.count_distinct(F.when(F.col("physically_calibrated"), F.col("camera_id")))
-    return rows.agg(*[F.sum(c).alias(c) for c in QUEUE_SUMS], F.max("length_max").alias("length_max"), seen.alias("calibrated_sources"))
+    """Hourly queue measures of every location and queue: one aggregation by camera, queue and hour, one by location."""
+    by = ["camera_id", "queue_id", F.date_trunc("hour", "bucket_start").alias("bucket_start")]
+    hourly = queue_minutes.groupBy(*by).agg(*[F.sum(c).alias(c) for c in QUEUE_SUMS], F.max("length_max").alias("length_max"), F.max("physically_calibrated").alias("calibrated"))
+    rows = at_levels(hourly.join(cameras.select("camera_id", "field_id", "market_id", "booth_id"), "camera_id"))
+    rows = rows.groupBy("location_type", "location_id", "queue_id", "bucket_start")
+    return rows.agg(*[F.sum(c).alias(c) for c in QUEUE_SUMS], F.max("length_max").alias("length_max"), F.count_if("calibrated").alias("calibrated_sources"))
 
 
 def refresh_hours(minutes: DataFrame, cameras: DataFrame, now: str, lookback_hours: int = 3) -> DataFrame:

@@ -264,3 +264,15 @@ def test_trackers_are_compared_on_settled_boxes(spark):
     got = D.compare_trackers(made, {"a": made, "b": made.where("frame_index > 1")})
     assert "MapInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.tracker, r.tp, r.fn, r.hota < 1) for r in got.collect()) == [("a", 15, 0, False), ("b", 9, 6, True)]
+
+
+def test_queue_hours_count_cameras_without_distinct(spark):
+    """Minutes of a camera and hour become one row before they go to each location's group."""
+    sums = ", ".join(f"{c} long" for c in facts.QUEUE_SUMS)
+    row = lambda camera, minute, ok: (camera, "q", pd.Timestamp(f"2024-01-01 08:{minute:02d}:00").to_pydatetime(), *[1] * len(facts.QUEUE_SUMS), minute, ok)
+    minutes = spark.createDataFrame([row(1, 1, True), row(1, 2, False), row(2, 3, False), row(3, 4, True), row(3, 59, None)], f"camera_id long, queue_id string, bucket_start timestamp, {sums}, length_max long, physically_calibrated boolean")
+    cameras = spark.createDataFrame([(1, "f", "m", None), (2, "f", "m", "b"), (3, "f", "n", "c")], "camera_id long, field_id string, market_id string, booth_id string")
+    rows = facts.queue_location_hours(minutes, cameras)
+    got = {(r.location_type, r.location_id): (r.sample_count, r.length_max, r.calibrated_sources) for r in rows.collect()}
+    assert got == {("field", "f"): (5, 59, 2), ("market", "m"): (3, 3, 1), ("booth", "b"): (1, 3, 0), ("market", "n"): (2, 59, 1), ("booth", "c"): (2, 59, 1)}
+    assert "distinct" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
