@@ -36,12 +36,13 @@ def rounded(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def minutes(spark, sf):
-    return facts.upsert_last(X.minutes(spark, sf), ["camera_id", "minute_index"])
+    """Keys have bucket_start beside the minute's number, which it follows from, so that a period is cut before the last writes are sought."""
+    return facts.upsert_last(X.minutes(spark, sf), ["camera_id", "minute_index", "bucket_start"])
 
 
 def queue_minutes(spark, sf):
     c = F.col
-    rows = facts.upsert_last(X.minutes(spark, sf), ["camera_id", "queue_id", "minute_index"])
+    rows = facts.upsert_last(X.minutes(spark, sf), ["camera_id", "queue_id", "minute_index", "bucket_start"])
     calibrated = c("camera_id") % 4 != 0
     speed = F.when(calibrated, 4 * c("sample_count")).otherwise(F.lit(0))
     return rows.select(
