@@ -314,7 +314,7 @@ def minute_documents(spark, sf):
 
 def documents(spark, sf):
     """line and arrival; the given table is one row group, so its rows are dealt out before they become documents."""
-    m = X.minutes(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    m = X.minutes(spark, sf).repartition(spark.sparkContext.defaultParallelism, "arrival")  # by key: no sort, as dealing in turns needs
     start = F.concat(F.date_format("bucket_start", "yyyy-MM-dd'T'HH:mm:ss"), F.when(c("arrival") % 7 == 0, "").otherwise("Z"))
     queue = F.struct(c("queue_id").alias("queueId"), c("queue_id").alias("queueName"), c("sample_count").alias("sampleCount"), c("occupancy_sum").cast("double").alias("lengthSum"), F.array(c("wait_seconds").cast("double")).alias("completedWaitSeconds"))
     point = F.struct(c("xa").cast("double").alias("x"), (c("ya") + F.when(c("arrival") % 11 == 0, 100).otherwise(0)).cast("double").alias("y"), c("sample_count").cast("double").alias("value"), F.lit(0.5).alias("intensity"))
@@ -331,7 +331,7 @@ def lines(spark, sf):
 
 BAD = "(arrival % 7 = 0)::int as a, (arrival % 5 = 0)::int as b, (arrival % 11 = 0 and ya + 100 > 100)::int as c"
 query("validate_minutes", with_sql("minutes", body=f"), r as (select {BAD} from minutes) select case when a + b + c = 0 then 'valid' else array_to_string(list_filter([case when a = 1 then 'bucket_start' end, case when b = 1 then 'sample_count' end, case when c = 1 then 'point' end], lambda x: x is not null), ',') end as reasons, count(*) as n from r group by 1"))(
-    lambda spark, sf: (lambda v, r: v.select(F.lit("valid").alias("reasons")).union(r.select(F.array_join("reasons", ","))).groupBy("reasons").agg(F.count(F.lit(1)).alias("n")))(*io.validate_minutes(lines(spark, sf)))
+    lambda spark, sf: io.marked(lines(spark, sf)).groupBy(F.when(F.size("reasons") == 0, "valid").otherwise(F.array_join("reasons", ",")).alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 )
 query("explode_minutes", with_sql("minutes", body=f"), r as (select *, {BAD} from minutes), g as (select * from r where a + b + c = 0) select 'queue' as kind, queue_id as name, count(*) as n, sum(sample_count)::bigint as total from g group by 2 union all select 'wait', queue_id, count(*), sum(wait_seconds)::bigint from g group by 2 union all select 'spatial', layer, count(*), count(*) from g group by 2"))(
     lambda spark, sf: io.minute_parts(io.validate_minutes(lines(spark, sf))[0]).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("long").alias("total"))

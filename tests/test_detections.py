@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlake.operators import detections as D
 from flowlake.operators import facts, motion, reports
-from flowlake.plans import scalars
+from flowlake.plans import management, scalars
 from flowlake.sources import io
 
 
@@ -276,3 +276,15 @@ def test_queue_hours_count_cameras_without_distinct(spark):
     got = {(r.location_type, r.location_id): (r.sample_count, r.length_max, r.calibrated_sources) for r in rows.collect()}
     assert got == {("field", "f"): (5, 59, 2), ("market", "m"): (3, 3, 1), ("booth", "b"): (1, 3, 0), ("market", "n"): (2, 59, 1), ("booth", "c"): (2, 59, 1)}
     assert "distinct" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_periods_are_cut_before_last_writes_are_sought(spark):
+    """A filter by time reaches below the window."""
+    for rows in (management.minutes(spark, "/root/testdata/sf0.001"), management.queue_minutes(spark, "/root/testdata/sf0.001")):
+        plan = rows.where("bucket_start < timestamp '2024-01-02 00:00:00'")._jdf.queryExecution().optimizedPlan().toString()
+        assert "2024-01-02" in plan[plan.index("Window"):]
+
+
+def test_minutes_are_parsed_and_judged_in_one_pass(spark):
+    plan = scalars.QUERIES["validate_minutes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("Generate explode") == 1
