@@ -54,3 +54,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(ORACLES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_minute_documents_at_the_keys_of_a_late_copy(spark, tmp_path):
+    """Orders of the sixtieth copy, cameras as they are: values have 18 digits in thousandths."""
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    for t in ("lineitem", "events", "supplier"):
+        moved = "* replace (l_orderkey + 59 * 150000 as l_orderkey)" if t == "lineitem" else "*"
+        con.execute(f"copy (select {moved} from '/root/testdata/sf0.01/{t}.parquet') to '{tmp_path}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got, want = QUERIES["minute_documents"](spark, str(tmp_path)).toPandas(), con.execute(ORACLES["minute_documents"]).df()
+    assert want["spatial"].notna().any() and plain(got) == plain(want)
