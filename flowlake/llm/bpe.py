@@ -5,7 +5,8 @@ by the vocabulary's pattern (texts with characters newer than some tables: by th
 word's end. The tree has a leaf for each adjacent pair, holding its merge rank and place, and each
 inner node the least of its children; the root is the leftmost pair of the lowest rank. A merge
 changes three leaves and their ancestors, so a piece of n bytes takes n log n steps, however long.
-Pieces recur, so each Python worker keeps the ids of some, up to ``CACHED`` bytes.
+Pieces recur, so a task keeps the ids of some, up to ``CACHED`` bytes; its Python worker, which waits
+for other stages' tasks beside the executor's heap, keeps none.
 
 Rows are encoded where they lie, in Arrow batches; nothing is shuffled. Each worker reads the
 vocabulary file (a tokenizers JSON file, by path) once. Null texts count as empty and give no ids.
@@ -170,11 +171,14 @@ class Cache(dict):
         if len(piece) <= CACHED_BYTES:
             self.held += ENTRY + len(piece) + len(found)
             if self.held > CACHED:
-                self.clear()
-                self.held = 0
+                self.forget()
             self[piece] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -188,8 +192,12 @@ def over_rows(work, kind: str):
         @F.arrow_udf(kind)
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             words = vocabulary(path)
-            for batch in small_batches(batches, BATCH):
-                yield work(words, (x.as_py() for x in batch))
+            try:
+                for batch in small_batches(batches, BATCH):
+                    yield work(words, (x.as_py() for x in batch))
+            finally:
+                words.known.forget()
+                pa.default_memory_pool().release_unused()
 
         return run(value)
 

@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowlake.llm import bpe, queries
 
@@ -69,3 +71,20 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert bpe.round_trip(rows, path).orderBy("doc_id").collect() == got
     assert got[1] == got[2] and got[1].decoded == "a</w> cat</w>"
     assert bpe.encode(rows.limit(0), path).count() == 0
+
+
+def test_waiting_workers_keep_no_pieces(spark):
+    """Python workers outlive their tasks; what they know of pieces must not stay beside the executor's heap."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.range(0, 64, 1, 8).select("id", F.concat_ws(" ", F.lit("waiting workers keep"), F.col("id").cast("string")).alias("text"))
+    assert bpe.encode(docs, path).where(F.octet_length("ids") > 0).count() == 64
+
+    def held(batches):
+        import time
+
+        time.sleep(0.3)  # so that all workers get a part
+        for _ in batches:
+            known = bpe.vocabulary(path).known if bpe.vocabulary.cache_info().currsize else {}
+            yield pa.RecordBatch.from_pydict({"pieces": pa.array([len(known)], pa.int64())})
+
+    assert spark.range(0, 64, 1, 8).mapInArrow(held, "pieces long").agg(F.max("pieces")).first()[0] == 0
