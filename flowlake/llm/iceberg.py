@@ -20,7 +20,8 @@ with the sum of f over all kept terms, and ``term`` rows the terms of which the
 the language (q the language's p), the first ``TOP`` of them.
 
 Most terms of most pairs are in neither or one source only. Their f depends on a count alone, so
-groups give histograms of their counts, and only terms that two sources share are joined by term.
+groups give histograms of their counts, and only terms that several sources share give pairs. The counts
+of a term lie together when they are summed, so each term becomes one row with its sources there.
 
 Null text, language and source are read as ''. A group without terms takes part with p of no count;
 a language without kept terms has pairs of value 0 and no terms. Repeated rows are documents of their own.
@@ -46,6 +47,7 @@ LEAST = 3
 TOP = 200
 FIRST = 4
 UNITS = 1_000_000_000
+LONG = 9_000_000_000  # counts below stay within a long when multiplied by UNITS
 ENTRIES = 500_000
 READ_BYTES = 64 << 20
 BITS = 1 << 25  # of the bitmap, 4 MB
@@ -95,9 +97,10 @@ def tallied(keys: list[str], of: Callable[[bytes], list[bytes]], bitmap: bytes |
 
 def prefixes(level: int, before: int) -> Callable[[bytes], set[bytes]]:
     """The distinct items of a text: complete terms of up to ``level`` bytes, and prefixes of longer ones, which end in a space."""
+    distinct = set if before < 8 else iter  # few terms are longer
 
     def of(text: bytes) -> set[bytes]:
-        return {t if len(t) <= level else t[:level] + b" " for t in set(terms_of(text)) if len(t) > before}
+        return {t if len(t) <= level else t[:level] + b" " for t in distinct(terms_of(text)) if len(t) > before}
 
     return of
 
@@ -142,7 +145,8 @@ def kept_terms(rows: DataFrame, least: int = LEAST) -> DataFrame:
 def share(count: Column, of_all: str = "of_all") -> Column:
     """p of a count in a group of ``of_all`` occurrences of ``size`` kept terms."""
     whole = (count + 1).cast("decimal(20,0)") * F.lit(UNITS).cast("decimal(10,0)")
-    return F.call_function("div", whole, (F.col(of_all) + F.col("size")).cast("decimal(20,0)")) + 1
+    wide = F.call_function("div", whole, (F.col(of_all) + F.col("size")).cast("decimal(20,0)"))
+    return F.when(count < LONG, F.call_function("div", (count + 1) * UNITS, F.col(of_all) + F.col("size"))).otherwise(wide) + 1
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -159,9 +163,15 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
     kept = cut(kept_terms(rows, least))
-    found = cut(counted(rows, ["lang", "source"], terms_of, kept).select("lang", "source", F.col("item").cast("string").alias("term"), "n"), release=True)
+    # A row for each term, with its sources in order: the counts lie by language and term already.
+    order = Window.partitionBy("lang", "item").orderBy("source")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = counted(rows, ["lang", "source"], terms_of, kept)
+    found = found.withColumns({"of_": F.collect_list(F.struct("source", "n")).over(whole), "total": F.sum("n").over(whole), "k": F.row_number().over(order)})
+    found = cut(found.where("k = 1").select("lang", F.col("item").cast("string").alias("term"), "total", "of_"), release=True)
+    each = found.select("lang", "term", "total", F.inline("of_"))
     # Groups and their languages, with their sums and what a term without count gets.
-    sums = found.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("terms"))
+    sums = each.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("terms"))
     sizes = kept.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("size"))
     groups = rows.select("lang", "source").distinct().join(sums, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s")), "left")
     groups = groups.join(sizes, F.col("lang") == F.col("of"), "left")
@@ -169,24 +179,26 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     groups = groups.select("lang", "source", *(F.coalesce(c, none).alias(n) for c, n in (("sum", "of_all"), ("size", "size"), ("terms", "terms"))))
     groups = groups.withColumns({"zero": F.when(F.col("size") > 0, share(none)).otherwise(1), "of_lang": F.sum("of_all").over(Window.partitionBy("lang"))})
     groups = cut(groups)
+    facts = sized(groups)
     # Terms against the language.
-    shares = found.join(sized(groups), ["lang", "source"]).withColumns({"p": share(F.col("n")), "total": F.sum("n").over(Window.partitionBy("lang", "term"))})
-    shares = shares.withColumn("q", share(F.col("total"), "of_lang")).select("lang", "source", "term", "zero", "p", "q")
-    shares = cut(shares, release=True)
-    against = shares.where("p > q").select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
+    against = each.join(facts, ["lang", "source"]).withColumns({"p": share(F.col("n")), "q": share(F.col("total"), "of_lang")}).where("p > q")
+    against = against.select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     terms = ranked(against, "term").where(F.col("rank") <= top)
-    # Sources against each other: counts in one of them by histogram, terms of both by join.
+    # Sources against each other: counts in one of them by histogram, terms of both by pairs.
     other = groups.select(F.col("lang").alias("of"), F.col("source").alias("b"), F.col("zero").alias("zero_b"), F.col("terms").alias("terms_b"))
     apart = (F.col("lang") == F.col("of")) & (F.col("source") != F.col("b"))
     pairs = groups.join(other, apart).select("lang", F.col("source").alias("a"), "b", ((F.col("size") - F.col("terms") - F.col("terms_b")) * gap(F.col("zero"), F.col("zero_b"))).alias("x"))
-    histogram = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("m"))
+    histogram = each.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("m")).join(facts, ["lang", "source"]).select("lang", "source", share(F.col("n")).alias("p"), "m")
     single = histogram.join(other, apart).select("lang", "source", "b", (F.col("m") * gap(F.col("p"), F.col("zero_b"))).alias("x"), (F.col("m") * gap(F.col("zero_b"), F.col("p"))).alias("y"))
-    left = shares.select("lang", "term", F.col("source").alias("a"), "p", "zero")
-    right = shares.select(F.col("lang").alias("of"), F.col("term").alias("same"), F.col("source").alias("b"), F.col("p").alias("q"), F.col("zero").alias("zero_b"))
-    both = left.join(right, (F.col("lang") == F.col("of")) & (F.col("term") == F.col("same")) & (F.col("a") < F.col("b")))
+    first = found.where(F.size("of_") > 1).select("lang", "of_", F.posexplode("of_").alias("k", "x"))
+    both = first.select("lang", "x", F.explode(F.expr("slice(of_, k + 2, size(of_))")).alias("y"))
+    both = both.groupBy("lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).agg(F.count(F.lit(1)).alias("m"))
+    both = both.join(facts.select("lang", F.col("source").alias("a"), "of_all", "size", "zero"), ["lang", "a"])
+    both = both.join(facts.select("lang", F.col("source").alias("b"), F.col("of_all").alias("of_all_b"), F.col("zero").alias("zero_b")), ["lang", "b"])
+    both = both.withColumns({"p": share(F.col("n_a")), "q": share(F.col("n_b"), "of_all_b")})
     excess = lambda p, zero, q, zero_b: gap(p, q) - gap(p, zero_b) - gap(zero, q) + gap(zero, zero_b)
     p, zero, q, zero_b = (F.col(c) for c in ("p", "zero", "q", "zero_b"))
-    both = both.groupBy("lang", "a", "b").agg(F.sum(excess(p, zero, q, zero_b)).alias("x"), F.sum(excess(q, zero_b, p, zero)).alias("y"))
+    both = both.groupBy("lang", "a", "b").agg(F.sum(F.col("m") * excess(p, zero, q, zero_b)).alias("x"), F.sum(F.col("m") * excess(q, zero_b, p, zero)).alias("y"))
     mirrored = lambda rows, a: [rows.select("lang", F.col(a).alias("a"), "b", "x"), rows.select("lang", F.col("b").alias("a"), F.col(a).alias("b"), F.col("y").alias("x"))]
     pairs = reduce(DataFrame.union, [pairs, *mirrored(single, "source"), *mirrored(both, "a")])
     pairs = pairs.groupBy("lang", F.col("a").alias("source"), F.col("b").alias("item")).agg(F.sum("x").alias("value"))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from flowlake.llm import iceberg
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -72,3 +74,10 @@ def test_odd_rows(spark):
 def test_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("lang", "source", "text")
     assert got(rows) == brute([tuple(r) for r in rows.collect()])
+
+
+def test_shares_of_any_count(spark):
+    """Counts that a long can't hold times UNITS are divided as decimals, with the same result."""
+    counts = [0, 1, iceberg.LONG - 1, iceberg.LONG, 9 * 10**15]
+    rows = spark.createDataFrame([(c, 3 * c + 7, 5) for c in counts], "n long, of_all long, size long")
+    assert {r.n: r.p for r in rows.select("n", iceberg.share(F.col("n")).alias("p")).collect()} == {c: 1 + 10**9 * (c + 1) // (3 * c + 12) for c in counts}
